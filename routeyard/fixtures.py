@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
 from routeyard.functions.scores import hash_bucket
+from routeyard.functions.texts import asset_list
 from routeyard.functions.tokens import word_count
 
 # Fixed values of the fixture: model, input price, output price, skill.
@@ -50,10 +51,20 @@ def task_of_lang(lang: Column) -> Column:
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("sample_id"),
+    i = F.col("doc_id")
+    image = (F.when(i % 4 == 1, F.concat(F.lit("img/"), i, F.lit(".png")))
+             .when(i % 4 == 2, F.concat(F.lit("img/"), i, F.lit("_0.png; img/"), i, F.lit("_1.png")))
+             .when(i % 4 == 3, F.concat(F.lit("img/"), i, F.lit(".png,, "))))
+    return d.select(i.cast("string").alias("sample_id"),
                     F.col("source").alias("dataset"),
                     task_of_lang(F.col("lang")).alias("task_type"),
-                    F.col("text").alias("prompt"))
+                    F.col("text").alias("prompt"), image.alias("image_path"))
+
+
+def samples_with_assets(spark: SparkSession, sf: str) -> DataFrame:
+    return samples(spark, sf).select(
+        "sample_id", "dataset", "task_type", F.array(F.lit("image"), F.lit("text")).alias("modality"),
+        "prompt", asset_list(F.col("image_path")).alias("assets"))
 
 
 def split_of(sample_id: Column) -> Column:
@@ -149,7 +160,11 @@ WORDS_SQL = f"COALESCE(len(regexp_extract_all(text, '{V.WORD_PATTERN}')), 0)"
 PRELUDE = f"""
 WITH models(model_id, input_price, output_price, skill) AS {_models_sql()},
 samples AS (SELECT doc_id::VARCHAR AS sample_id, source AS dataset, {_task_sql()} AS task_type,
-                   text AS prompt, {WORDS_SQL}::BIGINT AS words FROM documents),
+                   text AS prompt, {WORDS_SQL}::BIGINT AS words,
+                   CASE doc_id % 4 WHEN 1 THEN 'img/' || doc_id || '.png'
+                        WHEN 2 THEN 'img/' || doc_id || '_0.png; img/' || doc_id || '_1.png'
+                        WHEN 3 THEN 'img/' || doc_id || '.png,, ' END AS image_path,
+                   [0, 1, 2, 1][doc_id % 4 + 1]::BIGINT AS num_images FROM documents),
 meta AS (SELECT sample_id, dataset,
                 CASE WHEN {bucket_sql("'42|' || sample_id")} % 100 < 70 THEN 'train'
                      WHEN {bucket_sql("'42|' || sample_id")} % 100 < 80 THEN 'dev'

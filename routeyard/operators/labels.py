@@ -9,12 +9,13 @@ Ties go to the model whose id sorts first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from routeyard.runtime import finite
 
-PER_SAMPLE = Window.partitionBy("sample_id")
+def per_sample() -> WindowSpec:
+    return Window.partitionBy("sample_id")
 
 
 def cheapest(correct: Column, usable: Column, cost: Column) -> Column:
@@ -53,7 +54,7 @@ def oracle_route(outcomes: DataFrame) -> DataFrame:
 
 def solvable(outcomes: DataFrame) -> DataFrame:
     """Outcomes of the samples at least one model answers correctly."""
-    ok = F.max(is_correct()).over(PER_SAMPLE)
+    ok = F.max(is_correct()).over(per_sample())
     return outcomes.withColumn("__ok", ok).filter("__ok").drop("__ok")
 
 
@@ -70,32 +71,32 @@ def soft_targets(outcomes: DataFrame, lam: float | None = 0.0, scheme: str = "ex
     scaled = F.col("cost") * F.lit(float(cost_scale))
     rate = F.lit(-float(lam or 0.0))
     log_weight = rate * (scaled if scheme == "exp" else F.log(scaled + F.lit(eps)))
-    first = F.min(F.struct(F.col("__key"))).over(PER_SAMPLE)
+    first = F.min(F.struct(F.col("__key"))).over(per_sample())
     cells = (outcomes.withColumn("__key", cheapest(is_correct(), usable, F.col("cost")))
-             .withColumn("__any", F.max(is_correct()).over(PER_SAMPLE))
+             .withColumn("__any", F.max(is_correct()).over(per_sample()))
              .withColumn("__first", first["__key"]["m"] == F.col("model_id")))
     one_hot = F.col("__first").cast("double")
     if lam is None:
         return cells.select("sample_id", "model_id", one_hot.alias("target"))
     soft_pool = usable & (is_correct() | ~F.col("__any")) if fallback == "cost_soft" else usable & is_correct()
     cells = cells.withColumn("__lw", F.when(soft_pool, log_weight))
-    cells = cells.withColumn("__w", F.exp(F.col("__lw") - F.max("__lw").over(PER_SAMPLE)))
-    share = F.coalesce(F.col("__w"), F.lit(0.0)) / F.nullif(F.sum("__w").over(PER_SAMPLE), F.lit(0.0))
+    cells = cells.withColumn("__w", F.exp(F.col("__lw") - F.max("__lw").over(per_sample())))
+    share = F.coalesce(F.col("__w"), F.lit(0.0)) / F.nullif(F.sum("__w").over(per_sample()), F.lit(0.0))
     return cells.select("sample_id", "model_id", F.coalesce(share, one_hot).alias("target"))
 
 
 def normalized_scores(outcomes: DataFrame) -> DataFrame:
     """Quality over the number of correct models of the sample; 0 if none."""
     q = is_correct().cast("double")
-    share = q / F.nullif(F.sum(q).over(PER_SAMPLE), F.lit(0.0))
+    share = q / F.nullif(F.sum(q).over(per_sample()), F.lit(0.0))
     return outcomes.select("sample_id", "model_id", F.coalesce(share, F.lit(0.0)).alias("target"))
 
 
 def softmax(scores: DataFrame, score: str = "score") -> DataFrame:
     """Softmax of the scores of each sample."""
-    e = F.exp(F.col(score) - F.max(score).over(PER_SAMPLE))
+    e = F.exp(F.col(score) - F.max(score).over(per_sample()))
     return (scores.withColumn("__e", e)
-            .withColumn("probability", F.col("__e") / F.sum("__e").over(PER_SAMPLE)).drop("__e"))
+            .withColumn("probability", F.col("__e") / F.sum("__e").over(per_sample())).drop("__e"))
 
 
 def argmax(scores: DataFrame, score: str = "score") -> DataFrame:

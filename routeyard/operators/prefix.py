@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def range_of(df: DataFrame, key: str, tie: Column | None = None, ranges: int = RANGES) -> Column:
-    """Range number of a row, monotone in (key, tie).
+def with_range(df: DataFrame, key: str, tie: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """Add ``__range``, a range number that is monotone in (key, tie).
 
     Split points are approximate quantiles of the key, so ranges hold similar
     row counts however the key is distributed.  A key value so frequent that
@@ -25,12 +25,14 @@ def range_of(df: DataFrame, key: str, tie: Column | None = None, ranges: int = R
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     splits = df.agg(F.percentile_approx(F.col(key), probs, F.lit(2000)).alias("s")).scalar()
     k = F.col(key)
-    upto = F.coalesce(F.size(F.filter(splits, lambda s: s <= k)), F.lit(0))
-    if tie is None:
-        return upto
-    below = F.coalesce(F.size(F.filter(splits, lambda s: s < k)), F.lit(0))
-    width = upto - below
-    return F.when(width >= 2, below + 1 + F.least(F.floor(tie * width), width - 1)).otherwise(upto).cast("int")
+    upto = F.coalesce(F.size(F.filter("__splits", lambda s: s <= k)), F.lit(0))
+    number = upto
+    if tie is not None:
+        below = F.coalesce(F.size(F.filter("__splits", lambda s: s < k)), F.lit(0))
+        width = upto - below
+        spread = below + 1 + F.least(F.floor(F.col(tie) * width), width - 1)
+        number = F.when(width >= 2, spread).otherwise(upto)
+    return df.withColumn("__splits", splits).withColumn("__range", number.cast("int")).drop("__splits")
 
 
 def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Column | None = None,
@@ -44,7 +46,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
     groups = list(groups)
     order = [F.col(key)] + (["__tie"] if tie is not None else []) + list(then_by)
     rows = df.withColumn("__tie", tie) if tie is not None else df
-    rows = rows.withColumn("__range", range_of(df, key, F.col("__tie") if tie is not None else None, ranges))
+    rows = with_range(rows, key, "__tie" if tie is not None else None, ranges)
     sums = rows.groupBy(*groups, "__range").agg(
         *[F.sum(e).alias(f"__{n}_sum") for n, e in totals.items()])
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(

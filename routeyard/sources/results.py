@@ -26,7 +26,8 @@ def _pick(df: DataFrame, candidates: tuple[str, ...]) -> Column | None:
 
 
 def _located(df: DataFrame, pool: list[str]) -> DataFrame:
-    with_path = df.withColumn("file", F.col("_metadata.file_path"))
+    # a table written by Spark is a folder of part files; the folder carries the name
+    with_path = df.withColumn("file", F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", ""))
     return (with_path.withColumn("row_num", F.monotonically_increasing_id())
             .withColumn("model_id", N.model_of_path(F.col("file"), pool))
             .withColumn("dataset", N.dataset_of_path(F.col("file"), F.col("model_id"))))
@@ -50,9 +51,11 @@ def read_results(spark: SparkSession, layouts: list[tuple[str, str]], pool: list
         key = F.col("row_num") if key is None else key
         prompt, image = _pick(raw, V.PROMPT_CANDIDATES), _pick(raw, V.IMAGE_CANDIDATES)
         empty = F.lit("")
-        parts.append(located.filter(~N.is_derived(F.col("file"))).select(
+        located = located.withColumn("kind", N.result_kind(F.col("file"), F.col("dataset")))
+        helper = F.col("kind").isin("VQA", "OCRBench") & N.is_derived(F.col("file"))
+        parts.append(located.filter(~helper).select(
             N.normalize_sample_id(key, F.col("dataset")).alias("sample_id"), "model_id", "dataset",
-            N.result_kind(F.col("file"), F.col("dataset")).alias("kind"), "file", "row_num",
+            "kind", "file", "row_num",
             correct.cast("double").cast("int").alias("quality"),
             (empty if prompt is None else F.coalesce(prompt.cast("string"), empty)).alias("prompt"),
             (empty if image is None else F.coalesce(image.cast("string"), empty)).alias("image_path")))

@@ -146,8 +146,9 @@ def write_asset_table(rows: DataFrame, path: str) -> None:
      .option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path))
 
 
-def read_asset_table(spark: SparkSession, path: str) -> DataFrame:
+def read_asset_table(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Tab-separated asset rows.  Values with line breaks need ``line_breaks``; such files are not split."""
     return (spark.read.schema(ASSET_TABLE_SCHEMA).option("sep", "\t").option("header", True)
-            .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
+            .option("quote", '"').option("escape", '"').option("multiLine", line_breaks).csv(path))
 
 
