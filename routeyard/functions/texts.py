@@ -20,20 +20,29 @@ def joined_text(columns: list[str]) -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def has_any(text: Column, terms: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
 
 
 def query_type(text: Column, dataset: Column) -> Column:
     """Ordered keyword rules: dataset names first, then text plus dataset name."""
-    ds = F.lower(F.coalesce(dataset, F.lit("")))
-    haystack = F.lower(F.concat_ws(" ", text, F.coalesce(dataset, F.lit(""))))
-    rules = ([(name, has_any(ds, keys)) for name, keys in V.DATASET_RULES]
-             + [(name, has_any(haystack, keys)) for name, keys in V.TEXT_RULES])
+    name = F.coalesce(dataset, F.lit(""))
     chain = F
-    for name, hit in rules:
-        chain = chain.when(hit, F.lit(name))
-    return chain.otherwise(F.lit("general"))
+    for kind, keys in V.DATASET_RULES:
+        chain = chain.when(has_any(F.lower(name), keys), F.lit(kind))
+
+    def by_text(haystack: Column) -> Column:
+        rules = F
+        for kind, terms in V.TEXT_RULES:
+            rules = rules.when(has_any(haystack, terms), F.lit(kind))
+        return rules.otherwise(F.lit("general"))
+
+    return chain.otherwise(let(F.lower(F.concat_ws(" ", text, name)), by_text))
 
 
 def _share_of(text: Column, char_class: str) -> Column:
@@ -46,19 +55,20 @@ def _term_score(text: Column, terms: tuple[str, ...]) -> Column:
     return F.least(hits / F.lit(3.0), F.lit(1.0))
 
 
-def text_stats(text: Column) -> dict[str, Column]:
-    """Shares and capped keyword counts over the whole lower-cased text."""
-    t = F.lower(text)
-    length = F.greatest(F.length(t), F.lit(1))
-    return {
-        "digit_ratio": _share_of(t, V.DIGIT_CLASS),
-        "alpha_ratio": _share_of(t, V.ALPHA_CLASS),
-        "length_score": F.least(F.log1p(length.cast("double")) / F.lit(8.0), F.lit(1.0)),
-        "spatial_terms": _term_score(t, V.SPATIAL_TERMS),
-        "chart_terms": _term_score(t, V.CHART_TERMS),
-        "counting_terms": _term_score(t, V.COUNTING_TERMS),
-        "ocr_terms": _term_score(t, V.OCR_TERMS),
-    }
+def text_stats(text: Column) -> Column:
+    """Shares and capped keyword counts over the whole lower-cased text, as a struct."""
+    def measure(t: Column) -> Column:
+        length = F.greatest(F.length(t), F.lit(1)).cast("double")
+        return F.struct(
+            _share_of(t, V.DIGIT_CLASS).alias("digit_ratio"),
+            _share_of(t, V.ALPHA_CLASS).alias("alpha_ratio"),
+            F.least(F.log1p(length) / F.lit(8.0), F.lit(1.0)).alias("length_score"),
+            _term_score(t, V.SPATIAL_TERMS).alias("spatial_terms"),
+            _term_score(t, V.CHART_TERMS).alias("chart_terms"),
+            _term_score(t, V.COUNTING_TERMS).alias("counting_terms"),
+            _term_score(t, V.OCR_TERMS).alias("ocr_terms"))
+
+    return let(F.lower(text), measure)
 
 
 def parse_list_text(value: Column) -> Column:

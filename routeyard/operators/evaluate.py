@@ -29,8 +29,11 @@ def _scores(bounds: DataFrame, beta: float) -> list[Column]:
 
 
 def _ranked(df: DataFrame, bounds: DataFrame, beta: float) -> DataFrame:
-    score = rank_score(F.col("accuracy"), F.col("avg_cost"), bound(bounds, "cmin"), bound(bounds, "cmax"), beta)
-    return df.withColumn("rank_score", F.when(F.col("num_samples") > 0, score).otherwise(F.lit(0.0)))
+    """Add the rank score; the bounds become columns first, so each is looked up once."""
+    score = rank_score(F.col("accuracy"), F.col("avg_cost"), F.col("__cmin"), F.col("__cmax"), beta)
+    return (df.withColumns({"__cmin": bound(bounds, "cmin"), "__cmax": bound(bounds, "cmax")})
+            .withColumn("rank_score", F.when(F.col("num_samples") > 0, score).otherwise(F.lit(0.0)))
+            .drop("__cmin", "__cmax"))
 
 
 def score(gathered: DataFrame, bounds: DataFrame, by: list[str] = (), beta: float = 0.1) -> DataFrame:

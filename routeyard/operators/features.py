@@ -17,6 +17,17 @@ from routeyard.operators.labels import is_correct
 from routeyard.runtime import finite
 
 
+def with_query_type(rows: DataFrame, name: str = "query_type") -> DataFrame:
+    """Add the query type of each row.
+
+    Exploding a one-element array makes Spark run the keyword rules once per
+    row; as a plain projection they would run again for every match of a
+    later join.
+    """
+    kind = query_type(joined_text(rows.columns), F.col("dataset"))
+    return rows.withColumn(name, F.explode(F.array(kind)))
+
+
 def vector_moments(df: DataFrame, vec: str, by: list[str] = ()) -> DataFrame:
     """Mean and population standard deviation of each dimension.
 
@@ -109,9 +120,7 @@ def evidence_features(rows: DataFrame, text_vec: str = "text_vec", image_vec: st
     row says where its evidence came from.
     """
     text = joined_text(rows.columns)
-    base = rows.withColumn("__t", text).withColumn("query_type", query_type(F.col("__t"), F.col("dataset")))
-    stats = text_stats(F.col("__t"))
-    base = base.withColumns({f"__{k}": v for k, v in stats.items()})
+    base = with_query_type(rows).withColumn("__stats", F.explode(F.array(text_stats(text))))
     have = lambda c: F.coalesce(F.size(F.col(c)) > 0, F.lit(False))
     v = F.when(have(image_vec), F.col(image_vec)).when(have(text_vec), F.col(text_vec))
     base = base.withColumn("__v", X.l2_normalize(X.as_double(v), 1e-6))
@@ -129,7 +138,7 @@ def evidence_features(rows: DataFrame, text_vec: str = "text_vec", image_vec: st
         "__pos": either(positive, F.lit(0.5)),
         "__gap": F.when(have(text_vec) & have(image_vec), gap).otherwise(F.lit(0.0)),
         "__jitter": F.lit(0.02) * unit("jitter")})
-    c = lambda name: F.col(f"__{name}")
+    c = lambda name: F.col(f"__{name}") if f"__{name}" in base.columns else F.col(f"__stats.{name}")
     raw = {
         "generic_blur_dist": 0.08 + 0.18 * c("spread") + 0.05 * c("length_score") + c("jitter"),
         "generic_crop_dist": 0.10 + 0.12 * c("mean_abs") + 0.04 * F.abs(c("pos") - 0.5) + c("jitter"),
@@ -172,9 +181,8 @@ def sample_features(rows: DataFrame, extras: list[str] = (), include_embeddings:
     one-hot and extra features; a value that is not finite becomes 0.
     """
     t, v = X.as_double(F.col("text_vec")), X.as_double(F.col("image_vec"))
-    base = (rows.withColumn("__tn", X.norm(t)).withColumn("__vn", X.norm(v))
-            .withColumn("__t", X.l2_normalize(t)).withColumn("__v", X.l2_normalize(v))
-            .withColumn("query_type", query_type(joined_text(rows.columns), F.col("dataset"))))
+    base = (with_query_type(rows).withColumn("__tn", X.norm(t)).withColumn("__vn", X.norm(v))
+            .withColumn("__t", X.l2_normalize(t)).withColumn("__v", X.l2_normalize(v)))
     blocks = [F.col("__t"), F.col("__v")] if include_embeddings else []
     blocks.append(F.array(X.dot(F.col("__t"), F.col("__v")), F.col("__tn"), F.col("__vn"),
                           F.col("__tn") - F.col("__vn")))

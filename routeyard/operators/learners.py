@@ -287,7 +287,9 @@ def route_scores(risks: DataFrame, outcomes: DataFrame, cmin: Column, cmax: Colu
     """Risk plus lambda times normalised cost, for every lambda at once."""
     pairs = risks.join(outcomes.select("sample_id", "model_id", "quality", "cost"), ["sample_id", "model_id"])
     weight = F.col("lambda_cost") if use_cost else F.lit(0.0)
-    return (pairs.withColumn("normalized_cost", normalize_cost(F.col("cost"), cmin, cmax))
+    pairs = pairs.withColumns({"__cmin": cmin, "__cmax": cmax})
+    return (pairs.withColumn("normalized_cost", normalize_cost(F.col("cost"), F.col("__cmin"), F.col("__cmax")))
+            .drop("__cmin", "__cmax")
             .withColumn("lambda_cost", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
             .withColumn("route_score", F.col("risk") + weight * F.col("normalized_cost")))
 

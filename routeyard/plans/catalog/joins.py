@@ -112,13 +112,13 @@ def j5(spark, sf):
 means AS (SELECT model_id, avg(cost) AS c FROM known GROUP BY model_id),
 have AS (SELECT DISTINCT sample_id FROM known)
 SELECT s.sample_id, m.model_id, h.sample_id IS NULL AS is_mean,
-       round(CASE WHEN h.sample_id IS NULL THEN means.c ELSE k.cost END, 12) AS cost
+       round(CASE WHEN h.sample_id IS NULL THEN means.c ELSE k.cost END, 10) AS cost
 FROM samples s CROSS JOIN models m LEFT JOIN known k ON k.sample_id = s.sample_id AND k.model_id = m.model_id
 LEFT JOIN have h ON h.sample_id = s.sample_id LEFT JOIN means ON means.model_id = m.model_id""")
 def j6(spark, sf):
     i = F.col("sample_id").cast("bigint") % 10
     known = D.outcomes(spark, sf).filter((i != 3) & ~((i == 4) & (F.col("model_id") == "m2")))
-    return round_columns(G.align_costs(D.meta(spark, sf), known, D.MODEL_IDS), 12, "cost")
+    return round_columns(G.align_costs(D.meta(spark, sf), known, D.MODEL_IDS), 10, "cost")
 
 
 @query("j7_output_token_grid", f", {OUTPUT_SQL} SELECT * FROM outputs")
@@ -250,6 +250,6 @@ def neighbor_rows(spark, sf):
 
 
 @query("j18_nearest_neighbors", f""", {NEIGHBORS_SQL}
-SELECT query_id, train_id, rank, round(distance, 8) AS distance FROM neighbors""")
+SELECT query_id, train_id, rank, distance FROM neighbors""")
 def j18(spark, sf):
-    return neighbor_rows(spark, sf).withColumn("distance", F.round("distance", 8))
+    return neighbor_rows(spark, sf)

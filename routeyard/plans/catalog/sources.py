@@ -205,8 +205,8 @@ def s12(spark, sf):
 
 @query("s13_cost_bounds_source", """
 , means AS (SELECT model_id, avg(cost) AS c FROM outcomes WHERE cost > 0 GROUP BY model_id)
-SELECT 'stored' AS source, round(min(c), 12) AS cmin, round(max(c), 12) AS cmax FROM means UNION ALL
-SELECT 'costs', round(min(cost), 12), round(max(cost), 12) FROM outcomes UNION ALL
+SELECT 'stored' AS source, round(min(c), 10) AS cmin, round(max(c), 10) AS cmax FROM means UNION ALL
+SELECT 'costs', round(min(cost), 10), round(max(cost), 10) FROM outcomes UNION ALL
 SELECT 'equal', 1::DOUBLE, 2::DOUBLE UNION ALL SELECT 'empty', 0::DOUBLE, 1::DOUBLE""")
 def s13(spark, sf):
     path = scratch_path(spark, "s13")
@@ -216,7 +216,7 @@ def s13(spark, sf):
     cases = {"stored": config.read_bounds(spark, path, o), "costs": config.read_bounds(spark, None, o),
              "equal": config.read_bounds(spark, f"{path}-absent", o.withColumn("cost", F.lit(1.0))),
              "empty": config.read_bounds(spark, None, o.withColumn("cost", inf))}
-    out = [b.select(F.lit(n).alias("source"), rounded("cmin", 12), rounded("cmax", 12)) for n, b in cases.items()]
+    out = [b.select(F.lit(n).alias("source"), rounded("cmin", 10), rounded("cmax", 10)) for n, b in cases.items()]
     return G.union_all(out)
 
 
