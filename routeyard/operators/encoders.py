@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
-from routeyard.functions.vectors import l2_normalize
 
 
 def encoder_table(spark: SparkSession) -> DataFrame:
@@ -54,7 +53,9 @@ def encode(column: Column, factory: Callable[[], Callable[[list], np.ndarray]],
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for batch in batches:
-            yield pd.Series(list(np.asarray(model(batch.tolist()), dtype="float64")))
+            m = np.asarray(model(batch.tolist()), dtype="float64")
+            if normalize:
+                m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+            yield pd.Series(list(m))
 
-    out = run(column)
-    return l2_normalize(out) if normalize else out
+    return run(column)

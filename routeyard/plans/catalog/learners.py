@@ -1 +1,121 @@
-"""To come."""
+"""Iterative learners and pluggable parts; SQL cannot repeat them."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from routeyard import fixtures as D
+from routeyard.operators import encoders as EN
+from routeyard.operators import features as FT
+from routeyard.operators import labels as L
+from routeyard.operators import learners as LN
+from routeyard.plans.catalog import query
+from routeyard.plans.catalog.aggregates import fused, typed
+from routeyard.plans.catalog.scalars import feature_vectors
+from routeyard.runtime import scratch_path
+
+
+def _train_outcomes(spark, sf):
+    train = D.meta(spark, sf).filter("split = 'train'").select("sample_id")
+    have = D.features(spark, sf).select("sample_id")
+    return D.outcomes(spark, sf).join(train.join(have, "sample_id"), "sample_id", "left_semi")
+
+
+def _routed(spark, sf, policy):
+    f = fused(spark, sf)
+    return policy.fit(_train_outcomes(spark, sf), f).route(f)
+
+
+@query("r8_one_vs_rest")
+def r8(spark, sf):
+    return _routed(spark, sf, LN.OneVsRestPolicy(D.MODEL_IDS, max_iter=30))
+
+
+@query("r10_linear_hard")
+def r10_hard(spark, sf):
+    return _routed(spark, sf, LN.LinearPolicy(D.MODEL_IDS, max_iter=30))
+
+
+@query("r10_linear_soft")
+def r10_soft(spark, sf):
+    return _routed(spark, sf, LN.LinearPolicy(D.MODEL_IDS, lam=10.0, max_iter=30))
+
+
+@query("r11_mlp_hard")
+def r11_hard(spark, sf):
+    return _routed(spark, sf, LN.MlpPolicy(D.MODEL_IDS, hidden=(16,), max_iter=20))
+
+
+@query("r11_mlp_soft")
+def r11_soft(spark, sf):
+    return _routed(spark, sf, LN.MlpPolicy(D.MODEL_IDS, hidden=(16,), lam=10.0, max_iter=20))
+
+
+def _risk_policy(spark, sf, learner):
+    o = _train_outcomes(spark, sf)
+    vectors = feature_vectors(spark, sf)
+    profiles = FT.model_profiles(o, typed(spark, sf))
+    iterations = 5 if learner == "gbt" else 20
+    return LN.RiskPolicy(learner, max_iter=iterations).fit(o, vectors, profiles), vectors
+
+
+@query("r12_pairwise_risk")
+def r12(spark, sf):
+    policy, vectors = _risk_policy(spark, sf, "logistic")
+    return policy.risks(vectors)
+
+
+@query("r12_pairwise_risk_trees")
+def r12_trees(spark, sf):
+    policy, vectors = _risk_policy(spark, sf, "gbt")
+    return policy.risks(vectors)
+
+
+@query("r14_behaviour_clusters")
+def r14(spark, sf):
+    scores = L.normalized_scores(D.outcomes(spark, sf))
+    in_split = lambda s: scores.join(D.meta(spark, sf).filter(F.col("split") == s).select("sample_id"), "sample_id", "left_semi")
+    return LN.behaviour_clusters(in_split("train"), D.MODEL_IDS, assign=in_split("dev"))
+
+
+@query("r19_text_vectors")
+def r19(spark, sf):
+    return EN.hashed_text_vectors(D.samples(spark, sf), 128)
+
+
+@query("x1_user_policy", """
+SELECT sample_id, (SELECT arg_min(model_id, row(-a, model_id)) FROM (SELECT model_id, avg(quality) AS a FROM outcomes GROUP BY model_id)) AS model_id FROM samples""")
+def x1(spark, sf):
+    return LN.ConstantPolicy().fit(D.outcomes(spark, sf)).route(D.samples(spark, sf))
+
+
+@query("x2_saved_policy")
+def x2(spark, sf):
+    """A fitted policy, saved, loaded and asked again."""
+    path = scratch_path(spark, "x2")
+    f = fused(spark, sf)
+    LN.LinearPolicy(D.MODEL_IDS, max_iter=10).fit(_train_outcomes(spark, sf), f).save(path)
+    return LN.LinearPolicy.load(spark, path).route(f)
+
+
+def _letter_shares():
+    """A tiny encoder: how often each of five vowels occurs per character."""
+    vowels = "aeiou"
+
+    def run(texts):
+        return np.array([[t.lower().count(v) / max(len(t), 1) for v in vowels] for t in texts])
+
+    return run
+
+
+_COUNT = ["(length(prompt) - length(replace(lower(prompt), '{0}', ''))) / greatest(length(prompt), 1)".format(v) for v in "aeiou"]
+
+
+@query("x3_user_encoder", f"""
+, v AS (SELECT sample_id, [{', '.join(_COUNT)}] AS v FROM samples)
+SELECT sample_id, i - 1 AS dim, round(v[i] / greatest(sqrt(list_dot_product(v, v)), 1e-12), 8) AS x FROM v, range(1, 6) t(i)""")
+def x3(spark, sf):
+    s = D.samples(spark, sf).select("sample_id", EN.encode(F.col("prompt"), _letter_shares).alias("v"))
+    return s.select("sample_id", F.posexplode("v").alias("dim", "x")).select(
+        "sample_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 8).alias("x"))
