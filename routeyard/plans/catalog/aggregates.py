@@ -303,7 +303,7 @@ SELECT round(avg(entropy), 7) AS mean_entropy, round(stddev_pop(entropy), 7) AS
        round(quantile_cont(on_cheapest, 0.5), 7) AS median_prob_cheapest_correct, round(avg(active), 7) AS mean_active_models,
        round(100 * avg((ok = 0)::INT), 7) AS pct_no_correct FROM per""")
 def a22(spark, sf):
-    o = D.outcomes(spark, sf)
+    o = D.stored_outcomes(spark, sf)
     out = L.target_diagnostics(L.soft_targets(o, 5.0), o)
     return round_columns(out, 7, *out.columns)
 
@@ -344,9 +344,9 @@ def a23(spark, sf):
     return profile_columns(FT.model_profiles(D.outcomes(spark, sf), typed(spark, sf)))
 
 
-def pairs(spark, sf):
+def pairs(spark, sf, outcomes=None):
     """Failure labels with a probability in steps of 1/512, some of it exactly 0 or 1."""
-    o = D.outcomes(spark, sf)
+    o = D.outcomes(spark, sf) if outcomes is None else outcomes
     noise = hash_bucket(F.concat_ws("|", F.lit("p"), "sample_id", "model_id")) % 385
     return o.select("sample_id", "model_id", (F.lit(1) - F.col("quality")).cast("double").alias("label"),
                     ((noise + (F.lit(1) - F.col("quality")) * 128) / F.lit(512.0)).alias("p"))
@@ -414,10 +414,10 @@ SELECT {SCORE_COLS}, round(model_avg_cost, 10) AS model_avg_cost, round(total_co
        (SELECT round(avg(p), 8) FROM pairs) AS risk_mean, (SELECT round(stddev_pop(p), 8) FROM pairs) AS risk_std
 FROM g, bounds""")
 def a28(spark, sf):
-    o = D.outcomes(spark, sf)
+    o = D.stored_outcomes(spark, sf)
     points = o.groupBy(F.col("model_id").alias("router")).agg(F.avg("quality").alias("accuracy"), F.avg("cost").alias("avg_cost"))
     out = E.summary(P.random_route(D.samples(spark, sf), D.MODEL_IDS), o, C.cost_bounds(o),
-                    K.frontier_points(points), pairs(spark, sf).select("sample_id", "model_id", F.col("p").alias("risk")),
+                    K.frontier_points(points), pairs(spark, sf, o).select("sample_id", "model_id", F.col("p").alias("risk")),
                     overhead=1e-5).drop("risk_coverage_auc")
     out = round_columns(out.withColumn("avg_cost", F.col("avg_cost") * F.lit(NUDGE)), 10,
                         "avg_cost", "model_avg_cost", "oracle_avg_cost")

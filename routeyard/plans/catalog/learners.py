@@ -13,17 +13,17 @@ from routeyard.operators import learners as LN
 from routeyard.plans.catalog import query
 from routeyard.plans.catalog.aggregates import fused, typed
 from routeyard.plans.catalog.scalars import feature_vectors
-from routeyard.runtime import scratch_path
+from routeyard.runtime import persisted, scratch_path
 
 
 def _train_outcomes(spark, sf):
     train = D.meta(spark, sf).filter("split = 'train'").select("sample_id")
     have = D.features(spark, sf).select("sample_id")
-    return D.outcomes(spark, sf).join(train.join(have, "sample_id"), "sample_id", "left_semi")
+    return persisted(D.outcomes(spark, sf).join(train.join(have, "sample_id"), "sample_id", "left_semi"), "history")
 
 
 def _routed(spark, sf, policy):
-    f = fused(spark, sf)
+    f = persisted(fused(spark, sf), "vectors")
     return policy.fit(_train_outcomes(spark, sf), f).route(f)
 
 
@@ -54,7 +54,7 @@ def r11_soft(spark, sf):
 
 def _risk_policy(spark, sf, learner):
     o = _train_outcomes(spark, sf)
-    vectors = feature_vectors(spark, sf)
+    vectors = persisted(feature_vectors(spark, sf), "vectors")
     profiles = FT.model_profiles(o, typed(spark, sf))
     iterations = 5 if learner == "gbt" else 20
     return LN.RiskPolicy(learner, max_iter=iterations).fit(o, vectors, profiles), vectors

@@ -15,6 +15,7 @@ from routeyard.operators import neighbors as NN
 from routeyard.operators import policies as P
 from routeyard.operators.registry import union_all
 from routeyard.plans import reports as RP
+from routeyard.runtime import persisted
 from routeyard.plans.catalog import query, round_columns
 from routeyard.plans.catalog.aggregates import (BOUNDS_SQL, PAIRS_SQL, PROFILE_COLS, SCORE_COLS, TYPES_SQL,
                                                _SCORE, fused, pairs, profile_columns, score_rounded, typed)
@@ -35,7 +36,7 @@ DECISIONS = {
 
 
 def _fit_and_test(spark, sf):
-    m, o = D.meta(spark, sf), D.outcomes(spark, sf)
+    m, o = D.meta(spark, sf), D.stored_outcomes(spark, sf)
     fit = o.join(m.filter("split = 'train'").select("sample_id"), "sample_id", "left_semi")
     return m, m.filter("split = 'test'"), fit, o
 
@@ -145,7 +146,7 @@ profiles AS (SELECT 'calibrated' AS how, * FROM seen UNION ALL SELECT 'calibrate
   UNION ALL SELECT 'mean', * FROM seen UNION ALL SELECT 'mean', model_id, (SELECT list(x ORDER BY i) FROM long) FROM models WHERE model_id IN ('m2', 'm6'))
 SELECT how, model_id, {PROFILE_COLS} FROM profiles""")
 def r13(spark, sf):
-    o, t = D.outcomes(spark, sf), typed(spark, sf)
+    o, t = D.stored_outcomes(spark, sf), persisted(typed(spark, sf), "types")
     seen, held = X.model_split(D.MODEL_IDS, ["m2", "m6"])
     calib = X.calibration_subset(D.samples(spark, sf).select("sample_id"), 100)
     one = FT.heldout_profiles(o, t, seen, held, calib)
@@ -163,9 +164,9 @@ picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lambda_cost,
 
 
 def sweep(spark, sf):
-    o = D.outcomes(spark, sf)
+    o = D.stored_outcomes(spark, sf)
     b = C.cost_bounds(o)
-    risks = pairs(spark, sf).select("sample_id", "model_id", F.col("p").alias("risk"))
+    risks = pairs(spark, sf, o).select("sample_id", "model_id", F.col("p").alias("risk"))
     return RP.sweep_predictions(risks, o, b.select("cmin").scalar(), b.select("cmax").scalar(), LAMBDAS), o, b
 
 
@@ -198,7 +199,7 @@ def r16(spark, sf):
     """The shape and content of the features under every ablation."""
     from routeyard.plans.catalog.scalars import feature_vectors
 
-    o, t = D.outcomes(spark, sf), typed(spark, sf)
+    o, t = D.stored_outcomes(spark, sf), persisted(typed(spark, sf), "types")
     dims, profiles, parts = {}, {}, []
     for mode in V.ABLATIONS:
         sample, profile = (tuple(x.items()) for x in FT.ablation_switches(mode))
@@ -219,7 +220,7 @@ g AS (SELECT router, dataset, {_SCORE} FROM decisions JOIN test USING (sample_id
       GROUP BY GROUPING SETS ((router), (router, dataset)))
 SELECT router, dataset, {SCORE_COLS} FROM g, bounds""")
 def r17(spark, sf):
-    return score_rounded(RP.baseline_report(D.meta(spark, sf), D.outcomes(spark, sf), D.MODEL_IDS))
+    return score_rounded(RP.baseline_report(D.meta(spark, sf), D.stored_outcomes(spark, sf), D.MODEL_IDS))
 
 
 @query("r18_run_report", f", {SPLIT_SQL}, {BOUNDS_SQL}, " + f"""
@@ -229,4 +230,4 @@ g AS (SELECT split, dataset, {_SCORE} FROM choice JOIN meta USING (sample_id) LE
 SELECT split, dataset, {SCORE_COLS} FROM g, bounds""")
 def r18(spark, sf):
     m = D.meta(spark, sf)
-    return score_rounded(RP.run_report(P.random_route(m, D.MODEL_IDS, 7), m, D.outcomes(spark, sf)))
+    return score_rounded(RP.run_report(P.random_route(m, D.MODEL_IDS, 7), m, D.stored_outcomes(spark, sf)))

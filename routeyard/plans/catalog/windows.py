@@ -61,7 +61,7 @@ SELECT s.sample_id, s.model_id, round(s.target, 8) AS exp10, round(p.target, 8)
 FROM soft s JOIN powered p USING (sample_id, model_id) JOIN plain n USING (sample_id, model_id) JOIN free f USING (sample_id, model_id)
 LEFT JOIN (SELECT sample_id, model_id FROM plain_lw WHERE first) h USING (sample_id, model_id)""")
 def w3(spark, sf):
-    o = D.outcomes(spark, sf)
+    o = D.stored_outcomes(spark, sf)
     keys = ["sample_id", "model_id"]
     a = L.soft_targets(o, 10.0).withColumnRenamed("target", "exp10")
     b = L.soft_targets(o, 2.0, scheme="power").withColumnRenamed("target", "power2")
