@@ -16,7 +16,7 @@ def resolve_references(rows: DataFrame, index: str = "index", image: str = "imag
     """A short image value that names another row's key takes that row's long value.
 
     One hop only.  Very many rows may name the same key, so the lookup spreads
-    hot keys; only referenced content is shuffled.
+    hot keys, and content that no row names does not take part in it.
     """
     short = F.length(image) <= REFERENCE_LENGTH
     content = rows.filter(~short).select(F.col(index).cast("string").alias("__ref"), F.col(image).alias("__content"))

@@ -8,14 +8,26 @@ in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+MIN_RANGES, MAX_RANGES = 64, 16_384
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges to cut a table into: twice the session's shuffle partitions, within fixed limits.
+
+    The shuffle partitions are what a cluster sizes to its data, and the upper
+    limit bounds what is broadcast.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(2 * partitions, MIN_RANGES), MAX_RANGES)
 
 
 def with_range(df: DataFrame, key: str, totals: dict[str, Column], tie: str | None = None,
-               ranges: int = RANGES) -> DataFrame:
+               ranges: int | None = None) -> DataFrame:
     """Add ``__range``, a range number that is monotone in (key, tie).
 
     Split points are approximate quantiles of the key, so ranges hold similar
@@ -23,26 +35,45 @@ def with_range(df: DataFrame, key: str, totals: dict[str, Column], tie: str | No
     it fills several ranges repeats among the split points; its rows are then
     spread over those ranges by ``tie``, a number in [0, 1).
 
+    A row is placed in two steps, first among every m-th split point and then
+    among the m points after it, so the work per row grows with the square
+    root of the number of ranges.
+
     The pass that finds the split points also adds up ``totals``: it then reads
     the same columns as the later passes, and Spark reuses their exchange.
     """
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    first_pass = df.agg(F.percentile_approx(F.col(key), probs, F.lit(2000)).alias("s"),
-                        *[F.sum(e).alias(n) for n, e in totals.items()])
-    found = first_pass.select(F.struct(*first_pass.columns).alias("x")).scalar()
+    ranges = ranges or range_count(df)
+    m = math.isqrt(ranges - 1) + 1
+    probs = [i / ranges for i in range(1, ranges)]
+    accuracy = max(2000, 10 * ranges)
+    first_pass = df.agg(
+        F.percentile_approx(F.col(key), probs, accuracy).alias("points"),
+        *[F.sum(e).alias(n) for n, e in totals.items()])
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((ranges - 2) // m)),
+                         lambda i: F.slice("points", i * m + 1, F.lit(m)))
+    heads = F.filter("points", lambda p, i: (i + 1) % m == 0)
+    found = first_pass.select(F.struct(blocks.alias("blocks"), heads.alias("heads"), *totals).alias("x")).scalar()
     k = F.col(key)
-    upto = F.coalesce(F.size(F.filter("__splits", lambda s: s <= k)), F.lit(0))
-    number = upto
-    if tie is not None:
-        below = F.coalesce(F.size(F.filter("__splits", lambda s: s < k)), F.lit(0))
-        width = upto - below
-        spread = below + 1 + F.least(F.floor(F.col(tie) * width), width - 1)
-        number = F.when(width >= 2, spread).otherwise(upto)
-    return df.withColumn("__splits", found["s"]).withColumn("__range", number.cast("int")).drop("__splits")
+
+    def points_where(test) -> Column:
+        """Number of split points that pass a test which holds for a leading run of them."""
+        skipped = F.size(F.filter("__heads", test))
+        block = F.try_element_at("__blocks", skipped + 1)
+        return F.coalesce(skipped * m + F.coalesce(F.size(F.filter(block, test)), F.lit(0)), F.lit(0))
+
+    upto = points_where(lambda p: p <= k)
+    rows = df.withColumns({"__heads": found["heads"], "__blocks": found["blocks"]}).withColumn("__upto", upto)
+    if tie is None:
+        return rows.withColumnRenamed("__upto", "__range").drop("__heads", "__blocks")
+    width = F.col("__upto") - F.col("__below")
+    spread = F.col("__below") + 1 + F.least(F.floor(F.col(tie) * width), width - 1)
+    return (rows.withColumn("__below", points_where(lambda p: p < k))
+            .withColumn("__range", F.when(width >= 2, spread).otherwise(F.col("__upto")).cast("int"))
+            .drop("__heads", "__blocks", "__upto", "__below"))
 
 
 def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Column | None = None,
-                   then_by: list[str] = (), groups: list[str] = (), ranges: int = RANGES,
+                   then_by: list[str] = (), groups: list[str] = (), ranges: int | None = None,
                    overall: bool = False) -> DataFrame:
     """Add inclusive running sums ordered by (key, tie, then_by), per group.
 
@@ -62,7 +93,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
         F.coalesce(F.sum(f"__{n}_sum").over(before), F.lit(0)).alias(f"__{n}_before") for n in totals], *[
         F.sum(f"__{n}_sum").over(whole).alias(f"{n}_total") for n in totals if overall])
     if not groups:
-        # at most `ranges` rows
+        # at most MAX_RANGES rows
         offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*groups, "__range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -73,7 +104,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
 
 
 def row_numbers(df: DataFrame, key: str, name: str = "row_num", groups: list[str] = (),
-                ranges: int = RANGES) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """Dense row numbers from 0 in key order; the key must be numeric and unique per group."""
     out = running_totals(df, key, {name: F.lit(1)}, groups=groups, ranges=ranges)
     return out.withColumn(name, F.col(name).cast("bigint") - 1)

@@ -18,13 +18,14 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """First row per key in ``order``.
+def keep_first(df: DataFrame, keys: list[str], order: list[str | Column],
+               columns: list[str] | None = None) -> DataFrame:
+    """First row per key in ``order``, with ``columns`` (default: all).
 
     An aggregate rather than a window: repeats are combined before the
     shuffle, so a key with very many repeats costs nothing extra.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = columns or [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
     return df.groupBy(*keys).agg(first).select(*keys, "__row.*")
 

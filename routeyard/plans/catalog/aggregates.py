@@ -132,8 +132,8 @@ def a10(spark, sf):
 SELECT sample_id, model_id, arg_min(quality, priority) AS quality, round(arg_min(cost, priority), 12) AS cost
 FROM sparse_outcomes GROUP BY sample_id, model_id""")
 def a11(spark, sf):
-    out = G.keep_first(D.sparse_outcomes(spark, sf), ["sample_id", "model_id"], ["priority"])
-    return round_columns(out.select("sample_id", "model_id", "quality", "cost"), 12, "cost")
+    out = G.keep_first(D.sparse_outcomes(spark, sf), ["sample_id", "model_id"], ["priority"], ["quality", "cost"])
+    return round_columns(out, 12, "cost")
 
 
 _KINDS = ", ".join(f"'{k}'" for k in V.RESULT_KIND_ORDER)

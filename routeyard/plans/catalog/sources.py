@@ -134,9 +134,10 @@ def s8(spark, sf):
     path = scratch_path(spark, "s8")
     m = D.meta(spark, sf)
     tables.write_splits(m, f"{path}/lists")
-    # the legacy file is one JSON object by definition
-    (m.groupBy("split").agg(F.collect_list("sample_id").alias("ids"))
-     .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("split", "ids")))).alias("value"))
+    # objects of at most 1000 ids each
+    (m.groupBy("split", F.floor(F.col("sample_id").cast("bigint") / 1000).alias("part"))
+     .agg(F.collect_list("sample_id").alias("ids"))
+     .select(F.to_json(F.map_from_arrays(F.array("split"), F.array("ids"))).alias("value"))
      .write.text(f"{path}/legacy"))
     read = lambda tag, **kw: tables.read_splits_with_fallback(spark, m, **kw).select(
         F.lit(tag).alias("source"), "sample_id", "split")

@@ -6,7 +6,7 @@ plays which part, never the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
@@ -25,9 +25,27 @@ def _pick(df: DataFrame, candidates: tuple[str, ...]) -> Column | None:
     return None if name is None else F.col(f"`{name}`")
 
 
+def file_row_numbers(df: DataFrame) -> DataFrame:
+    """Dense row numbers from 0 within each file, as ``file_row``.
+
+    Rows are numbered within the pieces a file is read in, whose size is
+    bounded, and shifted by the row counts of the pieces before.
+    """
+    rows = (df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__piece", F.col("_metadata.file_block_start"))
+            .withColumn("__at", F.monotonically_increasing_id()))
+    piece = Window.partitionBy("__file", "__piece").orderBy("__at")
+    before = Window.partitionBy("__file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("__file", "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    shift = counts.select("__file", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    return (rows.withColumn("__i", F.row_number().over(piece) - 1).join(shift, ["__file", "__piece"])
+            .withColumn("file_row", F.col("__i") + F.col("__shift"))
+            .drop("__piece", "__at", "__i", "__shift").withColumnRenamed("__file", "file_path"))
+
+
 def _located(df: DataFrame, pool: list[str]) -> DataFrame:
     # a table written by Spark is a folder of part files; the folder carries the name
-    with_path = df.withColumn("file", F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", ""))
+    path = F.col("file_path") if "file_path" in df.columns else F.col("_metadata.file_path")
+    with_path = df.withColumn("file", F.regexp_replace(path, "/part-[^/]*$", ""))
     return (with_path.withColumn("row_num", F.monotonically_increasing_id())
             .withColumn("model_id", N.model_of_path(F.col("file"), pool))
             .withColumn("dataset", N.dataset_of_path(F.col("file"), F.col("model_id"))))
@@ -46,9 +64,9 @@ def read_results(spark: SparkSession, layouts: list[tuple[str, str]], pool: list
         correct = _pick(raw, V.CORRECT_CANDIDATES)
         if correct is None:
             continue
-        located = _located(raw, pool)
         key = _pick(raw, V.ID_CANDIDATES)
-        key = F.col("row_num") if key is None else key
+        located = _located(file_row_numbers(raw) if key is None else raw, pool)
+        key = F.col("file_row") if key is None else key
         prompt, image = _pick(raw, V.PROMPT_CANDIDATES), _pick(raw, V.IMAGE_CANDIDATES)
         empty = F.lit("")
         located = located.withColumn("kind", N.result_kind(F.col("file"), F.col("dataset")))
@@ -82,4 +100,5 @@ def read_predictions(spark: SparkSession, layouts: list[tuple[str, str]], pool:
             F.concat_ws("/", "canon", key.cast("string")).alias("sample_id"), "model_id",
             F.col("canon").alias("dataset"), F.coalesce(text.cast("string"), F.lit("")).alias("prediction"),
             (F.lit(None) if correct is None else correct).cast("double").alias("is_correct"), "file", "row_num"))
-    return keep_first(union_all(parts), ["sample_id", "model_id"], ["file", "row_num"]).drop("file", "row_num")
+    return keep_first(union_all(parts), ["sample_id", "model_id"], ["file", "row_num"],
+                      ["dataset", "prediction", "is_correct"])

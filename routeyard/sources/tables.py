@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routeyard import fixed_values as V
 from routeyard.functions.texts import ASSET_TYPE
 
 SAMPLE_SCHEMA = ("sample_id string, dataset string, task_type string, modality array<string>, "
@@ -78,15 +79,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_splits_with_fallback(spark: SparkSession, meta: DataFrame, lists: str | None = None,
-                              legacy: str | None = None) -> DataFrame:
-    """Split lists, else one JSON object of id lists, else everything is training data."""
+                              legacy: str | None = None, pretty: bool = False) -> DataFrame:
+    """Split lists, else JSON objects of id lists, else everything is training data.
+
+    Objects stand one per line, so a large list may be cut into several; a
+    single object written over several lines needs ``pretty``.
+    """
     if lists and _exists(spark, lists):
         return read_splits(spark, lists)
     if legacy and _exists(spark, legacy):
-        raw = spark.read.text(legacy, wholetext=True)
-        parsed = F.from_json("value", "map<string,array<string>>")
-        return raw.select(F.explode(parsed).alias("split", "ids")).select(
-            F.explode("ids").alias("sample_id"), "split")
+        names = list(V.SPLIT_RATIOS)
+        raw = spark.read.schema(", ".join(f"{n} array<string>" for n in names)).option("multiLine", pretty).json(legacy)
+        sides = F.array(*[F.struct(F.lit(n).alias("split"), F.col(n).alias("ids")) for n in names])
+        return raw.select(F.explode(sides).alias("s")).select(F.explode("s.ids").alias("sample_id"), "s.split")
     return meta.select("sample_id", F.lit("train").alias("split"))
 
 
