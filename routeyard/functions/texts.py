@@ -103,3 +103,18 @@ def asset_list(value: Column) -> Column:
     missing = value.isNull() | (strip(value) == "") | (value == "nan")
     return F.when(missing, empty).otherwise(
         F.transform(kept, lambda p: asset("image", uri=p)))
+
+
+def assets_of_text(value: Column) -> Column:
+    """Assets written as a JSON list or object, with either kind of quotes; NULL where it is neither."""
+    as_list = lambda t: F.from_json(t, f"array<{ASSET_TYPE}>")
+    double = F.translate(value, "'", '"')
+    return F.coalesce(as_list(value), as_list(double))
+
+
+def row_assets(columns: list[str]) -> Column:
+    """All assets of a row: the parsed ``assets`` text, then the paths of every image field."""
+    empty = F.array().cast(f"array<{ASSET_TYPE}>")
+    parts = [F.coalesce(assets_of_text(F.col("assets")), empty)] if "assets" in columns else []
+    parts += [asset_list(F.col(c)) for c in V.ASSET_FIELDS if c in columns]
+    return F.concat(*parts) if parts else empty

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
 from routeyard.functions.tokens import image_count, output_token_estimate, text_tokens, token_cost
-from routeyard.runtime import finite, literal_map
+from routeyard.runtime import finite, literal_map, once
 
 
 def input_token_table(samples: DataFrame) -> DataFrame:
     """Text, image and total input tokens of each sample."""
     images = image_count(F.col("assets")) if "assets" in samples.columns else F.lit(0)
     return (samples.select("sample_id", "dataset", "task_type",
-                           text_tokens(F.col("prompt")).alias("text_tokens"),
+                           once(text_tokens(F.col("prompt"))).alias("text_tokens"),
                            images.cast("bigint").alias("num_images"))
             .withColumn("image_tokens", F.col("num_images") * V.TOKENS_PER_IMAGE)
             .withColumn("total_input_tokens", F.col("text_tokens") + F.col("image_tokens"))

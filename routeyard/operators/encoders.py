@@ -59,3 +59,14 @@ def encode(column: Column, factory: Callable[[], Callable[[list], np.ndarray]],
             yield pd.Series(list(m))
 
     return run(column)
+
+
+def count_tokens(column: Column, factory: Callable[[], Callable[[str], int]]) -> Column:
+    """Token counts by a user tokenizer; NULL and empty text have none."""
+    @F.pandas_udf("bigint")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = factory()
+        for batch in batches:
+            yield batch.map(lambda t: tokenizer(t) if t else 0)
+
+    return run(F.coalesce(column, F.lit("")))

@@ -14,18 +14,12 @@ from routeyard.functions import vectors as X
 from routeyard.functions.scores import clamp, stable_unit
 from routeyard.functions.texts import joined_text, query_type, text_stats
 from routeyard.operators.labels import is_correct
-from routeyard.runtime import finite
+from routeyard.runtime import finite, once
 
 
 def with_query_type(rows: DataFrame, name: str = "query_type") -> DataFrame:
-    """Add the query type of each row.
-
-    Exploding a one-element array makes Spark run the keyword rules once per
-    row; as a plain projection they would run again for every match of a
-    later join.
-    """
-    kind = query_type(joined_text(rows.columns), F.col("dataset"))
-    return rows.withColumn(name, F.explode(F.array(kind)))
+    """Add the query type of each row."""
+    return rows.withColumn(name, once(query_type(joined_text(rows.columns), F.col("dataset"))))
 
 
 def vector_moments(df: DataFrame, vec: str, by: list[str] = ()) -> DataFrame:
@@ -120,7 +114,7 @@ def evidence_features(rows: DataFrame, text_vec: str = "text_vec", image_vec: st
     row says where its evidence came from.
     """
     text = joined_text(rows.columns)
-    base = with_query_type(rows).withColumn("__stats", F.explode(F.array(text_stats(text))))
+    base = with_query_type(rows).withColumn("__stats", once(text_stats(text)))
     have = lambda c: F.coalesce(F.size(F.col(c)) > 0, F.lit(False))
     v = F.when(have(image_vec), F.col(image_vec)).when(have(text_vec), F.col(text_vec))
     base = base.withColumn("__v", X.l2_normalize(X.as_double(v), 1e-6))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from routeyard.functions.scores import hash_bucket
 from routeyard.operators.features import fit_standardizer, prototype_scores, prototypes, standardize
-from routeyard.operators.labels import argmax, oracle_route, softmax, solvable
+from routeyard.operators.labels import argmax, hard_labels, oracle_route, softmax, solvable
+from routeyard.operators.neighbors import nearest, pairwise_wins, preference_probabilities, preference_scores, vote_shares
 from routeyard.functions.vectors import l2_normalize
 from routeyard.runtime import BROADCAST_ROWS, lookup
 
@@ -97,3 +98,46 @@ class PrototypePolicy:
 
     def route(self, features: DataFrame) -> DataFrame:
         return argmax(self.scores(features))
+
+
+class KnnPolicy:
+    """Vote of the nearest training samples' hard labels, in standardised feature space."""
+
+    def __init__(self, k: int = 5, metric: str = "cosine", weights: str = "distance"):
+        self.k, self.metric, self.weights = k, metric, weights
+
+    def fit(self, outcomes: DataFrame, features: DataFrame) -> "KnnPolicy":
+        kept = solvable(outcomes)
+        rows = features.join(kept.select("sample_id").distinct(), "sample_id", "left_semi")
+        self.scaler = fit_standardizer(rows, "vec", floor=1e-12)
+        self.train = standardize(rows, "vec", self.scaler)
+        self.memory = self._remember(kept)
+        return self
+
+    def _remember(self, kept: DataFrame) -> DataFrame:
+        return hard_labels(kept, "drop")
+
+    def neighbors(self, features: DataFrame) -> DataFrame:
+        return nearest(standardize(features, "vec", self.scaler), self.train, self.k, self.metric)
+
+    def scores(self, features: DataFrame) -> DataFrame:
+        return vote_shares(self.neighbors(features), self.memory, self.weights)
+
+    def probabilities(self, features: DataFrame) -> DataFrame:
+        return self.scores(features).withColumnRenamed("score", "probability")
+
+    def route(self, features: DataFrame) -> DataFrame:
+        return argmax(self.scores(features))
+
+
+class PreferenceKnnPolicy(KnnPolicy):
+    """Weighted pairwise wins over the nearest training samples instead of one label each."""
+
+    def _remember(self, kept: DataFrame) -> DataFrame:
+        return pairwise_wins(kept)
+
+    def scores(self, features: DataFrame) -> DataFrame:
+        return preference_scores(self.neighbors(features), self.memory, self.weights)
+
+    def probabilities(self, features: DataFrame) -> DataFrame:
+        return preference_probabilities(self.scores(features))

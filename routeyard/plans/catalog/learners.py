@@ -119,3 +119,18 @@ def x3(spark, sf):
     s = D.samples(spark, sf).select("sample_id", EN.encode(F.col("prompt"), _letter_shares).alias("v"))
     return s.select("sample_id", F.posexplode("v").alias("dim", "x")).select(
         "sample_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 8).alias("x"))
+
+
+def _ascii_words():
+    import re
+
+    pattern = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \n\t]")
+    return lambda text: len(pattern.findall(text))
+
+
+@query("x3_user_tokenizer", """
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 0 ELSE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\n\\t]')) END::BIGINT AS tokens FROM conversations""")
+def x3_tokens(spark, sf):
+    c = D.table(spark, sf, "conversations")
+    text = F.when(F.col("turn") % 4 != 3, F.col("text"))
+    return c.select("conv_id", "turn", EN.count_tokens(text, _ascii_words).alias("tokens"))

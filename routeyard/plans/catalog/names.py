@@ -180,6 +180,24 @@ def p11(spark, sf):
                     F.array_join(F.transform("a", lambda a: a["uri"]), "|").alias("uris"))
 
 
+@query("p11_row_assets", """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'image_tsv:t.tsv#' || doc_id WHEN 1 THEN 'image:a' || doc_id || '|image:b'
+       WHEN 2 THEN 'image:one' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN (CASE WHEN doc_id % 4 = 3 THEN '' ELSE '|' END) || 'image:p1|image:p2' ELSE '' END AS found
+FROM documents""")
+def p11_rows(spark, sf):
+    """Assets as JSON, as a Python-style literal, as one object, and in a path column."""
+    from routeyard.functions.texts import row_assets
+
+    i = F.col("doc_id")
+    text = (F.when(i % 4 == 0, F.concat(F.lit('[{"type": "image_tsv", "tsv_file": "t.tsv", "index": '), i, F.lit("}]")))
+            .when(i % 4 == 1, F.concat(F.lit("[{'type': 'image', 'uri': 'a"), i, F.lit("'}, {'type': 'image', 'uri': 'b'}]")))
+            .when(i % 4 == 2, F.lit('{"type": "image", "uri": "one"}')).otherwise("not assets"))
+    rows = D.table(spark, sf, "documents").select(
+        "doc_id", text.alias("assets"), F.when(i % 3 == 0, F.lit("p1, p2")).alias("uri"))
+    show = lambda a: F.concat(a["type"], F.lit(":"), F.coalesce(a["uri"], F.concat(a["tsv_file"], F.lit("#"), a["index"].cast("string"))))
+    return rows.select("doc_id", F.array_join(F.transform(row_assets(rows.columns), show), "|").alias("found"))
+
+
 @query("p12_image_count", "SELECT dataset, sum(num_images)::BIGINT AS images FROM samples GROUP BY dataset")
 def p12(spark, sf):
     return D.samples_with_assets(spark, sf).groupBy("dataset").agg(

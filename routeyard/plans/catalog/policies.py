@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
 from routeyard import fixtures as D
+from routeyard.functions.vectors import fuse
 from routeyard.operators import calibration as K
 from routeyard.operators import costs as C
 from routeyard.operators import experiments as X
@@ -19,7 +20,6 @@ from routeyard.runtime import persisted
 from routeyard.plans.catalog import query, round_columns
 from routeyard.plans.catalog.aggregates import (BOUNDS_SQL, PAIRS_SQL, PROFILE_COLS, SCORE_COLS, TYPES_SQL,
                                                _SCORE, fused, pairs, profile_columns, score_rounded, typed)
-from routeyard.plans.catalog.joins import NEIGHBORS_SQL, neighbor_rows
 
 SPLIT_SQL = """train AS (SELECT o.* FROM outcomes o JOIN meta USING (sample_id) WHERE split = 'train'),
 test AS (SELECT sample_id, dataset FROM meta WHERE split = 'test'),
@@ -72,35 +72,56 @@ def r5(spark, sf):
     return P.oracle(D.outcomes(spark, sf))
 
 
-KNN_SQL = f"""{NEIGHBORS_SQL}, label_rows AS (SELECT sample_id AS train_id, arg_min(model_id, row(-quality, cost, model_id)) AS model_id
-    FROM outcomes GROUP BY sample_id HAVING max(quality) > 0),
-votes AS (SELECT query_id, model_id, CASE WHEN min(distance) OVER (PARTITION BY query_id) = 0 THEN (distance = 0)::INT::DOUBLE
-          ELSE 1 / distance END AS w FROM neighbors JOIN label_rows USING (train_id)),
-shares AS (SELECT query_id AS sample_id, model_id, sum(w) / sum(sum(w)) OVER (PARTITION BY query_id) AS score FROM votes GROUP BY query_id, model_id)"""
+KNN_SQL = """raw AS (SELECT sample_id, split, list_concat(list_transform(text_vec, lambda x: x / sqrt(list_dot_product(text_vec, text_vec))),
+    list_transform(image_vec, lambda x: x / sqrt(list_dot_product(image_vec, image_vec)))) AS v FROM features JOIN meta USING (sample_id)),
+known AS (SELECT sample_id FROM outcomes GROUP BY sample_id HAVING max(quality) > 0),
+fit AS (SELECT sample_id, v FROM raw JOIN known USING (sample_id) WHERE split = 'train'),
+dims AS (SELECT i, avg(v[i]) AS m, stddev_pop(v[i]) AS s FROM fit, range(1, 65) t(i) GROUP BY i),
+packed AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM dims),
+z0 AS (SELECT sample_id, split, list_transform(range(1, 65), lambda i: (v[i] - m[i]) / s[i]) AS z FROM raw, packed),
+z AS (SELECT sample_id, split, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))) AS z FROM z0),
+dist AS (SELECT q.sample_id AS query_id, t.sample_id AS train_id, round(1 - list_dot_product(q.z, t.z), 9) AS distance
+         FROM z q JOIN z t ON q.split <> 'train' AND t.sample_id IN (SELECT sample_id FROM fit)),
+neighbors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rank FROM dist) WHERE rank <= 5)"""
+
+
+def _knn_inputs(spark, sf):
+    """Outcomes of the training samples, their fused vectors, and the vectors to route."""
+    f = persisted(D.features(spark, sf).select(
+        "sample_id", fuse(F.col("text_vec"), F.col("image_vec"), "normalize_concat").alias("vec")).join(
+        D.meta(spark, sf).select("sample_id", "split"), "sample_id"), "vectors")
+    train = f.filter("split = 'train'").select("sample_id")
+    o = D.outcomes(spark, sf).join(train, "sample_id", "left_semi")
+    return o, f.select("sample_id", "vec"), f.filter("split <> 'train'").select("sample_id", "vec")
 
 
-@query("r6_knn", f""", {KNN_SQL}
-SELECT sample_id, arg_min(model_id, row(-round(score, 9), model_id)) AS model_id, round(max(score), 9) AS share FROM shares GROUP BY sample_id""")
+@query("r6_knn", f""", {KNN_SQL}, label_rows AS (SELECT sample_id AS train_id, arg_min(model_id, row(-quality, cost, model_id)) AS model_id
+    FROM outcomes GROUP BY sample_id),
+votes AS (SELECT query_id, model_id, CASE WHEN min(distance) OVER (PARTITION BY query_id) = 0 THEN (distance = 0)::INT::DOUBLE
+          ELSE 1 / distance END AS w FROM neighbors JOIN label_rows USING (train_id)),
+shares AS (SELECT query_id AS sample_id, model_id, sum(w) / sum(sum(w)) OVER (PARTITION BY query_id) AS score FROM votes GROUP BY query_id, model_id)
+SELECT sample_id, arg_min(model_id, row(-round(score, 7), model_id)) AS model_id, round(max(score), 7) AS share FROM shares GROUP BY sample_id""")
 def r6(spark, sf):
-    labels = L.hard_labels(D.outcomes(spark, sf), "drop")
-    shares = NN.vote_shares(neighbor_rows(spark, sf), labels)
-    shares = shares.withColumn("score", F.round("score", 9))
+    o, f, queries = _knn_inputs(spark, sf)
+    shares = round_columns(P.KnnPolicy(k=5).fit(o, f).scores(queries), 7, "score")
     best = L.argmax(shares)
     return best.join(shares, ["sample_id", "model_id"]).select("sample_id", "model_id", F.col("score").alias("share"))
 
 
-@query("r7_preference_knn", f""", {NEIGHBORS_SQL},
+@query("r7_preference_knn", f""", {KNN_SQL},
 wins AS (SELECT a.sample_id AS train_id, a.model_id, count(b.model_id) AS wins FROM outcomes a LEFT JOIN outcomes b
   ON a.sample_id = b.sample_id AND a.model_id <> b.model_id AND (a.quality > b.quality OR (a.quality = b.quality AND a.cost < b.cost)) GROUP BY ALL),
 s AS (SELECT query_id AS sample_id, model_id, sum(wins / (1e-6 + distance)) AS score FROM neighbors JOIN wins USING (train_id) GROUP BY ALL),
 e AS (SELECT *, exp(score / (SELECT greatest(max(score), 1) FROM s)) AS e FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, model_id) = 1 AS chosen FROM e)
-SELECT sample_id, model_id, round(score, 6) AS score, round(e / sum(e) OVER (PARTITION BY sample_id), 8) AS probability, chosen FROM r""")
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 5) DESC, model_id) = 1 AS chosen FROM e)
+SELECT sample_id, model_id, round(score, 4) AS score, round(e / sum(e) OVER (PARTITION BY sample_id), 7) AS probability, chosen FROM r""")
 def r7(spark, sf):
-    scores = NN.preference_scores(neighbor_rows(spark, sf), NN.pairwise_wins(D.outcomes(spark, sf)))
-    best = L.argmax(scores.withColumn("score", F.round("score", 9))).withColumn("chosen", F.lit(True))
+    o, f, queries = _knn_inputs(spark, sf)
+    policy = P.PreferenceKnnPolicy(k=5).fit(o, f)
+    scores = persisted(policy.scores(queries), "scores")
+    best = L.argmax(scores.withColumn("score", F.round("score", 5))).withColumn("chosen", F.lit(True))
     out = NN.preference_probabilities(scores).join(best, ["sample_id", "model_id"], "left")
-    return out.select("sample_id", "model_id", F.round("score", 6).alias("score"), F.round("probability", 8).alias("probability"),
+    return out.select("sample_id", "model_id", F.round("score", 4).alias("score"), F.round("probability", 7).alias("probability"),
                       F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
@@ -223,6 +244,15 @@ def r17(spark, sf):
     return score_rounded(RP.baseline_report(D.meta(spark, sf), D.stored_outcomes(spark, sf), D.MODEL_IDS))
 
 
+@query("r17_baseline_samples", f", {SPLIT_SQL}, decisions AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS router, sample_id, model_id FROM ({s})" for n, s in DECISIONS.items()) + """)
+SELECT router, sample_id, dataset, substr(model_id, 2)::INT AS pred_model_idx, model_id AS pred_model, quality AS correct,
+       round(cost, 12) AS cost FROM decisions JOIN test USING (sample_id) JOIN outcomes USING (sample_id, model_id)""")
+def r17_samples(spark, sf):
+    out = RP.baseline_samples(D.meta(spark, sf), D.stored_outcomes(spark, sf), D.MODEL_IDS)
+    return round_columns(out, 12, "cost")
+
+
 @query("r18_run_report", f", {SPLIT_SQL}, {BOUNDS_SQL}, " + f"""
 choice AS (SELECT sample_id, ['m0', 'm1', 'm2', 'm3', 'm4', 'm5', 'm6', 'm7'][{D.bucket_sql("sample_id || '|7'")} % 8 + 1] AS model_id FROM samples),
 g AS (SELECT split, dataset, {_SCORE} FROM choice JOIN meta USING (sample_id) LEFT JOIN outcomes USING (sample_id, model_id)

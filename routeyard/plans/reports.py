@@ -12,17 +12,31 @@ from routeyard.operators.learners import risk_route, route_scores
 from routeyard.operators.policies import baseline_decisions
 
 
+def _baseline_choices(meta: DataFrame, outcomes: DataFrame, models: list[str], fit_split: str,
+                      eval_split: str, seed: int) -> DataFrame:
+    test = meta.filter(F.col("split") == eval_split)
+    split = lambda s: outcomes.join(meta.filter(F.col("split") == s).select("sample_id"), "sample_id", "left_semi")
+    decided = baseline_decisions(test, split(eval_split), split(fit_split), meta, models, seed)
+    return E.gather(decided, outcomes).join(test.select("sample_id", "dataset"), "sample_id")
+
+
 def baseline_report(meta: DataFrame, outcomes: DataFrame, models: list[str], fit_split: str = "train",
                     eval_split: str = "test", seed: int = 42, beta: float = 0.1) -> DataFrame:
     """The five baselines scored overall and per dataset, in one pass over the decisions.
 
     The row without a dataset is the overall score.
     """
-    test = meta.filter(F.col("split") == eval_split)
-    split = lambda s: outcomes.join(meta.filter(F.col("split") == s).select("sample_id"), "sample_id", "left_semi")
-    decided = baseline_decisions(test, split(eval_split), split(fit_split), meta, models, seed)
-    gathered = E.gather(decided, outcomes).join(test.select("sample_id", "dataset"), "sample_id")
-    return E.score_sets(gathered, cost_bounds(outcomes), [["router"], ["router", "dataset"]], beta)
+    chosen = _baseline_choices(meta, outcomes, models, fit_split, eval_split, seed)
+    return E.score_sets(chosen, cost_bounds(outcomes), [["router"], ["router", "dataset"]], beta)
+
+
+def baseline_samples(meta: DataFrame, outcomes: DataFrame, models: list[str], fit_split: str = "train",
+                     eval_split: str = "test", seed: int = 42) -> DataFrame:
+    """Choice, correctness and cost of every baseline on every sample."""
+    index = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model_id")).cast("int") - 1
+    return _baseline_choices(meta, outcomes, models, fit_split, eval_split, seed).select(
+        "router", "sample_id", "dataset", index.alias("pred_model_idx"), F.col("model_id").alias("pred_model"),
+        F.col("quality").alias("correct"), "cost")
 
 
 def run_report(decisions: DataFrame, meta: DataFrame, outcomes: DataFrame, beta: float = 0.1) -> DataFrame:

@@ -50,6 +50,16 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(value: Column) -> Column:
+    """A costly expression that Spark shall evaluate once per row.
+
+    A plain projection may be evaluated again for every match of a later join
+    or for every use of the column; the output of a generator is not.  Use it
+    as a column of ``select`` or ``withColumn``; it keeps the row count.
+    """
+    return F.explode(F.array(value))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table that arrives in fewer pieces than there are cores.
 
