@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from routeyard.runtime import finite
+from routeyard.runtime import finite, persisted
 
 def per_sample() -> WindowSpec:
     return Window.partitionBy("sample_id")
@@ -130,15 +130,16 @@ def target_diagnostics(targets: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     usable = F.col("cost").isNotNull() & ~F.isnan("cost")
     t = F.col("target")
-    per_sample = (targets.join(outcomes, ["sample_id", "model_id"])
-                  .groupBy("sample_id").agg(
-                      F.sum(-t * F.log(t + F.lit(1e-12))).alias("entropy"),
-                      F.min_by("target", cheapest(is_correct(), usable, F.col("cost"))).alias("on_cheapest"),
-                      F.sum((t > 0.01).cast("int")).alias("active"),
-                      F.count(F.lit(1)).alias("models"),
-                      F.max(is_correct()).alias("any")))
-    median = percentiles(per_sample, "on_cheapest", [50]).select(F.col("values")[0].alias("m")).scalar()
-    return per_sample.agg(
+    rows = (targets.join(outcomes, ["sample_id", "model_id"])
+            .groupBy("sample_id").agg(
+                F.sum(-t * F.log(t + F.lit(1e-12))).alias("entropy"),
+                F.min_by("target", cheapest(is_correct(), usable, F.col("cost"))).alias("on_cheapest"),
+                F.sum((t > 0.01).cast("int")).alias("active"),
+                F.count(F.lit(1)).alias("models"),
+                F.max(is_correct()).alias("any")))
+    sample_rows = persisted(rows, "target-rows")     # read by the median and by the averages
+    median = percentiles(sample_rows, "on_cheapest", [50]).select(F.col("values")[0].alias("m")).scalar()
+    return sample_rows.agg(
         F.avg("entropy").alias("mean_entropy"), F.stddev_pop("entropy").alias("std_entropy"),
         F.log(F.max("models").cast("double")).alias("max_entropy"),
         F.avg(F.exp("entropy")).alias("mean_effective_k"),

@@ -10,7 +10,7 @@ from routeyard.operators.features import fit_standardizer, prototype_scores, pro
 from routeyard.operators.labels import argmax, hard_labels, oracle_route, softmax, solvable
 from routeyard.operators.neighbors import nearest, pairwise_wins, preference_probabilities, preference_scores, vote_shares
 from routeyard.functions.vectors import l2_normalize
-from routeyard.runtime import BROADCAST_ROWS, lookup
+from routeyard.runtime import BROADCAST_ROWS, lookup, persisted
 
 
 def _global_pick(samples: DataFrame, outcomes: DataFrame, value: Column) -> DataFrame:
@@ -82,8 +82,8 @@ class PrototypePolicy:
     def fit(self, outcomes: DataFrame, features: DataFrame) -> "PrototypePolicy":
         kept = solvable(outcomes)
         rows = features.join(kept.select("sample_id").distinct(), "sample_id", "left_semi")
-        self.scaler = fit_standardizer(rows, "vec", floor=1e-12)
-        self.protos = prototypes(self._space(rows), kept, self.models, normalize=self.normalize)
+        self.scaler = persisted(fit_standardizer(rows, "vec", floor=1e-12), "scaler")
+        self.protos = persisted(prototypes(self._space(rows), kept, self.models, normalize=self.normalize), "prototypes")
         return self
 
     def _space(self, rows: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ class KnnPolicy:
     def fit(self, outcomes: DataFrame, features: DataFrame) -> "KnnPolicy":
         kept = solvable(outcomes)
         rows = features.join(kept.select("sample_id").distinct(), "sample_id", "left_semi")
-        self.scaler = fit_standardizer(rows, "vec", floor=1e-12)
+        self.scaler = persisted(fit_standardizer(rows, "vec", floor=1e-12), "scaler")
         self.train = standardize(rows, "vec", self.scaler)
         self.memory = self._remember(kept)
         return self

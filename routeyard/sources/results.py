@@ -15,9 +15,11 @@ from routeyard.operators.registry import keep_first, union_all
 
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True) if fmt == "csv" \
-        else spark.read
-    return reader.format(fmt).load(path)
+    """A glob of one layout; ``csv-multiline`` is CSV whose values hold line breaks (files are not split)."""
+    fmt, _, flag = fmt.partition("-")
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", flag == "multiline").csv(path)
 
 
 def _pick(df: DataFrame, candidates: tuple[str, ...]) -> Column | None:

@@ -22,10 +22,19 @@ VECTOR_SCHEMA = "sample_id string, embedding array<float>, modality string, enco
 ASSET_TABLE_SCHEMA = "index string, id string, image string"
 
 
+def _balanced(df: DataFrame, *columns: str) -> DataFrame:
+    """Bring rows of one folder together before a partitioned write.
+
+    Without this every task would leave a small file in every folder; AQE
+    splits the pieces of a folder that holds very many rows.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """One JSON-lines folder per task type and dataset."""
-    (samples.withColumn("task", F.col("task_type")).withColumn("ds", F.col("dataset"))
-     .write.partitionBy("task", "ds").json(path))
+    rows = samples.withColumn("task", F.col("task_type")).withColumn("ds", F.col("dataset"))
+    _balanced(rows, "task", "ds").write.partitionBy("task", "ds").json(path)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +58,9 @@ def read_samples_tolerant(spark: SparkSession, path: str) -> DataFrame:
 
 def write_scores(scores: DataFrame, path: str) -> None:
     """Score records as Parquet, one folder per dataset."""
-    (scores.select("sample_id", "model_id", F.col("quality").cast("int").alias("quality_raw"),
-                   F.col("quality").cast("double").alias("quality"), "dataset")
-     .write.partitionBy("dataset").parquet(path))
+    rows = scores.select("sample_id", "model_id", F.col("quality").cast("int").alias("quality_raw"),
+                         F.col("quality").cast("double").alias("quality"), "dataset")
+    _balanced(rows, "dataset").write.partitionBy("dataset").parquet(path)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +68,7 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
-    splits.select("sample_id", "split").write.partitionBy("split").json(path)
+    _balanced(splits.select("sample_id", "split"), "split").write.partitionBy("split").json(path)
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -107,7 +116,7 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     """Vectors in one folder per modality and encoder, next to a small description table."""
     rows = vectors.select("sample_id", F.col("embedding").cast("array<float>").alias("embedding"),
                           "modality", "encoder")
-    rows.write.partitionBy("modality", "encoder").parquet(f"{path}/vectors")
+    _balanced(rows, "modality", "encoder").write.partitionBy("modality", "encoder").parquet(f"{path}/vectors")
     rows.groupBy("modality", "encoder").agg(
         F.max(F.size("embedding")).alias("dimension"), F.count(F.lit(1)).alias("rows")
     ).coalesce(1).write.json(f"{path}/description")
