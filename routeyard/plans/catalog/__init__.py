@@ -44,6 +44,18 @@ def round_columns(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
+# A mean of short decimals often ends in exactly 5, where engines round differently; the nudge avoids the tie.
+NUDGE = 1.000000001
+
+
+def round_means(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) * F.lit(NUDGE), digits) for c in columns})
+
+
+def mean_sql(expr: str, name: str, digits: int = 10) -> str:
+    return f"round({expr} * {NUDGE}::DOUBLE, {digits}) AS {name}"
+
+
 def load() -> None:
     for m in _MODULES:
         import_module(f"{__name__}.{m}")

@@ -17,7 +17,7 @@ from routeyard.operators import labels as L
 from routeyard.operators import policies as P
 from routeyard.operators import quantiles as Q
 from routeyard.operators import registry as G
-from routeyard.plans.catalog import query, round_columns
+from routeyard.plans.catalog import NUDGE, mean_sql, query, round_columns, round_means
 from routeyard.plans.catalog.joins import COSTS_SQL, OUTPUT_SQL, RANDOM_SQL, full_output, strict
 from routeyard.plans.catalog.sources import INPUT_SQL, _write_results, input_tokens
 from routeyard.runtime import scratch_path
@@ -56,12 +56,12 @@ def a3(spark, sf):
 
 @query("a4_cost_by_model", f""", {COSTS_SQL}
 SELECT model, round(sum(input_cost), 9) AS total_input_cost, round(sum(output_cost), 9) AS total_output_cost,
-       round(avg(total_cost), 10) AS avg_cost_per_sample, round(sum(total_cost), 9) AS total_cost
+       {mean_sql("avg(total_cost)", "avg_cost_per_sample")}, round(sum(total_cost), 9) AS total_cost
 FROM strict_costs GROUP BY ROLLUP (model)""")
 def a4(spark, sf):
     out = C.cost_by_model(strict(spark, sf))
     out = round_columns(out, 9, "total_input_cost", "total_output_cost", "total_cost")
-    return round_columns(out, 10, "avg_cost_per_sample")
+    return round_means(out, 10, "avg_cost_per_sample")
 
 
 _POINTS = list(V.TOKEN_PERCENTILES)
@@ -77,40 +77,40 @@ def a5(spark, sf):
 
 
 @query("a6_cost_spread", f""", {COSTS_SQL}
-SELECT model, round(avg(input_cost), 10) AS avg_input, round(avg(output_cost), 10) AS avg_output,
-       round(avg(total_cost), 10) AS avg_total, round(min(total_cost), 10) AS min_cost,
+SELECT model, {mean_sql("avg(input_cost)", "avg_input")}, {mean_sql("avg(output_cost)", "avg_output")},
+       {mean_sql("avg(total_cost)", "avg_total")}, round(min(total_cost), 10) AS min_cost,
        round(max(total_cost), 10) AS max_cost, round(sum(total_cost), 9) AS sum_cost
 FROM strict_costs GROUP BY ROLLUP (model)""")
 def a6(spark, sf):
-    out = C.cost_spread(strict(spark, sf))
-    return round_columns(round_columns(out, 10, "avg_input", "avg_output", "avg_total", "min_cost", "max_cost"),
-                         9, "sum_cost")
+    out = round_means(C.cost_spread(strict(spark, sf)), 10, "avg_input", "avg_output", "avg_total")
+    return round_columns(round_columns(out, 10, "min_cost", "max_cost"), 9, "sum_cost")
 
 
-@query("a7_cost_health", """
+@query("a7_cost_health", f"""
 , kept AS (SELECT CASE WHEN sample_id::BIGINT % 6 = 0 THEN 0 ELSE cost END AS cost FROM outcomes WHERE sample_id::BIGINT % 9 <> 0)
 SELECT count(*) FILTER (cost > 0) AS nonzero, (SELECT count(*) * 8 FROM samples) - count(*) FILTER (cost > 0) AS zero,
        round(count(*) FILTER (cost > 0) / (SELECT count(*) * 8 FROM samples), 8) AS nonzero_share,
        round(min(cost) FILTER (cost > 0), 10) AS min_cost, round(max(cost) FILTER (cost > 0), 10) AS max_cost,
-       round(avg(cost) FILTER (cost > 0), 10) AS mean_cost,
-       round(quantile_cont(cost, 0.5) FILTER (cost > 0), 10) AS median_cost FROM kept""")
+       {mean_sql("avg(cost) FILTER (cost > 0)", "mean_cost")},
+       {mean_sql("quantile_cont(cost, 0.5) FILTER (cost > 0)", "median_cost")} FROM kept""")
 def a7(spark, sf):
     i = F.col("sample_id").cast("bigint")
     cells = D.outcomes(spark, sf).filter(i % 9 != 0).withColumn("cost", F.when(i % 6 == 0, 0.0).otherwise(F.col("cost")))
     out = C.cost_health(cells, D.samples(spark, sf), len(D.MODELS))
-    return round_columns(round_columns(out, 10, "min_cost", "max_cost", "mean_cost", "median_cost"), 8, "nonzero_share")
+    out = round_means(round_columns(out, 10, "min_cost", "max_cost"), 10, "mean_cost", "median_cost")
+    return round_columns(out, 8, "nonzero_share")
 
 
-@query("a8_cost_bounds", """
+@query("a8_cost_bounds", f"""
 , means AS (SELECT model_id, avg(cost) AS c FROM outcomes WHERE cost > 0 GROUP BY model_id)
-SELECT round(min(c), 10) AS cmin, round(max(c), 10) AS cmax, arg_min(model_id, c) AS cmin_model,
-       arg_max(model_id, c) AS cmax_model, count(*) AS models, round(sum(c), 10) AS total FROM means""")
+SELECT {mean_sql("min(c)", "cmin")}, {mean_sql("max(c)", "cmax")}, arg_min(model_id, c) AS cmin_model,
+       arg_max(model_id, c) AS cmax_model, count(*) AS models, {mean_sql("sum(c)", "total")} FROM means""")
 def a8(spark, sf):
     b = C.cost_bounds(D.outcomes(spark, sf))
     costs = F.map_values("per_model_avg_costs")
-    return b.select(F.round("cmin", 10).alias("cmin"), F.round("cmax", 10).alias("cmax"), "cmin_model", "cmax_model",
-                    F.size(costs).cast("bigint").alias("models"),
-                    F.round(F.aggregate(costs, F.lit(0.0), lambda a, x: a + x), 10).alias("total"))
+    out = b.select("cmin", "cmax", "cmin_model", "cmax_model", F.size(costs).cast("bigint").alias("models"),
+                   F.aggregate(costs, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return round_means(out, 10, "cmin", "cmax", "total")
 
 
 @query("a9_score_pivot", "SELECT sample_id, " + ", ".join(
@@ -120,12 +120,12 @@ def a9(spark, sf):
     return G.pivot_scores(D.sparse_outcomes(spark, sf), D.SPARSE_MODELS, ["priority"])
 
 
-@query("a10_model_summary", """
-SELECT split, model_id, round(avg(quality), 8) AS accuracy, round(avg(cost), 10) AS avg_cost, count(*) AS records
+@query("a10_model_summary", f"""
+SELECT split, model_id, round(avg(quality), 8) AS accuracy, {mean_sql("avg(cost)", "avg_cost")}, count(*) AS records
 FROM outcomes JOIN meta USING (sample_id) GROUP BY GROUPING SETS ((model_id), (split, model_id))""")
 def a10(spark, sf):
     out = G.model_summary(D.outcomes(spark, sf), D.meta(spark, sf))
-    return round_columns(round_columns(out, 8, "accuracy"), 10, "avg_cost")
+    return round_means(round_columns(out, 8, "accuracy"), 10, "avg_cost")
 
 
 @query("a11_first_duplicate", """
@@ -202,19 +202,20 @@ def a16(spark, sf):
 
 
 @query("a17_token_cost_check", f""", {COSTS_SQL}
-SELECT model, count(*) AS records, round(avg(total_cost), 10) AS avg_cost FROM strict_costs GROUP BY model""")
+SELECT model, count(*) AS records, {mean_sql("avg(total_cost)", "avg_cost")} FROM strict_costs GROUP BY model""")
 def a17(spark, sf):
-    return round_columns(I.token_cost_check(strict(spark, sf)), 10, "avg_cost")
+    return round_means(I.token_cost_check(strict(spark, sf)), 10, "avg_cost")
 
 
-@query("a18_cost_shape", """
+@query("a18_cost_shape", f"""
 , means AS (SELECT model_id, avg(cost) AS c FROM outcomes WHERE cost > 0 GROUP BY model_id)
 SELECT count(DISTINCT model_id) AS num_models, count(DISTINCT sample_id) AS num_samples, round(min(cost), 10) AS min_cost,
-       round(max(cost), 10) AS max_cost, round(avg(cost), 10) AS mean_cost, (SELECT round(min(c), 10) FROM means) AS cmin,
-       (SELECT round(max(c), 10) FROM means) AS cmax FROM outcomes""")
+       round(max(cost), 10) AS max_cost, {mean_sql("avg(cost)", "mean_cost")}, {mean_sql("(SELECT min(c) FROM means)", "cmin")},
+       {mean_sql("(SELECT max(c) FROM means)", "cmax")} FROM outcomes""")
 def a18(spark, sf):
     o = D.outcomes(spark, sf)
-    return round_columns(I.cost_shape(o, C.cost_bounds(o)), 10, "min_cost", "max_cost", "mean_cost", "cmin", "cmax")
+    out = round_columns(I.cost_shape(o, C.cost_bounds(o)), 10, "min_cost", "max_cost")
+    return round_means(out, 10, "mean_cost", "cmin", "cmax")
 
 
 @query("a19_result_files", """
@@ -241,8 +242,6 @@ def rank_sql(acc="accuracy", cost="avg_cost", beta="0.1"):
 
 _SCORE = """avg(COALESCE(quality, 0)) AS accuracy, avg(COALESCE(cost, 0)) AS avg_cost,
     sum(COALESCE(quality, 0))::BIGINT AS num_correct, count(*) AS num_samples"""
-# A mean of few short decimals often ends in exactly 5, where engines round differently; the nudge avoids the tie.
-NUDGE = 1.000000001
 SCORE_COLS = f"""round(accuracy, 8) AS accuracy, round(avg_cost * {NUDGE}::DOUBLE, 10) AS avg_cost, num_correct, num_samples,
     round({rank_sql()}, 8) AS rank_score"""
 
@@ -333,10 +332,11 @@ PROFILE_SQL = f"""profiles AS (SELECT model_id, [avg(quality), avg(cost), stddev
 
 
 def profile_columns(df):
-    return df.select("model_id", *[F.round(F.col("profile")[i], 9).alias(n) for i, n in enumerate(_PROFILE)])
+    return df.select("model_id", *[F.round(F.col("profile")[i] * F.lit(NUDGE), 9).alias(n)
+                                   for i, n in enumerate(_PROFILE)])
 
 
-PROFILE_COLS = ", ".join(f"round(profile[{i + 1}], 9) AS {n}" for i, n in enumerate(_PROFILE))
+PROFILE_COLS = ", ".join(mean_sql(f"profile[{i + 1}]", n, 9) for i, n in enumerate(_PROFILE))
 
 
 @query("a23_model_profiles", f", {TYPES_SQL}, {PROFILE_SQL} SELECT model_id, {PROFILE_COLS} FROM profiles")
