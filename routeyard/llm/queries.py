@@ -1,4 +1,4 @@
 """All queries of this folder, registered by importing their modules."""
 
-from routeyard.llm import packing, token_files  # noqa: F401
+from routeyard.llm import byte_bpe, packing, token_counts, token_files  # noqa: F401
 from routeyard.llm.common import ORACLES, QUERIES  # noqa: F401
