@@ -1,4 +1,15 @@
 """All queries of this folder, registered by importing their modules."""
 
-from routeyard.llm import byte_bpe, packing, token_counts, token_files  # noqa: F401
+from routeyard.llm import (  # noqa: F401
+    byte_bpe,
+    license_scan,
+    near_dedup,
+    packing,
+    quality,
+    token_counts,
+    token_files,
+    topk,
+    toxicity,
+    warc,
+)
 from routeyard.llm.common import ORACLES, QUERIES  # noqa: F401
