@@ -38,6 +38,7 @@ TREES, BRANCHES, DEPTH, LEAF = 3, 2, 4, 512
 TOKENS, SKETCH = 24, 128
 # Sketches agree on at least this share: four standard deviations below the threshold.
 AGREE = 0.85 - 4 * (0.85 * 0.15 / SKETCH) ** 0.5
+BLANKS = r"[\x20\x09-\x0D]+"
 SETS = "doc_id long, copy long, n long, fp1 long, fp2 long, tokens binary, sketch binary"
 
 
@@ -205,14 +206,11 @@ def missed_pairs(nodes: DataFrame, classes: DataFrame, leaf: int, branches: int,
     return compare_nodes(members.join(sketches.select("class", "sketch"), "class"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees: int = TREES,
-                    branches: int = BRANCHES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, copy) per row; ``copy`` is a hash of the row's text.
+def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees: int = TREES,
+           branches: int = BRANCHES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, copy, n, root, component_id) per row: ``copy`` hashes the text, ``root`` names the component's classes.
 
-    Texts that are null, empty or without words have no shingles and are linked with nothing: each is its own component.
-    component_id is the least doc_id reached, a null doc_id counting only where a component has no other; ``kept`` is
-    doc_id = component_id, false for a null doc_id.  Rows that repeat a doc_id are documents of their own.  An empty
-    table gives no rows; further columns are ignored.
+    Root and component_id are null for a text without words.
     """
     rows = stored(sets_of(docs, size), "sets").withColumn(
         "class", F.when(F.col("n") > 0, F.xxhash64("n", "fp1", "fp2")))
@@ -239,11 +237,38 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         final.select(F.col("node").alias("class"), "root"), "class", "left").select(
         "class", "doc_id", F.coalesce("root", "class").alias("root"))
     firsts = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(firsts, "root").select("class", "component_id")
-    out = rows.select("doc_id", "copy", "n", "class").join(of_class, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "copy")
+    of_class = named.join(firsts, "root").select("class", "root", "component_id")
+    return (rows.select("doc_id", "copy", "n", "class").join(of_class, "class", "left")
+            .select("doc_id", "copy", "n", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row.
+
+    Texts that are null, empty or without words have no shingles and are linked with nothing: each is its own component.
+    component_id is the least doc_id reached, a null doc_id counting only where a component has no other; ``kept`` is
+    doc_id = component_id, false for a null doc_id.  Rows that repeat a doc_id are documents of their own.  An empty
+    table gives no rows; further columns are ignored.
+    """
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return linked(docs, **parameters).select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def representatives(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` with one document of every component: the least doc_id, a null one last.
+
+    Texts without words all stay.  Of rows that repeat both doc_id and text one stays.
+    """
+    own = docs.withColumn("__copy", F.xxhash64("text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("least")
+    chosen = (linked(docs, **parameters).filter(F.col("root").isNotNull()).groupBy("root").agg(least)
+              .select(F.col("least.doc_id").alias("__id"), F.col("least.copy").alias("__chosen")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__chosen"))
+    blank = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, "") == ""
+    stays = own.filter(~blank).join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__copy"])
+    return stays.union(own.filter(blank)).drop("__copy")
 
 
 ORACLE = r"""
@@ -271,4 +296,4 @@ FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN n USING (doc_id)
 
 @register("op1_near_dedup", ORACLE)
 def op1_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("copy")
+    return near_duplicates(table(spark, sf_dir, "documents"))

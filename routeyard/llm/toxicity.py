@@ -133,14 +133,22 @@ def gains(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def dense(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-    place = np.full(BUCKETS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    out = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, found in enumerate(rows):
-        at = place[found]
-        out[i, at[at >= 0]] = 1
-    return out
+class Presence:
+    """Which of the chosen features each row has, as index pairs; products with it take time per present feature."""
+
+    def __init__(self, rows: list[np.ndarray], chosen: np.ndarray):
+        place = np.full(BUCKETS, -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        at = place[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
+        self.row, self.column = np.repeat(np.arange(len(rows)), sizes)[at >= 0], at[at >= 0]
+        self.shape = (len(rows), len(chosen))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], minlength=self.shape[0])
+
+    def transposed(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, r[self.row], minlength=self.shape[1])
 
 
 def fit(y: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], shares: tuple[int, int],
@@ -149,26 +157,31 @@ def fit(y: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray, np.
     gain = gains(y, rows)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     chosen = chosen[gain[chosen] >= MIN_GAIN]
-    x = dense(rows, chosen)
-    d = dense([a for a, _ in pairs], chosen) - dense([b for _, b in pairs], chosen)
-    d = d[np.any(d != 0, axis=1)]
+    x = Presence(rows, chosen)
+    one, other = (Presence([p[i] for p in pairs], chosen) for i in (0, 1))
     weight = np.where(y == 1, shares[0] / max(1, (y == 1).sum()), shares[1] / max(1, (y == 0).sum()))
-    weight = (weight / weight.sum()).astype(np.float32)
-    both = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    # the largest curvature, by power iterations on the bound of the logistic loss's second derivative
-    v = np.ones(both.shape[1], np.float32)
-    for _ in range(20):
-        v = both.T @ (weight * (both @ v)) / 4
-        v /= max(np.linalg.norm(v), 1e-12)
-    step = 1 / (float(v @ (both.T @ (weight * (both @ v)))) / 4 * 1.1 + PENALTY
-                + (2 * fairness * np.linalg.norm(d, 2) ** 2 / max(1, len(d)) if d.size else 0))
-    w = before = np.zeros(both.shape[1], np.float32)
+    weight = weight / weight.sum()
+
+    def swapped(w: np.ndarray) -> np.ndarray:
+        """Slope of the mean squared difference between sentences and their swapped copies, halved."""
+        d = one.times(w) - other.times(w)
+        return (one.transposed(d) - other.transposed(d)) * (fairness / max(1, len(pairs)))
+
+    def curvature(v: np.ndarray) -> np.ndarray:
+        r = weight * (x.times(v[:-1]) + v[-1]) / 4
+        return np.append(x.transposed(r) + PENALTY * v[:-1] + 2 * swapped(v[:-1]), r.sum())
+
+    v = np.ones(len(chosen) + 1)
+    for _ in range(20):                 # power iterations: the largest curvature bounds the step
+        v = curvature(v)
+        size = np.linalg.norm(v)
+        v /= size
+    step = 1 / (1.1 * size)
+    w = before = np.zeros(len(chosen) + 1)
     for t in range(1, ROUNDS + 1):
         look = w + (t - 1) / (t + 2) * (w - before)
-        p = 1 / (1 + np.exp(-np.clip(both @ look, -30, 30)))
-        slope = both.T @ (weight * (p - y)) + PENALTY * np.append(look[:-1], 0)
-        if d.size:
-            slope[:-1] += 2 * fairness * (d.T @ (d @ look[:-1])) / len(d)
+        r = weight * (1 / (1 + np.exp(-np.clip(x.times(look[:-1]) + look[-1], -30, 30))) - y)
+        slope = np.append(x.transposed(r) + PENALTY * look[:-1] + 2 * swapped(look[:-1]), r.sum())
         before, w = w, look - step * slope
     return chosen, w[:-1], float(w[-1])
 
@@ -178,13 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     """Weights from the labelled rows that aren't held out.  Without labels of both classes every score is 0."""
     sample, shares = sample_of(labels, label, positives, negatives)
     if min(shares) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32), -np.inf
+        return np.zeros(0, np.int64), np.zeros(0), -np.inf
     found = sample_features(docs, sample)
     plain = [(r["y"], np.frombuffer(r["found"], "<i4")) for r in found if r["sign"] == 0]
     sides = [np.frombuffer(r["found"], "<i4") for r in found if r["sign"] != 0]
     y = np.array([a for a, _ in plain], np.int64)
     if len(set(y.tolist())) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32), -np.inf
+        return np.zeros(0, np.int64), np.zeros(0), -np.inf
     return fit(y, [b for _, b in plain], list(zip(sides[::2], sides[1::2])), shares, fairness)
 
 
