@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
-from routeyard.functions.texts import ASSET_TYPE, asset
+from routeyard.functions.texts import ASSET_TYPE, asset, asset_list
 from routeyard.runtime import lookup
 
 REFERENCE_LENGTH = 64
 
 
-def resolve_references(rows: DataFrame, index: str = "index", image: str = "image") -> DataFrame:
+def resolve_references(rows: DataFrame, index: str = "index", image: str = "image",
+                       order: str | None = None) -> DataFrame:
     """A short image value that names another row's key takes that row's long value.
 
-    One hop only.  Very many rows may name the same key, so the lookup spreads
+    One hop only.  Of several rows with the key the last in ``order`` counts
+    (without it, the largest value), so no row is repeated.  Very many rows may name the same key, so the lookup spreads
     hot keys, and content that no row names does not take part in it.
     """
     short = F.length(image) <= REFERENCE_LENGTH
-    content = rows.filter(~short).select(F.col(index).cast("string").alias("__ref"), F.col(image).alias("__content"))
+    last = F.struct(*([F.col(order)] if order else []), F.col(image).alias("__content"))
+    content = (rows.filter(~short).groupBy(F.col(index).cast("string").alias("__ref"))
+               .agg(F.max(last)["__content"].alias("__content")))
     refs = rows.filter(short).withColumn("__ref", F.col(image))
     wanted = content.join(refs.select("__ref").distinct(), "__ref", "left_semi")
     resolved = lookup(refs, wanted, ["__ref"], spread_by=[index]).withColumn(
@@ -73,22 +77,28 @@ def find_table(datasets: DataFrame, files: DataFrame) -> DataFrame:
         F.min_by("path", F.struct(rank, F.col("path"))).alias("path"))
 
 
-def attach_samples(meta: DataFrame, samples: DataFrame) -> DataFrame:
+def attach_samples(meta: DataFrame, samples: DataFrame, order: str | None = None) -> DataFrame:
     """Text and assets of each registry row; empty where the sample is unknown.
 
-    Where no row at all matches, the registry's own text columns are used.
+    Where no row at all matches, the registry's own text and image columns are
+    used.  Of several rows of a sample the last in ``order`` counts (without
+    it, the largest), so no registry row is repeated.
     """
     columns = [c for c in ("prompt", "text", "question") if c in samples.columns]
     text = F.coalesce(*[F.col(c) for c in columns], F.lit(""))
     empty = F.array().cast(f"array<{ASSET_TYPE}>")
     assets = F.coalesce("assets", empty) if "assets" in samples.columns else empty
-    known = samples.select("sample_id", text.alias("__text"), assets.alias("__assets"), F.lit(1).alias("__hit"))
+    last = F.struct(*([F.col(order)] if order else []), text.alias("__text"), assets.alias("__assets"))
+    known = (samples.groupBy("sample_id").agg(F.max(last).alias("__last"))
+             .select("sample_id", "__last.__text", "__last.__assets", F.lit(1).alias("__hit")))
     joined = meta.join(known, "sample_id", "left")
     hits = joined.agg(F.count("__hit").alias("n")).scalar()
     own = [F.col(c) for c in ("question", "text", "prompt") if c in meta.columns]
     fallback = F.coalesce(*own, F.lit("")) if own else F.lit("")
+    listed = [F.col(c) for c in ("image_path", "image") if c in meta.columns]
+    pictures = asset_list(F.coalesce(*listed).cast("string")) if listed else empty
     return (joined.withColumn("__hits", hits)
             .withColumn("text", F.when(F.col("__hits") == 0, fallback).otherwise(F.coalesce("__text", F.lit(""))))
-            .withColumn("assets", F.coalesce("__assets", empty))
+            .withColumn("assets", F.when(F.col("__hits") == 0, pictures).otherwise(F.coalesce("__assets", empty)))
             .withColumn("matched", F.col("__hit").isNotNull())
             .drop("__text", "__assets", "__hit", "__hits"))

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
+from routeyard.functions.scores import hash_bucket
+from routeyard.functions.vectors import l2_normalize
 
 
 def encoder_table(spark: SparkSession) -> DataFrame:
@@ -34,13 +34,25 @@ def dimension_check(embeddings: DataFrame, name: str, modality: str) -> DataFram
 
 
 def hashed_text_vectors(rows: DataFrame, dim: int = 256, text: str = "prompt") -> DataFrame:
-    """The built-in encoder: hashed term frequencies, weighted by rarity, of unit length."""
-    tokens = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\W+|_+", minTokenLength=1)
-    staged = tokens.transform(rows.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
-    counted = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=dim).transform(staged)
-    weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(weighted)
-    return unit.select("sample_id", vector_to_array("__unit").alias("embedding"))
+    """The built-in encoder: hashed term frequencies, weighted by rarity, of unit length.
+
+    A word's component is ``hash_bucket`` modulo ``dim``; its rarity is
+    ln((rows + 1) / (rows with the component + 1)).  Both tables that meet the
+    rows have one row per component.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^A-Za-z0-9]+"), lambda w: w != "")
+    found = rows.select("sample_id", F.explode(words).alias("w")).select(
+        "sample_id", (hash_bucket(F.col("w")) % dim).cast("int").alias("i"))
+    counted = found.groupBy("sample_id", "i").agg(F.count(F.lit(1)).alias("tf"))
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    rarity = counted.groupBy("i").agg(F.count(F.lit(1)).alias("df")).agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "df"))).alias("m")).scalar()
+    weights = counted.groupBy("sample_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "tf"))).alias("__tf"))          # at most dim entries
+    staged = rows.select("sample_id").join(weights, "sample_id", "left").withColumns({"__n": total, "__df": rarity})
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+        F.col("__tf")[i] * F.log((F.col("__n") + 1) / (F.col("__df")[i] + 1)), F.lit(0.0)))
+    return staged.select("sample_id", l2_normalize(raw).alias("embedding"))
 
 
 def encode(column: Column, factory: Callable[[], Callable[[list], np.ndarray]], normalize: bool = True) -> Column:

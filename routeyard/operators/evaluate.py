@@ -72,15 +72,20 @@ def choice_distribution(decisions: DataFrame, models: list[str]) -> DataFrame:
 
 def summary(decisions: DataFrame, outcomes: DataFrame, bounds: DataFrame, frontier: DataFrame | None = None,
             risks: DataFrame | None = None, beta: float = 0.1, overhead: float = 0.0, ece_bins: int = 15) -> DataFrame:
-    """One row with everything known about a router: score, oracle gap, frontier match, calibration."""
+    """One row with everything known about a router: score, oracle gap, frontier match, calibration.
+
+    A decision without an outcome counts as wrong at cost 0, as in ``score``.
+    """
     from routeyard.operators.calibration import (brier_score, calibration_error, failure_auc,
                                                  frontier_match, risk_coverage_auc)
 
     g = gather(decisions, outcomes)
-    charged = F.col("cost") + F.lit(float(overhead))
-    base = g.agg(F.avg("quality").alias("accuracy"), F.avg(charged).alias("avg_cost"),
-                 F.avg("cost").alias("model_avg_cost"), F.sum(charged).alias("total_cost"),
-                 F.sum("quality").cast("bigint").alias("num_correct"), F.count(F.lit(1)).alias("num_samples"))
+    known = F.coalesce("cost", F.lit(0.0))
+    charged = known + F.lit(float(overhead))
+    right = F.coalesce("quality", F.lit(0))
+    base = g.agg(F.avg(right.cast("double")).alias("accuracy"), F.avg(charged).alias("avg_cost"),
+                 F.avg(known).alias("model_avg_cost"), F.sum(charged).alias("total_cost"),
+                 F.sum(right).cast("bigint").alias("num_correct"), F.count(F.lit(1)).alias("num_samples"))
     base = _ranked(base, bounds, beta)
     o = oracle_route(outcomes).agg(F.avg("quality").alias("a"), F.avg("cost").alias("c"))
     out = (base.withColumn("oracle_accuracy", o.select("a").scalar())

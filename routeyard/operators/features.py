@@ -80,15 +80,13 @@ def pool_vectors(pieces: DataFrame, ids: DataFrame, dim: int, pooling: str = "me
                  normalize: bool = True) -> DataFrame:
     """One vector per sample from its several vectors; a zero vector where it has none.
 
-    ``pieces`` is (sample_id, position, vec).  Components are combined before
-    the shuffle, so a sample with very many vectors stays cheap.
+    ``pieces`` is (sample_id, position, vec).  Whole vectors are combined before
+    the shuffle in one buffer per sample, so a sample with very many stays cheap.
     """
-    long = pieces.select("sample_id", "position", F.posexplode("vec").alias("i", "x"))
-    how = {"mean": F.avg("x"), "max": F.max("x"), "first": F.min_by("x", "position")}[pooling]
-    parts = long.groupBy("sample_id", "i").agg(how.alias("x"), F.count(F.lit(1)).alias("n"))
-    pooled = parts.groupBy("sample_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"),
-        F.max("n").alias("n"))
+    vector = array_to_vector(X.as_double(F.col("vec")))
+    how = {"mean": lambda: vector_to_array(Summarizer.mean(vector)), "max": lambda: vector_to_array(Summarizer.max(vector)),
+           "first": lambda: F.min_by("vec", "position")}[pooling]()
+    pooled = pieces.groupBy("sample_id").agg(how.alias("v"), F.count(F.lit(1)).alias("n"))
     if normalize:
         unit = F.when((F.col("n") > 1) & (X.norm(F.col("v")) > 0), X.divide(F.col("v"), X.norm(F.col("v"))))
         pooled = pooled.withColumn("v", F.coalesce(unit, "v"))

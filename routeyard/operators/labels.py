@@ -100,13 +100,16 @@ def softmax(scores: DataFrame, score: str = "score") -> DataFrame:
 
 
 def argmax(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Best-scoring model per sample, ties to the first model id."""
-    best = F.min_by("model_id", F.struct((-F.col(score)).alias("s"), F.col("model_id").alias("m")))
+    """Best-scoring model per sample, ties to the first model id; a score that is NULL or NaN comes last."""
+    s = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    best = F.min_by("model_id", F.struct(s.isNull().alias("none"), (-s).alias("s"), F.col("model_id").alias("m")))
     return scores.groupBy("sample_id").agg(best.alias("model_id"))
 
 
 def argmin(scores: DataFrame, score: str, keys: list[str] = ("sample_id",)) -> DataFrame:
-    best = F.min_by("model_id", F.struct(F.col(score).alias("s"), F.col("model_id").alias("m")))
+    """Lowest-scoring model per key, ties to the first model id; a score that is NULL or NaN comes last."""
+    s = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    best = F.min_by("model_id", F.struct(s.isNull().alias("none"), s.alias("s"), F.col("model_id").alias("m")))
     return scores.groupBy(*keys).agg(best.alias("model_id"))
 
 

@@ -6,7 +6,6 @@ saves itself as ML models and Parquet tables.
 
 from __future__ import annotations
 
-import json
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
@@ -18,26 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeyard.functions.scores import normalize_cost, stable_unit
-from routeyard.operators.features import fit_standardizer, one_hot, standardize
-from routeyard.operators.labels import argmax, hard_labels, is_correct, soft_targets, solvable
-from routeyard.runtime import persisted
-
-
-class Policy:
-    """A routing policy: ``fit`` on history, then ``route`` samples to models.
-
-    User-defined policies implement the same three methods.
-    """
-
-    def fit(self, outcomes: DataFrame, features: DataFrame, meta: DataFrame | None = None) -> "Policy":
-        raise NotImplementedError
-
-    def route(self, features: DataFrame) -> DataFrame:
-        """Decisions (sample_id, model_id)."""
-        raise NotImplementedError
-
-    def name(self) -> str:
-        return type(self).__name__
+from routeyard.operators.features import fit_standardizer, model_profiles, one_hot, standardize
+from routeyard.operators.labels import argmax, argmin, hard_labels, is_correct, soft_targets, solvable
+from routeyard.operators.policy import Policy, read_settings, write_tables
+from routeyard.runtime import finite, persisted
 
 
 class ConstantPolicy(Policy):
@@ -61,14 +44,6 @@ class ConstantPolicy(Policy):
         return out
 
 
-def _write_json(spark: SparkSession, path: str, value: dict) -> None:
-    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
-
-
-def _read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(path).first()[0])
-
-
 class _FeaturePolicy(Policy):
     """Shared parts of policies over one standardised feature vector."""
 
@@ -102,7 +77,7 @@ class _FeaturePolicy(Policy):
 class OneVsRestPolicy(_FeaturePolicy):
     """One balanced logistic head per model for P(correct)."""
 
-    def __init__(self, models: list[str], max_iter: int = 100, reg: float = 1e-3, threads: int = 4):
+    def __init__(self, models: list[str], max_iter: int = 1000, reg: float = 1e-3, threads: int = 4):
         super().__init__(models)
         self.max_iter, self.reg, self.threads = max_iter, reg, threads
 
@@ -140,6 +115,22 @@ class OneVsRestPolicy(_FeaturePolicy):
         parts = F.array(*[F.col(f"__p{i}") for i in range(len(self.models))])
         return rows.select("sample_id", self._exploded(parts).alias("x")).select("sample_id", "x.*")
 
+    def save(self, path: str) -> None:
+        for i, m in enumerate(self.models):
+            if self.heads[m] is not None:
+                self.heads[m].write().overwrite().save(f"{path}/head-{i}")
+        write_tables(path, {"scaler": self.scaler},
+                     {"models": self.models, "heads": [m for m in self.models if self.heads[m] is not None]})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "OneVsRestPolicy":
+        stored = read_settings(spark, path)
+        out = cls(stored["models"])
+        out.scaler = spark.read.parquet(f"{path}/scaler")
+        out.heads = {m: LogisticRegressionModel.load(f"{path}/head-{i}") if m in stored["heads"] else None
+                     for i, m in enumerate(out.models)}
+        return out
+
 
 class LinearPolicy(_FeaturePolicy):
     """Multinomial logistic regression on the hard label, or on soft targets.
@@ -149,7 +140,7 @@ class LinearPolicy(_FeaturePolicy):
     """
 
     def __init__(self, models: list[str], lam: float | None = None, cost_scale: float = 100.0,
-                 max_iter: int = 100, reg: float = 1e-3, l1: float = 0.0):
+                 max_iter: int = 200, reg: float = 1e-3, l1: float = 0.0):
         super().__init__(models)
         self.lam, self.cost_scale, self.max_iter, self.reg, self.l1 = lam, cost_scale, max_iter, reg, l1
 
@@ -171,12 +162,11 @@ class LinearPolicy(_FeaturePolicy):
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-        _write_json(self.scaler.sparkSession, f"{path}/settings", {"models": self.models})
+        write_tables(path, {"scaler": self.scaler}, {"models": self.models})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LinearPolicy":
-        out = cls(_read_json(spark, f"{path}/settings")["models"])
+        out = cls(read_settings(spark, path)["models"])
         out.model = LogisticRegressionModel.load(f"{path}/model")
         out.scaler = spark.read.parquet(f"{path}/scaler")
         return out
@@ -185,8 +175,8 @@ class LinearPolicy(_FeaturePolicy):
 class MlpPolicy(_FeaturePolicy):
     """A small perceptron on the hard label, or on one label drawn from the soft targets."""
 
-    def __init__(self, models: list[str], hidden: tuple[int, ...] = (32,), lam: float | None = None,
-                 cost_scale: float = 100.0, max_iter: int = 60, seed: int = 42):
+    def __init__(self, models: list[str], hidden: tuple[int, ...] = (256,), lam: float | None = None,
+                 cost_scale: float = 100.0, max_iter: int = 300, seed: int = 42):
         super().__init__(models)
         self.hidden, self.lam, self.cost_scale, self.max_iter, self.seed = hidden, lam, cost_scale, max_iter, seed
 
@@ -213,12 +203,11 @@ class MlpPolicy(_FeaturePolicy):
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-        _write_json(self.scaler.sparkSession, f"{path}/settings", {"models": self.models})
+        write_tables(path, {"scaler": self.scaler}, {"models": self.models})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "MlpPolicy":
-        out = cls(_read_json(spark, f"{path}/settings")["models"])
+        out = cls(read_settings(spark, path)["models"])
         out.model = MultilayerPerceptronClassificationModel.load(f"{path}/model")
         out.scaler = spark.read.parquet(f"{path}/scaler")
         return out
@@ -228,11 +217,15 @@ class RiskPolicy(Policy):
     """Pairwise failure risk from sample features, model profile and their interaction.
 
     Routing takes the smallest risk plus lambda times normalised cost, so one
-    fit serves every lambda.
+    fit serves every lambda.  ``route`` uses each model's mean cost of the
+    history; ``route_scores`` takes the costs of the samples themselves.
     """
 
-    def __init__(self, learner: str = "logistic", max_iter: int = 50, reg: float = 1e-3, seed: int = 42):
-        self.learner, self.max_iter, self.reg, self.seed = learner, max_iter, reg, seed
+    def __init__(self, learner: str = "logistic", max_iter: int | None = None, reg: float = 1e-3, seed: int = 42,
+                 lam: float = 0.0):
+        self.learner, self.reg, self.seed, self.lam = learner, reg, seed, lam
+        # the logistic fit ends at its tolerance; trees have no such end, so their number is the setting
+        self.max_iter = max_iter or (100 if learner == "gbt" else 1000)
 
     def _pairs(self, samples: DataFrame, profiles: DataFrame) -> DataFrame:
         """Samples times profiles; the profiles (one per model) travel as one small array."""
@@ -245,8 +238,14 @@ class RiskPolicy(Policy):
         return pairs.select("sample_id", F.col("__m")["model_id"].alias("model_id"), array_to_vector(
             F.concat("vec", F.col("__m")["profile"], crossed)).alias("features"))
 
-    def fit(self, outcomes, samples, profiles):
-        """``samples`` is (sample_id, query_type, vec), ``profiles`` (model_id, profile)."""
+    def fit(self, outcomes, features, meta=None):
+        """``features`` is (sample_id, query_type, vec); ``meta`` the profiles (model_id, profile), by default those
+        of the history."""
+        samples, profiles = features, meta
+        if profiles is None:
+            profiles = model_profiles(outcomes, samples.select("sample_id", "query_type"))
+        self.costs = persisted(outcomes.groupBy("model_id").agg(
+            F.avg(F.when(finite("cost"), F.col("cost"))).alias("cost")), "model-costs")
         rows = samples.join(outcomes.select("sample_id").distinct(), "sample_id", "left_semi")
         self.sample_scaler = persisted(fit_standardizer(rows, "vec"), "sample-scaler")
         self.profile_scaler = persisted(fit_standardizer(profiles, "profile"), "profile-scaler")
@@ -266,18 +265,26 @@ class RiskPolicy(Policy):
         return self.model.transform(pairs).select(
             "sample_id", "model_id", F.element_at(vector_to_array("probability"), 2).alias("risk"))
 
+    def route(self, features):
+        low, high = (self.costs.agg(f("cost").alias("c")).scalar() for f in (F.min, F.max))
+        scored = (self.risks(features).join(F.broadcast(self.costs), "model_id", "left")      # one row per model
+                  .withColumns({"__low": low, "__high": high}))
+        price = normalize_cost(F.col("cost"), F.col("__low"), F.col("__high"))
+        return argmin(scored.withColumn("score", F.col("risk") + F.lit(float(self.lam)) * price), "score")
+
+    _TABLES = ("sample_scaler", "profile_scaler", "profiles", "costs")
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        for name in ("sample_scaler", "profile_scaler", "profiles"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        _write_json(self.profiles.sparkSession, f"{path}/settings", {"learner": self.learner})
+        write_tables(path, {n: getattr(self, n) for n in self._TABLES}, {"learner": self.learner, "lam": self.lam})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "RiskPolicy":
-        out = cls(_read_json(spark, f"{path}/settings")["learner"])
+        stored = read_settings(spark, path)
+        out = cls(stored["learner"], lam=stored["lam"])
         kind = GBTClassificationModel if out.learner == "gbt" else LogisticRegressionModel
         out.model = kind.load(f"{path}/model")
-        for name in ("sample_scaler", "profile_scaler", "profiles"):
+        for name in cls._TABLES:
             setattr(out, name, spark.read.parquet(f"{path}/{name}"))
         return out
 
@@ -310,6 +317,6 @@ def behaviour_clusters(targets: DataFrame, models: list[str], k: int = 5, seed:
             F.coalesce(F.col(f"`{m}`"), F.lit(0.0)) for m in models])).alias("features"))
 
     train = persisted(vectors(targets), "clusters")
-    model = KMeans(k=k, seed=seed, maxIter=30).fit(train)
+    model = KMeans(k=k, seed=seed, maxIter=300).fit(train)
     return model.transform(train if assign is None else vectors(assign)).select(
         "sample_id", F.col("prediction").alias("cluster"))

@@ -1,7 +1,7 @@
 """Exact nearest neighbours and the policies built on them.
 
-Training vectors are assigned to the nearest of a bounded set of pivots.  The
-triangle inequality then tells which cells can hold one of a query's ``k``
+Training vectors are assigned to the nearest of about sqrt(n) pivots, so cells
+keep holding about sqrt(n) vectors as tables grow.  The triangle inequality then tells which cells can hold one of a query's ``k``
 nearest neighbours, so a query is sent to those cells only and no pair outside
 them is ever formed.  Inside a cell, fixed-size blocks of queries meet
 fixed-size blocks of training vectors; a block returns at most ``k`` rows per
@@ -24,7 +24,6 @@ from routeyard.runtime import persisted
 
 DIGITS = 9          # distances are compared at this precision, ties by id
 SLACK = 1e-6        # room for rounding in the pruning bounds
-MAX_PIVOTS = 256
 BLOCK_ROWS = 2048
 
 
@@ -51,8 +50,7 @@ def _to_pivots(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cosine",
-            id_col: str = "sample_id", vec: str = "vec", block_rows: int = BLOCK_ROWS,
-            max_pivots: int = MAX_PIVOTS) -> DataFrame:
+            id_col: str = "sample_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest training rows of every query: (query_id, train_id, distance, rank)."""
     spark = queries.sparkSession
     q = _metric_space(queries, id_col, vec, metric, 0)
@@ -60,12 +58,12 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cos
 
     # Of equal vectors only the k first ids can ever be chosen.
     copies = Window.partitionBy("v").orderBy("id")
-    t = t.withColumn("c", F.row_number().over(copies)).filter(F.col("c") <= k).drop("c")
+    t = persisted(t.withColumn("c", F.row_number().over(copies)).filter(F.col("c") <= k).drop("c"), "knn-points")
 
     size = t.count()
     if size == 0:
         return spark.createDataFrame([], "query_id string, train_id string, distance double, rank int")
-    n_pivots = max(1, min(max_pivots, math.isqrt(size)))
+    n_pivots = max(1, math.isqrt(size))
     chosen = t.orderBy(hash_bucket(F.concat(F.lit("pivot|"), F.col("id"))), "id").limit(n_pivots).collect()
     pivots = np.array([r["v"] for r in chosen])
 
@@ -117,8 +115,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cos
         ts = ts.sort_values("id")
         a, b = np.stack(qs["v"].to_numpy()), np.stack(ts["v"].to_numpy())
         if euclid:
-            d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2)) if len(a) * len(b) * a.shape[1] < 2 ** 24 \
-                else np.stack([np.sqrt(((row - b) ** 2).sum(1)) for row in a])
+            d = np.sqrt(sum((a[:, i:i + 1] - b[:, i]) ** 2 for i in range(a.shape[1])))     # one matrix at a time
         else:
             d = 1.0 - a @ b.T
         d = np.round(d, DIGITS) + 0.0
@@ -165,10 +162,12 @@ def pairwise_wins(outcomes: DataFrame) -> DataFrame:
 
     Better means more correct, or equally correct and cheaper.  Models ordered
     at or above a model (peers included) are those it does not beat, so one
-    sorted window per sample replaces the model-by-model comparison.
+    sorted window per sample replaces the model-by-model comparison.  A cost
+    that is NULL or NaN is dearer than any other.
     """
     all_models = Window.partitionBy("sample_id")
-    at_or_above = (Window.partitionBy("sample_id").orderBy(F.col("quality").desc(), "cost")
+    known = F.nanvl(F.col("cost").cast("double"), F.lit(None).cast("double")).asc_nulls_last()
+    at_or_above = (Window.partitionBy("sample_id").orderBy(F.col("quality").desc_nulls_last(), known)
                    .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     wins = F.count(F.lit(1)).over(all_models) - F.count(F.lit(1)).over(at_or_above)
     return outcomes.select("sample_id", "model_id", wins.alias("wins"))

@@ -1,75 +1,31 @@
 """Running totals and row numbers over a whole table.
 
-A window without PARTITION BY puts every row in one task.  These operators cut
-the ordered domain into ranges of about equal row count, add up each range, and
-run a window per range.  Only the range totals (a bounded number of rows) meet
+A window without PARTITION BY puts every row in one task.  These operators deal
+the rows out in ranges of about equal row count, add up each range, and run a
+window per range.  Only the range totals (one row per shuffle partition) meet
 in one task.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_RANGES, MAX_RANGES = 64, 16_384
+from routeyard.runtime import persisted
 
 
-def range_count(df: DataFrame) -> int:
-    """Ranges to cut a table into: twice the session's shuffle partitions, within fixed limits.
+def with_range(df: DataFrame, key: str, tie: str | None = None, ranges: int | None = None) -> DataFrame:
+    """The rows, stored, with ``__range``: the number of their range in the order of (key, tie).
 
-    The shuffle partitions are what a cluster sizes to its data, and the upper
-    limit bounds what is broadcast.
+    Spark samples the keys and deals the rows out by range, as many ranges as
+    the session has shuffle partitions, which a cluster sizes to its data.  A
+    key value that fills several ranges is spread over them by ``tie``.  The
+    rows are written once, since two scans of a sampled exchange need not
+    agree on its bounds.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(2 * partitions, MIN_RANGES), MAX_RANGES)
-
-
-def with_range(df: DataFrame, key: str, totals: dict[str, Column], tie: str | None = None,
-               ranges: int | None = None) -> DataFrame:
-    """Add ``__range``, a range number that is monotone in (key, tie).
-
-    Split points are approximate quantiles of the key, so ranges hold similar
-    row counts however the key is distributed.  A key value so frequent that
-    it fills several ranges repeats among the split points; its rows are then
-    spread over those ranges by ``tie``, a number in [0, 1).
-
-    A row is placed in two steps, first among every m-th split point and then
-    among the m points after it, so the work per row grows with the square
-    root of the number of ranges.
-
-    The pass that finds the split points also adds up ``totals``: it then reads
-    the same columns as the later passes, and Spark reuses their exchange.
-    """
-    ranges = ranges or range_count(df)
-    m = math.isqrt(ranges - 1) + 1
-    probs = [i / ranges for i in range(1, ranges)]
-    accuracy = max(2000, 10 * ranges)
-    first_pass = df.agg(
-        F.percentile_approx(F.col(key), probs, accuracy).alias("points"),
-        *[F.sum(e).alias(n) for n, e in totals.items()])
-    blocks = F.transform(F.sequence(F.lit(0), F.lit((ranges - 2) // m)),
-                         lambda i: F.slice("points", i * m + 1, F.lit(m)))
-    heads = F.filter("points", lambda p, i: (i + 1) % m == 0)
-    found = first_pass.select(F.struct(blocks.alias("blocks"), heads.alias("heads"), *totals).alias("x")).scalar()
-    k = F.col(key)
-
-    def points_where(test) -> Column:
-        """Number of split points that pass a test which holds for a leading run of them."""
-        skipped = F.size(F.filter("__heads", test))
-        block = F.try_element_at("__blocks", skipped + 1)
-        return F.coalesce(skipped * m + F.coalesce(F.size(F.filter(block, test)), F.lit(0)), F.lit(0))
-
-    upto = points_where(lambda p: p <= k)
-    rows = df.withColumns({"__heads": found["heads"], "__blocks": found["blocks"]}).withColumn("__upto", upto)
-    if tie is None:
-        return rows.withColumnRenamed("__upto", "__range").drop("__heads", "__blocks")
-    width = F.col("__upto") - F.col("__below")
-    spread = F.col("__below") + 1 + F.least(F.floor(F.col(tie) * width), width - 1)
-    return (rows.withColumn("__below", points_where(lambda p: p < k))
-            .withColumn("__range", F.when(width >= 2, spread).otherwise(F.col("__upto")).cast("int"))
-            .drop("__heads", "__blocks", "__upto", "__below"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, *[F.col(c) for c in (key, tie) if c is not None])
+    return persisted(placed.withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Column | None = None,
@@ -83,7 +39,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
     groups = list(groups)
     order = [F.col(key)] + (["__tie"] if tie is not None else []) + list(then_by)
     rows = df.withColumn("__tie", tie) if tie is not None else df
-    rows = with_range(rows, key, totals, "__tie" if tie is not None else None, ranges)
+    rows = with_range(rows, key, "__tie" if tie is not None else None, ranges)
     sums = rows.groupBy(*groups, "__range").agg(
         *[F.sum(e).alias(f"__{n}_sum") for n, e in totals.items()])
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(
@@ -93,7 +49,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
         F.coalesce(F.sum(f"__{n}_sum").over(before), F.lit(0)).alias(f"__{n}_before") for n in totals], *[
         F.sum(f"__{n}_sum").over(whole).alias(f"{n}_total") for n in totals if overall])
     if not groups:
-        # at most MAX_RANGES rows
+        # one row per range
         offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*groups, "__range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

@@ -37,11 +37,19 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str | Column]) -> Data
     return df.groupBy(*keys).agg(last).select(*keys, "__row.*")
 
 
-def upsert(cache: DataFrame, fresh: DataFrame, keys: list[str] = ("sample_id",)) -> DataFrame:
-    """Cache rows replaced by fresh rows of the same key."""
+def upsert(cache: DataFrame, fresh: DataFrame, keys: list[str] = ("sample_id",),
+           order: list[str] = ()) -> DataFrame:
+    """Cache rows replaced by fresh rows of the same key.
+
+    Of several fresh rows of a key the last in ``order`` wins.  Rows equal in
+    ``order`` are told apart by their values, so the result never depends on
+    how the rows are partitioned; columns of map type can't be ordered and
+    take no part in that.
+    """
     keys = list(keys)
     both = union_all([cache.withColumn("__version", F.lit(0)), fresh.withColumn("__version", F.lit(1))])
-    return keep_last(both, keys, ["__version"]).drop("__version")
+    rest = [f.name for f in both.schema if f.name not in (*keys, *order, "__version") and "map<" not in f.dataType.simpleString()]
+    return keep_last(both, keys, ["__version", *order, *rest]).drop("__version")
 
 
 def resolve_results(results: DataFrame) -> DataFrame:

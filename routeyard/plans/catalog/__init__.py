@@ -44,16 +44,21 @@ def round_columns(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
-# A mean of short decimals often ends in exactly 5, where engines round differently; the nudge avoids the tie.
-NUDGE = 1.000000001
+# Means are rounded to this many binary digits behind the point, about 14 decimal ones.  A mean of short decimals often
+# ends in exactly 5 at some decimal digit, where engines round differently; it hardly ever lies halfway on a binary grid.
+MEAN_GRID = 1 << 45
 
 
-def round_means(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) * F.lit(NUDGE), digits) for c in columns})
+def rounded_mean(value: Column) -> Column:
+    return F.round(value * F.lit(float(MEAN_GRID))) / F.lit(float(MEAN_GRID))
 
 
-def mean_sql(expr: str, name: str, digits: int = 10) -> str:
-    return f"round({expr} * {NUDGE}::DOUBLE, {digits}) AS {name}"
+def round_means(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: rounded_mean(F.col(c)) for c in columns})
+
+
+def mean_sql(expr: str, name: str) -> str:
+    return f"round({expr} * {MEAN_GRID}::DOUBLE) / {MEAN_GRID}::DOUBLE AS {name}"
 
 
 def load() -> None:

@@ -17,9 +17,9 @@ from routeyard.operators import labels as L
 from routeyard.operators import policies as P
 from routeyard.operators import quantiles as Q
 from routeyard.operators import registry as G
-from routeyard.plans.catalog import NUDGE, mean_sql, query, round_columns, round_means
+from routeyard.plans.catalog import mean_sql, query, round_columns, round_means, rounded_mean
 from routeyard.plans.catalog.joins import COSTS_SQL, OUTPUT_SQL, RANDOM_SQL, full_output, strict
-from routeyard.plans.catalog.sources import INPUT_SQL, _write_results, input_tokens
+from routeyard.plans.catalog.sources import INPUT_SQL, input_tokens
 from routeyard.runtime import scratch_path
 
 
@@ -61,7 +61,7 @@ FROM strict_costs GROUP BY ROLLUP (model)""")
 def a4(spark, sf):
     out = C.cost_by_model(strict(spark, sf))
     out = round_columns(out, 9, "total_input_cost", "total_output_cost", "total_cost")
-    return round_means(out, 10, "avg_cost_per_sample")
+    return round_means(out, "avg_cost_per_sample")
 
 
 _POINTS = list(V.TOKEN_PERCENTILES)
@@ -82,12 +82,12 @@ SELECT model, {mean_sql("avg(input_cost)", "avg_input")}, {mean_sql("avg(output_
        round(max(total_cost), 10) AS max_cost, round(sum(total_cost), 9) AS sum_cost
 FROM strict_costs GROUP BY ROLLUP (model)""")
 def a6(spark, sf):
-    out = round_means(C.cost_spread(strict(spark, sf)), 10, "avg_input", "avg_output", "avg_total")
+    out = round_means(C.cost_spread(strict(spark, sf)), "avg_input", "avg_output", "avg_total")
     return round_columns(round_columns(out, 10, "min_cost", "max_cost"), 9, "sum_cost")
 
 
 @query("a7_cost_health", f"""
-, kept AS (SELECT CASE WHEN sample_id::BIGINT % 6 = 0 THEN 0 ELSE cost END AS cost FROM outcomes WHERE sample_id::BIGINT % 9 <> 0)
+, kept AS (SELECT CASE WHEN sample_id::BIGINT % 6 = 0 THEN 0 ELSE cost END AS cost FROM outcomes)
 SELECT count(*) FILTER (cost > 0) AS nonzero, (SELECT count(*) * 8 FROM samples) - count(*) FILTER (cost > 0) AS zero,
        round(count(*) FILTER (cost > 0) / (SELECT count(*) * 8 FROM samples), 8) AS nonzero_share,
        round(min(cost) FILTER (cost > 0), 10) AS min_cost, round(max(cost) FILTER (cost > 0), 10) AS max_cost,
@@ -95,9 +95,9 @@ SELECT count(*) FILTER (cost > 0) AS nonzero, (SELECT count(*) * 8 FROM samples)
        {mean_sql("quantile_cont(cost, 0.5) FILTER (cost > 0)", "median_cost")} FROM kept""")
 def a7(spark, sf):
     i = F.col("sample_id").cast("bigint")
-    cells = D.outcomes(spark, sf).filter(i % 9 != 0).withColumn("cost", F.when(i % 6 == 0, 0.0).otherwise(F.col("cost")))
+    cells = D.outcomes(spark, sf).withColumn("cost", F.when(i % 6 == 0, 0.0).otherwise(F.col("cost")))
     out = C.cost_health(cells, D.samples(spark, sf), len(D.MODELS))
-    out = round_means(round_columns(out, 10, "min_cost", "max_cost"), 10, "mean_cost", "median_cost")
+    out = round_means(round_columns(out, 10, "min_cost", "max_cost"), "mean_cost", "median_cost")
     return round_columns(out, 8, "nonzero_share")
 
 
@@ -110,7 +110,7 @@ def a8(spark, sf):
     costs = F.map_values("per_model_avg_costs")
     out = b.select("cmin", "cmax", "cmin_model", "cmax_model", F.size(costs).cast("bigint").alias("models"),
                    F.aggregate(costs, F.lit(0.0), lambda a, x: a + x).alias("total"))
-    return round_means(out, 10, "cmin", "cmax", "total")
+    return round_means(out, "cmin", "cmax", "total")
 
 
 @query("a9_score_pivot", "SELECT sample_id, " + ", ".join(
@@ -125,7 +125,7 @@ SELECT split, model_id, round(avg(quality), 8) AS accuracy, {mean_sql("avg(cost)
 FROM outcomes JOIN meta USING (sample_id) GROUP BY GROUPING SETS ((model_id), (split, model_id))""")
 def a10(spark, sf):
     out = G.model_summary(D.outcomes(spark, sf), D.meta(spark, sf))
-    return round_means(round_columns(out, 8, "accuracy"), 10, "avg_cost")
+    return round_means(round_columns(out, 8, "accuracy"), "avg_cost")
 
 
 @query("a11_first_duplicate", """
@@ -204,7 +204,7 @@ def a16(spark, sf):
 @query("a17_token_cost_check", f""", {COSTS_SQL}
 SELECT model, count(*) AS records, {mean_sql("avg(total_cost)", "avg_cost")} FROM strict_costs GROUP BY model""")
 def a17(spark, sf):
-    return round_means(I.token_cost_check(strict(spark, sf)), 10, "avg_cost")
+    return round_means(I.token_cost_check(strict(spark, sf)), "avg_cost")
 
 
 @query("a18_cost_shape", f"""
@@ -215,18 +215,21 @@ SELECT count(DISTINCT model_id) AS num_models, count(DISTINCT sample_id) AS num_
 def a18(spark, sf):
     o = D.outcomes(spark, sf)
     out = round_columns(I.cost_shape(o, C.cost_bounds(o)), 10, "min_cost", "max_cost")
-    return round_means(out, 10, "mean_cost", "cmin", "cmax")
+    return round_means(out, "mean_cost", "cmin", "cmax")
 
 
 @query("a19_result_files", """
-SELECT model_id, CASE model_id WHEN 'm0' THEN 2 WHEN 'm8' THEN 0 ELSE 1 END::BIGINT AS result_files, model_id <> 'm8' AS exists
-FROM (SELECT model_id FROM models UNION ALL SELECT 'm8')""")
+, pool AS (SELECT model_id FROM models UNION ALL SELECT 'm8'),
+found AS (SELECT model_id, count(DISTINCT dataset) AS n FROM predictions WHERE quality = 1 GROUP BY model_id)
+SELECT model_id, COALESCE(n, 0) AS result_files, n IS NOT NULL AS exists FROM pool LEFT JOIN found USING (model_id)""")
 def a19(spark, sf):
-    """Tables under each model's folder; every part file of a table counts once."""
+    """Tables under each model's folder, one per dataset it answers; every part file of a table counts once."""
     root = scratch_path(spark, "a19")
-    _write_results(spark, sf, root)
+    right = D.predictions(spark, sf).filter("quality = 1").select("sample_id", "quality", "model_id", "dataset")
+    right.write.partitionBy("model_id", "dataset").parquet(root)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
-             .load(root).select(F.regexp_replace("path", "/part-[^/]*$", "").alias("path")).distinct())
+             .load(root).select(F.regexp_replace(F.regexp_replace("path", "/part-[^/]*$", ""), "/[a-z_]+=", "/")
+                                .alias("path")).distinct())
     return I.files_per_model(files, [*D.MODEL_IDS, "m8"])
 
 
@@ -242,13 +245,12 @@ def rank_sql(acc="accuracy", cost="avg_cost", beta="0.1"):
 
 _SCORE = """avg(COALESCE(quality, 0)) AS accuracy, avg(COALESCE(cost, 0)) AS avg_cost,
     sum(COALESCE(quality, 0))::BIGINT AS num_correct, count(*) AS num_samples"""
-SCORE_COLS = f"""round(accuracy, 8) AS accuracy, round(avg_cost * {NUDGE}::DOUBLE, 10) AS avg_cost, num_correct, num_samples,
+SCORE_COLS = f"""round(accuracy, 8) AS accuracy, {mean_sql("avg_cost", "avg_cost")}, num_correct, num_samples,
     round({rank_sql()}, 8) AS rank_score"""
 
 
 def score_rounded(df):
-    nudged = df.withColumn("avg_cost", F.col("avg_cost") * F.lit(NUDGE))
-    return round_columns(round_columns(nudged, 8, "accuracy", "rank_score"), 10, "avg_cost")
+    return round_means(round_columns(df, 8, "accuracy", "rank_score"), "avg_cost")
 
 
 @query("a20_router_score", f""", {RANDOM_SQL}, {BOUNDS_SQL},
@@ -332,11 +334,11 @@ PROFILE_SQL = f"""profiles AS (SELECT model_id, [avg(quality), avg(cost), stddev
 
 
 def profile_columns(df):
-    return df.select("model_id", *[F.round(F.col("profile")[i] * F.lit(NUDGE), 9).alias(n)
+    return df.select("model_id", *[rounded_mean(F.col("profile")[i]).alias(n)
                                    for i, n in enumerate(_PROFILE)])
 
 
-PROFILE_COLS = ", ".join(mean_sql(f"profile[{i + 1}]", n, 9) for i, n in enumerate(_PROFILE))
+PROFILE_COLS = ", ".join(mean_sql(f"profile[{i + 1}]", n) for i, n in enumerate(_PROFILE))
 
 
 @query("a23_model_profiles", f", {TYPES_SQL}, {PROFILE_SQL} SELECT model_id, {PROFILE_COLS} FROM profiles")
@@ -403,7 +405,11 @@ g AS (SELECT avg(quality) AS accuracy, avg(cost) + 1e-5 AS avg_cost, avg(cost) A
       sum(quality)::BIGINT AS num_correct, count(*) AS num_samples FROM choice JOIN outcomes USING (sample_id, model_id)),
 best AS (SELECT arg_min(quality, row(-quality, cost, model_id)) AS quality, arg_min(cost, row(-quality, cost, model_id)) AS cost
          FROM outcomes GROUP BY sample_id),
-points AS (SELECT avg(quality) AS pa, avg(cost) AS pc FROM outcomes GROUP BY model_id)
+points AS (SELECT avg(quality) AS pa, avg(cost) AS pc FROM outcomes GROUP BY model_id),
+run AS (SELECT row_number() OVER w AS seen, avg(1 - label) OVER w AS a, count(*) OVER () AS n
+        FROM choice JOIN pairs USING (sample_id, model_id)
+        WINDOW w AS (ORDER BY p, {D.bucket_sql("sample_id")}, sample_id ROWS UNBOUNDED PRECEDING)),
+steps AS (SELECT a, n, lag(a) OVER (ORDER BY seen) AS prev FROM run)
 SELECT {SCORE_COLS}, round(model_avg_cost, 10) AS model_avg_cost, round(total_cost, 9) AS total_cost,
        round((SELECT avg(quality) FROM best), 8) AS oracle_accuracy, round((SELECT avg(cost) FROM best), 10) AS oracle_avg_cost,
        round((SELECT avg(quality) FROM best) - accuracy, 8) AS oracle_gap,
@@ -411,6 +417,7 @@ SELECT {SCORE_COLS}, round(model_avg_cost, 10) AS model_avg_cost, round(total_co
        round(((SELECT min(pc) FROM points WHERE pa >= accuracy - 1e-12) - avg_cost) / (SELECT min(pc) FROM points WHERE pa >= accuracy - 1e-12), 8) AS matched_accuracy_cost_reduction,
        (SELECT round(auc, 8) FROM auc) AS failure_auc, (SELECT round(avg((p - label) * (p - label)), 8) FROM pairs) AS brier,
        (SELECT round(sum(n * abs(c - f)) / sum(n), 8) FROM bins) AS ece,
+       (SELECT round(sum((COALESCE(prev, a) + a) / 2) / max(n), 8) FROM steps) AS risk_coverage_auc,
        (SELECT round(avg(p), 8) FROM pairs) AS risk_mean, (SELECT round(stddev_pop(p), 8) FROM pairs) AS risk_std
 FROM g, bounds""")
 def a28(spark, sf):
@@ -418,12 +425,11 @@ def a28(spark, sf):
     points = o.groupBy(F.col("model_id").alias("router")).agg(F.avg("quality").alias("accuracy"), F.avg("cost").alias("avg_cost"))
     out = E.summary(P.random_route(D.samples(spark, sf), D.MODEL_IDS), o, C.cost_bounds(o),
                     K.frontier_points(points), pairs(spark, sf, o).select("sample_id", "model_id", F.col("p").alias("risk")),
-                    overhead=1e-5).drop("risk_coverage_auc")
-    out = round_columns(out.withColumn("avg_cost", F.col("avg_cost") * F.lit(NUDGE)), 10,
-                        "avg_cost", "model_avg_cost", "oracle_avg_cost")
+                    overhead=1e-5)
+    out = round_columns(round_means(out, "avg_cost"), 10, "model_avg_cost", "oracle_avg_cost")
     out = round_columns(out, 9, "total_cost")
     return round_columns(out, 8, "accuracy", "rank_score", "oracle_accuracy", "oracle_gap", "matched_cost_accuracy",
-                         "matched_accuracy_cost_reduction", "failure_auc", "brier", "ece", "risk_mean", "risk_std")
+                         "matched_accuracy_cost_reduction", "failure_auc", "risk_coverage_auc", "brier", "ece", "risk_mean", "risk_std")
 
 
 def fused(spark, sf):

@@ -10,6 +10,8 @@ from routeyard.operators import encoders as EN
 from routeyard.operators import features as FT
 from routeyard.operators import labels as L
 from routeyard.operators import learners as LN
+from routeyard.operators import policies as P
+from routeyard.operators.registry import union_all
 from routeyard.plans.catalog import query
 from routeyard.plans.catalog.aggregates import fused, typed
 from routeyard.plans.catalog.scalars import feature_vectors
@@ -29,35 +31,34 @@ def _routed(spark, sf, policy):
 
 @query("r8_one_vs_rest")
 def r8(spark, sf):
-    return _routed(spark, sf, LN.OneVsRestPolicy(D.MODEL_IDS, max_iter=30))
+    return _routed(spark, sf, LN.OneVsRestPolicy(D.MODEL_IDS))
 
 
 @query("r10_linear_hard")
 def r10_hard(spark, sf):
-    return _routed(spark, sf, LN.LinearPolicy(D.MODEL_IDS, max_iter=30))
+    return _routed(spark, sf, LN.LinearPolicy(D.MODEL_IDS))
 
 
 @query("r10_linear_soft")
 def r10_soft(spark, sf):
-    return _routed(spark, sf, LN.LinearPolicy(D.MODEL_IDS, lam=10.0, max_iter=30))
+    return _routed(spark, sf, LN.LinearPolicy(D.MODEL_IDS, lam=10.0))
 
 
 @query("r11_mlp_hard")
 def r11_hard(spark, sf):
-    return _routed(spark, sf, LN.MlpPolicy(D.MODEL_IDS, hidden=(16,), max_iter=20))
+    return _routed(spark, sf, LN.MlpPolicy(D.MODEL_IDS))
 
 
 @query("r11_mlp_soft")
 def r11_soft(spark, sf):
-    return _routed(spark, sf, LN.MlpPolicy(D.MODEL_IDS, hidden=(16,), lam=10.0, max_iter=20))
+    return _routed(spark, sf, LN.MlpPolicy(D.MODEL_IDS, lam=10.0))
 
 
 def _risk_policy(spark, sf, learner):
     o = _train_outcomes(spark, sf)
     vectors = persisted(feature_vectors(spark, sf), "vectors")
     profiles = FT.model_profiles(o, typed(spark, sf))
-    iterations = 5 if learner == "gbt" else 20
-    return LN.RiskPolicy(learner, max_iter=iterations).fit(o, vectors, profiles), vectors
+    return LN.RiskPolicy(learner).fit(o, vectors, profiles), vectors
 
 
 @query("r12_pairwise_risk")
@@ -79,9 +80,18 @@ def r14(spark, sf):
     return LN.behaviour_clusters(in_split("train"), D.MODEL_IDS, assign=in_split("dev"))
 
 
-@query("r19_text_vectors")
+@query("r19_text_vectors", f"""
+, words AS (SELECT sample_id, unnest(list_filter(regexp_split_to_array(lower(prompt), '[^A-Za-z0-9]+'), lambda w: w <> '')) AS w FROM samples),
+tf AS (SELECT sample_id, {D.bucket_sql("w")} % 128 AS i, count(*) AS n FROM words GROUP BY ALL),
+idf AS (SELECT i, ln(((SELECT count(*) FROM samples) + 1) / (count(*) + 1)) AS x FROM tf GROUP BY i),
+raw AS (SELECT sample_id, i, n * x AS x FROM tf JOIN idf USING (i)),
+size AS (SELECT sample_id, sqrt(sum(x * x)) AS s FROM raw GROUP BY sample_id)
+SELECT sample_id, i AS dim, round(x / s, 8) AS x FROM raw JOIN size USING (sample_id) WHERE abs(x / s) > 1e-7""")
 def r19(spark, sf):
-    return EN.hashed_text_vectors(D.samples(spark, sf), 128)
+    """The components that aren't zero."""
+    rows = EN.hashed_text_vectors(D.samples(spark, sf), 128)
+    long = rows.select("sample_id", F.posexplode("embedding").alias("dim", "x")).filter(F.abs("x") > 1e-7)
+    return long.select("sample_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 8).alias("x"))
 
 
 @query("x1_user_policy", """
@@ -90,13 +100,21 @@ def x1(spark, sf):
     return LN.ConstantPolicy().fit(D.outcomes(spark, sf)).route(D.samples(spark, sf))
 
 
-@query("x2_saved_policy")
+@query("x2_saved_policy", """, pool(policy) AS (VALUES ('KnnPolicy'), ('LinearPolicy'), ('OneVsRestPolicy'), ('PreferenceKnnPolicy'), ('PrototypePolicy'))
+SELECT policy, count(*) AS samples, 0::BIGINT AS differ FROM pool, features GROUP BY policy""")
 def x2(spark, sf):
-    """A fitted policy, saved, loaded and asked again."""
-    path = scratch_path(spark, "x2")
-    f = fused(spark, sf)
-    LN.LinearPolicy(D.MODEL_IDS, max_iter=10).fit(_train_outcomes(spark, sf), f).save(path)
-    return LN.LinearPolicy.load(spark, path).route(f)
+    """Fitted policies, saved, loaded and asked again: how many decisions differ."""
+    f, o = persisted(fused(spark, sf), "vectors"), _train_outcomes(spark, sf)
+    parts = []
+    for policy in (P.KnnPolicy(), LN.LinearPolicy(D.MODEL_IDS), LN.OneVsRestPolicy(D.MODEL_IDS),
+                   P.PreferenceKnnPolicy(), P.PrototypePolicy(D.MODEL_IDS)):
+        path = scratch_path(spark, "x2")
+        policy.fit(o, f).save(path)
+        again = type(policy).load(spark, path).route(f).withColumnRenamed("model_id", "again")
+        both = policy.route(f).join(again, "sample_id", "full")
+        parts.append(both.agg(F.lit(policy.name()).alias("policy"), F.count(F.lit(1)).alias("samples"),
+                              F.count_if(~F.col("model_id").eqNullSafe(F.col("again"))).alias("differ")))
+    return union_all(parts)
 
 
 def _letter_shares():

@@ -125,7 +125,7 @@ def r7(spark, sf):
                       F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-@query("r9_prototype_routing", """, vecs AS (SELECT sample_id, list_concat(text_vec, image_vec) AS v FROM features),
+PROTOTYPE_SQL = """vecs AS (SELECT sample_id, list_concat(text_vec, image_vec) AS v FROM features),
 ok AS (SELECT o.* FROM outcomes o JOIN (SELECT sample_id FROM outcomes GROUP BY sample_id HAVING max(quality) > 0) USING (sample_id)
        JOIN vecs USING (sample_id) JOIN meta USING (sample_id) WHERE split = 'train'),
 fit AS (SELECT DISTINCT sample_id, v FROM ok JOIN vecs USING (sample_id)),
@@ -136,7 +136,10 @@ z AS (SELECT sample_id, list_transform(z, lambda x: x / greatest(sqrt(list_dot_p
 p0 AS (SELECT model_id, i, avg(z[i]) AS x FROM ok JOIN z USING (sample_id), range(1, 65) t(i) WHERE quality > 0 GROUP BY ALL),
 p1 AS (SELECT model_id, list(x ORDER BY i) AS p FROM p0 GROUP BY model_id),
 p AS (SELECT model_id, list_transform(p, lambda x: x / greatest(sqrt(list_dot_product(p, p)), 1e-12)) AS p FROM p1),
-s AS (SELECT sample_id, model_id, list_dot_product(z, p) AS score FROM z, p)
+s AS (SELECT sample_id, model_id, list_dot_product(z, p) AS score FROM z, p)"""
+
+
+@query("r9_prototype_routing", f""", {PROTOTYPE_SQL}
 SELECT sample_id, model_id, round(exp(score) / sum(exp(score)) OVER (PARTITION BY sample_id), 8) AS probability,
   row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 10) DESC, model_id) = 1 AS chosen FROM s""")
 def r9(spark, sf):
@@ -261,3 +264,18 @@ SELECT split, dataset, {SCORE_COLS} FROM g, bounds""")
 def r18(spark, sf):
     m = D.meta(spark, sf)
     return score_rounded(RP.run_report(P.random_route(m, D.MODEL_IDS, 7), m, D.stored_outcomes(spark, sf)))
+
+
+@query("r18_fitted_report", f", {PROTOTYPE_SQL}, {BOUNDS_SQL}, " + f"""
+choice AS (SELECT sample_id, arg_min(model_id, row(-round(score, 10), model_id)) AS model_id FROM s GROUP BY sample_id),
+g AS (SELECT split, dataset, {_SCORE} FROM choice JOIN meta USING (sample_id) LEFT JOIN outcomes USING (sample_id, model_id)
+      GROUP BY GROUPING SETS ((split), (split, dataset)))
+SELECT split, dataset, {SCORE_COLS} FROM g, bounds""")
+def r18_fitted(spark, sf):
+    """A policy fitted on the training split, scored on every split."""
+    m, o = D.meta(spark, sf), D.stored_outcomes(spark, sf)
+    f = persisted(fused(spark, sf), "vectors")
+    train = m.filter("split = 'train'").select("sample_id").join(f.select("sample_id"), "sample_id")
+    policy = P.PrototypePolicy(D.MODEL_IDS).fit(o.join(train, "sample_id", "left_semi"), f)
+    chosen = L.argmax(policy.scores(f).withColumn("score", F.round("score", 10)))
+    return score_rounded(RP.run_report(chosen, m, o))

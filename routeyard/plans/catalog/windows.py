@@ -197,14 +197,15 @@ def u1(spark, sf):
 
 
 @query("u2_upsert", """
-SELECT o_orderkey::VARCHAR AS sample_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders
+SELECT o_orderkey::VARCHAR AS sample_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new2' ELSE o_orderstatus END AS state FROM orders
 WHERE o_orderkey % 4 <> 1 OR o_orderkey % 3 = 0""")
 def u2(spark, sf):
     o = D.table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string").alias("sample_id")
     cache = o.filter("o_orderkey % 4 <> 1").select(key, F.col("o_orderstatus").alias("state"))
-    fresh = o.filter("o_orderkey % 3 = 0").select(key, F.lit("new").alias("state"))
-    return G.upsert(cache, fresh)
+    times = F.explode(F.array(F.lit(2), F.lit(0), F.lit(1))).alias("seq")
+    fresh = o.filter("o_orderkey % 3 = 0").select(key, times).withColumn("state", F.concat(F.lit("new"), "seq"))
+    return G.upsert(cache, fresh, order=["seq"]).drop("seq")
 
 
 @query("u3_intersection", "SELECT l_suppkey AS k FROM lineitem INTERSECT SELECT c_nationkey FROM customer")

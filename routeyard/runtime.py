@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space, checked broadcasts, hot-key lookups."""
+"""Session helpers: shared scratch space, hot-key lookups."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer sent to every executor.
-BROADCAST_ROWS = 100_000
 # A key is hot when it holds at least this share of the rows; at most 1/share keys can be.
 HOT_SHARE = 1 / 256
 
@@ -70,15 +68,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small.
-
-    Beyond ``max_rows`` the join is left to Catalyst (sort-merge, with AQE
-    splitting skewed partitions).
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
            spread_by: list[str] | None = None, salts: int = 32) -> DataFrame:
     """Equi-join onto a table with one row per key when some keys are hot.
@@ -92,7 +81,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     counts = left.filter(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("t")).scalar()
-    hot = (counts.filter(F.col("__n") >= F.greatest(total * F.lit(HOT_SHARE), F.lit(1000.0)))
+    hot = (counts.filter(F.col("__n") >= total * F.lit(HOT_SHARE))
            .select(*keys, F.lit(True).alias("__hot")))
     spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
     lhs = (left.join(F.broadcast(hot), keys, "left")

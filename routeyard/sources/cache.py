@@ -17,9 +17,12 @@ def todo(requested: DataFrame, cache: DataFrame, force: bool = False) -> DataFra
 
 
 def refresh(requested: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame],
-            force: bool = False) -> DataFrame:
-    """The cache after computing the missing rows; absent numbers become 0."""
-    merged = upsert(cache, compute(todo(requested, cache, force)))
+            force: bool = False, order: list[str] = ()) -> DataFrame:
+    """The cache after computing the missing rows; absent numbers become 0.
+
+    Of rows computed more than once the last in ``order`` stays.
+    """
+    merged = upsert(cache, compute(todo(requested, cache, force)), order=order)
     for c in V.EVIDENCE_COLUMNS:
         value = F.coalesce(F.expr(f"try_cast({c} AS DOUBLE)"), F.lit(0.0)) if c in merged.columns else F.lit(0.0)
         merged = merged.withColumn(c, value)

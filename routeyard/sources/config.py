@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +33,31 @@ def token_prices(pricing: DataFrame) -> DataFrame:
     return pricing.filter(F.col("type") == "token_based").select("model_id", "input_price", "output_price")
 
 
-def load_models(path: str | None = None, exclude: list[str] = ()) -> list[str]:
-    """The model pool, or the default pool where no configuration can be read."""
-    pool = list(V.DEFAULT_MODELS)
+def load_models(path: str | None = None, exclude: list[str] = (), count: int | None = None) -> list[str]:
+    """The model pool: YAML with ``models``, JSON with ``models`` of ``name``s, or a text file of one name per line.
+
+    Where the file can't be read it is ``model_{i}`` for a given ``count``,
+    else the default pool.
+    """
+    pool = list(V.DEFAULT_MODELS) if count is None else [f"model_{i}" for i in range(count)]
     if path is not None:
         try:
-            pool = list(_yaml(path)["models"])
+            pool = _names(path)
         except (OSError, KeyError):
             pass
     return [m for m in pool if m not in set(exclude)]
 
 
+def _names(path: str) -> list[str]:
+    if path.endswith(".txt"):
+        with open(path, encoding="utf-8") as handle:
+            return [line.strip() for line in handle if line.strip()]
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as handle:
+            return [m["name"] for m in json.load(handle)["models"]]
+    return list(_yaml(path)["models"])
+
+
 def model_pool(models: DataFrame, excluded: DataFrame) -> DataFrame:
     """The pool as a table, without the excluded models; a missing name is ``model_{i}``."""
     named = models.withColumn("model_id", F.coalesce(

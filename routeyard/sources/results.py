@@ -46,9 +46,13 @@ def file_row_numbers(df: DataFrame) -> DataFrame:
 
 def _located(df: DataFrame, pool: list[str]) -> DataFrame:
     # a table written by Spark is a folder of part files; the folder carries the name
-    path = F.col("file_path") if "file_path" in df.columns else F.col("_metadata.file_path")
+    numbered = "file_path" in df.columns
+    path = F.col("file_path") if numbered else F.col("_metadata.file_path")
+    block = F.lit(0).cast("bigint") if numbered else F.col("_metadata.file_block_start")
+    inside = F.col("file_row").cast("bigint") if numbered else F.monotonically_increasing_id()
     with_path = df.withColumn("file", F.regexp_replace(path, "/part-[^/]*$", ""))
-    return (with_path.withColumn("row_num", F.monotonically_increasing_id())
+    # part file, then block, then row: the order doesn't depend on which files share a task
+    return (with_path.withColumn("row_num", F.struct(path.alias("part"), block.alias("block"), inside.alias("row")))
             .withColumn("model_id", N.model_of_path(F.col("file"), pool))
             .withColumn("dataset", N.dataset_of_path(F.col("file"), F.col("model_id"))))
 

@@ -16,16 +16,20 @@ from routeyard.operators.registry import upsert
 
 def upsert_stream(spark: SparkSession, source: str, schema: str, cache: str, checkpoint: str,
                   keys: list[str] = ("sample_id",),
-                  prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+                  prepare: Callable[[DataFrame], DataFrame] | None = None,
+                  start: str | None = None, order: list[str] = ()) -> StreamingQuery:
     """Process all files that are new since the last run, then stop.
 
+    The first batch is merged into the cache at ``start``, if one is given.
     Generation ``n`` of the cache is ``{cache}/v{n + 1}``; the batch number
     names it, so a batch that is run again replaces its own output only.
+    Of several fresh rows of a key the last in ``order`` wins.
     """
     def merge(batch: DataFrame, n: int) -> None:
         fresh = batch if prepare is None else prepare(batch)
-        before = spark.read.schema(fresh.schema).parquet(f"{cache}/v{n}") if n else fresh.limit(0)
-        upsert(before, fresh, list(keys)).write.mode("overwrite").parquet(f"{cache}/v{n + 1}")
+        path = f"{cache}/v{n}" if n else start
+        before = fresh.limit(0) if path is None else spark.read.schema(fresh.schema).parquet(path)
+        upsert(before, fresh, list(keys), order).write.mode("overwrite").parquet(f"{cache}/v{n + 1}")
 
     return (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -154,7 +154,7 @@ def test_hot_tie_is_spread_over_ranges(spark):
                                     F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.col("id") * 1.0).alias("risk"),
                                     F.lit(1.0).alias("correct"))
     tie = S.hash_bucket(F.col("sample_id")) / F.lit(float(2 ** 32))
-    ranged = PX.with_range(rows.withColumn("t", tie), "risk", {"n": F.lit(1)}, "t")
+    ranged = PX.with_range(rows.withColumn("t", tie), "risk", "t", 64)
     sizes = ranged.filter("risk = 1.0").groupBy("__range").count().collect()
     assert len(sizes) > 20 and max(r["count"] for r in sizes) < 5000 / 10
 
@@ -263,6 +263,53 @@ def test_upsert_newest_wins(spark):
     assert as_dict(G.upsert(old, new), "sample_id", "v") == {"a": 1, "b": 3, "c": 4}
 
 
+def test_upsert_with_repeated_fresh_keys(spark):
+    old = spark.createDataFrame([("a", 1, "x")], "sample_id string, seq int, v string")
+    new = spark.createDataFrame([("a", 5, "q"), ("a", 9, "b"), ("a", 7, "z"), ("n", 1, "r"), ("n", 1, "s")],
+                                "sample_id string, seq int, v string")
+    for n in (1, 7):
+        got = as_dict(G.upsert(old, new.repartition(n), order=["seq"]), "sample_id", "v")
+        assert got == {"a": "b", "n": "s"}
+
+
+def test_missing_costs_and_scores_come_last(spark):
+    nan = float("nan")
+    o = spark.createDataFrame([("s", "a", 1, None), ("s", "b", 1, 2.0), ("s", "c", 1, nan), ("t", "b", 1, nan),
+                               ("t", "a", 1, None), ("t", "c", 0, nan)], OUTCOME)
+    samples = spark.createDataFrame([("s",)], "sample_id string")
+    assert P.cheapest_global(samples, o).first()["model_id"] == "b"
+    wins = {(r["sample_id"], r["model_id"]): r["wins"] for r in NN.pairwise_wins(o).collect()}
+    assert wins["s", "b"] == 2 and wins["s", "a"] == wins["s", "c"] == 0
+    assert wins["t", "a"] == wins["t", "b"] == 1
+    scored = spark.createDataFrame([("s", "a", None), ("s", "b", 0.1), ("s", "c", nan), ("t", "b", None), ("t", "a", nan)],
+                                   "sample_id string, model_id string, score double")
+    for pick in (L.argmax(scored), L.argmin(scored, "score")):
+        assert as_dict(pick, "sample_id", "model_id") == {"s": "b", "t": "a"}
+
+
+def test_unknown_models_count_as_wrong_everywhere(spark):
+    o = spark.createDataFrame([("s", "a", 1, 2.0), ("t", "a", 1, 2.0)], OUTCOME)
+    d = spark.createDataFrame([("s", "a"), ("t", "nobody")], "sample_id string, model_id string")
+    b = spark.createDataFrame([(1.0, 4.0)], "cmin double, cmax double")
+    one, two = E.score(E.gather(d, o), b).first(), E.summary(d, o, b).first()
+    assert one["accuracy"] == two["accuracy"] == 0.5 and one["avg_cost"] == two["avg_cost"] == 1.0
+
+
+def test_lookups_do_not_repeat_rows(spark):
+    from routeyard.operators import assets as A
+
+    long_one, long_two = "x" * 100, "y" * 100
+    rows = spark.createDataFrame([("1", long_one, 0), ("1", long_two, 1), ("2", "1", 2)], "index string, image string, at int")
+    got = A.resolve_references(rows, order="at").collect()
+    assert len(got) == 3 and [r["image"] for r in got if r["index"] == "2"] == [long_two]
+    meta = spark.createDataFrame([("s", "p.png")], "sample_id string, image_path string")
+    samples = spark.createDataFrame([("s", "old", 0), ("s", "new", 1)], "sample_id string, prompt string, at int")
+    got = A.attach_samples(meta, samples, order="at").collect()
+    assert [r["text"] for r in got] == ["new"]
+    none = A.attach_samples(meta, samples.filter("sample_id = 'z'")).first()
+    assert not none["matched"] and [a["uri"] for a in none["assets"]] == ["p.png"]
+
+
 def test_model_split():
     pool = ["lab/a", "b", "c"]
     assert X.model_split(pool, ["A"]) == (["b", "c"], ["lab/a"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
-from routeyard.runtime import broadcast_checked, scratch_path, shared_dir
+from routeyard.runtime import scratch_path, shared_dir
 from routeyard.sources import config, reports, results, tables
 from routeyard.streaming.incremental import upsert_stream
 
@@ -43,12 +43,6 @@ def test_shared_dir():
         shared_dir(FakeSession("yarn"))
 
 
-def test_broadcast_only_small_sides(spark):
-    big, small = spark.range(50), spark.range(5)
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(broadcast_checked(small, 10)) and not hinted(broadcast_checked(big, 10))
-
-
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"), [1.0, float("inf")]), (2.0, [3.0, 4.0])], "x double, v array<double>")
     assert [tuple(r) for r in reports.jsonable(df).collect()] == [(None, [1.0, None]), (2.0, [3.0, 4.0])]
@@ -101,6 +95,27 @@ def test_stream_upserts_new_files(spark, tmp_path):
     assert got == {"a": 1, "b": 3, "c": 4}
 
 
+def test_stream_starts_from_a_cache(spark, tmp_path):
+    src, cache, ck, old = (str(tmp_path / n) for n in ("in", "cache", "ck", "old"))
+    schema = "sample_id string, v int"
+    spark.createDataFrame([("a", 1), ("z", 9)], schema).write.parquet(old)
+    spark.createDataFrame([("a", 2)], schema).write.parquet(src)
+    q = upsert_stream(spark, src, schema, cache, ck, start=old)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert {r["sample_id"]: r["v"] for r in spark.read.parquet(f"{cache}/v1").collect()} == {"a": 2, "z": 9}
+
+
+def test_model_pools_from_files(tmp_path):
+    from routeyard.sources.config import load_models
+
+    (tmp_path / "m.txt").write_text("a\n\n b \n")
+    (tmp_path / "m.json").write_text('{"models": [{"name": "x"}, {"name": "y"}]}')
+    assert load_models(str(tmp_path / "m.txt")) == ["a", "b"]
+    assert load_models(str(tmp_path / "m.json"), exclude=["y"]) == ["x"]
+    assert load_models(str(tmp_path / "none.txt"), count=2) == ["model_0", "model_1"]
+
+
 def test_legacy_model_folder(spark):
     from routeyard.functions import names as N
 
