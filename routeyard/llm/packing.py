@@ -84,13 +84,14 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int, final: boo
 
 
 def cut_places(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, sentence_penalty: float,
-               token_penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places at which a stream may be cut, and what a cut costs there."""
+               token_penalty: float, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which a stream may be cut, less than a window apart, and what a cut costs there."""
+    spacing = max(1, min(GRID, window // 4))
     sentences = np.flatnonzero(ends_sentence[ids]) + 1
     near = np.unique(np.concatenate([[0], sentences, doc_ends, [len(ids)]]))
     gaps = np.diff(near)
-    wide = np.flatnonzero(gaps > 2 * GRID)
-    grid = [np.arange(near[i] + GRID, near[i + 1] - GRID // 2, GRID) for i in wide.tolist()]
+    wide = np.flatnonzero(gaps > 2 * spacing)
+    grid = [np.arange(near[i] + spacing, near[i + 1] - spacing // 2, spacing) for i in wide.tolist()]
     places = np.unique(np.concatenate([near, *grid]))
     fee = np.full(int(places[-1]) + 1, token_penalty)
     fee[sentences] = sentence_penalty
@@ -118,7 +119,7 @@ class Packer:
     def settle(self, final: bool) -> dict:
         ids = np.concatenate([d[1] for d in self.docs])
         doc_ends = np.cumsum([len(d[1]) for d in self.docs])
-        places, fees = cut_places(ids, doc_ends, self.ends_sentence, *self.fees)
+        places, fees = cut_places(ids, doc_ends, self.ends_sentence, *self.fees, self.window)
         cuts = places[best_cuts(places, fees, self.window, final)]
         done = int(cuts[-1])
         bounds = np.unique(np.concatenate([cuts, doc_ends[doc_ends < done]]))
