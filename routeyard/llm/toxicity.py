@@ -217,7 +217,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                 key = np.unique(doc[here] * max(1, len(chosen)) + at[here])
                 z = np.bincount(key // max(1, len(chosen)), weights[key % max(1, len(chosen))] if len(chosen) else None,
                                 minlength=part.num_rows) + bias
-                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                with np.errstate(over="ignore"):
+                    p = 1 / (1 + np.exp(-z))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())],
                                                  names=[*part.schema.names, "__score"])
 
