@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
 from routeyard.functions.texts import ASSET_TYPE, asset, asset_list
-from routeyard.runtime import lookup
 
 REFERENCE_LENGTH = 64
 
@@ -17,17 +16,17 @@ def resolve_references(rows: DataFrame, index: str = "index", image: str = "imag
     """A short image value that names another row's key takes that row's long value.
 
     One hop only.  Of several rows with the key the last in ``order`` counts
-    (without it, the largest value), so no row is repeated.  Very many rows may name the same key, so the lookup spreads
-    hot keys, and content that no row names does not take part in it.
+    (without it, the largest value), so no row is repeated.  Content that no
+    row names takes no part.  A key that very many rows name makes a skewed
+    join, which adaptive execution splits.
     """
     short = F.length(image) <= REFERENCE_LENGTH
     last = F.struct(*([F.col(order)] if order else []), F.col(image).alias("__content"))
-    content = (rows.filter(~short).groupBy(F.col(index).cast("string").alias("__ref"))
-               .agg(F.max(last)["__content"].alias("__content")))
     refs = rows.filter(short).withColumn("__ref", F.col(image))
-    wanted = content.join(refs.select("__ref").distinct(), "__ref", "left_semi")
-    resolved = lookup(refs, wanted, ["__ref"], spread_by=[index]).withColumn(
-        image, F.coalesce("__content", image))
+    named = rows.filter(~short).withColumn("__ref", F.col(index).cast("string")).join(
+        refs.select("__ref").distinct(), "__ref", "left_semi")
+    content = named.groupBy("__ref").agg(F.max(last)["__content"].alias("__content"))
+    resolved = refs.join(content, "__ref", "left").withColumn(image, F.coalesce("__content", image))
     return rows.filter(~short | F.col(image).isNull()).unionByName(resolved.select(*rows.columns))
 
 

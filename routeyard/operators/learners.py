@@ -20,7 +20,7 @@ from routeyard.functions.scores import normalize_cost, stable_unit
 from routeyard.operators.features import fit_standardizer, model_profiles, one_hot, standardize
 from routeyard.operators.labels import argmax, argmin, hard_labels, is_correct, soft_targets, solvable
 from routeyard.operators.policy import Policy, read_settings, write_tables
-from routeyard.runtime import finite, persisted
+from routeyard.runtime import finite, persisted, scratch_path
 
 
 class ConstantPolicy(Policy):
@@ -83,8 +83,10 @@ class OneVsRestPolicy(_FeaturePolicy):
 
     def fit(self, outcomes, features, meta=None):
         kept, rows = self._training(outcomes, features)
-        train = persisted(rows.join(kept.select("sample_id", "model_id", is_correct().cast("double").alias("label")),
-                                    "sample_id"), "ovr")
+        spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "ovr")
+        pairs = rows.join(kept.select("sample_id", "model_id", is_correct().cast("double").alias("label")), "sample_id")
+        pairs.write.partitionBy("model_id").parquet(path)       # each head reads its own folder only
+        train = spark.read.schema(pairs.schema).parquet(path)
         counts = {r["model_id"]: (r["pos"], r["n"]) for r in train.groupBy("model_id").agg(
             F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()}
 

@@ -47,30 +47,19 @@ def strongest_per_dataset(samples: DataFrame, fit: DataFrame, meta: DataFrame) -
     return joined.select("sample_id", F.coalesce("model_id", first).alias("model_id"))
 
 
-def random_route(samples: DataFrame, models: list[str], seed: int = 42) -> DataFrame:
-    """A repeatable random model per sample."""
+def random_model(models: list[str], seed: int = 42) -> Column:
+    """A repeatable random model for the row's sample."""
     pool = F.array(*[F.lit(m) for m in models])
     i = hash_bucket(F.concat(F.col("sample_id"), F.lit(f"|{seed}"))) % len(models)
-    return samples.select("sample_id", F.element_at(pool, i.cast("int") + 1).alias("model_id"))
+    return F.element_at(pool, i.cast("int") + 1)
 
 
-def oracle(outcomes: DataFrame) -> DataFrame:
-    return oracle_route(outcomes).select("sample_id", "model_id")
+def random_route(samples: DataFrame, models: list[str], seed: int = 42) -> DataFrame:
+    return samples.select("sample_id", random_model(models, seed).alias("model_id"))
 
 
-def baseline_decisions(samples: DataFrame, test: DataFrame, fit: DataFrame, meta: DataFrame,
-                       models: list[str], seed: int = 42) -> DataFrame:
-    """Decisions of the five baselines on the same samples, tagged by router."""
-    named = {"strongest_global": strongest_global(samples, fit),
-             "strongest_per_dataset": strongest_per_dataset(samples, fit, meta),
-             "cheapest_global": cheapest_global(samples, fit),
-             "oracle": oracle(test),
-             "random": random_route(samples, models, seed)}
-    parts = [d.select(F.lit(n).alias("router"), "sample_id", "model_id") for n, d in named.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def oracle(outcomes: DataFrame) -> DataFrame:
+    return oracle_route(outcomes).select("sample_id", "model_id")
 
 
 class PrototypePolicy(Policy):

@@ -1,18 +1,14 @@
-"""Session helpers: shared scratch space, hot-key lookups."""
+"""Session helpers: shared scratch space and small expressions."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least this share of the rows; at most 1/share keys can be.
-HOT_SHARE = 1 / 256
-
-
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -25,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
@@ -68,32 +64,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-           spread_by: list[str] | None = None, salts: int = 32) -> DataFrame:
-    """Equi-join onto a table with one row per key when some keys are hot.
-
-    Rows of a hot key are spread over ``salts`` partitions by a hash of
-    ``spread_by`` (default: all left columns), and only the right rows of hot
-    keys are repeated.  The set of hot keys has at most
-    ``1 / HOT_SHARE`` rows by construction, which is what makes it safe to
-    broadcast.
-    """
-    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counts = left.filter(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("t")).scalar()
-    hot = (counts.filter(F.col("__n") >= total * F.lit(HOT_SHARE))
-           .select(*keys, F.lit(True).alias("__hot")))
-    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
-    lhs = (left.join(F.broadcast(hot), keys, "left")
-           .withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0)))
-           .drop("__hot"))
-    rhs = (right.join(F.broadcast(hot), keys, "left")
-           .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                           .otherwise(F.array(F.lit(0)))))
-           .drop("__hot"))
-    return lhs.join(rhs, [*keys, "__salt"], how).drop("__salt")
-
-
 def finite(c: Column | str) -> Column:
     """True for a number that is neither NULL, NaN nor infinite."""
     c = F.col(c) if isinstance(c, str) else c

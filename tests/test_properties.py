@@ -18,7 +18,6 @@ from routeyard.operators import policies as P
 from routeyard.operators import prefix as PX
 from routeyard.operators import quantiles as Q
 from routeyard.operators import registry as G
-from routeyard.runtime import lookup
 
 OUTCOME = "sample_id string, model_id string, quality int, cost double"
 
@@ -239,17 +238,6 @@ def test_exact_hit_outvotes(spark):
     assert NN.knn_route(n, lab, "uniform").first()["model_id"] == "m2"
 
 
-def test_lookup_with_a_hot_key(spark):
-    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
-        F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).alias("key"))
-    left = left.withColumn("key", F.when(F.col("id") != 7, F.col("key")))
-    right = spark.range(400).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("v"))
-    right = right.unionByName(spark.createDataFrame([("hot", -1)], "key string, v bigint"))
-    got = lookup(left, right, ["key"], spread_by=["id"])
-    assert got.exceptAll(left.join(right, "key", "left").select(got.columns)).count() == 0
-    assert got.count() == 6000
-
-
 def test_results_do_not_depend_on_partitions(spark, sf):
     o = D.outcomes(spark, sf)
     a = L.soft_targets(o.repartition(1), 3.0)
