@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,7 +44,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
