@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel, MultilayerPerceptronClassificationModel,
                                        MultilayerPerceptronClassifier)
@@ -16,7 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routeyard import fixed_values as V
 from routeyard.functions.scores import normalize_cost, stable_unit
+from routeyard.functions.vectors import dot
 from routeyard.operators.features import fit_standardizer, model_profiles, one_hot, standardize
 from routeyard.operators.labels import argmax, argmin, hard_labels, is_correct, soft_targets, solvable
 from routeyard.operators.policy import Policy, read_settings, write_tables
@@ -262,8 +265,29 @@ class RiskPolicy(Policy):
         self.model = est.fit(train)
         return self
 
+    def _logistic_risks(self, samples: DataFrame, profiles: DataFrame) -> DataFrame:
+        """The linear score falls into a part of the sample, computed once, and one number per model and query type."""
+        w = self.model.coefficients.toArray()
+        rows = standardize(profiles, "profile", self.profile_scaler).orderBy("model_id").collect()
+        width, kinds = len(rows[0]["profile"]), list(V.QUERY_TYPES)
+        dim = len(w) - width * (1 + len(kinds))
+        of_sample, of_model, crossed = w[:dim], w[dim:dim + width], w[dim + width:].reshape(len(kinds), width)
+        plain = [(r["model_id"], float(of_model @ np.array(r["profile"])) + self.model.intercept, crossed @ np.array(r["profile"]))
+                 for r in rows]
+        as_map = lambda extra: F.create_map(*[F.lit(x) for k, e in zip(kinds, extra.tolist()) for x in (k, e)])
+        models = F.array(*[F.struct(F.lit(m).alias("model_id"), (F.lit(a) + F.coalesce(
+            as_map(extra)[F.col("query_type")], F.lit(0.0))).alias("z")) for m, a, extra in plain])
+        own = dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in of_sample]))
+        scored = standardize(samples, "vec", self.sample_scaler).select(
+            "sample_id", own.alias("own"), F.explode(models).alias("m"))
+        return scored.select("sample_id", "m.model_id", (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("own") + F.col("m.z")))))
+                             .alias("risk"))
+
     def risks(self, samples: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-        pairs = self._pairs(samples, self.profiles if profiles is None else profiles)
+        profiles = self.profiles if profiles is None else profiles
+        if self.learner == "logistic":
+            return self._logistic_risks(samples, profiles)
+        pairs = self._pairs(samples, profiles)
         return self.model.transform(pairs).select(
             "sample_id", "model_id", F.element_at(vector_to_array("probability"), 2).alias("risk"))
 
