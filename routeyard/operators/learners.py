@@ -80,9 +80,10 @@ class _FeaturePolicy(Policy):
 class OneVsRestPolicy(_FeaturePolicy):
     """One balanced logistic head per model for P(correct)."""
 
-    def __init__(self, models: list[str], max_iter: int = 1000, reg: float = 1e-3, threads: int = 4):
+    def __init__(self, models: list[str], max_iter: int = 1000, reg: float = 1e-3, threads: int = 4,
+                 tol: float = 1e-6):
         super().__init__(models)
-        self.max_iter, self.reg, self.threads = max_iter, reg, threads
+        self.max_iter, self.reg, self.threads, self.tol = max_iter, reg, threads, tol
 
     def fit(self, outcomes, features, meta=None):
         kept, rows = self._training(outcomes, features)
@@ -99,7 +100,7 @@ class OneVsRestPolicy(_FeaturePolicy):
                 return None
             weight = F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * max(n - pos, 1)))
             data = train.filter(F.col("model_id") == model).withColumn("w", weight)
-            return LogisticRegression(maxIter=self.max_iter, regParam=self.reg, weightCol="w",
+            return LogisticRegression(maxIter=self.max_iter, regParam=self.reg, weightCol="w", tol=self.tol,
                                       standardization=False).fit(data)
 
         with ThreadPoolExecutor(self.threads) as pool:
@@ -145,9 +146,10 @@ class LinearPolicy(_FeaturePolicy):
     """
 
     def __init__(self, models: list[str], lam: float | None = None, cost_scale: float = 100.0,
-                 max_iter: int = 200, reg: float = 1e-3, l1: float = 0.0):
+                 max_iter: int = 200, reg: float = 1e-3, l1: float = 0.0, tol: float = 1e-6):
         super().__init__(models)
         self.lam, self.cost_scale, self.max_iter, self.reg, self.l1 = lam, cost_scale, max_iter, reg, l1
+        self.tol = tol
 
     def fit(self, outcomes, features, meta=None):
         kept, rows = self._training(outcomes, features)
@@ -157,7 +159,7 @@ class LinearPolicy(_FeaturePolicy):
         classes = train.limit(1).withColumn("label", F.lit(float(len(self.models) - 1))).withColumn("target", F.lit(0.0))
         self.model = LogisticRegression(
             family="multinomial", maxIter=self.max_iter, regParam=self.reg, elasticNetParam=self.l1,
-            weightCol="target", standardization=False).fit(train.unionByName(classes))
+            weightCol="target", tol=self.tol, standardization=False).fit(train.unionByName(classes))
         return self
 
     def scores(self, features):
@@ -227,8 +229,8 @@ class RiskPolicy(Policy):
     """
 
     def __init__(self, learner: str = "logistic", max_iter: int | None = None, reg: float = 1e-3, seed: int = 42,
-                 lam: float = 0.0):
-        self.learner, self.reg, self.seed, self.lam = learner, reg, seed, lam
+                 lam: float = 0.0, tol: float = 1e-6):
+        self.learner, self.reg, self.seed, self.lam, self.tol = learner, reg, seed, lam, tol
         # the logistic fit ends at its tolerance; trees have no such end, so their number is the setting
         self.max_iter = max_iter or (100 if learner == "gbt" else 1000)
 
@@ -261,7 +263,7 @@ class RiskPolicy(Policy):
         if self.learner == "gbt":
             est = GBTClassifier(maxIter=self.max_iter, maxDepth=4, seed=self.seed)
         else:
-            est = LogisticRegression(maxIter=self.max_iter, regParam=self.reg, standardization=False)
+            est = LogisticRegression(maxIter=self.max_iter, regParam=self.reg, tol=self.tol, standardization=False)
         self.model = est.fit(train)
         return self
 

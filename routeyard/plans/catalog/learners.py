@@ -13,7 +13,7 @@ from routeyard.operators import learners as LN
 from routeyard.operators import policies as P
 from routeyard.operators.registry import union_all
 from routeyard.plans.catalog import query
-from routeyard.plans.catalog.aggregates import fused, typed
+from routeyard.plans.catalog.aggregates import fused, soft_sql, typed
 from routeyard.plans.catalog.scalars import feature_vectors
 from routeyard.runtime import persisted, scratch_path
 
@@ -73,6 +73,96 @@ def r12_trees(spark, sf):
     return policy.risks(vectors)
 
 
+# A logistic fit whose intercepts aren't penalised reproduces the mean of its targets, which SQL can compute.
+TIGHT, CLOSE = 1e-9, 2e-3
+OK_SQL = """train_ids AS (SELECT sample_id FROM meta JOIN features USING (sample_id) WHERE split = 'train'),
+ok AS (SELECT o.* FROM outcomes o JOIN train_ids USING (sample_id)
+       JOIN (SELECT sample_id FROM outcomes GROUP BY sample_id HAVING max(quality) > 0) USING (sample_id))"""
+
+
+def _solvable_training(spark, sf):
+    o = _train_outcomes(spark, sf)
+    f = persisted(fused(spark, sf), "vectors")
+    kept = persisted(L.solvable(o), "solvable")
+    return o, f, kept, f.join(kept.select("sample_id").distinct(), "sample_id", "left_semi")
+
+
+@query("r8_fit_moments", f""", {OK_SQL}
+SELECT model_id, count(*) AS samples, sum(quality)::BIGINT AS correct, TRUE AS met FROM ok GROUP BY model_id HAVING sum(quality) > 0""")
+def r8_moments(spark, sf):
+    """Every head's balanced mean probability on its training rows is one half."""
+    o, f, kept, rows = _solvable_training(spark, sf)
+    scores = LN.OneVsRestPolicy(D.MODEL_IDS, tol=TIGHT).fit(o, f).scores(rows)
+    both = scores.join(kept.select("sample_id", "model_id", "quality"), ["sample_id", "model_id"])
+    side = lambda q: F.avg(F.when(F.col("quality") == q, F.col("score")))
+    middle = F.coalesce((side(1) + side(0)) / 2, F.lit(0.5))        # a model that is always right has one side only
+    return both.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("quality").cast("bigint").alias("correct"),
+        (F.abs(middle - 0.5) < CLOSE).alias("met")).filter("correct > 0")
+
+
+@query("r10_fit_moments", f""", {OK_SQL}, {soft_sql(10.0)},
+hard AS (SELECT arg_min(model_id, row(-quality, cost, model_id)) AS model_id FROM ok GROUP BY sample_id),
+total AS (SELECT count(*) AS n FROM hard),
+means AS (SELECT 'hard' AS kind, model_id, count(*) / (SELECT n FROM total) AS target FROM hard GROUP BY model_id
+  UNION ALL SELECT 'soft', model_id, avg(target) FROM soft WHERE sample_id IN (SELECT sample_id FROM ok) GROUP BY model_id)
+SELECT kind, model_id, round(target, 9) AS target, TRUE AS met FROM means WHERE target > 0""")
+def r10_moments(spark, sf):
+    """Every model's mean probability on the training rows is its mean target."""
+    o, f, kept, rows = _solvable_training(spark, sf)
+    parts = []
+    for kind, lam in (("hard", None), ("soft", 10.0)):
+        scores = LN.LinearPolicy(D.MODEL_IDS, lam=lam, max_iter=1000, tol=TIGHT).fit(o, f).scores(rows)
+        both = scores.join(L.soft_targets(kept, lam), ["sample_id", "model_id"])
+        parts.append(both.groupBy("model_id").agg(F.avg("target").alias("target"), F.avg("score").alias("p")).filter(
+            "target > 0").select(F.lit(kind).alias("kind"), "model_id", F.round("target", 9).alias("target"),
+                                 (F.abs(F.col("p") - F.col("target")) < CLOSE).alias("met")))
+    return union_all(parts)
+
+
+@query("r11_probabilities", f""", {OK_SQL}
+SELECT count(*) AS samples, TRUE AS sums, TRUE AS better FROM features""")
+def r11_probabilities(spark, sf):
+    """A perceptron's probabilities add up to one, and it answers the training samples better than the cheapest model."""
+    o, f, kept, rows = _solvable_training(spark, sf)
+    policy = LN.MlpPolicy(D.MODEL_IDS).fit(o, f)
+    scores = persisted(policy.scores(f), "scores")
+    right = lambda d: d.join(kept, ["sample_id", "model_id"]).agg(F.avg("quality").alias("a")).scalar()
+    sums = scores.groupBy("sample_id").agg(F.sum("score").alias("s"))
+    return sums.agg(F.count(F.lit(1)).alias("samples"), F.every(F.abs(F.col("s") - 1) < 1e-9).alias("sums"),
+                    (F.any_value(right(L.argmax(scores))) > F.any_value(right(P.cheapest_global(rows, o)))).alias("better"))
+
+
+@query("r12_fit_moments", f""", {OK_SQL}
+SELECT count(*) AS pairs, round(avg(1 - quality), 9) AS failures, TRUE AS met FROM outcomes JOIN train_ids USING (sample_id)""")
+def r12_moments(spark, sf):
+    """The mean risk on the training pairs is their failure rate."""
+    o = _train_outcomes(spark, sf)
+    vectors = persisted(feature_vectors(spark, sf), "vectors")
+    policy = LN.RiskPolicy(tol=TIGHT).fit(o, vectors, FT.model_profiles(o, typed(spark, sf)))
+    both = policy.risks(vectors).join(o, ["sample_id", "model_id"])
+    return both.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.lit(1) - F.col("quality")), 9).alias("failures"),
+                    (F.abs(F.avg("risk") - F.avg(F.lit(1) - F.col("quality"))) < CLOSE).alias("met"))
+
+
+@query("r14_cluster_centres", """, t AS (SELECT sample_id FROM meta WHERE split = 'train' AND sample_id IN (SELECT sample_id FROM outcomes))
+SELECT count(*) AS samples, TRUE AS nearest FROM t""")
+def r14_centres(spark, sf):
+    """Every training sample is nearest to the mean of its own cluster, but for what the fit's tolerance allows."""
+    ids = D.meta(spark, sf).filter("split = 'train'").select("sample_id")
+    scores = persisted(L.normalized_scores(D.outcomes(spark, sf)).join(ids, "sample_id", "left_semi"), "targets")
+    placed = persisted(LN.behaviour_clusters(scores, D.MODEL_IDS), "clusters")
+    cells = scores.join(placed, "sample_id")
+    means = cells.groupBy("cluster", "model_id").agg(F.avg("target").alias("mean"))
+    centres = means.groupBy("model_id").agg(F.collect_list(F.struct("cluster", "mean")).alias("centres"))    # clusters × models
+    away = (cells.join(F.broadcast(centres), "model_id").select("sample_id", F.col("cluster").alias("own"), "target",
+                                                                F.explode("centres").alias("c"))
+            .groupBy("sample_id", "own", "c.cluster").agg(F.sum((F.col("target") - F.col("c.mean")) ** 2).alias("d")))
+    own = F.sum(F.when(F.col("own") == F.col("cluster"), F.col("d")))
+    per_sample = away.groupBy("sample_id").agg((own <= F.min("d") + 1e-2).alias("ok"))
+    return per_sample.agg(F.count(F.lit(1)).alias("samples"), F.every("ok").alias("nearest"))
+
+
 @query("r14_behaviour_clusters")
 def r14(spark, sf):
     scores = L.normalized_scores(D.outcomes(spark, sf))
