@@ -14,8 +14,9 @@ components.
 
 *Small nodes exhaustively.*  What stars can have missed lies in nodes that still hold several components.  Nodes of at
 most ``leaf`` members compare all pairs of different components in one task; larger ones branch again by further tokens
-chosen from the path, ``depth`` times at most; what is then still large is compared block by block, so no node is
-dropped.  Pairs whose sketches agree are confirmed on the full sets.
+chosen from the path, ``depth`` times at most; what then is still large, or so alike that branching doesn't divide it, is
+compared block by block, so no node is dropped.  Members whose sketch agrees with one of another component come again with their texts, and all their pairs are
+counted on the full sets.  Pairs are never sent on: a node returns the links of a spanning forest.
 
 Links found in both steps give the components.
 """
@@ -34,7 +35,9 @@ from routeyard.llm.components import components
 from routeyard.llm.shingles import factors, shingle_sets
 
 SHINGLE, PERCENT = 5, 85
-TREES, BRANCHES, DEPTH, LEAF = 3, 2, 4, 512
+TREES, BRANCHES, DEPTH, LEAF = 3, 2, 2, 1024
+# Shingles per step of an exhaustive comparison.
+COLUMNS = 8192
 TOKENS, SKETCH = 24, 128
 # Sketches agree on at least this share: four standard deviations below the threshold.
 AGREE = 0.85 - 4 * (0.85 * 0.15 / SKETCH) ** 0.5
@@ -124,45 +127,97 @@ def token(column: str, position: Column) -> Column:
     return F.substring(F.col(column), position * 4 + 1, F.lit(4))
 
 
-def compare_nodes(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a node whose sketches agree; (node, class, component, part, sketch).
+def _by_node(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of each node, which come one after the other."""
+    node, rows = None, []
+    for batch in batches:
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("node", *columns))):
+            if at != node:
+                if len(rows) > 1:
+                    yield node, rows
+                node, rows = at, []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        yield node, rows
 
-    Rows of one node come together, ``leaf`` members or two blocks of that many.  In a node of two parts only pairs
-    across them are compared.
-    """
-
-    def pairs_of(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, comps, parts = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
-        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, SKETCH)
-        split = parts.min() != parts.max()
-        for i in range(len(rows) - 1):
-            other = np.flatnonzero((comps[i + 1:] != comps[i]) & ((parts[i + 1:] != parts[i]) | (not split))) + i + 1
-            if len(other):
-                same = (sketches[other] == sketches[i]).sum(axis=1) >= AGREE * SKETCH
-                for j in other[same].tolist():
-                    yield (min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, rows = None, []
+def likely_members(members: DataFrame) -> DataFrame:
+    """Members of (node, class, component, part, sketch) that agree with a member of another component of their node.
 
-        def out(found: list[tuple]) -> pa.RecordBatch:
-            pairs = list(set(pairs_of(found))) if len(found) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()),
-                                               "b": pa.array([p[1] for p in pairs], pa.int64())})
+    A node has ``leaf`` members, or two parts of about that many; then only pairs across the parts count.
+    """
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("node", "class", "component", "part", "sketch")]
-            for at, *row in zip(*columns):
-                if at != node:
-                    if len(rows) > 1 and (made := out(rows)).num_rows:
-                        yield made
-                    node, rows = at, []
-                rows.append(tuple(row))
-        if len(rows) > 1 and (made := out(rows)).num_rows:
-            yield made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, rows in _by_node(batches, ("class", "component", "part", "sketch")):
+            comps, parts = (np.array([r[i] for r in rows]) for i in (1, 2))
+            sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, SKETCH)
+            split = parts.min() != parts.max()
+            hit = np.zeros(len(rows), bool)
+            for i in range(len(rows) - 1):
+                other = np.flatnonzero((comps[i + 1:] != comps[i]) & ((parts[i + 1:] != parts[i]) | (not split))) + i + 1
+                if len(other):
+                    same = (sketches[other] == sketches[i]).sum(axis=1) >= AGREE * SKETCH
+                    hit[other[same]] = True
+                    hit[i] |= bool(same.any())
+            if hit.any():
+                found = [rows[i] for i in np.flatnonzero(hit).tolist()]
+                yield pa.RecordBatch.from_pydict({
+                    "node": pa.array([node] * len(found), pa.int64()), "class": pa.array([r[0] for r in found], pa.int64()),
+                    "component": pa.array([r[1] for r in found], pa.int64())})
 
     ordered = members.repartition("node").sortWithinPartitions("node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "node long, class long, component long")
+
+
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets reach the threshold, from the counts of shared shingles, a block of shingles at a time."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    found, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    keep = (times > 1)[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float64)
+    for low in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        block = np.zeros((n, COLUMNS), np.float32)
+        block[owner[a:b], column[a:b] - low] = 1
+        shared += block @ block.T
+    sizes = np.array([len(s) for s in sets], np.float64)
+    return 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+
+
+def links_in_nodes(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a node, from the full sets of its members: fewer than it has members."""
+    places = members.join(classes.select("class", "doc_id", "copy"), "class").select(
+        "node", "class", "component", F.col("doc_id").alias("of_id"), F.col("copy").alias("of_copy"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("copy") == F.col("of_copy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_node(batches, ("class", "component", "text")):
+            rows = list({r[0]: r for r in rows}.values())           # rows may repeat a doc_id and its text
+            data, bounds = utf8(pa.array([r[2] for r in rows], pa.large_string()))
+            near = similar(shingle_sets(data, bounds, size), percent)
+            seen, links = np.zeros(len(rows), bool), []
+            for i in range(len(rows)):
+                reached = [] if seen[i] else [i]
+                seen[i] = True
+                while reached:
+                    at = reached.pop()
+                    for j in np.flatnonzero(near[at] & ~seen).tolist():
+                        seen[j] = True
+                        reached.append(j)
+                        if rows[at][1] != rows[j][1]:
+                            links.append((rows[at][0], rows[j][0]))
+            if links:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()),
+                                                  "b": pa.array([y for _, y in links], pa.int64())})
+
+    found = texts.join(places, same).select("node", "class", "component", "text")
+    return found.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
 def mixed_nodes(nodes: DataFrame) -> DataFrame:
@@ -172,38 +227,49 @@ def mixed_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.join(sizes.filter(F.col("low") != F.col("high")).select("node", "size"), "node")
 
 
-def missed_pairs(nodes: DataFrame, classes: DataFrame, leaf: int, branches: int, depth: int) -> DataFrame:
-    """Likely pairs of different components: small nodes exhaustively, large ones after branching by further tokens."""
+def in_blocks(large: DataFrame, leaf: int) -> DataFrame:
+    """Members of large nodes, dealt by a hash into blocks of about ``leaf``, once for every pair of blocks."""
+    blocks = F.ceil(F.col("size") / leaf).cast("int")
+    return (large.withColumn("mine", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"),
+                    "class", "component", F.col("mine").alias("part")))
+
+
+def small_nodes(nodes: DataFrame, classes: DataFrame, leaf: int, branches: int, depth: int) -> DataFrame:
+    """Members of mixed nodes, (node, class, component, part, sketch), in nodes of about ``leaf`` or two.
+
+    A large node branches by further tokens, ``depth`` times at most.  Where one child keeps half of its members,
+    they are so alike that branching only repeats them: such a node, and one that stays large, goes block by block.
+    """
     sketches = classes.select("class", "tokens", "sketch")
-    level = stored(mixed_nodes(nodes), "level")
-    leaves = []
+    level, leaves = stored(mixed_nodes(nodes), "level"), []
     for at in range(depth + 1):
         small = level.filter(F.col("size") <= leaf).withColumn("part", F.lit(0))
         leaves.append(small.select("node", "class", "component", "part"))
-        large = level.filter(F.col("size") > leaf)
+        large = level.filter(F.col("size") > leaf).select("node", "class", "component", "size")
         if large.isEmpty():
             break
-        if at < depth:
-            # the path decides which tokens are chosen next
-            spots = F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS)).cast("int")
-                              for i in range(branches)])
-            chosen = (large.select("node", "class", "component").join(sketches.select("class", "tokens"), "class")
-                      .select("class", "component", "tokens", "node", F.explode(spots).alias("spot"))
-                      .select(F.xxhash64("node", "spot", token("tokens", F.col("spot"))).alias("node"), "class",
-                              "component"))
-            level = stored(mixed_nodes(chosen.distinct()), "level")
-        else:
-            blocks = F.ceil(F.col("size") / leaf).cast("int")
-            mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
-            rest = (large.withColumn("mine", mine)
-                    .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                    .select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"),
-                            "class", "component", F.col("mine").alias("part")))
-            leaves.append(rest)
+        if at == depth:
+            leaves.append(in_blocks(large, leaf))
+            break
+        # the path decides which tokens are chosen next
+        spots = F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS)).cast("int") for i in range(branches)])
+        children = stored(
+            large.join(sketches.select("class", "tokens"), "class")
+            .select(F.col("node").alias("parent"), "class", "component", "tokens", "node", "size", F.explode(spots).alias("spot"))
+            .select("parent", F.col("size").alias("of"), "class", "component",
+                    F.xxhash64("node", "spot", token("tokens", F.col("spot"))).alias("node")).distinct(), "children")
+        dense = (children.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("size"), F.max("of").alias("of"))
+                 .filter(2 * F.col("size") >= F.col("of")).select("parent").distinct())
+        alike = stored(dense, "dense")
+        leaves.append(in_blocks(large.join(alike, F.col("node") == F.col("parent"), "left_semi"), leaf))
+        rest = children.join(alike, "parent", "left_anti").select("node", "class", "component")
+        level = stored(mixed_nodes(rest), "level")
     members = leaves[0]
     for more in leaves[1:]:
         members = members.union(more)
-    return compare_nodes(members.join(sketches.select("class", "sketch"), "class"))
+    return members.join(sketches.select("class", "sketch"), "class")
 
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees: int = TREES,
@@ -230,7 +296,8 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees:
     early = components(star_links)
     labelled = nodes.select("node", "class").join(early.select(F.col("node").alias("class"), "root"), "class", "left")
     labelled = labelled.select("node", "class", F.coalesce("root", "class").alias("component"))
-    more = confirmed(missed_pairs(labelled, classes, leaf, branches, depth), classes, docs, size, percent)
+    likely = stored(likely_members(small_nodes(labelled, classes, leaf, branches, depth)), "likely")
+    more = links_in_nodes(likely, classes, docs, size, percent)
     final = components(star_links.union(more))
 
     named = classes.select("class", "doc_id").join(
