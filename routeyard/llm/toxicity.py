@@ -119,29 +119,32 @@ def sample_features(docs: DataFrame, sample: DataFrame) -> list:
     return joined.mapInArrow(run, "y int, sign int, found binary").collect()
 
 
-def gains(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Of every bucket, twice the log-likelihood ratio of its presence and the label."""
-    on = [np.zeros(BUCKETS) for _ in (0, 1)]
+def gains(y: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that a toxic row has, and twice the log-likelihood ratio of each one's presence and the label."""
+    on = [np.zeros(BUCKETS, np.int32) for _ in (0, 1)]
     for label, found in zip(y, rows):
         on[label][found] += 1
+    at = np.flatnonzero(on[1])
+    on = [x[at].astype(np.float64) for x in on]
     sizes, total = [(y == k).sum() for k in (0, 1)], len(y)
-    out = np.zeros(BUCKETS)
+    out = np.zeros(len(at))
     with np.errstate(divide="ignore", invalid="ignore"):
         for k in (0, 1):
             for cell, side in ((on[k], on[0] + on[1]), (sizes[k] - on[k], total - on[0] - on[1])):
                 out += np.where(cell > 0, 2 * cell * np.log(cell * total / (side * sizes[k])), 0)
-    return out
+    return at, out
 
 
 class Presence:
     """Which of the chosen features each row has, as index pairs; products with it take time per present feature."""
 
     def __init__(self, rows: list[np.ndarray], chosen: np.ndarray):
-        place = np.full(BUCKETS, -1, np.int64)
+        place = np.full(BUCKETS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        at = place[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
-        self.row, self.column = np.repeat(np.arange(len(rows)), sizes)[at >= 0], at[at >= 0]
+        at = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
+        here = np.flatnonzero(at >= 0)
+        self.row, self.column = np.searchsorted(np.cumsum(sizes), here, side="right"), at[here]
         self.shape = (len(rows), len(chosen))
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -154,9 +157,9 @@ class Presence:
 def fit(y: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], shares: tuple[int, int],
         fairness: float = FAIRNESS) -> tuple[np.ndarray, np.ndarray, float]:
     """Chosen buckets, their weights and the bias: accelerated gradient steps on the regularised loss."""
-    gain = gains(y, rows)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] >= MIN_GAIN]
+    at, gain = gains(y, rows)
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    chosen = np.sort(at[best[gain[best] >= MIN_GAIN]])
     x = Presence(rows, chosen)
     one, other = (Presence([p[i] for p in pairs], chosen) for i in (0, 1))
     weight = np.where(y == 1, shares[0] / max(1, (y == 1).sum()), shares[1] / max(1, (y == 0).sum()))
