@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from routeyard.llm import near_dedup, packing, quality, toxicity
 from routeyard.llm.common import stored, table
 
+# Training data keeps no two documents this alike, in percent of shared shingles; op1_near_dedup's 85 is its contract's.
+SIMILAR = 80
+# Trees of two root positions: at this threshold all eight miss a pair with probability 0.2 ** 8.
+TREES = 4
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, doesn't call toxic."""
@@ -22,7 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates."""
-    return near_dedup.representatives(docs).select(*docs.columns)
+    return near_dedup.representatives(docs, percent=SIMILAR, trees=TREES).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

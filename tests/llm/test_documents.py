@@ -193,6 +193,23 @@ def test_toxicity_of_unusual_rows(spark, make_docs, odd_texts):
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels)).count() == 0
 
 
+def planted_pair(name, n, other):
+    """Two texts of n words whose last ``other`` differ: they share n - 4 - other of n - 4 + other shingles."""
+    w = [f"{name}x{i}" for i in range(n)]
+    return [" ".join(w), " ".join(w[:n - other] + [f"{name}y{i}" for i in range(other)])]
+
+
+def test_pipeline_drops_copies_from_80_percent(spark, make_docs):
+    """Pairs that share 80 to below 85 percent go too, those below 80 stay."""
+    pairs = [planted_pair(f"p{k}", n, other) for k, (n, other) in enumerate(
+        [(94, 10), (184, 20), (94, 9), (104, 10), (94, 11), (184, 21)])]
+    texts = [t for pair in pairs for t in pair]
+    alike = [100 * len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    assert alike[:2] == [80, 80] and all(80 < x < 85 for x in alike[2:4]) and all(75 < x < 80 for x in alike[4:])
+    stays = corpus_pipeline.drop_near_copies(spark, make_docs(texts), "").collect()
+    assert sorted(r["doc_id"] for r in stays) == [0, 2, 4, 6, 8, 9, 10, 11]
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
