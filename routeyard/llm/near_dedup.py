@@ -6,7 +6,8 @@ under random permutations) and a sketch of 128 more in 16 bits each.
 
 *Trees.*  Each independent tree sends a class to the nodes named by its tokens at the tree's chosen positions; two sets of
 similarity J share a node of one position with probability J.  ``trees * branches`` positions at the root miss a pair at
-the threshold 0.85 with probability 0.15 ** 6, about 1e-5.
+the threshold 0.85 with probability 0.15 ** 6, about 1e-5.  The sketch, which all trees share, loses at most ``MISS`` of
+the pairs at the threshold, whatever the threshold is.
 
 *Stars.*  In every node, all members are compared with its least member only, one pair per member: sketches first, then
 the full sets, taken again from the texts.  This links whole groups of copies at linear cost.  Stars give preliminary
@@ -24,6 +25,7 @@ Links found in both steps give the components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ TREES, BRANCHES, DEPTH, LEAF = 3, 2, 2, 1024
 # Shingles per step of an exhaustive comparison.
 COLUMNS = 8192
 TOKENS, SKETCH = 24, 128
-# Sketches agree on at least this share: four standard deviations below the threshold.
-AGREE = 0.85 - 4 * (0.85 * 0.15 / SKETCH) ** 0.5
+# Share of the pairs at the threshold that the comparison of sketches may lose.
+MISS = 1e-6
 BLANKS = r"[\x20\x09-\x0D]+"
 SETS = "doc_id long, copy long, n long, fp1 long, fp2 long, tokens binary, sketch binary"
 
@@ -57,6 +59,16 @@ def minwise(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least[:TOKENS], sketch.astype(np.uint16)
 
 
+def agreement(percent: float) -> int:
+    """Equal sketch tokens to ask for: of pairs at the threshold a share of at most ``MISS`` has fewer (binomial tail)."""
+    p, fewer = percent / 100, 0.0
+    for k in range(SKETCH):
+        fewer += comb(SKETCH, k) * p ** k * (1 - p) ** (SKETCH - k)
+        if fewer > MISS:
+            return k
+    return SKETCH
+
+
 def _signed(x) -> int:
     return int(np.uint64(x).astype(np.int64))
 
@@ -84,6 +96,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches agree and whose full sets, taken from the texts, reach the threshold."""
+    least = agreement(percent)
     sides = classes.select("class", "doc_id", "copy", "sketch")
     near = (pairs.join(sides.select(F.col("class").alias("a"), F.col("doc_id").alias("a_id"),
                                     F.col("copy").alias("a_copy"), F.col("sketch").alias("a_sketch")), "a")
@@ -95,7 +108,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH)
                             for c in ("a_sketch", "b_sketch"))
-                keep = (one == two).sum(axis=1) >= AGREE * SKETCH
+                keep = (one == two).sum(axis=1) >= least
                 yield batch.drop_columns(["a_sketch", "b_sketch"]).filter(pa.array(keep))
 
     fields = ("a", "b", "a_id", "a_copy", "b_id", "b_copy")
@@ -141,11 +154,12 @@ def _by_node(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Ite
         yield node, rows
 
 
-def likely_members(members: DataFrame) -> DataFrame:
+def likely_members(members: DataFrame, percent: int) -> DataFrame:
     """Members of (node, class, component, part, sketch) that agree with a member of another component of their node.
 
     A node has ``leaf`` members, or two parts of about that many; then only pairs across the parts count.
     """
+    least = agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, rows in _by_node(batches, ("class", "component", "part", "sketch")):
@@ -156,7 +170,7 @@ def likely_members(members: DataFrame) -> DataFrame:
             for i in range(len(rows) - 1):
                 other = np.flatnonzero((comps[i + 1:] != comps[i]) & ((parts[i + 1:] != parts[i]) | (not split))) + i + 1
                 if len(other):
-                    same = (sketches[other] == sketches[i]).sum(axis=1) >= AGREE * SKETCH
+                    same = (sketches[other] == sketches[i]).sum(axis=1) >= least
                     hit[other[same]] = True
                     hit[i] |= bool(same.any())
             if hit.any():
@@ -296,7 +310,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees:
     early = components(star_links)
     labelled = nodes.select("node", "class").join(early.select(F.col("node").alias("class"), "root"), "class", "left")
     labelled = labelled.select("node", "class", F.coalesce("root", "class").alias("component"))
-    likely = stored(likely_members(small_nodes(labelled, classes, leaf, branches, depth)), "likely")
+    likely = stored(likely_members(small_nodes(labelled, classes, leaf, branches, depth), percent), "likely")
     more = links_in_nodes(likely, classes, docs, size, percent)
     final = components(star_links.union(more))
 

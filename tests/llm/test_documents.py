@@ -2,6 +2,7 @@
 
 import random
 import re
+from math import comb
 
 import numpy as np
 import pytest
@@ -210,6 +211,19 @@ def test_pipeline_drops_copies_from_80_percent(spark, make_docs):
     assert sorted(r["doc_id"] for r in stays) == [0, 2, 4, 6, 8, 9, 10, 11]
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_sketches_keep_pairs_at_the_threshold(make_docs, percent):
+    """Pairs exactly at the threshold come through the sketches, whatever the threshold is."""
+    p = percent / 100
+    tail = [comb(near_dedup.SKETCH, k) * p ** k * (1 - p) ** (near_dedup.SKETCH - k) for k in range(near_dedup.SKETCH)]
+    assert sum(tail[:near_dedup.agreement(percent)]) <= 1e-6
+    shared, other = {60: (60, 20), 80: (80, 10)}[percent]
+    texts = [t for k in range(400) for t in planted_pair(f"q{k}", shared + other + 4, other)]
+    assert 100 * shared == percent * (shared + 2 * other)
+    rows = near_dedup.near_duplicates(make_docs(texts), percent=percent, trees=12).collect()
+    assert sorted(r["doc_id"] for r in rows if r["kept"]) == list(range(0, 800, 2))
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
