@@ -153,6 +153,21 @@ def test_quality_is_native(make_docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_passing_rows_are_the_kept_ones(make_docs, odd_texts):
+    """In any order of the rules; a rule behind the one that rejects takes no counts."""
+    prose = "ten or more words of quite ordinary prose in a single line of text"
+    texts = [*odd_texts, prose, prose + " # # # #", "a b c d e f g h i j k l", "\n".join([prose] * 3), "so so so so so so ten words or more stand here",
+             prose + " 1234567890" * 20, "x" * 30 + (" " + "y" * 30) * 12]
+    docs = make_docs(texts)
+    kept = sorted(r["doc_id"] for r in quality.judged(docs).filter("kept").collect())
+    assert kept
+    for order in (None, list(quality.CONDITIONS), list(quality.CONDITIONS)[::-1]):
+        got = quality.passing(docs, order)
+        assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == kept
+    plan = quality.passing(docs, ["symbols", "repeated_words"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("regexp_replace") < plan.index("xxhash64")
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
