@@ -5,7 +5,8 @@ Words are runs of digits, lower-case letters (after lower-casing A to Z) and cha
 place p of a text and place t of a template votes for the diagonal p - t: a notice quoted word for word puts all its hits
 on one diagonal, and words left out or put in shift the rest to a neighbouring one.  Votes are summed per diagonal,
 diagonals at most ``GAP`` apart are merged, and a merged span is verified: its hits must cover at least ``COVER`` of the
-template's words and the span may be at most ``STRETCH`` times as long as the template.
+template's words and the span may be at most ``STRETCH`` times as long as the template.  A longer span is verified by its
+longest runs of neighbouring diagonals that are short enough: words repeated behind a notice don't hide it.
 
 The index of template windows is broadcast: it has as many rows as the templates have words, a few hundred here, and
 ``scan`` refuses templates of over a million words.
@@ -13,6 +14,7 @@ The index of template windows is broadcast: it has as many rows as the templates
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,7 @@ TEMPLATES = (
     ("cc-by", "Licensed under CC BY 4.0."),
 )
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, grams array<long>"
+NOTICES = "row long, label string, template int, first_word long, last_word long, coverage double"
 #: Stands for the text itself among its windows, so that one join gives texts without a hit a row too.
 SELF = 0
 
@@ -74,6 +77,45 @@ def template_rows(templates, size: int) -> list[tuple[int, int, int]]:
             for place, h in enumerate(word_grams(words_of(text), size).tolist())]
 
 
+def tight_runs(parts: list[dict], length: int, gram: int, cover: float, stretch: float) -> list[tuple[int, int, float]]:
+    """(first word, last word, coverage) of the runs of neighbouring diagonals that are tight and cover enough.
+
+    ``parts`` are the diagonals of one span.  Of runs that overlap the one that covers most, then the shortest, stays.
+    """
+    parts = sorted(parts, key=lambda d: d["diagonal"])
+    places = np.zeros(length + 1, np.int64)         # hits per place of the template, counted from 0
+    found, end = [], 0
+    for start in range(len(parts)):
+        before, low, high = end, None, None
+        for d in parts[start:end]:
+            low = d["low"] if low is None else min(low, d["low"])
+            high = d["high"] if high is None else max(high, d["high"])
+        while end < len(parts):
+            d = parts[end]
+            least, most = (d["low"], d["high"]) if low is None else (min(low, d["low"]), max(high, d["high"]))
+            if most + gram - least > stretch * length:
+                break
+            low, high, end = least, most, end + 1
+            places[np.array(d["places"])] += 1
+        if end > before:                            # else a run that began earlier holds this one
+            hit = places[:length] > 0
+            covered = hit.copy()
+            for k in range(1, gram):
+                covered[k:] |= hit[:-k]
+            if covered.sum() >= cover * length:
+                found.append((low, high + gram - 1, float(covered.sum() / length)))
+        if end > start:
+            places[np.array(parts[start]["places"])] -= 1
+        else:
+            end = start + 1
+    kept: list[tuple[int, int, float]] = []
+    for run in sorted(found, key=lambda x: (-x[2], x[1] - x[0], x[0])):
+        at = bisect(kept, run)
+        if (at == 0 or kept[at - 1][1] < run[0]) and (at == len(kept) or run[1] < kept[at][0]):
+            kept.insert(at, run)
+    return kept
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, gram: int = GRAM, gap: int = GAP,
          cover: float = COVER, stretch: float = STRETCH) -> tuple[DataFrame, DataFrame]:
     """Base findings per row, and verified notices: (row, label, template, first_word, last_word, coverage)."""
@@ -125,19 +167,33 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
     opens = (F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int")
     merged = (votes.withColumn("span", F.sum(F.coalesce(opens, F.lit(0))).over(order))
               .groupBy("row", "template", "span")
-              .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("low"),
+              .agg(F.collect_list(F.struct("diagonal", "low", "high", "places")).alias("parts"), F.min("low").alias("low"),
                    F.max("high").alias("high")))
-    lengths = [len(words_of(text)) for _, text in templates]
+    lengths, names = [len(words_of(text)) for _, text in templates], [name for name, _ in templates]
     length = F.element_at(F.array(*[F.lit(n) for n in lengths]), F.col("template") + 1)
-    label = F.element_at(F.array(*[F.lit(name) for name, _ in templates]), F.col("template") + 1)
     # a hit covers its place and the gram - 1 words behind it
     covered = F.size(F.array_distinct(F.flatten(F.transform(
-        "places", lambda p: F.sequence(p, p + gram - 1)))))
+        F.array_distinct(F.flatten(F.col("parts.places"))), lambda p: F.sequence(p, p + gram - 1)))))
     last = F.col("high") + gram - 1
-    notices = (merged.select("row", label.alias("label"), "template", F.col("low").cast("long").alias("first_word"),
-                             last.cast("long").alias("last_word"), (covered / length).alias("coverage"),
-                             (last - F.col("low") + 1 <= stretch * length).alias("tight"))
-               .filter(F.col("tight") & (F.col("coverage") >= cover)).drop("tight"))
+    # runs of a span's diagonals cover no more than the span
+    spans = merged.withColumn("coverage", covered / length).filter(F.col("coverage") >= cover).select(
+        "row", "template", F.col("low").cast("long").alias("first_word"), last.cast("long").alias("last_word"), "coverage",
+        F.when(last - F.col("low") + 1 > stretch * length, F.col("parts")).alias("parts"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                runs = [(r["first_word"], r["last_word"], r["coverage"])]
+                if r["parts"] is not None:
+                    runs = tight_runs(r["parts"], lengths[r["template"]], gram, cover, stretch)
+                out += [(r["row"], names[r["template"]], r["template"], *run) for run in runs]
+            if out:
+                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                                 names=[c.split()[0] for c in NOTICES.split(", ")])
+
+    notices = spans.mapInArrow(verify, NOTICES)
     return hits.filter(mine).select("row", *narrow), notices
 
 

@@ -120,6 +120,18 @@ def test_license_base_equals_brute_force(make_docs, odd_texts):
     assert license_scan.licenses(make_docs(["cc by", "cc by"], ids=[None, None])).count() == 2
 
 
+def test_repeats_behind_a_notice_do_not_hide_it(make_docs):
+    templates = (("mit", "Licensed under the MIT License."), ("apache-2.0", "Licensed under the Apache License, Version 2.0."))
+    texts = ["Licensed under the MIT License. The MIT License permits reuse.",
+             "Licensed under the Apache License, Version 2.0. " + "Version 2.0 " * 30,
+             "Version 2.0 " * 30, "pre " + "Licensed under the MIT License. The MIT License. " * 2]
+    rows = {r["doc_id"]: r for r in license_scan.licenses(make_docs(texts), templates=templates).collect()}
+    assert [rows[i]["labels"] for i in range(4)] == ["mit", "apache-2.0", "", "mit"]
+    assert [rows[i]["score"] for i in range(4)] == [1, 1, 0, 1]
+    _, notices = license_scan.scan(make_docs(texts[:1]), templates=templates)
+    assert [(r["label"], r["first_word"], r["last_word"], r["coverage"]) for r in notices.collect()] == [("mit", 0, 4, 1)]
+
+
 def brute_counts(text):
     text = text or ""
     w = [x for x in BLANK.split(text) if x]
