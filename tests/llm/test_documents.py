@@ -180,6 +180,17 @@ def test_passing_rows_are_the_kept_ones(make_docs, odd_texts):
     assert plan.index("CASE WHEN") < plan.index("regexp_replace") < plan.index("xxhash64")
 
 
+def test_prose_without_blanks_stays(spark, make_docs):
+    """Chinese, Japanese and Thai pass the pipeline's stage; a Latin text of such long words doesn't."""
+    line = {"zh": "我们在春天的早晨沿着河边慢慢地走到了那座古老的石桥上看见许多人在那里钓鱼和聊天{}。",
+            "ja": "わたしたちは春の朝に川のそばをゆっくりと歩いて古い石の橋まで行きました{}。",
+            "th": "พวกเราเดินเล่นริมแม่น้ำในตอนเช้าของฤดูใบไม้ผลิและพบผู้คนมากมาย{}",
+            "latin": "wewalkedslowlyalongtheriverinthespringmorningtotheoldbridge{}"}
+    texts = ["\n".join(x.format(c * 2) for c in "abcdefghijkl") for x in line.values()]
+    rows = corpus_pipeline.drop_poor(spark, make_docs(texts), "").collect()
+    assert sorted(r["doc_id"] for r in rows) == [0, 1, 2]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
