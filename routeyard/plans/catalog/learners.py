@@ -207,6 +207,27 @@ def x2(spark, sf):
     return union_all(parts)
 
 
+@query("x2_saved_learners", """, pool(policy) AS (VALUES ('MlpPolicy'), ('RiskPolicy gbt'), ('RiskPolicy logistic'))
+SELECT policy, count(*) AS samples, 0::BIGINT AS differ FROM pool, features GROUP BY policy""")
+def x2_learners(spark, sf):
+    """The same of the perceptron and of pairwise risk, which has features and profiles of its own."""
+    f, o = persisted(fused(spark, sf), "vectors"), _train_outcomes(spark, sf)
+    # the SQL counts the samples that have features
+    vectors = persisted(feature_vectors(spark, sf).join(f.select("sample_id"), "sample_id", "left_semi"), "vectors")
+    profiles = persisted(FT.model_profiles(o, typed(spark, sf)), "profiles")
+    parts = []
+    for name, policy, samples, meta in (("MlpPolicy", LN.MlpPolicy(D.MODEL_IDS), f, None),
+                                        ("RiskPolicy gbt", LN.RiskPolicy("gbt"), vectors, profiles),
+                                        ("RiskPolicy logistic", LN.RiskPolicy("logistic"), vectors, profiles)):
+        path = scratch_path(spark, "x2")
+        policy.fit(o, samples, meta).save(path)
+        again = type(policy).load(spark, path).route(samples).withColumnRenamed("model_id", "again")
+        both = policy.route(samples).join(again, "sample_id", "full")
+        parts.append(both.agg(F.lit(name).alias("policy"), F.count(F.lit(1)).alias("samples"),
+                              F.count_if(~F.col("model_id").eqNullSafe(F.col("again"))).alias("differ")))
+    return union_all(parts)
+
+
 def _letter_shares():
     """A tiny encoder: how often each of five vowels occurs per character."""
     vowels = "aeiou"
