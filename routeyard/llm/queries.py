@@ -5,6 +5,7 @@ from routeyard.llm import (  # noqa: F401
     license_scan,
     near_dedup,
     packing,
+    periodic_runs,
     quality,
     token_counts,
     token_files,
