@@ -2,6 +2,7 @@
 
 from routeyard.llm import (  # noqa: F401
     byte_bpe,
+    hard_negatives,
     license_scan,
     near_dedup,
     packing,
