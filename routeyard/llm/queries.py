@@ -7,6 +7,7 @@ from routeyard.llm import (  # noqa: F401
     near_dedup,
     packing,
     periodic_runs,
+    pitman_yor,
     quality,
     token_counts,
     token_files,
