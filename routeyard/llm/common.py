@@ -60,6 +60,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the first longer one that no column has; names that differ in case only count as the same."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and plain path behind a URI or a local path."""
     if "://" in path or path.startswith("file:"):
@@ -89,7 +97,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batch: pa.RecordBatch, text: str | int = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of about ``limit`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

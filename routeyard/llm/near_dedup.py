@@ -6,8 +6,10 @@ under random permutations) and a sketch of 128 more in 16 bits each.
 
 *Trees.*  Each independent tree sends a class to the nodes named by its tokens at the tree's chosen positions; two sets of
 similarity J share a node of one position with probability J.  ``trees * branches`` positions at the root miss a pair at
-the threshold 0.85 with probability 0.15 ** 6, about 1e-5.  The sketch, which all trees share, loses at most ``MISS`` of
-the pairs at the threshold, whatever the threshold is.
+the threshold 0.85 with probability 0.15 ** 6, about 1e-5.  In a node that branches a pair stays together with probability
+1 - (1 - J) ** branches per level, 0.9775 of two branches at 0.85, so the probability rises to 2e-5 after one level, 4e-5 after
+two and 9e-5 after three.  The sketch, which all trees share, loses at most ``MISS`` of the pairs at the threshold, whatever the
+threshold is.
 
 *Stars.*  In every node, all members are compared with its least member only, one pair per member: sketches first, then
 the full sets, taken again from the texts.  This links whole groups of copies at linear cost.  Stars give preliminary
@@ -15,8 +17,8 @@ components.
 
 *Small nodes exhaustively.*  What stars can have missed lies in nodes that still hold several components.  Nodes of at
 most ``leaf`` members compare all pairs of different components in one task; larger ones branch again by further tokens
-chosen from the path, ``depth`` times at most; what then is still large, or so alike that branching doesn't divide it, is
-compared block by block, so no node is dropped.  Members whose sketch agrees with one of another component come again with their texts, and all their pairs are
+chosen from the path, never one that named a node above, ``depth`` times at most; what then is still large, or so alike that
+branching doesn't divide it, is compared block by block, so no node is dropped.  Members whose sketch agrees with one of another component come again with their texts, and all their pairs are
 counted on the full sets.  Pairs are never sent on: a node returns the links of a spanning forest.
 
 Links found in both steps give the components.
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routeyard.llm.common import binary, register, steps, stored, table, utf8
+from routeyard.llm.common import binary, free_name, register, steps, stored, table, utf8
 from routeyard.llm.components import components
 from routeyard.llm.shingles import factors, shingle_sets
 
 SHINGLE, PERCENT = 5, 85
-TREES, BRANCHES, DEPTH, LEAF = 3, 2, 2, 1024
+TREES, BRANCHES, DEPTH, LEAF = 3, 2, 8, 1024
 # Shingles per step of an exhaustive comparison.
 COLUMNS = 8192
 TOKENS, SKETCH = 24, 128
@@ -253,32 +255,36 @@ def in_blocks(large: DataFrame, leaf: int) -> DataFrame:
 def small_nodes(nodes: DataFrame, classes: DataFrame, leaf: int, branches: int, depth: int) -> DataFrame:
     """Members of mixed nodes, (node, class, component, part, sketch), in nodes of about ``leaf`` or two.
 
-    A large node branches by further tokens, ``depth`` times at most.  Where one child keeps half of its members,
-    they are so alike that branching only repeats them: such a node, and one that stays large, goes block by block.
+    ``nodes`` tells in ``used``, a bit per position, which tokens named a node's path; a large node branches by others,
+    ``depth`` times at most.  Where one child keeps half of its members, they are so alike that branching only
+    repeats them: such a node, and one that stays large, goes block by block.
     """
     sketches = classes.select("class", "tokens", "sketch")
     level, leaves = stored(mixed_nodes(nodes), "level"), []
     for at in range(depth + 1):
         small = level.filter(F.col("size") <= leaf).withColumn("part", F.lit(0))
         leaves.append(small.select("node", "class", "component", "part"))
-        large = level.filter(F.col("size") > leaf).select("node", "class", "component", "size")
+        large = level.filter(F.col("size") > leaf).select("node", "class", "component", "size", "used")
         if large.isEmpty():
             break
         if at == depth:
             leaves.append(in_blocks(large, leaf))
             break
         # the path decides which tokens are chosen next
-        spots = F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS)).cast("int") for i in range(branches)])
+        fresh = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.getbit("used", i) == 0)
+        drawn = F.sort_array(F.transform(fresh, lambda i: F.struct(F.xxhash64("node", i).alias("h"), i.alias("i"))))
+        spots = F.transform(F.slice(drawn, 1, branches), lambda x: x["i"])
         children = stored(
             large.join(sketches.select("class", "tokens"), "class")
-            .select(F.col("node").alias("parent"), "class", "component", "tokens", "node", "size", F.explode(spots).alias("spot"))
+            .select(F.col("node").alias("parent"), "class", "component", "tokens", "node", "size", "used", F.explode(spots).alias("spot"))
             .select("parent", F.col("size").alias("of"), "class", "component",
+                    F.expr("used | shiftleft(1L, spot)").alias("used"),
                     F.xxhash64("node", "spot", token("tokens", F.col("spot"))).alias("node")).distinct(), "children")
         dense = (children.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("size"), F.max("of").alias("of"))
                  .filter(2 * F.col("size") >= F.col("of")).select("parent").distinct())
         alike = stored(dense, "dense")
         leaves.append(in_blocks(large.join(alike, F.col("node") == F.col("parent"), "left_semi"), leaf))
-        rest = children.join(alike, "parent", "left_anti").select("node", "class", "component")
+        rest = children.join(alike, "parent", "left_anti").select("node", "class", "component", "used")
         level = stored(mixed_nodes(rest), "level")
     members = leaves[0]
     for more in leaves[1:]:
@@ -301,15 +307,16 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees:
 
     spots = F.explode(F.array(*[F.lit(i) for i in range(trees * branches)])).alias("spot")
     roots = classes.select("class", "tokens", spots).select(
-        F.xxhash64("spot", token("tokens", F.col("spot"))).alias("node"), "class")
+        F.xxhash64("spot", token("tokens", F.col("spot"))).alias("node"), "class",
+        F.expr("shiftleft(1L, spot)").alias("used"))
     shared = (roots.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("b"))
               .filter("size > 1"))
     nodes = stored(roots.join(shared.select("node", "b"), "node"), "nodes")
     stars = (nodes.filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct())
     star_links = stored(confirmed(stars, classes, docs, size, percent), "links")
     early = components(star_links)
-    labelled = nodes.select("node", "class").join(early.select(F.col("node").alias("class"), "root"), "class", "left")
-    labelled = labelled.select("node", "class", F.coalesce("root", "class").alias("component"))
+    labelled = nodes.select("node", "class", "used").join(early.select(F.col("node").alias("class"), "root"), "class", "left")
+    labelled = labelled.select("node", "class", "used", F.coalesce("root", "class").alias("component"))
     likely = stored(likely_members(small_nodes(labelled, classes, leaf, branches, depth), percent), "likely")
     more = links_in_nodes(likely, classes, docs, size, percent)
     final = components(star_links.union(more))
@@ -342,14 +349,15 @@ def representatives(docs: DataFrame, **parameters) -> DataFrame:
 
     Texts without words all stay.  Of rows that repeat both doc_id and text one stays.
     """
-    own = docs.withColumn("__copy", F.xxhash64("text"))
+    copy, of, text = (free_name(docs, name) for name in ("copy_hash", "of_copy", "of_text"))
+    own = docs.withColumn(copy, F.xxhash64("text"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("least")
     chosen = (linked(docs, **parameters).filter(F.col("root").isNotNull()).groupBy("root").agg(least)
-              .select(F.col("least.doc_id").alias("__id"), F.col("least.copy").alias("__chosen")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__chosen"))
+              .select(F.col("least.doc_id").alias(of), F.col("least.copy").alias(text)))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(copy) == F.col(text))
     blank = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, "") == ""
-    stays = own.filter(~blank).join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__copy"])
-    return stays.union(own.filter(blank)).drop("__copy")
+    stays = own.filter(~blank).join(chosen, same, "left_semi").dropDuplicates(["doc_id", copy])
+    return stays.union(own.filter(blank)).drop(copy)
 
 
 ORACLE = r"""

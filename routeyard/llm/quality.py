@@ -1,9 +1,10 @@
 """Quality rules, in DataFrame functions only.
 
-Counts are taken inside each row with array functions, so no text is shuffled.  ``judged`` returns the counts, so it takes
-all of them for every row and no order of the rules would save time.  ``passing`` needs the verdict only: a short-circuit
-cascade, one conditional whose branches take their own counts from the text and stop at the first rejection.  Its rules
-are ordered by what they reject per unit of cost, both measured on a sample.  The order changes the time, never the verdict.
+Counts are taken inside each row with array functions, so no text is shuffled.  The verdict is a short-circuit cascade: one
+conditional whose branches stop at the first rejection, ordered by what a rule rejects per unit of cost, both measured on a
+sample.  ``passing`` needs the verdict only, so every branch takes its own counts from the text.  ``judged`` returns five
+counts, which are taken for every row; its branches use them and take what else they need (letters, scripts, words said
+twice) only when reached, behind a failed base rule never.  The order changes the time, never the verdict.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routeyard.llm.common import register, table
+from routeyard.llm.common import free_name, register, table
 from routeyard.runtime import once
 
 # Fixed patterns of the contract.
@@ -25,7 +26,7 @@ NO_UNSPACED = "[[^" + "".join(rf"\p{{Is{x}}}" for x in (
     "Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + r"]\P{L}]+"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SAMPLE_FRACTION, SAMPLE_ROWS = 0.02, 2000
+SAMPLE_ROWS = 1000
 #: Conditions of the cascade, beyond the least number of words.
 CONDITIONS = ("symbols", "word_length", "repeated_lines", "stutter", "letters", "repeated_words")
 
@@ -69,7 +70,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(body: Column, ws: Column) -> dict[str, Column]:
-    """The five counts, lines with a word, and words equal to the one before, each from the text and its words."""
+    """The five counts and the lines with a word, each from the text and its words."""
     lines = F.filter(F.split(body, "\n"), lambda x: F.regexp_replace(x, SPACES, "") != "")
 
     def of_lines(ls: Column) -> Column:
@@ -78,65 +79,58 @@ def measures(body: Column, ws: Column) -> dict[str, Column]:
 
     return {"n_words": F.size(ws).cast("long"), "word_chars": F.length(F.array_join(ws, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(body, NO_SYMBOLS, "")).cast("long"),
-            "n_stutter": F.size(F.filter(ws, lambda w, i: F.get(ws, i - 1) == w)).cast("long"),
             "n_repeat_words": repeated_words(ws), "lines": let(lines, of_lines)}
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns and, in ``__counts``, everything that ``measures`` has."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
-    def of_words(ws: Column) -> Column:
-        return F.struct(*[value.alias(name) for name, value in measures(body, ws).items()])
 
-    return docs.withColumn("__counts", once(let(words_of(F.col(text)), of_words)))
+def unspaced(body: Column) -> Column:
+    """Whether most letters are of scripts written without blanks, where a word between blanks is a whole sentence."""
+    letters = lambda pattern: F.length(F.regexp_replace(body, pattern, ""))
+    return 2 * letters(NO_UNSPACED) > letters(NO_LETTERS)
 
 
-def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
-    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
-
+def rules(c: Column | dict[str, Column], body: Column, ws: Column) -> dict[str, Column]:
+    """Rejecting conditions beyond the number of words, wide enough to leave ordinary prose alone.
 
-def rules(c: Column | dict[str, Column], text: Column) -> dict[str, Column]:
-    """Rejecting conditions beyond the base rule, wide enough to leave ordinary prose in languages written with blanks alone."""
+    ``c`` has the counts; letters, scripts and words said twice in a row are taken from the text and its words on the spot.
+    """
     n = c["n_words"]
-    body = F.coalesce(text, F.lit(""))
     return {
         "symbols": 10 * c["n_symbols"] > n,
-        "word_length": let(c["word_chars"], lambda x: (x < 2 * n) | (x > 25 * n)),
+        "word_length": let(c["word_chars"], lambda x: (x < 2 * n) | (x > 25 * n)) & ~unspaced(body),
         "repeated_lines": let(c["lines"], lambda x: 2 * x["n_dup_lines"] > x["n_lines"]),
-        "stutter": 3 * c["n_stutter"] > n,
+        "stutter": 3 * F.size(F.filter(ws, lambda w, i: F.get(ws, i - 1) == w)) > n,
         "letters": 2 * F.length(F.regexp_replace(body, NO_LETTERS, "")) < c["word_chars"],
+        "repeated_words": 100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * n,
     }
 
 
-def unspaced(text: Column) -> Column:
-    """Whether most letters are of scripts written without blanks, where a word between blanks is a whole sentence."""
-    letters = lambda pattern: F.length(F.regexp_replace(F.coalesce(text, F.lit("")), pattern, ""))
-    return 2 * letters(NO_UNSPACED) > letters(NO_LETTERS)
-
-
 def from_text(text: Column, body) -> Column:
-    """``body`` of the text's words and of all rejecting conditions, the base rule's repeats among them.
+    """``body`` of the text's words and of all rejecting conditions; each takes its own counts when it is evaluated."""
+    whole = F.coalesce(text, F.lit(""))
+    return let(words_of(text), lambda ws: body(ws, rules(measures(whole, ws), whole, ws)))
 
-    Every condition takes its own counts, so that one which isn't evaluated costs nothing.
-    """
-    def of_words(ws: Column) -> Column:
-        c = measures(F.coalesce(text, F.lit("")), ws)
-        repeated = 100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"]
-        conditions = {**rules(c, text), "repeated_words": repeated}
-        return body(ws, {**conditions, "word_length": conditions["word_length"] & ~unspaced(text)})
 
-    return let(words_of(text), of_words)
+def first_rejection(n_words: Column, conditions: dict[str, Column], order: list[str]) -> Column:
+    """Whether no rule rejects, tried in this order behind the least number of words."""
+    out = F.when(n_words < MIN_WORDS, False)
+    for name in order:
+        out = out.when(conditions[name], False)
+    return out.otherwise(True)
 
 
-def cascade(docs: DataFrame, fraction: float = SAMPLE_FRACTION, rows: int = SAMPLE_ROWS) -> list[str]:
+def cascade(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the conditions, those that reject most per second first.
 
-    The sample is a stated fraction and at most ``rows`` rows.  A condition's cost is the time it adds to splitting
-    the sample's texts into words, the shorter of two runs.
+    The sample has about ``rows`` rows, all of a smaller table.  A condition's cost is the time it adds to splitting the
+    sample's texts into words, the shorter of two runs.
     """
-    text = F.col("text")
-    sample = docs.select("text").sample(fraction, seed=7).limit(rows).persist()
+    text, n = F.col("text"), docs.count()
+    share = min(1.0, rows / max(n, 1))
+    sample = (docs.select("text") if share == 1 else docs.select("text").sample(share, seed=7)).persist()
     try:
         total = sample.count()
         if total == 0:
@@ -161,17 +155,9 @@ def cascade(docs: DataFrame, fraction: float = SAMPLE_FRACTION, rows: int = SAMP
 
 
 def passing(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The rows that the rules keep, all columns unchanged: those that ``judged`` gives ``kept``, and texts in scripts
-    written without blanks that only ``word_length`` would reject."""
+    """The rows that ``judged`` gives ``kept``, all columns unchanged."""
     order = order or cascade(docs)
-
-    def verdict(ws: Column, conditions: dict[str, Column]) -> Column:
-        out = F.when(F.size(ws) < MIN_WORDS, False)
-        for name in order:
-            out = out.when(conditions[name], False)
-        return out.otherwise(True)
-
-    return docs.filter(from_text(F.col("text"), verdict))
+    return docs.filter(from_text(F.col("text"), lambda ws, conditions: first_rejection(F.size(ws), conditions, order)))
 
 
 def judged(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -180,17 +166,24 @@ def judged(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     A null or empty text has no words, fails the base rule and isn't kept; repeated rows are judged alike, one result
     each; an empty table gives no rows.  Columns of ``docs`` named like a count give way to the count.
     """
-    c = F.col("__counts")
-    conditions = rules(c, F.col("text"))
-    failed = base_failed(c["n_words"], c["n_repeat_words"])
-    verdict = F.when(failed, False)
-    for name in order or conditions:
-        verdict = verdict.when(conditions[name], False)
-    out = counts(docs.drop(*COUNTS, "base_failed", "kept"))
-    return out.select("*", c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"),
+    order = [name for name in order or cascade(docs) if name != "repeated_words"]       # the base rule has it
+    body = F.coalesce(F.col("text"), F.lit(""))
+
+    def of_words(ws: Column) -> Column:
+        def verdict(c: Column) -> Column:
+            failed = base_failed(c["n_words"], c["n_repeat_words"])
+            kept = F.when(failed, False).otherwise(first_rejection(c["n_words"], rules(c, body, ws), order))
+            return F.struct(c.alias("c"), failed.alias("failed"), kept.alias("kept"))
+
+        return let(F.struct(*[value.alias(name) for name, value in measures(body, ws).items()]), verdict)
+
+    rest = docs.drop(*COUNTS, "base_failed", "kept")
+    found = free_name(rest, "found")
+    out, c = rest.withColumn(found, once(let(words_of(F.col("text")), of_words))), F.col(found)["c"]
+    return out.select(*rest.columns, c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"),
                       c["n_symbols"].alias("n_symbols"), c["lines"]["n_dup_lines"].alias("n_dup_lines"),
-                      c["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
-                      verdict.otherwise(True).alias("kept")).drop("__counts")
+                      c["n_repeat_words"].alias("n_repeat_words"), F.col(found)["failed"].alias("base_failed"),
+                      F.col(found)["kept"].alias("kept"))
 
 
 ORACLE = r"""
@@ -205,11 +198,12 @@ c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
              length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutter, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-             length(regexp_replace(body, '[^\p{L}]+', '', 'g')) AS letters
+             length(regexp_replace(body, '[^\p{L}]+', '', 'g')) AS letters,
+             length(regexp_replace(body, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]|\P{L}', '', 'g')) AS unspaced
       FROM w LEFT JOIN o USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+       NOT (base_failed OR 10 * n_symbols > n_words OR (word_chars < 2 * n_words OR word_chars > 25 * n_words) AND 2 * unspaced <= letters
             OR 2 * n_dup_lines > n_lines OR 3 * n_stutter > n_words OR 2 * letters < word_chars) AS kept
 FROM b
 """

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from routeyard.llm import pieces, shingles
-from routeyard.llm.common import register, steps, table, utf8
+from routeyard.llm.common import free_name, register, steps, table, utf8
 
 POSITIVES, NEGATIVES = 4000, 8000
 BUCKETS = 1 << 22
@@ -115,7 +115,9 @@ def sample_features(docs: DataFrame, sample: DataFrame) -> list:
                     "y": pa.array([r[0] for r in rows], pa.int32()), "sign": pa.array([r[1] for r in rows], pa.int32()),
                     "found": pa.array([r[2].astype("<i4").tobytes() for r in rows], pa.binary())})
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    # one row per sampled id, whatever its copies: of several texts the least
+    joined = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id")
+              .agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"))
     return joined.mapInArrow(run, "y int, sign int, found binary").collect()
 
 
@@ -204,16 +206,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     return fit(y, [b for _, b in plain], list(zip(sides[::2], sides[1::2])), shares, fairness)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """All columns with score and predicted; a null or empty text gets the score of a text without features."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str) -> DataFrame:
+    """All columns, whatever their names, and the score in a further column ``name``.
+
+    A null or empty text gets the score of a text without features.
+    """
     chosen, weights, bias = model
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(BUCKETS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         for batch in batches:
-            for part in steps(batch):
-                data, bounds = utf8(part.column("text"))
+            for part in steps(batch, text):
+                data, bounds = utf8(part.column(text))
                 found, doc, _ = features(lowered(data), bounds)
                 at = place[found]
                 here = at >= 0
@@ -223,12 +229,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                 with np.errstate(over="ignore"):
                     p = 1 / (1 + np.exp(-z))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())],
-                                                 names=[*part.schema.names, "__score"])
+                                                 names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """All columns with score and predicted, which replace columns of these names."""
+    name = free_name(docs, "toxicity")
+    out = scored(docs.drop("score", "predicted"), model, name)
+    return out.withColumn("score", F.col(name)).withColumn("predicted", (F.col(name) >= threshold).cast("int")).drop(name)
+
 
-    out = docs.drop("score", "predicted", "held_out")
-    schema = T.StructType([*out.schema.fields, T.StructField("__score", T.DoubleType())])
-    return out.mapInArrow(run, schema).withColumn("score", F.col("__score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")).drop("__score")
+def not_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, all columns unchanged; each of repeated rows is judged like the others."""
+    name = free_name(docs, "toxicity")
+    return scored(docs, model, name).filter(F.col(name) < threshold).drop(name)
 
 
 @register("op10_toxicity")

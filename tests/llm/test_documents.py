@@ -24,7 +24,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(ids, texts):
+def brute_components(ids, texts, percent=85):
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
     def find(i):
@@ -36,7 +36,7 @@ def brute_components(ids, texts):
     for i in range(len(ids)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     groups = {}
     for i in range(len(ids)):
@@ -154,7 +154,7 @@ def test_quality_counts_equal_brute_force(make_docs, odd_texts):
         assert tuple(rows[i][c] for c in quality.COUNTS) == want
         failed = want[0] < 10 or 100 * want[4] > 20 * want[0]
         assert rows[i]["base_failed"] == failed and not (failed and rows[i]["kept"])
-    names = list(quality.rules(F.col("x"), F.col("y")))
+    names = list(quality.CONDITIONS)
     one, two = (quality.judged(docs, order).select("doc_id", "kept") for order in (names, names[::-1]))
     assert one.exceptAll(two).count() == 0
     assert quality.judged(docs.limit(0)).count() == 0
@@ -181,7 +181,7 @@ def test_passing_rows_are_the_kept_ones(make_docs, odd_texts):
 
 
 def test_prose_without_blanks_stays(spark, make_docs):
-    """Chinese, Japanese and Thai pass the pipeline's stage; a Latin text of such long words doesn't."""
+    """Chinese, Japanese and Thai pass; a Latin text of such long words doesn't."""
     line = {"zh": "我们在春天的早晨沿着河边慢慢地走到了那座古老的石桥上看见许多人在那里钓鱼和聊天{}。",
             "ja": "わたしたちは春の朝に川のそばをゆっくりと歩いて古い石の橋まで行きました{}。",
             "th": "พวกเราเดินเล่นริมแม่น้ำในตอนเช้าของฤดูใบไม้ผลิและพบผู้คนมากมาย{}",
@@ -189,6 +189,70 @@ def test_prose_without_blanks_stays(spark, make_docs):
     texts = ["\n".join(x.format(c * 2) for c in "abcdefghijkl") for x in line.values()]
     rows = corpus_pipeline.drop_poor(spark, make_docs(texts), "").collect()
     assert sorted(r["doc_id"] for r in rows) == [0, 1, 2]
+    assert [r["doc_id"] for r in quality.judged(make_docs(texts)).filter("kept").orderBy("doc_id").collect()] == [0, 1, 2]
+
+
+def test_order_of_the_rules_follows_the_sample(make_docs):
+    """The rule that rejects most per second comes first, in both paths; what it rejects costs the others nothing."""
+    prose = "ten or more words of quite ordinary prose in a single line of text"
+    for bad, first in ((prose + " # # # #", "symbols"), ("so so so so so so ten words or more stand here", "stutter")):
+        docs = make_docs([bad] * 300 + [prose] * 30)
+        assert quality.cascade(docs)[0] == first
+        plan = quality.judged(docs.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+        verdict = plan[plan.index("ELSE CASE WHEN"):]
+        # the first branch behind the least number of words
+        assert ("n_symbols" in verdict[:200]) == (first == "symbols")
+
+def test_stages_leave_clashing_columns_alone(spark, make_docs):
+    """Columns named like those that the stages use pass through them unchanged, null and repeated rows too."""
+    prose = "ten or more words of quite ordinary prose in a single line of text"
+    names = ["score", "predicted", "held_out", "copy_hash", "of_copy", "of_text", "__copy", "found", "toxicity", "Toxicity_"]
+    mine = [F.concat(F.lit(f"my {name}"), F.coalesce("doc_id", F.lit(0))).alias(name) for name in names]
+    docs = make_docs([prose, prose, prose + " and more", None, "", prose], ids=[1, 1, 2, None, 3, None]).select("doc_id", "text", "lang", *mine)
+    rows = sorted(map(repr, docs.collect()))
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_poor, corpus_pipeline.drop_near_copies):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        got = sorted(map(repr, out.collect()))
+        assert out.columns == docs.columns and got
+        for r in got:
+            rows_left = rows.count(r)
+            assert rows_left and got.count(r) <= rows_left
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, make_docs, odd_texts, tmp_path):
+    prose = "ten or more words of quite ordinary prose in a single line of text"
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for k, docs in enumerate((make_docs(["a"]).limit(0), make_docs([*odd_texts, prose, prose, prose + " x", None], ids=[
+            *range(len(odd_texts)), 500, 500, None, None]).withColumn("held_out", F.lit(1)))):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        none.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        assert (k == 0) == (pieces == [])
+        assert all(r["length"] > 0 for r in pieces)
+
+
+def test_repeated_labelled_rows_are_sampled_once(spark, make_docs):
+    docs = make_docs(["vile words"] * 3000 + ["fine words"], ids=[1] * 3000 + [3])
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    sample, _ = toxicity.sample_of(labels, "toxic", 10, 10)
+    assert len(toxicity.sample_features(docs, sample)) == 2
+
+
+def test_counterfactual_gap_at_the_shipped_setting(spark):
+    """Swapping identity terms in held-out sentences moves the classifier's log-odds less with the penalty than without."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    terms = [group for group in toxicity.IDENTITY_TERMS if len(group) > 1]
+    rows = [(i * 10 + k, f"all the {term} of the town are vile and stupid" if i % 2 else f"the {term} walk along the river")
+            for i, group in enumerate(terms * 2) for k, term in enumerate(group)]
+    test = spark.createDataFrame(rows, "doc_id long, text string")
+    gaps = []
+    for fairness in (0.0, toxicity.FAIRNESS):
+        s = {r["doc_id"]: r["score"] for r in toxicity.score(test, toxicity.train(docs, labels, fairness=fairness)).collect()}
+        odds = lambda p: np.log(p / (1 - p))
+        gaps.append(np.mean([abs(odds(s[i * 10 + k]) - odds(s[i * 10])) for i, group in enumerate(terms * 2) for k in range(1, len(group))]))
+    assert gaps[1] <= gaps[0]
+
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -279,7 +343,7 @@ def test_pipeline_stages(spark):
                     assert after.filter(after.doc_id == r["doc_id"]).count() == 0
         if name == "near_dedup":
             rows = kept.collect()
-            component, _ = brute_components([r["doc_id"] for r in rows], [r["text"] for r in rows])
+            component, _ = brute_components([r["doc_id"] for r in rows], [r["text"] for r in rows], corpus_pipeline.SIMILAR)
             assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(component))
         kept = after
     from test_tokens import check_pieces
