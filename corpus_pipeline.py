@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from routeyard.llm import near_dedup, packing, quality, toxicity
 from routeyard.llm.common import stored, table
@@ -15,23 +14,29 @@ TREES = 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, doesn't call toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("predicted") == 0).select(*docs.columns)
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't call toxic.
+
+    Columns pass unchanged, whatever their names; null and empty texts are scored as texts without features, repeated rows
+    each like the others.
+    """
+    return toxicity.not_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts don't, repeated rows are judged alike, columns unchanged."""
     return quality.passing(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates."""
+    """One document of every group of near-duplicates, all columns unchanged.
+
+    Texts without words all stay; of rows that repeat both doc_id and text one stays.
+    """
     return near_dedup.representatives(docs, percent=SIMILAR, trees=TREES).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences of at most 2048 ids."""
+    """Pieces of the kept documents in sequences of at most 2048 ids; a null text is empty, a repeated row packed again."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
