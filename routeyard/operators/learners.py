@@ -6,8 +6,6 @@ saves itself as ML models and Parquet tables.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel, MultilayerPerceptronClassificationModel,
@@ -17,13 +15,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeyard import fixed_values as V
 from routeyard.functions.scores import normalize_cost, stable_unit
 from routeyard.functions.vectors import dot
+from routeyard.operators.block_fits import (RiskFit, coefficients, design, exploded_risks, fit_heads, fit_risks,
+                                             fitted_models, risk_scores)
 from routeyard.operators.features import fit_standardizer, model_profiles, one_hot, standardize
 from routeyard.operators.labels import argmax, argmin, hard_labels, is_correct, soft_targets, solvable
 from routeyard.operators.policy import Policy, read_settings, write_tables
-from routeyard.runtime import finite, persisted, scratch_path
+from routeyard.runtime import finite, persisted
 
 
 class ConstantPolicy(Policy):
@@ -78,63 +77,38 @@ class _FeaturePolicy(Policy):
 
 
 class OneVsRestPolicy(_FeaturePolicy):
-    """One balanced logistic head per model for P(correct)."""
+    """One balanced logistic head per model for P(correct); every step of all heads is one pass over one table."""
 
-    def __init__(self, models: list[str], max_iter: int = 1000, reg: float = 1e-3, threads: int = 4,
-                 tol: float = 1e-6):
+    def __init__(self, models: list[str], reg: float = 1e-3, tol: float = 1e-9):
         super().__init__(models)
-        self.max_iter, self.reg, self.threads, self.tol = max_iter, reg, threads, tol
+        self.reg, self.tol = reg, tol
 
     def fit(self, outcomes, features, meta=None):
-        kept, rows = self._training(outcomes, features)
-        spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "ovr")
-        pairs = rows.join(kept.select("sample_id", "model_id", is_correct().cast("double").alias("label")), "sample_id")
-        pairs.write.partitionBy("model_id").parquet(path)       # each head reads its own folder only
-        train = spark.read.schema(pairs.schema).parquet(path)
-        counts = {r["model_id"]: (r["pos"], r["n"]) for r in train.groupBy("model_id").agg(
-            F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()}
-
-        def head(model: str):
-            pos, n = counts.get(model, (0.0, 0))
-            if pos == 0:
-                return None
-            weight = F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * max(n - pos, 1)))
-            data = train.filter(F.col("model_id") == model).withColumn("w", weight)
-            return LogisticRegression(maxIter=self.max_iter, regParam=self.reg, weightCol="w", tol=self.tol,
-                                      standardization=False).fit(data)
-
-        with ThreadPoolExecutor(self.threads) as pool:
-            self.heads = dict(zip(self.models, pool.map(head, self.models)))
+        kept, _ = self._training(outcomes, features)
+        rows = standardize(features, "vec", self.scaler).withColumn("query_type", F.lit(None).cast("string"))
+        table = design(rows, kept, is_correct(), self.models, [F.lit(1.0)], "heads")
+        heads, _ = fit_heads(table, self.reg, self.tol)
+        self.heads = persisted(features.sparkSession.createDataFrame(
+            [(m, i - 1, float(x)) for m, head in zip(self.models, heads) for i, x in enumerate(np.roll(head, 1))],
+            "model_id string, dim int, value double"), "heads")
         return self
 
     def scores(self, features):
-        rows = self._vectors(features)
-        parts = []
-        for i, m in enumerate(self.models):
-            if self.heads[m] is None:
-                rows = rows.withColumn(f"__p{i}", F.lit(0.0))
-                continue
-            lr = self.heads[m].copy()
-            lr.setProbabilityCol("__prob").setRawPredictionCol("__raw").setPredictionCol("__pred")
-            last = F.element_at(vector_to_array("__prob"), -1 if lr.numClasses == 2 else 1)
-            rows = lr.transform(rows).withColumn(f"__p{i}", last).drop("__prob", "__raw", "__pred")
-        parts = F.array(*[F.col(f"__p{i}") for i in range(len(self.models))])
-        return rows.select("sample_id", self._exploded(parts).alias("x")).select("sample_id", "x.*")
+        """Probabilities; ``heads`` has a row per model and dimension, -1 being the intercept."""
+        by = {m: [] for m in self.models}
+        for r in self.heads.orderBy("model_id", "dim").collect():
+            by[r["model_id"]].append(r["value"])
+        z = [dot(F.col("vec"), F.array(*[F.lit(x) for x in by[m][1:]])) + F.lit(by[m][0]) for m in self.models]
+        scored = standardize(features, "vec", self.scaler).select("sample_id", F.array(*[F.lit(1.0) / (F.lit(1.0) + F.exp(-x)) for x in z]).alias("p"))
+        return scored.select("sample_id", self._exploded(F.col("p")).alias("x")).select("sample_id", "x.*")
 
     def save(self, path: str) -> None:
-        for i, m in enumerate(self.models):
-            if self.heads[m] is not None:
-                self.heads[m].write().overwrite().save(f"{path}/head-{i}")
-        write_tables(path, {"scaler": self.scaler},
-                     {"models": self.models, "heads": [m for m in self.models if self.heads[m] is not None]})
+        write_tables(path, {"scaler": self.scaler, "heads": self.heads}, {"models": self.models})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "OneVsRestPolicy":
-        stored = read_settings(spark, path)
-        out = cls(stored["models"])
-        out.scaler = spark.read.parquet(f"{path}/scaler")
-        out.heads = {m: LogisticRegressionModel.load(f"{path}/head-{i}") if m in stored["heads"] else None
-                     for i, m in enumerate(out.models)}
+        out = cls(read_settings(spark, path)["models"])
+        out.scaler, out.heads = spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/heads")
         return out
 
 
@@ -228,11 +202,10 @@ class RiskPolicy(Policy):
     history; ``route_scores`` takes the costs of the samples themselves.
     """
 
-    def __init__(self, learner: str = "logistic", max_iter: int | None = None, reg: float = 1e-3, seed: int = 42,
-                 lam: float = 0.0, tol: float = 1e-6):
-        self.learner, self.reg, self.seed, self.lam, self.tol = learner, reg, seed, lam, tol
+    def __init__(self, learner: str = "logistic", max_iter: int = 100, reg: float = 1e-3, seed: int = 42,
+                 lam: float = 0.0, tol: float = 1e-9):
         # the logistic fit ends at its tolerance; trees have no such end, so their number is the setting
-        self.max_iter = max_iter or (100 if learner == "gbt" else 1000)
+        self.learner, self.max_iter, self.reg, self.seed, self.lam, self.tol = learner, max_iter, reg, seed, lam, tol
 
     def _pairs(self, samples: DataFrame, profiles: DataFrame) -> DataFrame:
         """Samples times profiles; the profiles (one per model) travel as one small array."""
@@ -257,33 +230,26 @@ class RiskPolicy(Policy):
         self.sample_scaler = persisted(fit_standardizer(rows, "vec"), "sample-scaler")
         self.profile_scaler = persisted(fit_standardizer(profiles, "profile"), "profile-scaler")
         self.profiles = persisted(profiles, "profiles")
-        train = persisted(self._pairs(rows, self.profiles).join(
-            outcomes.select("sample_id", "model_id", (F.lit(1) - F.col("quality")).cast("double").alias("label")),
-            ["sample_id", "model_id"]), "pairs")
         if self.learner == "gbt":
-            est = GBTClassifier(maxIter=self.max_iter, maxDepth=4, seed=self.seed)
-        else:
-            est = LogisticRegression(maxIter=self.max_iter, regParam=self.reg, tol=self.tol, standardization=False)
-        self.model = est.fit(train)
+            train = persisted(self._pairs(rows, self.profiles).join(
+                outcomes.select("sample_id", "model_id", (F.lit(1) - F.col("quality")).cast("double").alias("label")),
+                ["sample_id", "model_id"]), "pairs")
+            self.model = GBTClassifier(maxIter=self.max_iter, maxDepth=4, seed=self.seed).fit(train)
+            return self
+        models, matrix = self._matrix(self.profiles)
+        table = design(standardize(rows, "vec", self.sample_scaler), outcomes, F.lit(1) - F.col("quality"), models, [F.lit(1.0)], "pairs")
+        self.model = fit_risks(table, [RiskFit(matrix)], self.reg, self.tol)[0]
         return self
 
-    def _logistic_risks(self, samples: DataFrame, profiles: DataFrame) -> DataFrame:
-        """The linear score falls into a part of the sample, computed once, and one number per model and query type."""
-        w = self.model.coefficients.toArray()
+    def _matrix(self, profiles: DataFrame) -> tuple[list[str], np.ndarray]:
+        """Standardised profiles, one row per model."""
         rows = standardize(profiles, "profile", self.profile_scaler).orderBy("model_id").collect()
-        width, kinds = len(rows[0]["profile"]), list(V.QUERY_TYPES)
-        dim = len(w) - width * (1 + len(kinds))
-        of_sample, of_model, crossed = w[:dim], w[dim:dim + width], w[dim + width:].reshape(len(kinds), width)
-        plain = [(r["model_id"], float(of_model @ np.array(r["profile"])) + self.model.intercept, crossed @ np.array(r["profile"]))
-                 for r in rows]
-        as_map = lambda extra: F.create_map(*[F.lit(x) for k, e in zip(kinds, extra.tolist()) for x in (k, e)])
-        models = F.array(*[F.struct(F.lit(m).alias("model_id"), (F.lit(a) + F.coalesce(
-            as_map(extra)[F.col("query_type")], F.lit(0.0))).alias("z")) for m, a, extra in plain])
-        own = dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in of_sample]))
-        scored = standardize(samples, "vec", self.sample_scaler).select(
-            "sample_id", own.alias("own"), F.explode(models).alias("m"))
-        return scored.select("sample_id", "m.model_id", (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("own") + F.col("m.z")))))
-                             .alias("risk"))
+        return [r["model_id"] for r in rows], np.array([r["profile"] for r in rows])
+
+    def _logistic_risks(self, samples: DataFrame, profiles: DataFrame) -> DataFrame:
+        models, matrix = self._matrix(profiles)
+        scored = risk_scores(standardize(samples, "vec", self.sample_scaler), [(self.model, matrix)], models)
+        return exploded_risks(scored, models)
 
     def risks(self, samples: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
         profiles = self.profiles if profiles is None else profiles
@@ -303,15 +269,19 @@ class RiskPolicy(Policy):
     _TABLES = ("sample_scaler", "profile_scaler", "profiles", "costs")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        write_tables(path, {n: getattr(self, n) for n in self._TABLES}, {"learner": self.learner, "lam": self.lam})
+        tables = {n: getattr(self, n) for n in self._TABLES}
+        if self.learner == "gbt":
+            self.model.write().overwrite().save(f"{path}/model")
+        else:
+            tables["coefficients"] = coefficients(self.profiles.sparkSession, [self.model])
+        write_tables(path, tables, {"learner": self.learner, "lam": self.lam})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "RiskPolicy":
         stored = read_settings(spark, path)
         out = cls(stored["learner"], lam=stored["lam"])
-        kind = GBTClassificationModel if out.learner == "gbt" else LogisticRegressionModel
-        out.model = kind.load(f"{path}/model")
+        out.model = (GBTClassificationModel.load(f"{path}/model") if out.learner == "gbt"
+                     else fitted_models(spark.read.parquet(f"{path}/coefficients"))[0])
         for name in cls._TABLES:
             setattr(out, name, spark.read.parquet(f"{path}/{name}"))
         return out

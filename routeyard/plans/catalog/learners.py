@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from routeyard import fixed_values as V
 from routeyard import fixtures as D
+from routeyard.operators import block_fits as BF
+from routeyard.operators import costs as C
 from routeyard.operators import encoders as EN
+from routeyard.operators import experiments as X
 from routeyard.operators import features as FT
 from routeyard.operators import labels as L
 from routeyard.operators import learners as LN
 from routeyard.operators import policies as P
+from routeyard.operators import risk_runs as RR
 from routeyard.operators.registry import union_all
 from routeyard.plans.catalog import query
-from routeyard.plans.catalog.aggregates import fused, soft_sql, typed
-from routeyard.plans.catalog.scalars import feature_vectors
+from routeyard.plans.catalog.aggregates import BOUNDS_SQL, TYPES_SQL, fused, soft_sql, typed
+from routeyard.plans.catalog.policies import profile_sql
+from routeyard.plans.catalog.scalars import FEATURE_VECTOR_SQL, feature_vectors
 from routeyard.runtime import persisted, scratch_path
 
 
@@ -87,18 +95,34 @@ def _solvable_training(spark, sf):
     return o, f, kept, f.join(kept.select("sample_id").distinct(), "sample_id", "left_semi")
 
 
-@query("r8_fit_moments", f""", {OK_SQL}
-SELECT model_id, count(*) AS samples, sum(quality)::BIGINT AS correct, TRUE AS met FROM ok GROUP BY model_id HAVING sum(quality) > 0""")
+STANDARD_SQL = """fit_rows AS (SELECT DISTINCT sample_id, vec FROM ok JOIN vectors USING (sample_id)),
+moments AS (SELECT i, avg(vec[i]) AS m, CASE WHEN stddev_pop(vec[i]) < FLOOR THEN 1 ELSE stddev_pop(vec[i]) END AS s
+            FROM fit_rows, range(1, DIMS + 1) r(i) GROUP BY i),
+z AS (SELECT sample_id, i - 1 AS dim, (vec[i] - m) / s AS x FROM fit_rows, moments UNION ALL SELECT sample_id, -1, 1 FROM fit_rows)"""
+
+
+@query("r8_fit_moments", f""", {OK_SQL}, vectors AS (SELECT sample_id, list_concat(text_vec, image_vec) AS vec FROM features),
+{STANDARD_SQL.replace('DIMS', '64').replace('FLOOR', '1e-12')},
+heads AS (SELECT model_id FROM ok GROUP BY model_id HAVING min(quality) = 0 AND max(quality) > 0)
+SELECT model_id, dim, round(avg(x) / 2, 6) + 0.0 AS moment FROM z JOIN ok USING (sample_id) JOIN heads USING (model_id)
+WHERE quality > 0 GROUP BY ALL""")
 def r8_moments(spark, sf):
-    """Every head's balanced mean probability on its training rows is one half."""
+    """What decides a balanced head: the mean of every feature times the probability, plus its penalty, is that of the labels.
+
+    The fit minimises a strictly convex loss, so a head that meets all of its moments is the head.
+    """
     o, f, kept, rows = _solvable_training(spark, sf)
-    scores = LN.OneVsRestPolicy(D.MODEL_IDS, tol=TIGHT).fit(o, f).scores(rows)
-    both = scores.join(kept.select("sample_id", "model_id", "quality"), ["sample_id", "model_id"])
-    side = lambda q: F.avg(F.when(F.col("quality") == q, F.col("score")))
-    middle = F.coalesce((side(1) + side(0)) / 2, F.lit(0.5))        # a model that is always right has one side only
-    return both.groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("samples"), F.sum("quality").cast("bigint").alias("correct"),
-        (F.abs(middle - 0.5) < CLOSE).alias("met")).filter("correct > 0")
+    policy = LN.OneVsRestPolicy(D.MODEL_IDS).fit(o, f)
+    z = FT.standardize(rows, "vec", policy.scaler).select("sample_id", F.concat(F.array(F.lit(1.0)), "vec").alias("x"))
+    both = policy.scores(rows).join(kept.select("sample_id", "model_id", "quality"), ["sample_id", "model_id"]).join(z, "sample_id")
+    weighted = F.transform("x", lambda x: x * F.col("score"))
+    means = both.groupBy("model_id", (F.col("quality") > 0).alias("right")).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(weighted))).alias("m"))
+    halves = means.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("m").alias("m")).filter("n = 2")
+    sums = halves.select("model_id", F.posexplode(F.zip_with(F.col("m")[0], F.col("m")[1], lambda a, b: (a + b) / 2)).alias("dim", "p"))
+    penalty = F.when(F.col("dim") >= 0, policy.reg * F.col("value")).otherwise(0.0)
+    return sums.withColumn("dim", F.col("dim") - 1).join(policy.heads, ["model_id", "dim"]).select(
+        "model_id", F.col("dim").cast("bigint").alias("dim"), (F.round(F.col("p") + penalty, 6) + 0.0).alias("moment"))
 
 
 @query("r10_fit_moments", f""", {OK_SQL}, {soft_sql(10.0)},
@@ -133,16 +157,117 @@ def r11_probabilities(spark, sf):
                     (F.any_value(right(L.argmax(scores))) > F.any_value(right(P.cheapest_global(rows, o)))).alias("better"))
 
 
-@query("r12_fit_moments", f""", {OK_SQL}
-SELECT count(*) AS pairs, round(avg(1 - quality), 9) AS failures, TRUE AS met FROM outcomes JOIN train_ids USING (sample_id)""")
+@query("r12_fit_moments", f""", {FEATURE_VECTOR_SQL},
+train_ids AS (SELECT sample_id FROM meta JOIN features USING (sample_id) WHERE split = 'train'),
+ok AS (SELECT o.* FROM outcomes o JOIN train_ids USING (sample_id)),
+{STANDARD_SQL.replace('DIMS', '76').replace('FLOOR', '1e-6')}, {profile_sql("ok", "profiles")},
+scales AS (SELECT i, avg(profile[i]) AS m, CASE WHEN stddev_pop(profile[i]) < 1e-6 THEN 1 ELSE stddev_pop(profile[i]) END AS s
+           FROM profiles, range(1, 18) r(i) GROUP BY i),
+scaled AS (SELECT model_id, i - 1 AS dim, (profile[i] - m) / s AS x FROM profiles, scales),
+risk_cells AS (SELECT query_type, model_id, sum(1 - quality) / (SELECT count(*) FROM ok) AS y FROM ok JOIN types USING (sample_id) GROUP BY ALL),
+rows_ AS (SELECT CASE dim WHEN -1 THEN 'intercept' ELSE 'sample' END AS part, '' AS kind, greatest(dim, 0) AS dim,
+                 sum(x * (1 - quality)) / (SELECT count(*) FROM ok) AS moment FROM z JOIN ok USING (sample_id) GROUP BY dim
+  UNION ALL SELECT 'model', '', dim, sum(x * y) FROM risk_cells JOIN scaled USING (model_id) GROUP BY dim
+  UNION ALL SELECT 'model', query_type, dim, sum(x * y) FROM risk_cells JOIN scaled USING (model_id) GROUP BY ALL)
+SELECT part, kind, dim, round(moment, 6) + 0.0 AS moment FROM rows_""")
 def r12_moments(spark, sf):
-    """The mean risk on the training pairs is their failure rate."""
+    """The mean of everything the linear score multiplies times the risk, plus its penalty, is that of the failures."""
     o = _train_outcomes(spark, sf)
     vectors = persisted(feature_vectors(spark, sf), "vectors")
-    policy = LN.RiskPolicy(tol=TIGHT).fit(o, vectors, FT.model_profiles(o, typed(spark, sf)))
-    both = policy.risks(vectors).join(o, ["sample_id", "model_id"])
-    return both.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.lit(1) - F.col("quality")), 9).alias("failures"),
-                    (F.abs(F.avg("risk") - F.avg(F.lit(1) - F.col("quality"))) < CLOSE).alias("met"))
+    policy = LN.RiskPolicy().fit(o, vectors, FT.model_profiles(o, typed(spark, sf)))
+    both = persisted(policy.risks(vectors).join(o, ["sample_id", "model_id"]), "risks")
+    total = both.agg(F.count(F.lit(1)).alias("n")).scalar()
+    per_sample = both.groupBy("sample_id").agg(F.sum("risk").alias("p")).join(
+        FT.standardize(vectors, "vec", policy.sample_scaler), "sample_id")
+    sums = lambda name: vector_to_array(Summarizer.sum(array_to_vector(F.transform(name, lambda x: x * F.col("p")))))
+    of_sample = per_sample.withColumn("x", F.concat(F.array(F.lit(1.0)), "vec")).agg(sums("x").alias("m")).select(
+        F.posexplode("m").alias("i", "m")).select(
+        F.when(F.col("i") == 0, "intercept").otherwise("sample").alias("part"), F.lit("").alias("kind"),
+        F.greatest(F.col("i") - 1, F.lit(0)).alias("dim"), "m")
+    cells = both.join(vectors.select("sample_id", "query_type"), "sample_id").groupBy("query_type", "model_id").agg(
+        F.sum("risk").alias("p")).join(FT.standardize(policy.profiles, "profile", policy.profile_scaler), "model_id")
+    by_type = cells.groupBy("query_type").agg(sums("profile").alias("m")).select("query_type", F.posexplode("m").alias("dim", "m"))
+    of_type = by_type.select(F.lit("model").alias("part"), F.col("query_type").alias("kind"), "dim", "m")
+    of_model = by_type.groupBy("dim").agg(F.sum("m").alias("m")).select(F.lit("model").alias("part"), F.lit("").alias("kind"), "dim", "m")
+    penalty = BF.coefficients(spark, [policy.model]).select("part", F.when(F.col("part") == "intercept", "").otherwise(F.col("kind")).alias("kind"),
+        "dim", F.when(F.col("part") != "intercept", policy.reg * F.col("value")).otherwise(0.0).alias("penalty"))
+    out = union_all([of_sample, of_type, of_model]).join(penalty, ["part", "kind", "dim"])
+    return out.select("part", "kind", F.col("dim").cast("bigint").alias("dim"), (F.round(F.col("m") / total + F.col("penalty"), 6) + 0.0).alias("moment"))
+
+
+SEEDS, SWEEP = (1, 2, 3, 4, 5), (0.0, 0.01, 0.03, 0.1, 0.3, 1.0, 1e12)
+
+
+def _sweep(spark, sf):
+    """Risk fitted per seed on the training split, judged on the test split."""
+    m, o = D.meta(spark, sf), D.stored_outcomes(spark, sf)
+    vectors = persisted(feature_vectors(spark, sf), "vectors")
+    side = lambda name: m.filter(F.col("split") == name).select("sample_id").join(vectors.select("sample_id"), "sample_id")
+    train = persisted(side("train"), "train")
+    history = o.join(train, "sample_id", "left_semi")
+    bounds = C.cost_bounds(o)
+    profiles = FT.model_profiles(history, vectors.select("sample_id", "query_type"))
+    return RR.learned_sweep(vectors, o, train, side("test"), profiles, bounds, list(SWEEP), list(SEEDS)), bounds
+
+
+@query("r15_learned_sweep")
+def r15_learned(spark, sf):
+    """Mean and spread over the seeds of every score, per cost weight."""
+    sweep, bounds = _sweep(spark, sf)
+    return RR.seed_spread(RR.seed_scores(sweep.choices, bounds))
+
+
+@query("r15_learned_limits", f""", {BOUNDS_SQL},
+least AS (SELECT sample_id, min(least(greatest((cost - cmin) / (cmax - cmin), 0), 1)) AS u FROM outcomes JOIN meta USING (sample_id)
+          JOIN features USING (sample_id), bounds WHERE split = 'test' GROUP BY sample_id)
+SELECT seed, count(*) AS num_samples, round(avg(u), 9) AS avg_normalized_cost FROM least, (SELECT unnest({list(SEEDS)}) AS seed) GROUP BY seed""")
+def r15_limits(spark, sf):
+    """Where cost outweighs everything, every seed's choices cost the least that each sample allows."""
+    sweep, bounds = _sweep(spark, sf)
+    scores = RR.seed_scores(sweep.choices, bounds).filter(F.col("lambda_cost") == SWEEP[-1])
+    return scores.select("seed", "num_samples", F.round("avg_normalized_cost", 9).alias("avg_normalized_cost"))
+
+
+HELD_TYPE, HELD_DATASET, HELD_MODELS = "general", "src5", ("m2", "m6")
+MODES = [m for m in V.ABLATIONS if m not in RR.WITHOUT_TERM]
+RUNS = [*MODES, "heldout_type", "heldout_dataset", "heldout_model_mean", "heldout_model_calibrated"]
+
+
+def _runs():
+    held = {"heldout_type": X.matches_type(F.col("query_type"), [HELD_TYPE]), "heldout_dataset": X.matches_dataset(F.col("dataset"), [HELD_DATASET])}
+    return [*[RR.Run(m, m) for m in MODES], *[RR.Run(name, held=c) for name, c in held.items()],
+            RR.Run("heldout_model_mean", heldout_models=HELD_MODELS), RR.Run("heldout_model_calibrated", heldout_models=HELD_MODELS, calibration=100)]
+
+
+def _fitted_runs(spark, sf):
+    lab = D.table(spark, sf, "labels").withColumn("sample_id", F.col("doc_id").cast("string"))
+    rows = persisted(FT.attach_extras(D.features(spark, sf), lab, ["quality"]), "rows")
+    drawn = FT.sample_features(rows, ["quality"], random_extras=True).select("sample_id", F.element_at("vec", -1).alias("drawn"))
+    vectors = FT.sample_features(rows, ["quality"]).join(drawn, "sample_id").select(
+        "sample_id", "query_type", F.concat("vec", F.array("drawn")).alias("vec"))
+    o, runs = D.stored_outcomes(spark, sf), _runs()
+    have = vectors.select("sample_id")
+    fitted, scored = RR.fitted_runs(persisted(vectors, "vectors"), D.meta(spark, sf), o.join(have, "sample_id", "left_semi"), runs, 32, 32, 1)
+    return fitted, scored, runs, C.cost_bounds(o)
+
+
+@query("r16_ablation_scores")
+def r16_scores(spark, sf):
+    """Every ablation and every held-out experiment, fitted together and scored on its test samples."""
+    _, scored, runs, bounds = _fitted_runs(spark, sf)
+    return RR.run_scores(scored, runs, bounds)
+
+
+@query("r16_fit_moments", f""", {TYPES_SQL}, known AS (SELECT m.sample_id, m.dataset, split, query_type FROM meta m JOIN features USING (sample_id) JOIN types USING (sample_id)),
+runs AS (SELECT unnest({RUNS!r}) AS run),
+pairs AS (SELECT run, quality FROM runs, known JOIN outcomes USING (sample_id) WHERE split = 'train'
+  AND NOT (run = 'heldout_type' AND query_type = '{HELD_TYPE}') AND NOT (run = 'heldout_dataset' AND contains(dataset, '{HELD_DATASET}'))
+  AND NOT (run LIKE 'heldout_model%' AND model_id IN {HELD_MODELS!r}))
+SELECT run, count(*) AS pairs, round(avg(1 - quality), 6) AS moment FROM pairs GROUP BY run""")
+def r16_moments(spark, sf):
+    """A finished fit's mean risk, with the slope of its squared error, is the failure rate of the pairs it learns from."""
+    _, scored, runs, _ = _fitted_runs(spark, sf)
+    return RR.run_moments(scored, runs).select("run", "pairs", F.round("moment", 6).alias("moment"))
 
 
 @query("r14_cluster_centres", """, t AS (SELECT sample_id FROM meta WHERE split = 'train' AND sample_id IN (SELECT sample_id FROM outcomes))

@@ -154,7 +154,7 @@ def r9(spark, sf):
                       F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-def _profile_sql(outcomes, name):
+def profile_sql(outcomes, name):
     parts = ", ".join(f"COALESCE(avg(quality) FILTER (query_type = '{q}'), avg(quality)), "
                       f"COALESCE(avg(cost) FILTER (query_type = '{q}'), avg(cost))" for q in V.QUERY_TYPES)
     return f"""{name} AS (SELECT model_id, [avg(quality), avg(cost), stddev_pop(cost), {parts}] AS profile
@@ -163,7 +163,7 @@ def _profile_sql(outcomes, name):
 
 @query("r13_heldout_profiles", f""", {TYPES_SQL}, calib AS (SELECT sample_id FROM samples ORDER BY {D.bucket_sql("'42|' || sample_id")}, sample_id LIMIT 100),
 few AS (SELECT * FROM outcomes WHERE sample_id IN (SELECT sample_id FROM calib)),
-{_profile_sql("outcomes", "full_profiles")}, {_profile_sql("few", "few_profiles")},
+{profile_sql("outcomes", "full_profiles")}, {profile_sql("few", "few_profiles")},
 seen AS (SELECT * FROM full_profiles WHERE model_id NOT IN ('m2', 'm6')),
 long AS (SELECT i, avg(profile[i]) AS x FROM seen, range(1, 18) t(i) GROUP BY i),
 profiles AS (SELECT 'calibrated' AS how, * FROM seen UNION ALL SELECT 'calibrated', * FROM few_profiles WHERE model_id IN ('m2', 'm6')
@@ -212,7 +212,7 @@ def r15_summary(spark, sf):
     return K.pareto(s).drop("router")
 
 
-@query("r16_ablations", f""", {TYPES_SQL}, {_profile_sql("outcomes", "full_profiles")}
+@query("r16_ablations", f""", {TYPES_SQL}, {profile_sql("outcomes", "full_profiles")}
 SELECT mode, model_id, CASE mode WHEN 'no_model_profile' THEN 1 WHEN 'no_query_type' THEN 3 ELSE 17 END::BIGINT AS profile_dim,
   CASE mode WHEN 'sample_difficulty_only' THEN 12 WHEN 'no_query_type' THEN 69 WHEN 'no_extra_features' THEN 75 ELSE 76 END::BIGINT AS sample_dim,
   round(CASE mode WHEN 'no_model_profile' THEN 1 WHEN 'no_query_type' THEN list_sum(profile[1:3])
