@@ -1,11 +1,11 @@
-"""Exact nearest neighbours and the policies built on them.
-
-Training vectors are assigned to the nearest of about sqrt(n) pivots, so cells
-keep holding about sqrt(n) vectors as tables grow.  The triangle inequality then tells which cells can hold one of a query's ``k``
-nearest neighbours, so a query is sent to those cells only and no pair outside
-them is ever formed.  Inside a cell, fixed-size blocks of queries meet
-fixed-size blocks of training vectors; a block returns at most ``k`` rows per
-query.  Nothing is dropped: the result equals the brute-force answer.
+"""Exact and approximate nearest neighbours and the policies built on them.
+
+Training vectors are assigned to the nearest of about sqrt(n) pivots, ``MAX_PIVOTS`` at most.  The pivots form groups of like
+place, so a query first meets groups, then the pivots of the groups that can matter, a tile of fixed size at a time.  The
+triangle inequality tells which cells can hold one of a query's ``k`` nearest neighbours, so a query is sent to those
+cells only and no pair outside them is ever formed.  Inside a cell, fixed-size blocks of queries meet fixed-size blocks
+of training vectors; a block returns at most ``k`` rows per query.  Nothing is dropped: ``nearest`` equals the brute-force
+answer, ``nearest_approximate`` visits the nearest cells only.  No task holds more than the pivots and a tile.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from routeyard.runtime import persisted
 DIGITS = 9          # distances are compared at this precision, ties by id
 SLACK = 1e-6        # room for rounding in the pruning bounds
 BLOCK_ROWS = 2048
+MAX_PIVOTS = 1 << 14
+TILE_ROWS = 512     # queries that meet a group of pivots at once
 
 
 def _metric_space(df: DataFrame, id_col: str, vec: str, metric: str, side: int) -> DataFrame:
@@ -43,77 +45,140 @@ def _metric_space(df: DataFrame, id_col: str, vec: str, metric: str, side: int)
     return df.select(F.col(id_col).alias("id"), v.alias("v"))
 
 
-def _to_pivots(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    m = np.stack(vectors.to_numpy())
+def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     sq = (m * m).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (m @ pivots.T)
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cosine",
-            id_col: str = "sample_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The ``k`` nearest training rows of every query: (query_id, train_id, distance, rank)."""
-    spark = queries.sparkSession
+class Pivots:
+    """Pivots in groups around every so many of them, searched group by group."""
+
+    def __init__(self, points: np.ndarray):
+        heads = points[:max(1, math.isqrt(len(points)))]
+        group = np.concatenate([_distances(points[i:i + TILE_ROWS], heads).argmin(axis=1) for i in range(0, len(points), TILE_ROWS)])
+        self.points, self.heads = points, heads
+        self.members = [np.flatnonzero(group == g) for g in range(len(heads))]
+        self.reach = np.array([_distances(points[i], heads[[g]]).max(initial=0.0) for g, i in enumerate(self.members)])
+
+    def nearest(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of every row, and the distance; of equal ones the first."""
+        best, cell = np.full(len(m), np.inf), np.zeros(len(m), np.int64)
+        for at in range(0, len(m), TILE_ROWS):
+            rows, low = m[at:at + TILE_ROWS], best[at:at + TILE_ROWS]
+            to_heads = _distances(rows, self.heads)
+            for g in np.argsort(to_heads.min(axis=0), kind="stable").tolist():
+                some = np.flatnonzero(to_heads[:, g] - self.reach[g] <= low + SLACK)
+                if len(some) and len(self.members[g]):
+                    d = _distances(rows[some], self.points[self.members[g]])
+                    k = d.argmin(axis=1)
+                    value, found = d[np.arange(len(some)), k], self.members[g][k]
+                    here = at + some
+                    better = (value < best[here]) | ((value == best[here]) & (found < cell[here]))
+                    best[here[better]], cell[here[better]] = value[better], found[better]
+        return cell, best
+
+    def visits(self, m: np.ndarray, radius: np.ndarray, near: np.ndarray, probes: int | None) -> list[np.ndarray]:
+        """Per row the cells to visit; ``near`` has per cell its members' least distances to the pivot, infinity for none.
+
+        The k-th least of (distance to a pivot + a member's distance to it) bounds the k-th neighbour's distance; a cell farther
+        than that beyond its radius holds no neighbour.  With ``probes`` only so many of the nearest cells are taken.
+        """
+        k, most = near.shape[1], np.array([radius[i].max(initial=-np.inf) for i in self.members])
+        out = []
+        for at in range(0, len(m), TILE_ROWS):
+            rows = m[at:at + TILE_ROWS]
+            to_heads = _distances(rows, self.heads)
+            order = np.argsort(to_heads.min(axis=0), kind="stable").tolist()
+            bound = np.full((len(rows), k), np.inf)
+            for g in order:
+                some = np.flatnonzero(to_heads[:, g] - self.reach[g] <= bound[:, -1])
+                if len(some) and len(self.members[g]):
+                    d = _distances(rows[some], self.points[self.members[g]])
+                    upper = (d[:, :, None] + near[self.members[g]][None, :, :]).reshape(len(some), -1)
+                    bound[some] = np.sort(np.partition(np.concatenate([bound[some], upper], axis=1), k - 1, axis=1)[:, :k], axis=1)
+            limit = bound[:, -1] + SLACK
+            found = [[] for _ in rows]
+            for g in order:
+                some = np.flatnonzero(to_heads[:, g] - self.reach[g] - most[g] <= limit)
+                if not len(some) or not len(self.members[g]):
+                    continue
+                d = _distances(rows[some], self.points[self.members[g]])
+                keep = d - radius[self.members[g]][None, :] <= limit[some][:, None]
+                for r, (line, far) in zip(some.tolist(), zip(keep, d)):
+                    found[r].append(np.stack([far[line], self.members[g][line]]))
+            for parts in found:
+                cells = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0))
+                cells = cells[:, np.lexsort((cells[1], cells[0]))][:, :probes]
+                out.append(np.sort(cells[1]).astype("int32"))
+        return out
+
+
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy())
+
+
+def _prepared(queries: DataFrame, train: DataFrame, k: int, metric: str, id_col: str, vec: str, probes: int | None):
+    """Training points in cells, the cells' numbers, and queries with the cells they visit; None without points."""
     q = _metric_space(queries, id_col, vec, metric, 0)
     t = _metric_space(train, id_col, vec, metric, 1)
-
     # Of equal vectors only the k first ids can ever be chosen.
     copies = Window.partitionBy("v").orderBy("id")
     t = persisted(t.withColumn("c", F.row_number().over(copies)).filter(F.col("c") <= k).drop("c"), "knn-points")
-
     size = t.count()
     if size == 0:
-        return spark.createDataFrame([], "query_id string, train_id string, distance double, rank int")
-    n_pivots = max(1, math.isqrt(size))
+        return None
+    n_pivots = max(1, min(MAX_PIVOTS, math.isqrt(size)))
     chosen = t.orderBy(hash_bucket(F.concat(F.lit("pivot|"), F.col("id"))), "id").limit(n_pivots).collect()
-    pivots = np.array([r["v"] for r in chosen])
+    pivots = Pivots(np.array([r["v"] for r in chosen]))
 
     @F.pandas_udf("struct<cell:int,d:double>")
     def assign(v: pd.Series) -> pd.DataFrame:
-        d = _to_pivots(v, pivots)
-        cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell]})
+        cell, d = pivots.nearest(_matrix(v))
+        return pd.DataFrame({"cell": cell.astype("int32"), "d": d})
 
     placed = persisted(t.withColumn("a", assign("v")).select("id", "v", "a.cell", "a.d"), "knn-train")
-
     # Per cell: row count, radius and the k distances closest to the pivot.
     closest = Window.partitionBy("cell").orderBy("d")
     near_rows = (placed.select("cell", "d").withColumn("r", F.row_number().over(closest)).filter(F.col("r") <= k)
                  .groupBy("cell").agg(F.array_sort(F.collect_list("d")).alias("near")))
-    cells = (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
-             .join(near_rows, "cell").collect())
-    ids = np.array([c["cell"] for c in cells])
-    radius = np.array([c["radius"] for c in cells])
-    near = [np.array(c["near"]) for c in cells]
-    blocks = {c["cell"]: math.ceil(c["n"] / block_rows) for c in cells}
+    cells = persisted(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
+                      .join(near_rows, "cell"), "knn-cells")
+    radius, near = np.full(n_pivots, -np.inf), np.full((n_pivots, k), np.inf)
+    for c in cells.collect():               # MAX_PIVOTS rows at most
+        radius[c["cell"]] = c["radius"]
+        near[c["cell"], :len(c["near"])] = c["near"]
 
     @F.pandas_udf("array<int>")
     def candidates(v: pd.Series) -> pd.Series:
-        d = _to_pivots(v, pivots[ids])
-        bounds = np.concatenate([d[:, [i]] + near[i][None, :] for i in range(len(ids))], axis=1)
-        reach = np.partition(bounds, k - 1, axis=1)[:, k - 1] if bounds.shape[1] >= k else np.full(len(d), np.inf)
-        keep = d - radius[None, :] <= reach[:, None] + SLACK
-        return pd.Series([ids[row].astype("int32") for row in keep])
-
-    visits = persisted(q.withColumn("cells", candidates("v")), "knn-queries").select(
-        "id", "v", F.explode("cells").alias("cell"))
-    visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    waves = {c: math.ceil(visitors.get(c, 0) / block_rows) for c in blocks}
-
-    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    n_blocks, n_waves = as_map(blocks)[F.col("cell")], as_map(waves)[F.col("cell")]
-    spread = lambda salt, n: F.pmod(hash_bucket(F.concat(F.lit(salt), F.col("id"))), n).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-
-    left = visits.withColumn("wave", spread("wave|", n_waves)).withColumn("block", all_of(n_blocks))
-    right = (placed.drop("d").filter(n_waves > 0).withColumn("block", spread("block|", n_blocks))
-             .withColumn("wave", all_of(n_waves)))
+        return pd.Series(pivots.visits(_matrix(v), radius, near, probes))
+
+    return placed, cells, persisted(q.withColumn("cells", candidates("v")), "knn-queries")
+
+
+def _best(queries: DataFrame, train: DataFrame, k: int, metric: str, id_col: str, vec: str, block_rows: int,
+          probes: int | None) -> DataFrame:
+    prepared = _prepared(queries, train, k, metric, id_col, vec, probes)
+    if prepared is None:
+        return queries.sparkSession.createDataFrame([], "query_id string, train_id string, distance double, rank int")
+    placed, cells, asked = prepared
+    visits = asked.select("id", "v", F.explode("cells").alias("cell"))
+    counts = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("visitors"))
+    in_blocks = lambda n: F.ceil(F.col(n) / F.lit(block_rows)).cast("int")
+    # one row per visited cell
+    plan = persisted(cells.join(counts, "cell").select("cell", in_blocks("n").alias("n_blocks"), in_blocks("visitors").alias("n_waves")),
+                     "knn-plan")
+    spread = lambda salt, n: F.pmod(hash_bucket(F.concat(F.lit(salt), F.col("id"))), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    with_plan = lambda df: df.join(F.broadcast(plan), "cell")  # noqa: E731  MAX_PIVOTS rows at most
+    left = with_plan(visits).withColumn("wave", spread("wave|", "n_waves")).withColumn("block", all_of("n_blocks"))
+    right = with_plan(placed.drop("d")).withColumn("block", spread("block|", "n_blocks")).withColumn("wave", all_of("n_waves"))
     euclid = metric == "euclidean"
 
     def best_of_block(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or ts.empty:
             return pd.DataFrame({"query_id": [], "train_id": [], "distance": []})
         ts = ts.sort_values("id")
-        a, b = np.stack(qs["v"].to_numpy()), np.stack(ts["v"].to_numpy())
+        a, b = _matrix(qs["v"]), _matrix(ts["v"])
         if euclid:
             d = np.sqrt(sum((a[:, i:i + 1] - b[:, i]) ** 2 for i in range(a.shape[1])))     # one matrix at a time
         else:
@@ -130,12 +195,45 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cos
                              "train_id": ts["id"].to_numpy()[cols[keep]], "distance": dist[keep]})
 
     keys = ["cell", "block", "wave"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    found = left.select("id", "v", *keys).groupBy(*keys).cogroup(right.select("id", "v", *keys).groupBy(*keys)).applyInPandas(
         best_of_block, "query_id string, train_id string, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "train_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cosine",
+            id_col: str = "sample_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` nearest training rows of every query: (query_id, train_id, distance, rank)."""
+    return _best(queries, train, k, metric, id_col, vec, block_rows, None)
+
+
+def nearest_approximate(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cosine", probes: int = 8,
+                        id_col: str = "sample_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``nearest``, but every query visits only its ``probes`` nearest cells; ``recall`` tells what that finds."""
+    return _best(queries, train, k, metric, id_col, vec, block_rows, max(1, probes))
+
+
+def visit_report(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "cosine", probes: int | None = None,
+                 id_col: str = "sample_id", vec: str = "vec") -> DataFrame:
+    """One row: queries, cells, visits, and the share of (query, training row) pairs that no visit forms."""
+    prepared = _prepared(queries, train, k, metric, id_col, vec, probes)
+    if prepared is None:
+        return queries.sparkSession.createDataFrame([], "queries long, cells long, visits long, pruned_share double")
+    placed, cells, asked = prepared
+    formed = asked.select(F.explode("cells").alias("cell")).join(F.broadcast(cells.select("cell", "n")), "cell").agg(
+        F.count(F.lit(1)).alias("visits"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    out = formed.withColumns({"queries": asked.agg(F.count(F.lit(1)).alias("n")).scalar(),
+                              "cells": cells.agg(F.count(F.lit(1)).alias("n")).scalar(), "rows": cells.agg(F.sum("n").alias("n")).scalar()})
+    return out.select("queries", "cells", "visits", (1 - F.col("pairs") / F.nullif(F.col("queries") * F.col("rows"), F.lit(0))).alias("pruned_share"))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: neighbours looked for, and the share of them found at least as near as the exact ones of the same rank."""
+    far = found.select("query_id", "rank", F.col("distance").alias("got"))
+    both = exact.select("query_id", "rank", "distance").join(far, ["query_id", "rank"], "left")
+    return both.agg(F.count(F.lit(1)).alias("neighbors"), F.avg((F.coalesce("got", F.lit(float("inf"))) <= F.col("distance")).cast("double")).alias("recall"))
+
+
 def vote_shares(neighbors: DataFrame, labels: DataFrame, weights: str = "distance") -> DataFrame:
     """Share of the (distance-weighted) vote per query and label.
 

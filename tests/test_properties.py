@@ -319,3 +319,44 @@ def test_entropy_bounds(spark, sf):
     o = D.outcomes(spark, sf)
     r = L.target_diagnostics(L.soft_targets(o, 0.0), o).first()
     assert 0 <= r["mean_entropy"] <= r["max_entropy"] == pytest.approx(math.log(8))
+
+
+def test_approximate_neighbors_and_visits(spark):
+    """Clustered points: few probes find nearly all neighbours, and exact searches leave most pairs out."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(30, 8)) * 4
+    points = middles[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 8))
+    frame = spark.createDataFrame([(f"{i:05d}", p.tolist()) for i, p in enumerate(points)], "sample_id string, vec array<double>")
+    queries, train = frame.filter("sample_id < '00200'"), frame.filter("sample_id >= '00200'")
+    exact = NN.nearest(queries, train, k=5, metric="euclidean")
+    rows = exact.collect()
+    want = {}
+    for i in range(200):
+        d = np.round(np.sqrt(((points[200:] - points[i]) ** 2).sum(1)), NN.DIGITS)
+        want[f"{i:05d}"] = [f"{200 + j:05d}" for j in np.lexsort((np.arange(len(d)), d))[:5]]
+    assert all(want[r["query_id"]][r["rank"] - 1] == r["train_id"] for r in rows) and len(rows) == 1000
+    exact = spark.createDataFrame(rows, exact.schema)
+    some = NN.recall(NN.nearest_approximate(queries, train, k=5, metric="euclidean", probes=4), exact).first()
+    assert some["neighbors"] == 1000 and 0.9 <= some["recall"] <= 1
+    report = NN.visit_report(queries, train, k=5, metric="euclidean").first()
+    assert report["queries"] == 200 and report["cells"] <= 53 and report["pruned_share"] > 0.5
+    fewer = NN.visit_report(queries, train, k=5, metric="euclidean", probes=4).first()
+    assert fewer["visits"] <= 800 and fewer["pruned_share"] >= report["pruned_share"]
+    assert NN.visit_report(queries, train.limit(0)).count() == 0
+
+
+def test_pivots_are_searched_like_one_list():
+    """Groups of pivots and tiles of queries change nothing."""
+    rng = np.random.default_rng(6)
+    points, m = rng.normal(size=(150, 3)), rng.normal(size=(700, 3))
+    pivots = NN.Pivots(points)
+    cell, d = pivots.nearest(m)
+    far = np.sqrt(((m[:, None] - points[None]) ** 2).sum(2))
+    assert (far[np.arange(700), cell] <= far.min(axis=1) + 1e-9).all() and np.allclose(d, far.min(axis=1))
+    radius, near = rng.random(150), np.sort(rng.random((150, 2)), axis=1)
+    limit = np.sort((far[:, :, None] + near[None]).reshape(700, -1), axis=1)[:, 1]
+    got = pivots.visits(m, radius, near, None)
+    for i in range(700):
+        assert set(np.flatnonzero(far[i] - radius <= limit[i] + NN.SLACK / 2)) <= set(got[i].tolist()) <= set(
+            np.flatnonzero(far[i] - radius <= limit[i] + 2 * NN.SLACK))
+    assert all(len(c) <= 3 for c in pivots.visits(m, radius, near, 3))
