@@ -7,8 +7,8 @@ under random permutations) and a sketch of 128 more in 16 bits each.
 *Trees.*  Each independent tree sends a class to the nodes named by its tokens at the tree's chosen positions; two sets of
 similarity J share a node of one position with probability J.  ``trees * branches`` positions at the root miss a pair at
 the threshold 0.85 with probability 0.15 ** 6, about 1e-5.  In a node that branches a pair stays together with probability
-1 - (1 - J) ** branches per level, 0.9775 of two branches at 0.85, so the probability rises to 2e-5 after one level, 4e-5 after
-two and 9e-5 after three.  The sketch, which all trees share, loses at most ``MISS`` of the pairs at the threshold, whatever the
+1 - (1 - J) ** branches per level, 0.9775 of two branches at 0.85, so the probability rises to 2.3e-5 after one level, 4.4e-5
+after two and 7.7e-5 after three.  The sketch, which all trees share, loses at most ``MISS`` of the pairs at the threshold, whatever the
 threshold is.
 
 *Stars.*  In every node, all members are compared with its least member only, one pair per member: sketches first, then
