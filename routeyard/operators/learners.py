@@ -12,15 +12,17 @@ from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, Lo
                                        MultilayerPerceptronClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeyard.functions.scores import normalize_cost, stable_unit
+from routeyard.functions.scores import normalize_cost
 from routeyard.functions.vectors import dot
 from routeyard.operators.block_fits import (RiskFit, coefficients, design, exploded_risks, fit_heads, fit_risks,
                                              fitted_models, risk_scores)
 from routeyard.operators.features import fit_standardizer, model_profiles, one_hot, standardize
 from routeyard.operators.labels import argmax, argmin, hard_labels, is_correct, soft_targets, solvable
+from routeyard.operators.perceptron import fit_soft
 from routeyard.operators.policy import Policy, read_settings, write_tables
 from routeyard.runtime import finite, persisted
 
@@ -154,27 +156,29 @@ class LinearPolicy(_FeaturePolicy):
 
 
 class MlpPolicy(_FeaturePolicy):
-    """A small perceptron on the hard label, or on one label drawn from the soft targets."""
+    """A small perceptron on the hard label, or on the whole soft targets by their cross-entropy."""
 
     def __init__(self, models: list[str], hidden: tuple[int, ...] = (256,), lam: float | None = None,
                  cost_scale: float = 100.0, max_iter: int = 300, seed: int = 42):
         super().__init__(models)
         self.hidden, self.lam, self.cost_scale, self.max_iter, self.seed = hidden, lam, cost_scale, max_iter, seed
 
-    def _labels(self, kept: DataFrame) -> DataFrame:
-        if self.lam is None:
-            return hard_labels(kept, "drop")
-        # the largest of u^(1/target) is a draw in proportion to the targets
-        t = soft_targets(kept, self.lam, cost_scale=self.cost_scale).filter("target > 0")
-        u = F.greatest(stable_unit(F.concat_ws("|", "sample_id", "model_id"), str(self.seed)), F.lit(1e-300))
-        return argmax(t.withColumn("score", F.log(u) / F.col("target")))
-
     def fit(self, outcomes, features, meta=None):
         kept, rows = self._training(outcomes, features)
-        train = persisted(rows.join(self._labels(kept), "sample_id").withColumn("label", self._index()), "mlp")
         dim = self.scaler.select(F.size("mean")).first()[0]
-        self.model = MultilayerPerceptronClassifier(
-            layers=[dim, *self.hidden, len(self.models)], maxIter=self.max_iter, seed=self.seed).fit(train)
+        layers = [dim, *self.hidden, len(self.models)]
+        learner = MultilayerPerceptronClassifier(layers=layers, maxIter=self.max_iter, seed=self.seed)
+        if self.lam is None:
+            train = persisted(rows.join(hard_labels(kept, "drop"), "sample_id").withColumn("label", self._index()), "mlp")
+            self.model = learner.fit(train)
+            return self
+        targets = soft_targets(kept, self.lam, cost_scale=self.cost_scale)
+        plain = rows.select("sample_id", F.lit(None).cast("string").alias("query_type"), vector_to_array("features").alias("vec"))
+        table = design(plain, targets, F.col("target"), self.models, [F.lit(1.0)], "mlp")
+        weights, self.losses = fit_soft(table, table.count(), layers, self.seed, self.max_iter)
+        # a classifier that starts at the weights and takes no step scores, saves and loads them
+        one = table.limit(1).select(array_to_vector("x").alias("features"), F.lit(float(len(self.models) - 1)).alias("label"))
+        self.model = learner.copy({learner.maxIter: 0, learner.initialWeights: DenseVector(weights)}).fit(one)
         return self
 
     def scores(self, features):
