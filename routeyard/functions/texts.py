@@ -1,4 +1,4 @@
-"""Query types, text statistics, loose JSON and asset lists."""
+"""Query types, text statistics, loose JSON, Python literals and asset lists."""
 
 from __future__ import annotations
 
@@ -84,6 +84,85 @@ def parse_list_text(value: Column) -> Column:
         is_list, F.coalesce(as_json, as_literal, F.array(t))).otherwise(F.array(t))
 
 
+# Stand-ins for characters that would otherwise be read twice: a tuple's parentheses until it is known which only group, and
+# escaped backslashes and quotes until quoted text is found.  Texts that hold them already stay text.
+_OPEN, _CLOSE, _SLASH, _SINGLE, _DOUBLE = "\x01", "\x02", "\x03", "\x04", "\x05"
+# No pattern repeats a group: Java's matcher would need a stack as deep as the text is long.
+_ESCAPES = r"(?s)\\.|[^\\]+|\\"
+_PIECES = r"""'[^']*'|"[^"]*"|[^'"]+|['"]"""                  # quoted text, a run without quotes, a stray quote
+_UNITS = r"""(?s)\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|\\.|[^\\"\t\x04]+|["\t\x04]"""
+_SHARED = ("\\n", "\\r", "\\t", "\\b", "\\f", "\\u")              # escapes that JSON knows too
+_OWN = {_SINGLE: "'", '"': _DOUBLE, "\t": "\\t", "\\\n": "", "\\a": "\\u0007", "\\v": "\\u000b"}
+# Bare text: what only JSON or only other notations know must not become a value, so it is left unreadable.
+_BARE = ((r"\b(true|false|null|NaN|Infinity)\b", "?"), (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"),
+         (r"(?<=\d)_(?=\d)", ""), (r"(?<![\w.])\+(?=[\d.])", ""), (r"(?<![\w.])\.(?=\d)", "0."), (r"(?<=\d)\.(?!\d)", ".0"),
+         (r",\s+(?=[\])}])", ","), (r"(?<=[^\s,(\[{]),(?=[\]}])|^,(?=[\]}])", ""))
+
+
+def _mapped(text: Column, pieces: str, change) -> Column:
+    """The text with every piece changed."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pieces), F.lit(0)), change), "")
+
+
+def _without_escaped_quotes(text: Column) -> Column:
+    return _mapped(text, _ESCAPES, lambda e: F.when(e == "\\\\", _SLASH).when(e == "\\'", _SINGLE).when(e == '\\"', _DOUBLE).otherwise(e))
+
+
+def _quoted_as_json(piece: Column) -> Column:
+    def unit(u: Column) -> Column:
+        out = F.when(u.rlike(r"^\\x"), F.concat(F.lit("\\u00"), F.substring(u, 3, 2)))
+        out = out.when(u.rlike(r"^\\[0-7]"), F.concat(F.lit("\\u"), F.lpad(F.conv(F.substring(u, 2, 3), 8, 16), 4, "0")))
+        for text, json in _OWN.items():
+            out = out.when(u == text, F.lit(json))
+        unknown = F.startswith(u, F.lit("\\")) & ~u.isin(*_SHARED, "\\U", "\\N")
+        return out.when(unknown, F.concat(F.lit(_SLASH), F.substring(u, 2, 1))).otherwise(u)
+
+    return F.concat(F.lit('"'), _mapped(F.substring(piece, F.lit(2), F.length(piece) - 2), _UNITS, unit), F.lit('"'))
+
+
+def _bare_as_json(piece: Column) -> Column:
+    for pattern, text in _BARE:
+        piece = F.regexp_replace(piece, pattern, text)
+    return F.translate(piece, "()", _OPEN + _CLOSE)
+
+
+def literal_as_json(value: Column) -> Column:
+    """A Python literal rewritten as JSON text; text that is no literal gives text that isn't JSON either.
+
+    Tuples become lists.  Parentheses around one number, word or quoted text only group it; around one list they count as a
+    tuple.  Sets, bytes, complex numbers, keys that aren't text, joined quoted pieces and the escapes \\N and \\U aren't read.
+    """
+    quoted = lambda p: (F.startswith(p, F.lit("'")) | F.startswith(p, F.lit('"'))) & (F.length(p) > 1)
+    text = _mapped(_without_escaped_quotes(value), _PIECES,
+                   lambda p: F.when(quoted(p), _quoted_as_json(p)).otherwise(_bare_as_json(p)))
+    for _ in range(3):
+        text = F.regexp_replace(text, r'\x01(\s*(?:[^\s\x01\x02\[\]{},"]+|"[^"]*")\s*)\x02', "$1")
+    # a comma before the end is what makes a tuple of one
+    text = F.translate(F.regexp_replace(text, "," + _CLOSE, _CLOSE), _OPEN + _CLOSE, "[]")
+    text = F.replace(F.replace(text, F.lit(_SLASH), F.lit("\\\\")), F.lit(_DOUBLE), F.lit('\\"'))
+    return F.when(~value.rlike(r"[\x01-\x05]"), text)
+
+
+def _whole_json(text: Column) -> Column:
+    """A ``variant``, or NULL where the text isn't one JSON value; the parser by itself ignores what follows the first one.
+
+    Text that closes a list early doesn't fit an object, and the other way round.
+    """
+    in_list, in_object = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}"))
+    return F.when(F.try_parse_json(in_object).isNotNull(), F.try_variant_get(F.try_parse_json(in_list), "$[0]", "variant"))
+
+
+def loose_value(value: Column) -> Column:
+    """A ``variant``: JSON, else a Python literal, else the text itself, without blanks around it.
+
+    Objects, lists, numbers, booleans and null keep their types at any depth (``variant_get`` reads them).  NULL and blank
+    text give NULL; an object that repeats a key, and the numbers NaN and Infinity, stay text.
+    """
+    t = strip(value)
+    parsed = F.coalesce(_whole_json(t), _whole_json(literal_as_json(t)), t.cast("variant"))
+    return F.when((t == "") | t.isNull(), F.lit(None)).otherwise(parsed)
+
+
 def asset(kind: str, uri: Column | None = None, tsv_file: Column | None = None,
           index: Column | None = None, description: Column | None = None) -> Column:
     none = F.lit(None)

@@ -183,6 +183,29 @@ def f12(spark, sf):
     return e.select("event_id", F.array_join(T.parse_list_text(raw), "|").alias("items"))
 
 
+@query("f12_loose_values", """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN '{"t":"' || event_type || '","u":' || user_id || '}'
+  WHEN 1 THEN '{"none":null,"ok":true,"t":"' || event_type || '","u":' || user_id || '}'
+  WHEN 2 THEN '[["' || event_type || '",' || user_id || '],[-2.5],[],"' || event_type || '",{"deep":[false,{"u":' || user_id || '}]}]'
+  WHEN 3 THEN '"it''s \\"' || event_type || '\\""' WHEN 4 THEN user_id::VARCHAR WHEN 5 THEN 'true'
+  WHEN 6 THEN '"plain (' || event_type || ', ' || user_id || '"' ELSE NULL END AS value,
+  CASE WHEN event_id % 8 IN (0, 1) THEN user_id END AS u
+FROM events""")
+def f12_values(spark, sf):
+    """Objects, nested lists, tuples, numbers, booleans and plain text, in either notation."""
+    e, i = D.table(spark, sf, "events"), F.col("event_id") % 8
+    t, u = F.col("event_type"), F.col("user_id").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    raw = (F.when(i == 0, text(' {"u": ', u, ', "t": "', t, '"}\n'))
+           .when(i == 1, text("{'u': ", u, ", 't': '", t, "', 'ok': True, 'none': None,}"))
+           .when(i == 2, text("[('", t, "', ", u, "), (-2.5,), (), ('", t, "'), {'deep': [False, {'u': ", u, "}]}]"))
+           .when(i == 3, text("'it\\'s \"", t, "\"'")).when(i == 4, u).when(i == 5, F.lit("True"))
+           .when(i == 6, text("plain (", t, ", ", u)).otherwise(F.lit(" ")))
+    rows = e.select("event_id", T.loose_value(raw).alias("v"))
+    return rows.select("event_id", F.to_json("v").alias("value"),
+                       F.when(F.col("event_id") % 8 < 2, F.try_variant_get("v", "$.u", "bigint")).alias("u"))
+
+
 def _dims(df, *cols):
     """One row per (sample, dimension)."""
     z = df.select("sample_id", *[c for c in df.columns if c not in (*cols, "sample_id")],
