@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeyard.functions.scores import hash_bucket
-from routeyard.operators.prefix import running_totals
+from routeyard.operators.prefix import running_totals, totals_in_ranges, with_range
 from routeyard.runtime import finite
 
 
@@ -51,8 +51,11 @@ def tied_ranks(pairs: DataFrame, groups: list[str] = ()) -> DataFrame:
 
 def failure_auc(pairs: DataFrame) -> DataFrame:
     """Chance that a failure scores above a success, ties counted half; NULL with one class only."""
-    t = tied_ranks(pairs).agg(F.sum("pos").alias("pos"), (F.sum("n") - F.sum("pos")).alias("neg"),
-                              F.sum(F.col("rank") * F.col("pos")).alias("r"))
+    return _auc_of(tied_ranks(pairs))
+
+
+def _auc_of(ranks: DataFrame) -> DataFrame:
+    t = ranks.agg(F.sum("pos").alias("pos"), (F.sum("n") - F.sum("pos")).alias("neg"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     auc = (F.col("r") - F.col("pos") * (F.col("pos") + 1) / F.lit(2.0)) / F.nullif(
         F.col("pos") * F.col("neg"), F.lit(0.0))
     return t.select(auc.alias("auc"))
@@ -73,10 +76,40 @@ def running_accuracy(chosen: DataFrame) -> DataFrame:
 
 def risk_coverage_auc(chosen: DataFrame) -> DataFrame:
     """Trapezoid area under running accuracy over coverage, from the closed form."""
+    return _area_of(running_accuracy(chosen))
+
+
+def _area_of(run: DataFrame) -> DataFrame:
     a = F.col("accuracy")
     ends = (F.max(F.when(F.col("seen") == 1, a)) - F.max(F.when(F.col("seen") == F.col("total"), a))) / F.lit(2.0)
-    return running_accuracy(chosen).agg(
-        ((F.sum(a) + ends) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("area"))
+    return run.agg(((F.sum(a) + ends) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("area"))
+
+
+def risk_statistics(risks: DataFrame, decisions: DataFrame, outcomes: DataFrame, n_bins: int = 15) -> DataFrame:
+    """One row: ranking, calibration and coverage of predicted risks, as the single operators give them.
+
+    Risks meet outcomes and decisions once; the joined rows are dealt in ranges of risk and written, and every figure
+    is summed from them.  Mean and deviation take all risks, the rest those with an outcome.
+    """
+    keys = ["sample_id", "model_id"]
+    joined = (risks.select(*keys, F.col("risk").cast("double").alias("p"))
+              .join(outcomes.select(*keys, "quality"), keys, "left")
+              .join(decisions.select(*keys, F.lit(True).alias("__taken")), keys, "left"))
+    rows = with_range(joined.select("sample_id", "p", (F.lit(1) - F.col("quality")).cast("double").alias("label"),
+                                    F.col("quality").alias("correct"), F.coalesce("__taken", F.lit(False)).alias("taken"),
+                                    (hash_bucket(F.col("sample_id")) / F.lit(float(2 ** 32))).alias("tie")), "p", "tie")
+    pairs = _usable(rows, "label", "p")
+
+    # a score that fills several ranges counts in the first of them, which keeps the ranges in order
+    by_score = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"), F.min("__range").alias("__range"))
+    ranks = totals_in_ranges(by_score, ["p"], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / F.lit(2.0))
+    run = totals_in_ranges(pairs.filter("taken"), ["p", "tie", "sample_id"], {"seen": F.lit(1), "hits": F.col("correct")}, overall=True)
+    run = run.select("seen", (F.col("hits") / F.col("seen")).alias("accuracy"), F.col("seen_total").alias("total"))
+    return (rows.agg(F.avg("p").alias("risk_mean"), F.stddev_pop("p").alias("risk_std"))
+            .withColumn("failure_auc", _auc_of(ranks).select("auc").scalar())
+            .withColumn("brier", brier_score(pairs).select("brier").scalar())
+            .withColumn("ece", calibration_error(pairs, n_bins).select("ece").scalar())
+            .withColumn("risk_coverage_auc", _area_of(run).select("area").scalar()))
 
 
 def pareto(points: DataFrame, slack: float = 1e-12) -> DataFrame:

@@ -76,8 +76,7 @@ def summary(decisions: DataFrame, outcomes: DataFrame, bounds: DataFrame, fronti
 
     A decision without an outcome counts as wrong at cost 0, as in ``score``.
     """
-    from routeyard.operators.calibration import (brier_score, calibration_error, failure_auc,
-                                                 frontier_match, risk_coverage_auc)
+    from routeyard.operators.calibration import frontier_match, risk_statistics
 
     g = gather(decisions, outcomes)
     known = F.coalesce("cost", F.lit(0.0))
@@ -94,18 +93,8 @@ def summary(decisions: DataFrame, outcomes: DataFrame, bounds: DataFrame, fronti
     if frontier is not None:
         out = frontier_match(out, frontier)
     if risks is not None:
-        pairs = risks.join(outcomes, ["sample_id", "model_id"]).select(
-            "sample_id", "model_id", (F.lit(1) - F.col("quality")).cast("double").alias("label"),
-            F.col("risk").alias("p"))
-        chosen = decisions.join(risks, ["sample_id", "model_id"]).join(
-            outcomes, ["sample_id", "model_id"]).select("sample_id", "risk", F.col("quality").alias("correct"))
-        stats = risks.agg(F.avg("risk").alias("m"), F.stddev_pop("risk").alias("s"))
-        out = (out.withColumn("failure_auc", failure_auc(pairs).select("auc").scalar())
-               .withColumn("brier", brier_score(pairs).select("brier").scalar())
-               .withColumn("ece", calibration_error(pairs, ece_bins).select("ece").scalar())
-               .withColumn("risk_coverage_auc", risk_coverage_auc(chosen).select("area").scalar())
-               .withColumn("risk_mean", stats.select("m").scalar())
-               .withColumn("risk_std", stats.select("s").scalar()))
+        packed = risk_statistics(risks, decisions, outcomes, ece_bins)
+        out = out.withColumn("__r", packed.select(F.struct(*packed.columns)).scalar()).select("*", "__r.*").drop("__r")
     return out
 
 

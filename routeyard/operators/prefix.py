@@ -36,10 +36,16 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
     ``totals`` maps a new column name to the expression that is summed;
     ``overall`` also adds the sum of the whole group as ``{name}_total``.
     """
-    groups = list(groups)
-    order = [F.col(key)] + (["__tie"] if tie is not None else []) + list(then_by)
     rows = df.withColumn("__tie", tie) if tie is not None else df
     rows = with_range(rows, key, "__tie" if tie is not None else None, ranges)
+    order = [key] + (["__tie"] if tie is not None else []) + list(then_by)
+    return totals_in_ranges(rows, order, totals, groups, overall).drop("__tie")
+
+
+def totals_in_ranges(rows: DataFrame, order: list[str], totals: dict[str, Column], groups: list[str] = (),
+                     overall: bool = False) -> DataFrame:
+    """``running_totals`` of rows that ``with_range`` has dealt already; several may read the same stored rows."""
+    groups = list(groups)
     sums = rows.groupBy(*groups, "__range").agg(
         *[F.sum(e).alias(f"__{n}_sum") for n, e in totals.items()])
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(
@@ -56,7 +62,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], tie: Colu
     out = rows.join(offsets, [*groups, "__range"])
     for n, e in totals.items():
         out = out.withColumn(n, F.sum(e).over(inside) + F.col(f"__{n}_before"))
-    return out.drop("__range", "__tie", *[f"__{n}_before" for n in totals])
+    return out.drop("__range", *[f"__{n}_before" for n in totals])
 
 
 def row_numbers(df: DataFrame, key: str, name: str = "row_num", groups: list[str] = (),
