@@ -18,6 +18,8 @@ from routeyard.plans.catalog.aggregates import (BOUNDS_SQL, BY_DATASET_SQL, CHOS
                                                SCORE_COLS, TYPES_SQL, _SCORE, by_dataset, chosen, pairs,
                                                score_rounded, soft_sql, typed)
 from routeyard.plans.catalog.joins import NEIGHBORS_SQL, neighbor_rows
+from routeyard.runtime import scratch_path
+from routeyard.streaming.incremental import read_cache, upsert_stream
 
 
 def uneven(spark, sf):
@@ -208,6 +210,22 @@ def u2(spark, sf):
     return G.upsert(cache, fresh, order=["seq"]).drop("seq")
 
 
+@query("u2_streamed_upsert", """
+SELECT o_orderkey::VARCHAR AS sample_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new2' ELSE o_orderstatus END AS state FROM orders
+WHERE o_orderkey % 4 <> 1 OR o_orderkey % 3 = 0""")
+def u2_streamed(spark, sf):
+    """The upsert of every new file of a folder into a cache of buckets: three deliveries, each followed by a run of the stream."""
+    o = D.table(spark, sf, "orders")
+    root = scratch_path(spark, "u2-stream")
+    key, schema = F.col("o_orderkey").cast("string").alias("sample_id"), "sample_id string, state string"
+    o.filter("o_orderkey % 4 <> 1").select(key, F.col("o_orderstatus").alias("state")).write.parquet(f"{root}/start")
+    for seq in range(3):
+        o.filter("o_orderkey % 3 = 0").select(key, F.lit(f"new{seq}").alias("state")).write.mode("append").parquet(f"{root}/in")
+        upsert_stream(spark, f"{root}/in", schema, f"{root}/cache", f"{root}/progress", start=f"{root}/start",
+                      buckets=16).awaitTermination()
+    return read_cache(spark, f"{root}/cache", schema)
+
+
 @query("u3_intersection", "SELECT l_suppkey AS k FROM lineitem INTERSECT SELECT c_nationkey FROM customer")
 def u3(spark, sf):
     return I.intersection(D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k")),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from routeyard import fixed_values as V
 from routeyard.runtime import scratch_path, shared_dir
 from routeyard.sources import config, reports, results, tables
-from routeyard.streaming.incremental import upsert_stream
+from routeyard.streaming.incremental import generations, merge_batch, read_cache, upsert_stream
 
 PRICING = """
 pricing:
@@ -91,7 +91,7 @@ def test_stream_upserts_new_files(spark, tmp_path):
     run()
     put([("b", 3), ("c", 4)])
     run()
-    got = {r["sample_id"]: r["v"] for r in spark.read.schema(schema).parquet(f"{cache}/v2").collect()}
+    got = {r["sample_id"]: r["v"] for r in read_cache(spark, cache, schema).collect()}
     assert got == {"a": 1, "b": 3, "c": 4}
 
 
@@ -103,7 +103,35 @@ def test_stream_starts_from_a_cache(spark, tmp_path):
     q = upsert_stream(spark, src, schema, cache, ck, start=old)
     q.awaitTermination(120)
     assert q.exception() is None
-    assert {r["sample_id"]: r["v"] for r in spark.read.parquet(f"{cache}/v1").collect()} == {"a": 2, "z": 9}
+    assert {r["sample_id"]: r["v"] for r in read_cache(spark, cache, schema).collect()} == {"a": 2, "z": 9}
+
+
+def test_batches_write_only_the_buckets_they_meet(spark, tmp_path):
+    cache, schema = str(tmp_path / "cache"), "sample_id string, v int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    state = lambda n=None: {r["sample_id"]: r["v"] for r in read_cache(spark, cache, schema, n).collect()}
+    files = lambda n: sorted(str(p) for p in (tmp_path / "cache" / "data" / f"v{n}").rglob("*.parquet"))
+    want = {f"k{i}": i for i in range(2000)}
+    merge_batch(spark, frame([("k1", -1), (None, 5)]), cache, 0, start=frame(list(want.items())), buckets=32)
+    want |= {"k1": -1, None: 5}
+    assert state() == want and len(files(1)) == 32
+    merge_batch(spark, frame([("k7", 70), ("k8", 80), ("new", 1)]), cache, 1, buckets=32)
+    before, want = dict(want), want | {"k7": 70, "k8": 80, "new": 1}
+    assert state() == want and state(1) == before and 1 <= len(files(2)) <= 3
+
+    merge_batch(spark, frame([("k7", 70), ("k8", 80), ("new", 1)]), cache, 1, buckets=32)      # the batch is run again
+    assert state() == want and generations(spark, cache) == [1, 2]
+    merge_batch(spark, frame([]), cache, 2, buckets=32)                                        # nothing to do
+    assert state() == want and files(3) == []
+    for n in (3, 4):
+        merge_batch(spark, frame([("k7", n)]), cache, n, buckets=32)
+        assert state() == want | {"k7": n}
+    assert generations(spark, cache) == [4, 5] and len(files(4)) == len(files(5)) == 1
+    merge_batch(spark, frame([("k7", 5)]), cache, 5, buckets=32)
+    assert files(4) == [] and len(files(1)) >= 29                    # replaced rows are gone, the rest never moved
+    with pytest.raises(ValueError):
+        merge_batch(spark, frame([("a", 1)]), cache, 9, buckets=32)
+    assert read_cache(spark, str(tmp_path / "none"), schema).count() == 0
 
 
 def test_model_pools_from_files(tmp_path):
