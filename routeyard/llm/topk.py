@@ -137,8 +137,9 @@ def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, scale: int =
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best for every row whose vec_id is divisible by ``query_every``.
 
-    Vectors of another length than the query's are no candidates.  Rows that repeat a query's vec_id count as the query's
-    own; other repeated vec_ids are candidates each.  Null ids, null vectors and vectors with a null or non-finite
+    Vectors of another length than the query's are no candidates.  An id asks once: of rows that
+    repeat a query's vec_id the one with the fewest, then least integers asks, and none of them is its candidate; other
+    repeated vec_ids are candidates each.  Null ids, null vectors and vectors with a null or non-finite
     component take no part; an empty vector scores 0 with other empty ones; an empty table gives no rows.
     """
     rows = stored(integers(vectors, scale), "vectors")
@@ -149,7 +150,9 @@ def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, scale: int =
     shard = F.pmod(spread, F.lit(shards)).alias("shard")
     block = F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(blocks)).alias("block")
     base = stored(_blobs(rows.select("*", shard), "shard", "s"), "shards")
-    asked = stored(_blobs(rows.filter(F.col("vec_id") % query_every == 0).select("*", block), "block", "q"), "blocks")
+    one = F.min(F.struct("dims", "v")).alias("row")
+    queries = rows.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(one).select("vec_id", "row.*")
+    asked = stored(_blobs(queries.select("*", block), "block", "q"), "blocks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +209,10 @@ ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asks AS (SELECT * FROM v WHERE vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY len(e), e) = 1),
 s AS (SELECT q.vec_id AS query_id, c.vec_id,
              list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+      FROM asks q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """

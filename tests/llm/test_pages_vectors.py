@@ -79,3 +79,19 @@ def test_top_k_equals_brute_force(spark, shard_rows, block_rows):
     assert {r["query_id"] for r in huge} == {i for i, *_ in brute_top(as_floats, 10)} | {800}
     assert all(-(1 << 63) <= r["score"] < 1 << 63 for r in huge)
     assert topk.top_k(frame(rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows,block_rows", [(4096, 256), (20, 1)])
+def test_an_id_asks_once(spark, shard_rows, block_rows):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0.0, 0.5, 1.0, -1.0]) for _ in range(4)]) for i in range(1, 60)]
+    asks = [(100, [1.0, 0.5, 0.0, 0.0]), (100, [0.5, 9.0, 9.0, 9.0]), (100, [0.5, 9.0, 9.0, 9.0]), (200, [1.0] * 4), (200, [2.0]), (201, [3.0])]
+    everything = rows + rows[:5] + asks                               # some candidates twice, each listed
+    got = topk.top_k(spark.createDataFrame([(i, v, 0, 1, "x") for i, v in everything], VECTORS).repartition(4),
+                     shard_rows=shard_rows, block_rows=block_rows).collect()
+    whole = lambda v: [math.floor(1024 * x) for x in v]
+    want = []
+    for q, v in ((100, [0.5, 9.0, 9.0, 9.0]), (200, [2.0])):
+        scored = sorted((-sum(a * b for a, b in zip(whole(v), whole(c))), i) for i, c in everything if i != q and len(c) == len(v))
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:10])]
+    assert sorted(map(tuple, got)) == sorted(want)
