@@ -30,7 +30,7 @@ from routeyard.llm.packing import in_order
 SKIPPABLE_DOCS, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 FRAME_IDS = 1 << 16
-NULL_ID = -(1 << 63)
+NULL_ID = -(1 << 63)                # what stands where a document has no id; the bits of the document table tell it from the id
 
 
 class FrameWriter:
@@ -41,12 +41,14 @@ class FrameWriter:
         self.packer = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.frames: list[tuple[int, int, int]] = []
         self.doc_ids: list[int] = []
+        self.present: list[bool] = []
         self.counts: list[int] = []
         self.held: list[np.ndarray] = []
         self.size, self.opened = 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(NULL_ID if doc_id is None else doc_id)
+        self.present.append(doc_id is not None)
         self.counts.append(len(ids))
         at = 0
         while at < len(ids):
@@ -69,7 +71,8 @@ class FrameWriter:
     def close(self) -> None:
         self.flush()
         docs = struct.pack("<Q", len(self.doc_ids)) + np.array(self.doc_ids, "<i8").tobytes()
-        docs = self.packer.compress(docs + np.array(self.counts, "<u8").tobytes())
+        docs += np.array(self.counts, "<u8").tobytes() + np.packbits(self.present, bitorder="little").tobytes()
+        docs = self.packer.compress(docs)
         self.out.write(struct.pack("<II", SKIPPABLE_DOCS, len(docs)) + docs)
         table_ = b"".join(struct.pack("<III", *f) for f in self.frames)
         table_ += struct.pack("<IBI", len(self.frames), CHECKSUMS, SEEK_MAGIC)
@@ -97,6 +100,8 @@ class FrameReader:
         count = struct.unpack_from("<Q", docs)[0]
         self.doc_ids = np.frombuffer(docs, "<i8", count, 8)
         self.counts = np.frombuffer(docs, "<u8", count, 8 + 8 * count).astype(np.int64)
+        bits = np.frombuffer(docs, np.uint8, -(-count // 8), 8 + 16 * count)
+        self.present = np.unpackbits(bits, count=count, bitorder="little").astype(bool)
         self.ends = np.cumsum(self.counts)
         self.id_begins = np.concatenate([[0], np.cumsum(self.raw_sizes)]) // 4
 
@@ -181,7 +186,7 @@ def read_digests(files_: DataFrame, folder: str) -> DataFrame:
                     for d, ids in reader.parts(range(len(sums))):
                         sums[d] = zlib.crc32(ids.tobytes(), sums[d])
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids == NULL_ID),
+                    "doc_id": pa.array(reader.doc_ids, pa.int64(), mask=~reader.present),
                     "start": base + reader.ends - reader.counts, "n_tokens": reader.counts,
                     "ids_crc32": pa.array(sums, pa.int64())})
 
@@ -192,7 +197,8 @@ def read_digests(files_: DataFrame, folder: str) -> DataFrame:
 def token_digests(docs: DataFrame, tokenizer: str, rule: str = library.WORDS, end_id: int = 1) -> DataFrame:
     """Write the ids of all documents and read them back.
 
-    A null or empty text holds the end id alone; null doc_ids come first and stay null; rows that repeat a doc_id are
+    A null or empty text holds the end id alone; null doc_ids come first and stay null, every other
+    one is kept, the least long too; rows that repeat a doc_id are
     documents of their own, in the order of their texts' hashes; an empty table gives no file and no rows; further
     columns are ignored.
     """

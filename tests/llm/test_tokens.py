@@ -113,6 +113,8 @@ def test_token_files_round_trip(make_docs, odd_texts):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_files.token_digests(docs.limit(0), WORD).count() == 0
+    least = token_files.token_digests(make_docs(["a b", "c", "d"], ids=[None, -(1 << 63), (1 << 63) - 1]), WORD).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in least) == [(False, 0), (True, -(1 << 63)), (True, (1 << 63) - 1)]
     repeated = token_files.token_digests(make_docs(["a b", "a b", "c"], ids=[None, 4, 4]), WORD).collect()
     assert [(r["doc_id"], r["start"]) for r in sorted(repeated, key=lambda r: r["start"])] == [(None, 0), (4, 3), (4, 5)] or \
         [r["doc_id"] for r in sorted(repeated, key=lambda r: r["start"])] == [None, 4, 4]
