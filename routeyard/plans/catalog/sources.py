@@ -75,7 +75,7 @@ def _write_results(spark, sf, root):
             out.save(f"{root}/{fmt}-{key}/{m}/T20251025_G/{m}_DOCS{suffix}")
     wrong = preds.filter(F.col("model_id") == "m0").select(F.col("sample_id").alias("index"), F.lit(0).alias("hit"))
     wrong.write.option("header", True).csv(f"{root}/helper/m0/T20251025_G/m0_DOCS_acc.csv")
-    found = [(f"{root}/{fmt}-{key}/*/*/*", "csv-multiline" if fmt == "csv" else fmt)
+    found = [(f"{root}/{fmt}-{key}/*/*/*", "csv-quoted" if fmt == "csv" else fmt)
              for _, _, fmt, key, _, _, _ in _LAYOUTS]
     return [*found, (f"{root}/helper/*/*/*", "csv")]
 

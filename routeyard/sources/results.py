@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 from routeyard import fixed_values as V
 from routeyard.functions import names as N
 from routeyard.operators.registry import keep_first, union_all
+from routeyard.sources.records import read_quoted
 
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """A glob of one layout; ``csv-multiline`` is CSV whose values hold line breaks (files are not split)."""
+    """A glob of one layout.
+
+    ``csv-quoted`` is CSV whose values hold line breaks, cut into pieces by
+    its quotes; ``csv-multiline`` the same with quotes also inside values that
+    aren't quoted (files are not split).
+    """
     fmt, _, flag = fmt.partition("-")
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
+    if flag == "quoted":
+        return read_quoted(spark, path)
     return spark.read.option("header", True).option("escape", '"').option("multiLine", flag == "multiline").csv(path)
 
 
@@ -33,7 +41,8 @@ def file_row_numbers(df: DataFrame) -> DataFrame:
     Rows are numbered within the pieces a file is read in, whose size is
     bounded, and shifted by the row counts of the pieces before.
     """
-    rows = (df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__piece", F.col("_metadata.file_block_start"))
+    rows = (df.withColumnRenamed("__record", "__at") if "__record" in df.columns else
+            df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__piece", F.col("_metadata.file_block_start"))
             .withColumn("__at", F.monotonically_increasing_id()))
     piece = Window.partitionBy("__file", "__piece").orderBy("__at")
     before = Window.partitionBy("__file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,10 +55,12 @@ def file_row_numbers(df: DataFrame) -> DataFrame:
 
 def _located(df: DataFrame, pool: list[str]) -> DataFrame:
     # a table written by Spark is a folder of part files; the folder carries the name
-    numbered = "file_path" in df.columns
-    path = F.col("file_path") if numbered else F.col("_metadata.file_path")
-    block = F.lit(0).cast("bigint") if numbered else F.col("_metadata.file_block_start")
-    inside = F.col("file_row").cast("bigint") if numbered else F.monotonically_increasing_id()
+    if "__record" in df.columns:
+        path, block, inside = F.col("__file"), F.col("__piece"), F.col("__record").cast("bigint")
+    elif "file_path" in df.columns:
+        path, block, inside = F.col("file_path"), F.lit(0).cast("bigint"), F.col("file_row").cast("bigint")
+    else:
+        path, block, inside = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     with_path = df.withColumn("file", F.regexp_replace(path, "/part-[^/]*$", ""))
     # part file, then block, then row: the order doesn't depend on which files share a task
     return (with_path.withColumn("row_num", F.struct(path.alias("part"), block.alias("block"), inside.alias("row")))

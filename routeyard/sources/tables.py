@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
 from routeyard.functions.texts import ASSET_TYPE
+from routeyard.sources.records import PLACE, read_quoted
 
 SAMPLE_SCHEMA = ("sample_id string, dataset string, task_type string, modality array<string>, "
                  f"prompt string, assets array<{ASSET_TYPE}>")
@@ -161,8 +162,10 @@ def write_asset_table(rows: DataFrame, path: str) -> None:
 
 
 def read_asset_table(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
-    """Tab-separated asset rows.  Values with line breaks need ``line_breaks``; such files are not split."""
+    """Tab-separated asset rows.  Values with line breaks need ``line_breaks``; files are cut into pieces either way."""
+    if line_breaks:
+        return read_quoted(spark, path, "\t", ASSET_TABLE_SCHEMA).drop(*PLACE)
     return (spark.read.schema(ASSET_TABLE_SCHEMA).option("sep", "\t").option("header", True)
-            .option("quote", '"').option("escape", '"').option("multiLine", line_breaks).csv(path))
+            .option("quote", '"').option("escape", '"').csv(path))
 
 
