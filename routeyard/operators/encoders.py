@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from routeyard import fixed_values as V
 from routeyard.functions.scores import hash_bucket
 from routeyard.functions.vectors import l2_normalize
+from routeyard.runtime import persisted
 
 
 def encoder_table(spark: SparkSession) -> DataFrame:
@@ -55,15 +58,32 @@ def hashed_text_vectors(rows: DataFrame, dim: int = 256, text: str = "prompt") -
     return staged.select("sample_id", l2_normalize(raw).alias("embedding"))
 
 
+# Models of this worker process, newest last; two, since a plan seldom uses more encoders at once and models are large.
+_MODELS: OrderedDict[str, Callable] = OrderedDict()
+_MODELS_KEPT = 2
+
+
+def worker_model(key: str, factory: Callable[[], Callable]) -> Callable:
+    """What ``factory`` makes, once per worker process and key; tasks that reuse the process reuse it."""
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+        while len(_MODELS) > _MODELS_KEPT:
+            _MODELS.popitem(last=False)
+    _MODELS.move_to_end(key)
+    return _MODELS[key]
+
+
 def encode(column: Column, factory: Callable[[], Callable[[list], np.ndarray]], normalize: bool = True) -> Column:
     """A user encoder as a column expression.
 
-    ``factory`` runs once per task and returns a function from a list of
-    inputs to a matrix; Arrow batches stream through it.
+    ``factory`` runs once per worker process and returns a function from a
+    list of inputs to a matrix; Arrow batches stream through it.
     """
+    key = uuid.uuid4().hex
+
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
+        model = worker_model(key, factory)
         for batch in batches:
             m = np.asarray(model(batch.tolist()), dtype="float64")
             if normalize:
@@ -73,11 +93,31 @@ def encode(column: Column, factory: Callable[[], Callable[[list], np.ndarray]],
     return run(column)
 
 
+def encode_distinct(rows: DataFrame, column: str, factory: Callable[[], Callable[[list], np.ndarray]], output: str = "embedding",
+                    normalize: bool = True) -> DataFrame:
+    """``rows`` with the vector of ``column`` as ``output``; every text is encoded once, however many rows hold it.
+
+    Texts meet by their SHA-256, one of each kept before the shuffle; a text
+    that many rows hold is a skewed key of a plain join, which adaptive
+    execution splits.  The vectors are written once, so rows that are read
+    again don't encode again.  A NULL is not encoded and has no vector; equal
+    rows stay apart.
+    """
+    if output in rows.columns:
+        raise ValueError(f"there is a column {output} already")
+    keyed = rows.withColumn("__text", F.sha2(F.encode(F.col(f"`{column}`"), "UTF-8"), 256))
+    texts = keyed.filter("__text IS NOT NULL").groupBy("__text").agg(F.first(f"`{column}`").alias("t"))
+    vectors = persisted(texts.select("__text", encode(F.col("t"), factory, normalize).alias(output)), "encoded")
+    return keyed.join(vectors, "__text", "left").select(*[F.col(f"`{c}`") for c in rows.columns], output)
+
+
 def count_tokens(column: Column, factory: Callable[[], Callable[[str], int]]) -> Column:
-    """Token counts by a user tokenizer; NULL and empty text have none."""
+    """Token counts by a user tokenizer, made once per worker process; NULL and empty text have none."""
+    key = uuid.uuid4().hex
+
     @F.pandas_udf("bigint")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = factory()
+        tokenizer = worker_model(key, factory)
         for batch in batches:
             yield batch.map(lambda t: tokenizer(t) if t else 0)
 

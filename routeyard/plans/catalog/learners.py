@@ -375,6 +375,16 @@ def x3(spark, sf):
         "sample_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 8).alias("x"))
 
 
+@query("x3_encoded_conversations", f"""
+, v AS (SELECT conv_id, turn, [{', '.join(c.replace('prompt', 'text') for c in _COUNT)}] AS v FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, i - 1 AS dim, round(v[i] / greatest(sqrt(list_dot_product(v, v)), 1e-12), 8) AS x FROM v, range(1, 6) t(i)""")
+def x3_conversations(spark, sf):
+    """Messages, many of which repeat: each different text is encoded once."""
+    c = EN.encode_distinct(D.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", _letter_shares)
+    return c.select("conv_id", "turn", F.posexplode("embedding").alias("dim", "x")).select(
+        "conv_id", "turn", F.col("dim").cast("bigint").alias("dim"), F.round("x", 8).alias("x"))
+
+
 def _ascii_words():
     import re
 
