@@ -13,11 +13,12 @@ from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, Lo
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeyard.functions.scores import normalize_cost
-from routeyard.functions.vectors import dot
+from routeyard.functions.vectors import dot, euclidean
 from routeyard.operators.block_fits import (RiskFit, coefficients, design, exploded_risks, fit_heads, fit_risks,
                                              fitted_models, risk_scores)
 from routeyard.operators.features import fit_standardizer, model_profiles, one_hot, standardize
@@ -310,15 +311,51 @@ def risk_route(scored: DataFrame) -> DataFrame:
     return scored.groupBy("lambda_cost", "sample_id").agg(first.alias("b")).select("lambda_cost", "sample_id", "b.*")
 
 
+def behaviours(targets: DataFrame, models: list[str]) -> DataFrame:
+    """(sample_id, vec): a sample's target for every model in order of ``models``, 0 where it has none."""
+    wide = targets.groupBy("sample_id").pivot("model_id", models).agg(F.first("target"))
+    return wide.select("sample_id", F.array(*[F.coalesce(F.col(f"`{m}`"), F.lit(0.0)) for m in models]).alias("vec"))
+
+
+def nearest_centre(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """``rows`` with the cluster whose centre is nearest to ``vec``; distances are compared at nine digits, ties go to the first."""
+    packed = centres.agg(F.array_sort(F.collect_list(F.struct("cluster", "centre")))).scalar()      # clusters × models numbers
+    near = F.array_min(F.transform("__centres", lambda c: F.struct(
+        F.round(euclidean(F.col("vec"), c["centre"]), 9).alias("d"), c["cluster"].alias("cluster"))))
+    return rows.withColumn("__centres", packed).withColumn("cluster", near["cluster"]).drop("__centres")
+
+
+def cluster_centres(targets: DataFrame, models: list[str], k: int = 5, seed: int = 42, max_iter: int = 300) -> DataFrame:
+    """(cluster, centre) of k-means over the samples' targets, stored.
+
+    Spark's fit ends once its centres hardly move.  From there whole steps
+    follow until every centre is the mean of the samples nearest to it, by the
+    very rule that assigns samples later; each is one pass that sends clusters
+    × models numbers.  A cluster that loses its last sample keeps its centre.
+    Tables without rows have no centres.
+    """
+    spark = targets.sparkSession
+    train = persisted(behaviours(targets, models), "behaviours")
+    schema = "cluster int, centre array<double>"
+    if train.isEmpty():
+        return spark.createDataFrame([], schema)
+    start = KMeans(k=k, seed=seed, maxIter=max_iter).fit(train.select(array_to_vector("vec").alias("features")))
+    centres = np.array(start.clusterCenters())
+    for _ in range(max_iter):
+        frame = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], schema)
+        means = nearest_centre(train, frame).groupBy("cluster").agg(
+            vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("mean")).collect()
+        moved = centres.copy()
+        for r in means:
+            moved[r["cluster"]] = r["mean"]
+        step, centres = np.abs(moved - centres).max(), moved
+        if step < 1e-12:
+            break
+    return persisted(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], schema), "centres")
+
+
 def behaviour_clusters(targets: DataFrame, models: list[str], k: int = 5, seed: int = 42,
                        assign: DataFrame | None = None) -> DataFrame:
     """k-means clusters of samples by which models serve them; fitted on ``targets``."""
-    def vectors(t: DataFrame) -> DataFrame:
-        wide = t.groupBy("sample_id").pivot("model_id", models).agg(F.first("target"))
-        return wide.select("sample_id", array_to_vector(F.array(*[
-            F.coalesce(F.col(f"`{m}`"), F.lit(0.0)) for m in models])).alias("features"))
-
-    train = persisted(vectors(targets), "clusters")
-    model = KMeans(k=k, seed=seed, maxIter=300).fit(train)
-    return model.transform(train if assign is None else vectors(assign)).select(
-        "sample_id", F.col("prediction").alias("cluster"))
+    rows = behaviours(targets if assign is None else assign, models)
+    return nearest_centre(rows, cluster_centres(targets, models, k, seed)).select("sample_id", "cluster")

@@ -288,6 +288,25 @@ def r14_centres(spark, sf):
     return per_sample.agg(F.count(F.lit(1)).alias("samples"), F.every("ok").alias("nearest"))
 
 
+@query("r14_stored_centres", """, t AS (SELECT sample_id FROM meta WHERE split = 'train'),
+share AS (SELECT sample_id, model_id, COALESCE(quality / nullif(sum(quality) OVER (PARTITION BY sample_id), 0), 0) AS target FROM outcomes)
+SELECT model_id, count(*) AS samples, round(avg(target), 9) AS mean, 0::BIGINT AS away FROM share JOIN t USING (sample_id) GROUP BY model_id""")
+def r14_stored(spark, sf):
+    """Each stored centre is the mean of the samples nearest to it (``away`` counts those that aren't), so the centres
+    weighted by their sizes give every model's mean."""
+    ids = D.meta(spark, sf).filter("split = 'train'").select("sample_id")
+    scores = persisted(L.normalized_scores(D.outcomes(spark, sf)).join(ids, "sample_id", "left_semi"), "targets")
+    centres = LN.cluster_centres(scores, D.MODEL_IDS)
+    placed = LN.nearest_centre(LN.behaviours(scores, D.MODEL_IDS), centres)
+    own = F.array(*[F.lit(m) for m in D.MODEL_IDS])
+    cells = placed.join(F.broadcast(centres), "cluster").select("cluster", F.explode(F.arrays_zip(                      # one row per cluster
+        own.alias("model_id"), F.col("vec").alias("target"), F.col("centre").alias("centre"))).alias("x")).select("cluster", "x.*")
+    per_cell = cells.groupBy("cluster", "model_id").agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("mean"), F.first("centre").alias("centre"))
+    wrong = F.when(F.abs(F.col("mean") - F.col("centre")) > 1e-9, F.col("n")).otherwise(0)
+    return per_cell.groupBy("model_id").agg(F.sum("n").alias("samples"), F.round(F.sum(F.col("n") * F.col("centre")) / F.sum("n"), 9).alias("mean"),
+                                            F.sum(wrong).alias("away"))
+
+
 @query("r14_behaviour_clusters")
 def r14(spark, sf):
     scores = L.normalized_scores(D.outcomes(spark, sf))
