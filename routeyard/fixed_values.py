@@ -51,6 +51,18 @@ EVIDENCE_COLUMNS = (
     "counting_like_dist", "spatial_like_dist",
 )
 
+# What each distance adds up: a constant, and a weight per quantity of the sample.
+EVIDENCE_TERMS = {
+    "generic_blur_dist": (0.08, {"spread": 0.18, "length_score": 0.05, "jitter": 1.0}),
+    "generic_crop_dist": (0.10, {"mean_abs": 0.12, "off_half": 0.04, "jitter": 1.0}),
+    "lowres_dist": (0.12, {"diff": 0.15, "digit_ratio": 0.05, "jitter": 1.0}),
+    "random_perturb_mean": (0.07, {"random": 0.10, "gap": 0.05}),
+    "ocr_like_dist": (0.10, {"ocr_terms": 0.20, "alpha_ratio": 0.12, "gap": 0.05}),
+    "chart_like_dist": (0.10, {"chart_terms": 0.22, "digit_ratio": 0.10, "gap": 0.04}),
+    "counting_like_dist": (0.10, {"counting_terms": 0.22, "digit_ratio": 0.08, "spread": 0.05}),
+    "spatial_like_dist": (0.10, {"spatial_terms": 0.22, "gap": 0.08, "mean_abs": 0.04}),
+}
+
 # Which three distances describe a sample of each query type; "" is the default.
 QUERY_CONDITIONED = {
     "ocr": ("lowres_dist", "ocr_like_dist", "generic_blur_dist"),

@@ -91,7 +91,8 @@ def attach_samples(meta: DataFrame, samples: DataFrame, order: str | None = None
     known = (samples.groupBy("sample_id").agg(F.max(last).alias("__last"))
              .select("sample_id", "__last.__text", "__last.__assets", F.lit(1).alias("__hit")))
     joined = meta.join(known, "sample_id", "left")
-    hits = joined.agg(F.count("__hit").alias("n")).scalar()
+    # whether any row matches: ends with the first, and needs neither texts nor assets
+    hits = meta.select("sample_id").join(samples.select("sample_id"), "sample_id", "left_semi").limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
     own = [F.col(c) for c in ("question", "text", "prompt") if c in meta.columns]
     fallback = F.coalesce(*own, F.lit("")) if own else F.lit("")
     listed = [F.col(c) for c in ("image_path", "image") if c in meta.columns]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -125,20 +128,11 @@ def evidence_features(rows: DataFrame, text_vec: str = "text_vec", image_vec: st
         "__spread": either(X.std_pop(F.col("__v")) * F.sqrt(n), fallback("spread")),
         "__mean_abs": either(X.mean(F.transform("__v", F.abs)) * F.sqrt(n), fallback("mean_abs")),
         "__diff": either(X.adjacent_gap(F.col("__v")) * F.sqrt(F.greatest(n, F.lit(1.0))), fallback("diff")),
-        "__pos": either(positive, F.lit(0.5)),
+        "__off_half": F.abs(either(positive, F.lit(0.5)) - 0.5),
         "__gap": F.when(have(text_vec) & have(image_vec), gap).otherwise(F.lit(0.0)),
-        "__jitter": F.lit(0.02) * unit("jitter")})
+        "__random": unit("random"), "__jitter": F.lit(0.02) * unit("jitter")})
     c = lambda name: F.col(f"__{name}") if f"__{name}" in base.columns else F.col(f"__stats.{name}")
-    raw = {
-        "generic_blur_dist": 0.08 + 0.18 * c("spread") + 0.05 * c("length_score") + c("jitter"),
-        "generic_crop_dist": 0.10 + 0.12 * c("mean_abs") + 0.04 * F.abs(c("pos") - 0.5) + c("jitter"),
-        "lowres_dist": 0.12 + 0.15 * c("diff") + 0.05 * c("digit_ratio") + c("jitter"),
-        "random_perturb_mean": 0.07 + 0.10 * unit("random") + 0.05 * c("gap"),
-        "ocr_like_dist": 0.10 + 0.20 * c("ocr_terms") + 0.12 * c("alpha_ratio") + 0.05 * c("gap"),
-        "chart_like_dist": 0.10 + 0.22 * c("chart_terms") + 0.10 * c("digit_ratio") + 0.04 * c("gap"),
-        "counting_like_dist": 0.10 + 0.22 * c("counting_terms") + 0.08 * c("digit_ratio") + 0.05 * c("spread"),
-        "spatial_like_dist": 0.10 + 0.22 * c("spatial_terms") + 0.08 * c("gap") + 0.04 * c("mean_abs"),
-    }
+    raw = {name: reduce(add, [w * c(k) for k, w in terms.items()], F.lit(start)) for name, (start, terms) in V.EVIDENCE_TERMS.items()}
     base = base.withColumns(raw)
     base = base.withColumn("__cond", conditioned(F.col("query_type"), {k: F.col(k) for k in raw}))
     base = base.withColumns({"query_cond_mean": X.mean(c("cond")), "query_cond_max": F.array_max(c("cond")),

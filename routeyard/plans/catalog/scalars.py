@@ -285,6 +285,8 @@ def evidence_rows(spark, sf):
 
 _u = lambda salt: S.unit_sql("sample_id", salt)
 _R = [c for c in V.EVIDENCE_COLUMNS if not c.startswith("query_cond")]
+_DISTANCES = ", ".join(" + ".join([f"{start}::DOUBLE", *[f"{w}::DOUBLE * {k}" for k, w in terms.items()]]) + f" AS {name}"
+                       for name, (start, terms) in V.EVIDENCE_TERMS.items())
 EVIDENCE_SQL = f"""{TYPES_SQL}, {STATS_SQL},
 vec AS (SELECT s.*, query_type, f.text_vec AS tv, f.image_vec AS iv,
   list_transform(f.image_vec, lambda x: x / greatest(sqrt(list_dot_product(f.image_vec, f.image_vec)), 1e-6)) AS n,
@@ -293,14 +295,9 @@ vec AS (SELECT s.*, query_type, f.text_vec AS tv, f.image_vec AS iv,
 m AS (SELECT *, CASE WHEN n IS NULL THEN 0.05::DOUBLE + 0.10::DOUBLE * {_u("spread")} ELSE list_stddev_pop(n) * sqrt(32) END AS spread,
   CASE WHEN n IS NULL THEN 0.05::DOUBLE + 0.10::DOUBLE * {_u("mean_abs")} ELSE list_avg(list_transform(n, lambda x: abs(x))) * sqrt(32) END AS mean_abs,
   CASE WHEN n IS NULL THEN 0.05::DOUBLE + 0.10::DOUBLE * {_u("diff")} ELSE list_avg(list_transform(range(1, 32), lambda i: abs(n[i + 1] - n[i]))) * sqrt(32) END AS diff,
-  CASE WHEN n IS NULL THEN 0.5 ELSE len(list_filter(n, lambda x: x > 0)) / 32 END AS pos,
+  CASE WHEN n IS NULL THEN 0 ELSE abs(len(list_filter(n, lambda x: x > 0)) / 32 - 0.5) END AS off_half, {_u("random")} AS random,
   CASE WHEN n IS NULL THEN 0 ELSE 1 - list_dot_product(tn, n) END AS gap, 0.02::DOUBLE * {_u("jitter")} AS jitter FROM vec),
-e AS (SELECT sample_id, query_type, n IS NOT NULL AS has, 0.08 + 0.18 * spread + 0.05 * length_score + jitter AS generic_blur_dist,
-  0.10 + 0.12 * mean_abs + 0.04 * abs(pos - 0.5) + jitter AS generic_crop_dist, 0.12 + 0.15 * diff + 0.05 * digit_ratio + jitter AS lowres_dist,
-  0.07 + 0.10 * {_u("random")} + 0.05 * gap AS random_perturb_mean, 0.10 + 0.20 * ocr_terms + 0.12 * alpha_ratio + 0.05 * gap AS ocr_like_dist,
-  0.10 + 0.22 * chart_terms + 0.10 * digit_ratio + 0.04 * gap AS chart_like_dist,
-  0.10 + 0.22 * counting_terms + 0.08 * digit_ratio + 0.05 * spread AS counting_like_dist,
-  0.10 + 0.22 * spatial_terms + 0.08 * gap + 0.04 * mean_abs AS spatial_like_dist FROM m),
+e AS (SELECT sample_id, query_type, n IS NOT NULL AS has, {_DISTANCES} FROM m),
 cond AS (SELECT *, CASE query_type """ + " ".join(
     f"WHEN '{k}' THEN [{', '.join(v)}]" for k, v in V.QUERY_CONDITIONED.items() if k) + f""" ELSE [{', '.join(V.QUERY_CONDITIONED[""])}] END AS c FROM e),
 evidence AS (SELECT *, list_avg(c) AS query_cond_mean, list_max(c) AS query_cond_max, list_stddev_pop(c) AS query_cond_std FROM cond)"""
