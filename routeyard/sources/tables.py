@@ -161,11 +161,14 @@ def write_asset_table(rows: DataFrame, path: str) -> None:
      .option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path))
 
 
-def read_asset_table(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
-    """Tab-separated asset rows.  Values with line breaks need ``line_breaks``; files are cut into pieces either way."""
-    if line_breaks:
+def read_asset_table(spark: SparkSession, path: str, line_breaks: bool = False, split: bool = True) -> DataFrame:
+    """Tab-separated asset rows.  Values with line breaks need ``line_breaks``.
+
+    Such files are cut into pieces, which costs a shuffle of their lines;
+    without ``split`` each is read by one task, which is cheaper where files
+    are many and small.
+    """
+    if line_breaks and split:
         return read_quoted(spark, path, "\t", ASSET_TABLE_SCHEMA).drop(*PLACE)
     return (spark.read.schema(ASSET_TABLE_SCHEMA).option("sep", "\t").option("header", True)
-            .option("quote", '"').option("escape", '"').csv(path))
-
-
+            .option("quote", '"').option("escape", '"').option("multiLine", line_breaks).csv(path))

@@ -76,6 +76,7 @@ def test_asset_rows_with_line_breaks(spark, tmp_path, small_pieces):
     tables.write_asset_table(rows, str(tmp_path / "t"))
     got = tables.read_asset_table(spark, str(tmp_path / "t"), line_breaks=True)
     assert got.columns == rows.columns and got.exceptAll(rows).count() == 0 and got.count() == 40
+    assert tables.read_asset_table(spark, str(tmp_path / "t"), line_breaks=True, split=False).exceptAll(got).count() == 0
 
 
 def test_results_without_ids_are_numbered(spark, tmp_path, small_pieces):
