@@ -360,3 +360,40 @@ def test_pivots_are_searched_like_one_list():
         assert set(np.flatnonzero(far[i] - radius <= limit[i] + NN.SLACK / 2)) <= set(got[i].tolist()) <= set(
             np.flatnonzero(far[i] - radius <= limit[i] + 2 * NN.SLACK))
     assert all(len(c) <= 3 for c in pivots.visits(m, radius, near, 3))
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of an executed plan have written."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        below = sum(walk(node.children().apply(i)) for i in range(node.children().length()))
+        return below + (node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_vectors_travel_a_fixed_number_of_times(spark, monkeypatch, metric):
+    """In many dimensions every query visits nearly every cell; it is shuffled once per part all the same."""
+    rng = np.random.default_rng(8)
+    q, t = ({f"{side}{i:04d}": rng.normal(size=16) for i in range(n)} for side, n in (("q", 1300), ("t", 2500)))
+    frame = lambda d: spark.createDataFrame([(k, v.tolist()) for k, v in d.items()], "sample_id string, vec array<double>")
+    a, b = np.array(list(q.values())), np.array(list(t.values()))
+    if metric == "cosine":
+        d = 1 - (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    else:
+        d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+    want = {f"q{i:04d}": [f"t{j:04d}" for j in np.argsort(np.round(d[i], NN.DIGITS), kind="stable")[:5]] for i in range(len(a))}
+    for largest, parts in ((1 << 26, NN.SPLITS), (8 * 18 * 300, 9)):
+        monkeypatch.setattr(NN, "PART_BYTES", largest)
+        got = NN.nearest(frame(q), frame(t), k=5, metric=metric, block_rows=64)
+        found = {}
+        for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"])):
+            found.setdefault(r["query_id"], []).append(r["train_id"])
+        assert found == want
+        # the vectors, and the best of every part: k rows a query
+        assert shuffled_rows(got) <= len(a) * parts + len(b) * NN.SPLITS + 5 * len(a) * parts
