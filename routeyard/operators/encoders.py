@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
 from routeyard.functions.scores import hash_bucket
-from routeyard.functions.vectors import l2_normalize
-from routeyard.runtime import persisted
+from routeyard.functions.vectors import divide, norm
+from routeyard.runtime import once, persisted
 
 
 def encoder_table(spark: SparkSession) -> DataFrame:
@@ -48,14 +48,17 @@ def hashed_text_vectors(rows: DataFrame, dim: int = 256, text: str = "prompt") -
         "sample_id", (hash_bucket(F.col("w")) % dim).cast("int").alias("i"))
     counted = found.groupBy("sample_id", "i").agg(F.count(F.lit(1)).alias("tf"))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rarity = counted.groupBy("i").agg(F.count(F.lit(1)).alias("df")).agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "df"))).alias("m")).scalar()
-    weights = counted.groupBy("sample_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "tf"))).alias("__tf"))          # at most dim entries
+    weights = persisted(counted.groupBy("sample_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "tf"))).alias("__tf")), "term-counts")      # at most dim entries
+    seen = F.map_from_entries(F.collect_list(F.struct("i", "df")))
+    rarity = weights.select(F.explode(F.map_keys("__tf")).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("df")).agg(
+        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(seen[i], F.lit(0))).alias("a")).scalar()
     staged = rows.select("sample_id").join(weights, "sample_id", "left").withColumns({"__n": total, "__df": rarity})
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
         F.col("__tf")[i] * F.log((F.col("__n") + 1) / (F.col("__df")[i] + 1)), F.lit(0.0)))
-    return staged.select("sample_id", l2_normalize(raw).alias("embedding"))
+    # the lambda that divides would take the length, and with it every component, again for every component
+    sized = staged.select("sample_id", once(raw).alias("__raw")).select("sample_id", "__raw", once(norm(F.col("__raw"))).alias("__size"))
+    return sized.select("sample_id", divide(F.col("__raw"), F.greatest(F.col("__size"), F.lit(1e-12))).alias("embedding"))
 
 
 # Models of this worker process, newest last; two, since a plan seldom uses more encoders at once and models are large.

@@ -1,6 +1,7 @@
 """User encoders: made once per worker process, asked once per text."""
 
 import os
+import time
 import uuid
 
 import numpy as np
@@ -67,3 +68,15 @@ def test_empty_table_and_clashing_name(spark, tmp_path):
     assert EN.encode_distinct(rows, "t", logging_encoder(str(tmp_path))).count() == 0
     with pytest.raises(ValueError):
         EN.encode_distinct(rows, "t", logging_encoder(str(tmp_path)), output="id")
+
+
+def test_text_vectors_grow_with_the_rows_only(spark):
+    """The length is taken once per row: a row of 256 components costs about as much as two of 128."""
+    rows = spark.range(400).select(F.col("id").cast("string").alias("sample_id"),
+                                   F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("w"), i * (F.col("id") + 7))), " ").alias("prompt"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema).repartition(4)
+    EN.hashed_text_vectors(rows, 8).count()
+    begun = time.monotonic()
+    got = EN.hashed_text_vectors(rows, 1024).collect()
+    assert time.monotonic() - begun < 30
+    assert len(got) == 400 and all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-9 for r in got)
