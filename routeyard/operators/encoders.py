@@ -7,7 +7,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +64,7 @@ def hashed_text_vectors(rows: DataFrame, dim: int = 256, text: str = "prompt") -
 # Models of this worker process, newest last; two, since a plan seldom uses more encoders at once and models are large.
 _MODELS: OrderedDict[str, Callable] = OrderedDict()
 _MODELS_KEPT = 2
+STEP_BYTES = 1 << 22
 
 
 def worker_model(key: str, factory: Callable[[], Callable]) -> Callable:
@@ -76,22 +77,32 @@ def worker_model(key: str, factory: Callable[[], Callable]) -> Callable:
     return _MODELS[key]
 
 
+def steps(batch: pa.Array) -> Iterator[list]:
+    """The values of a batch, as many at a time as take about ``STEP_BYTES``, so long texts don't become objects all at once."""
+    rows = max(1, STEP_BYTES * len(batch) // max(1, batch.nbytes))
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows).to_pandas().tolist()
+
+
 def encode(column: Column, factory: Callable[[], Callable[[list], np.ndarray]], normalize: bool = True) -> Column:
     """A user encoder as a column expression.
 
     ``factory`` runs once per worker process and returns a function from a
-    list of inputs to a matrix; Arrow batches stream through it.
+    list of inputs to a matrix; Arrow batches stream through it in steps.
     """
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = worker_model(key, factory)
         for batch in batches:
-            m = np.asarray(model(batch.tolist()), dtype="float64")
-            if normalize:
-                m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
-            yield pd.Series(list(m))
+            parts = [pa.array([], pa.list_(pa.float64()))]
+            for values in steps(batch):
+                m = np.asarray(model(values), dtype="float64")
+                if normalize:
+                    m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+                parts.append(pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype="int32") * m.shape[1], m.ravel()))
+            yield pa.concat_arrays(parts)
 
     return run(column)
 
@@ -118,10 +129,10 @@ def count_tokens(column: Column, factory: Callable[[], Callable[[str], int]]) ->
     """Token counts by a user tokenizer, made once per worker process; NULL and empty text have none."""
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("bigint")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = worker_model(key, factory)
         for batch in batches:
-            yield batch.map(lambda t: tokenizer(t) if t else 0)
+            yield pa.array([tokenizer(t) if t else 0 for values in steps(batch) for t in values], pa.int64())
 
     return run(F.coalesce(column, F.lit("")))

@@ -80,3 +80,16 @@ def test_text_vectors_grow_with_the_rows_only(spark):
     got = EN.hashed_text_vectors(rows, 1024).collect()
     assert time.monotonic() - begun < 30
     assert len(got) == 400 and all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-9 for r in got)
+
+
+def test_long_texts_are_encoded_in_steps(spark):
+    """No call takes more than about ``STEP_BYTES``, however large the batch; the rows keep their order."""
+    def factory():
+        return lambda texts: np.array([[len(t or ""), sum(len(x or "") for x in texts)] for t in texts], dtype="float64")
+
+    rows = spark.range(0, 2000, 1, 1).select("id", F.when(F.col("id") != 7, F.repeat(F.lit("x"), (F.col("id") % 10_000 + 9000).cast("int"))).alias("t"))
+    got = rows.select("id", EN.encode(F.col("t"), factory, normalize=False).alias("v")).collect()
+    assert [r["v"][0] for r in got] == [0 if r["id"] == 7 else r["id"] + 9000 for r in got]
+    assert max(r["v"][1] for r in got) < 2 * EN.STEP_BYTES
+    counts = rows.select("id", EN.count_tokens(F.col("t"), lambda: len).alias("n")).collect()
+    assert [r["n"] for r in counts] == [0 if r["id"] == 7 else r["id"] + 9000 for r in counts]
