@@ -6,9 +6,9 @@ a word at t tables, out of C customers and T tables, predicts
 
     P(word | context) = (c - d t + (theta + d T) P(word)) / (theta + C),
 
-the parent likewise from its customers, which are the tables of all contexts.  Tables are latent: Gibbs sampling takes a
-customer off its table and seats it again in proportion to the seating of the others, ``BURN`` sweeps without and
-``SAMPLES`` with taking the tables down.  A text's score averages the predictions of the samples, each with the parent's
+the parent likewise from its customers, which are the tables of all contexts.  Tables are latent: Gibbs sampling takes all
+customers of a word off their tables and seats them again in proportion to the tables of the other words, ``BURN`` sweeps
+without and ``SAMPLES`` with taking the tables down.  A text's score averages the predictions of the samples, each with the parent's
 tables that it gave.  Words eaten once in a context sit at one table for certain and need no sampling.
 
 *Work is dealt by context* into parts of about ``PART_TOKENS`` words, so that a restaurant's customers and tables are at
@@ -20,7 +20,7 @@ and text that has it.
 
 *Approximations of the sampler.*  The words of a restaurant are seated side by side against its tables of the sweep before; a
 part that holds a share of a split context extrapolates its tables to the whole, owners extrapolate the parent's in the
-same way; at most ``SEATS`` customers of a word move per sweep; and the parent's prediction is that of the exchange before.
+same way; and the parent's prediction is that of the exchange before.
 Predictions use exact totals, so they add up to 1 over the training types and one unknown word.
 
 Discounts are estimated from the numbers of pairs and words that occur once and twice.  Words are told apart by 64-bit
@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from routeyard.llm import pieces, shingles
 from routeyard.llm.common import register, steps, table, utf8
 
-BURN, SAMPLES, SEATS = 2, 3, 8
+BURN, SAMPLES = 2, 3
+DRAWN = 1 << 20                             # chances held at a time
 STRENGTH = 0.5                              # theta of the contexts; of the parent as well
 PART_TOKENS, CHUNK_BYTES, WORD_BYTES = 1 << 22, 1 << 24, 6
 HOT_SHARE, HOT_SAMPLE = 0.25, 16
@@ -274,47 +275,82 @@ def discount(once: int, twice: int) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
 
 
+def table_weights(customers: np.ndarray, width: int, d: float) -> np.ndarray:
+    """Logarithms of S(c, t) / S(c, 1) for rising ``customers`` c and t from 1 to ``width`` tables.
+
+    S(c, t) sums the weights of all ways to seat c customers at t tables; with S(n+1, t) = S(n, t-1) + (n - t d) S(n, t), the
+    ratios of neighbours rise from n to n+1 customers by sums of positive numbers. From 256 customers (or twice the width) on
+    they change so little that steps of that share of n follow them, to about five digits.
+    """
+    t, share = np.arange(1, width), max(256, 2 * width)
+    out = np.zeros((len(customers), width))
+
+    def risen(r: np.ndarray, n: int) -> np.ndarray:
+        before = np.zeros(len(r))
+        before[1:] = 1 / r[:-1]
+        return (1 + (n - (t + 1) * d) * r) / (before + (n - t * d))
+
+    r, n = np.zeros(width - 1), 1
+    with np.errstate(divide="ignore"):
+        for row, c in zip(out, customers.tolist()):
+            while n < c:
+                step = max(1, min(n // share, c - n))
+                first = risen(r, n)
+                if step == 1:
+                    r = first
+                else:
+                    ahead = r + (step - 1) * (first - r)
+                    r = r + step / 2 * (first - r + risen(ahead, n + step - 1) - ahead)
+                n += step
+            row[1:] = np.cumsum(np.log(r))
+    return out
+
+
 class Tables:
-    """Sizes of the tables of rows with three customers or more, as dense arrays for rows with about as many tables."""
+    """Customers that opened a table and customers that joined one, for rows with three customers or more.
+
+    Which table a customer joined doesn't matter to any prediction, so only the two numbers are kept.
+    """
 
     def __init__(self, customers: np.ndarray, weight: np.ndarray, rng: np.random.Generator):
         c = customers.astype(np.float64)
         # about as many tables as seating one customer after the other opens
         start = 1 + rng.poisson(np.minimum(weight * np.log1p((c - 1) / (1 + weight)), c))
         start = np.minimum(start, customers)
-        wide = np.where(customers <= 4, customers, np.minimum(customers, 2 ** np.ceil(np.log2(start + 2 * SEATS)).astype(np.int64)))
-        self.groups = []
-        for width in np.unique(wide).tolist():
-            rows = np.flatnonzero(wide == width)
-            share = rng.exponential(size=(len(rows), width)) * (np.arange(width) < start[rows, None])
-            rest = customers[rows] - start[rows]
-            sizes = np.floor(share / share.sum(axis=1, keepdims=True) * rest[:, None]) + (np.arange(width) < start[rows, None])
-            sizes[:, 0] += customers[rows] - sizes.sum(axis=1)
-            self.groups.append((rows, sizes))
+        self.groups = [(np.arange(len(customers)), np.stack([start, customers - start], axis=1))]
+        self.weights = {}
 
     def counts(self, out: np.ndarray) -> None:
-        for rows, sizes in self.groups:
-            out[rows] = (sizes > 0).sum(axis=1)
+        for rows, seats in self.groups:
+            out[rows] = seats[:, 0]
+
+    def known(self, customers: np.ndarray, width: int, d: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rising numbers of customers, all of ``customers`` among them, and their ``table_weights``."""
+        have, found = self.weights.get((width, d), (np.zeros(0, np.int64), None))
+        if len(np.setdiff1d(customers, have)):
+            have = np.union1d(have, customers)
+            found = table_weights(have, width, d)
+            self.weights[width, d] = have, found
+        return have, found
 
     def sweep(self, customers: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> None:
-        """Seat up to ``SEATS`` customers of every row again; ``weight`` is that of a new table."""
-        for k, (rows, sizes) in enumerate(self.groups):
-            if ((sizes > 0).sum(axis=1).max() + SEATS > sizes.shape[1]) and sizes.shape[1] < customers[rows].max():
-                sizes = np.concatenate([sizes, np.zeros((len(rows), max(SEATS, sizes.shape[1])))], axis=1)
-                self.groups[k] = (rows, sizes)
-            c, new = customers[rows], weight[rows]
-            for step in range(int(min(SEATS, c.max()))):
-                at = np.flatnonzero(c > step)
-                some = sizes[at]
-                line = np.arange(len(at))
-                taken = (np.cumsum(some, axis=1) > (rng.random(len(at)) * c[at])[:, None]).argmax(axis=1)
-                some[line, taken] -= 1
-                left = np.where(some > 0, some - d, 0.0)
-                reach = np.cumsum(left, axis=1)
-                draw = rng.random(len(at)) * (reach[:, -1] + new[at])
-                to = np.where(draw < reach[:, -1], (reach > draw[:, None]).argmax(axis=1), (some == 0).argmax(axis=1))
-                some[line, to] += 1
-                sizes[at] = some
+        """Seat all customers of every row again at once; ``weight`` is that of a new table.
+
+        Given the weight, c customers take t tables with probability S(c, t) weight^t up to a factor. A further table
+        is at most weight / (t d) times as likely as t (beyond 2 / (1 - d) tables), so those beyond ``wide`` have about 1e-12.
+        """
+        mean = weight / d
+        wide = np.minimum(customers, np.ceil(10 + 4 / (1 - d) + mean + 8 * np.sqrt(mean)))
+        width = 4 ** np.ceil(np.log2(np.maximum(wide, 4)) / 2).astype(np.int64)
+        for _, seats in self.groups:
+            for w in np.unique(width).tolist():
+                rows = np.flatnonzero(width == w)
+                have, found = self.known(customers[rows], w, d)
+                for at in np.array_split(rows, -(-len(rows) * w // DRAWN)):
+                    chances = found[np.searchsorted(have, customers[at])] + np.arange(w) * np.log(weight[at])[:, None]
+                    reach = np.cumsum(np.exp(chances - chances.max(axis=1, keepdims=True)), axis=1)
+                    seats[at, 0] = 1 + (reach <= rng.random((len(at), 1)) * reach[:, -1:]).sum(axis=1)
+            seats[:, 1] = customers - seats[:, 0]
 
 
 def seatings(customers: np.ndarray, parent: np.ndarray, group: np.ndarray, scale: np.ndarray, d: float, seed: int) -> list[np.ndarray]:

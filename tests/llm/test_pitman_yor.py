@@ -118,6 +118,33 @@ def test_tables_follow_the_posterior():
     assert 0.8 * new / (1 - d + new) < (two == 2).mean() < 1.4 * new / (1 - d + new)
 
 
+def test_common_words_follow_the_posterior_as_well():
+    """Rows of thousands of customers, each in a few sweeps, against the exact mean; the parent's included."""
+    rng = np.random.default_rng(7)
+    for d, weight, c in ((0.7, 0.8, 20_000), (0.3, 3.0, 3_000), (0.9, 40.0, 1_500)):
+        log_ways = np.full(401, -np.inf)                    # of up to 400 tables
+        log_ways[1] = 0.0
+        for n in range(1, c):
+            with np.errstate(divide="ignore"):
+                stay = log_ways + np.log(np.maximum(n - np.arange(401) * d, 0.0))
+            log_ways = np.logaddexp(np.concatenate([[-np.inf], log_ways[:-1]]), stay)
+        chance = log_ways[1:] + np.arange(1, 401) * np.log(weight)
+        chance = np.exp(chance - chance.max())
+        mean = (chance * np.arange(1, 401)).sum() / chance.sum()
+        rows, out = np.full(4_000, c), np.zeros(4_000, np.int64)
+        state = hpy.Tables(rows, np.full(4_000, weight), rng)
+        for _ in range(2):
+            state.sweep(rows, np.full(4_000, weight), d, rng)
+        state.counts(out)
+        assert out.mean() == pytest.approx(mean, rel=0.03)
+    # of words behind 20,000 contexts each, with the discount of a word alone, nearly none opens a second table
+    contexts = np.concatenate([np.full(500, 20_000), np.ones(1000, np.int64), np.full(60, 2)])
+    d = hpy.discount(1000, 60)
+    for tables in hpy.parent_tables(contexts, len(contexts), 1, 0, 0):
+        share = d * (tables.sum() + hpy.STRENGTH / d) / (len(contexts) + 1)
+        assert (tables[:500] - 1).mean() == pytest.approx(share / d, rel=0.2)      # Poisson, in the limit
+
+
 def test_large_rows_keep_their_customers():
     rng = np.random.default_rng(3)
     customers = rng.integers(3, 100_000, 300)
