@@ -71,6 +71,15 @@ def test_many_tasks_read_one_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_lines_are_not_shuffled(spark, tmp_path):
+    """Only counts per piece and the fragments that borders cut cross an exchange."""
+    write(tmp_path / "t" / "a.csv", [(str(i), f"first {i}\nsecond", "m") for i in range(20000)])
+    got = read_quoted(spark, str(tmp_path / "t"))
+    counts = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    exchanges = [part for part in counts.split("\n\n") if "Exchange\n" in part]
+    assert exchanges and not any("value#" in part for part in exchanges)
+
+
 def test_asset_rows_with_line_breaks(spark, tmp_path, small_pieces):
     rows = spark.createDataFrame([(str(i), f"k{i}", f"a\n{i}\t\"b\"") for i in range(40)], "index string, id string, image string")
     tables.write_asset_table(rows, str(tmp_path / "t"))
