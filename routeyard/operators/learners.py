@@ -25,7 +25,7 @@ from routeyard.operators.features import fit_standardizer, model_profiles, one_h
 from routeyard.operators.labels import argmax, argmin, hard_labels, is_correct, soft_targets, solvable
 from routeyard.operators.perceptron import fit_soft
 from routeyard.operators.policy import Policy, read_settings, write_tables
-from routeyard.runtime import finite, persisted
+from routeyard.runtime import dealt, finite, persisted
 
 
 class ConstantPolicy(Policy):
@@ -171,7 +171,7 @@ class MlpPolicy(_FeaturePolicy):
         learner = MultilayerPerceptronClassifier(layers=layers, maxIter=self.max_iter, seed=self.seed)
         if self.lam is None:
             train = persisted(rows.join(hard_labels(kept, "drop"), "sample_id").withColumn("label", self._index()), "mlp")
-            self.model = learner.fit(train)
+            self.model = learner.fit(dealt(train.select("features", "label")))
             return self
         targets = soft_targets(kept, self.lam, cost_scale=self.cost_scale)
         plain = rows.select("sample_id", F.lit(None).cast("string").alias("query_type"), vector_to_array("features").alias("vec"))

@@ -64,6 +64,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A stored table dealt evenly over at least as many tasks as there are cores, for fits that pass over it many times.
+
+    A small Parquet file is cut into pieces by its bytes, but all rows of a row group come in one of them.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def finite(c: Column | str) -> Column:
     """True for a number that is neither NULL, NaN nor infinite."""
     c = F.col(c) if isinstance(c, str) else c

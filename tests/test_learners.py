@@ -207,3 +207,23 @@ def test_bootstrap_weights_are_poisson(spark):
 def test_ablations_hide_columns(mode, seen):
     columns = RR.feature_columns(mode, 32, 32, 1)
     assert len(columns) == 77 and columns.sum() == seen and columns[-1] == (mode == "random_extra_features")
+
+
+def test_perceptron_rows_reach_every_core(spark, tmp_path, monkeypatch):
+    """A training table of one file, all of whose rows would come in one piece, is dealt before the fit passes over it."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    seen, fit = [], MultilayerPerceptronClassifier.fit
+
+    def watched(self, table, *rest):
+        seen.append(table.groupBy(F.spark_partition_id()).count().count())
+        return fit(self, table, *rest)
+
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "fit", watched)
+    ids = spark.range(400, numPartitions=1).select(F.col("id").cast("string").alias("sample_id"))
+    ids.select("sample_id", F.array(F.randn(1), F.randn(2)).alias("vec")).coalesce(1).write.parquet(str(tmp_path / "f"))
+    f = spark.read.parquet(str(tmp_path / "f"))
+    o = ids.select("sample_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model_id")).withColumn(
+        "quality", F.pmod(F.xxhash64("sample_id", "model_id"), F.lit(2)).cast("int")).withColumn("cost", F.lit(1.0))
+    decided = LN.MlpPolicy(["a", "b"], hidden=(4,), max_iter=3).fit(o, f).route(f)
+    assert decided.count() == 400 and seen == [spark.sparkContext.defaultParallelism]
