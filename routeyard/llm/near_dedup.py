@@ -42,6 +42,8 @@ SHINGLE, PERCENT = 5, 85
 TREES, BRANCHES, DEPTH, LEAF = 3, 2, 8, 1024
 # Shingles per step of an exhaustive comparison.
 COLUMNS = 8192
+# Text cut into shingles at once; arrays of the step are a few dozen times as large.
+STEP_BYTES = 1 << 17
 TOKENS, SKETCH = 24, 128
 # Share of the pairs at the threshold that the comparison of sketches may lose.
 MISS = 1e-6
@@ -80,7 +82,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, limit=STEP_BYTES):
                 found = shingle_sets(*utf8(part.column("text")), size)
                 mins = [minwise(s) if len(s) else (np.zeros(0, np.uint32), np.zeros(0, np.uint16)) for s in found]
                 one = [_signed(s.sum(dtype=np.uint64)) for s in found]
@@ -126,7 +128,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "a_text"):
+            for part in steps(batch, "a_text", STEP_BYTES):
                 one, two = (shingle_sets(*utf8(part.column(c)), size) for c in ("a_text", "b_text"))
                 keep = []
                 for x, y in zip(one, two):

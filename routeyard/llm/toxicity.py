@@ -30,6 +30,8 @@ PREFIXES = (4, 5, 6, 7)
 FEATURES, MIN_GAIN = 2000, 20.0
 PENALTY, FAIRNESS, ROUNDS = 1e-4, 1.0, 300
 THRESHOLD = 0.3
+# Text scored at once, and sampled rows looked up at once: arrays of such a step are a few dozen times as large.
+STEP_BYTES, STEP_ROWS = 1 << 17, 256
 #: Terms that swap with each other, by list.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("mujeres", "hombres"), ("femmes", "hommes"),
@@ -137,16 +139,30 @@ def gains(y: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return at, out
 
 
+class Lookup:
+    """Finds the chosen features, which are sorted, among others."""
+
+    def __init__(self, chosen: np.ndarray):
+        self.chosen, self.wanted = chosen, np.zeros(BUCKETS, bool)
+        self.wanted[chosen] = True
+
+    def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where chosen features stand, and the place of each among the chosen ones."""
+        here = np.flatnonzero(self.wanted[found])
+        return here, np.searchsorted(self.chosen, found[here])
+
+
 class Presence:
     """Which of the chosen features each row has, as index pairs; products with it take time per present feature."""
 
     def __init__(self, rows: list[np.ndarray], chosen: np.ndarray):
-        place = np.full(BUCKETS, -1, np.int32)
-        place[chosen] = np.arange(len(chosen))
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        at = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
-        here = np.flatnonzero(at >= 0)
-        self.row, self.column = np.searchsorted(np.cumsum(sizes), here, side="right"), at[here]
+        lookup, pairs = Lookup(chosen), [(np.zeros(0, np.int32),) * 2]
+        for low in range(0, len(rows), STEP_ROWS):
+            some = rows[low:low + STEP_ROWS]
+            here, column = lookup.find(np.concatenate(some))
+            row = np.searchsorted(np.cumsum([len(r) for r in some]), here, side="right") + low
+            pairs.append((row.astype(np.int32), column.astype(np.int32)))
+        self.row, self.column = (np.concatenate(side) for side in zip(*pairs))
         self.shape = (len(rows), len(chosen))
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -215,15 +231,13 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: s
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(BUCKETS, -1, np.int32)
-        place[chosen] = np.arange(len(chosen))
+        lookup = Lookup(chosen)
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, STEP_BYTES):
                 data, bounds = utf8(part.column(text))
                 found, doc, _ = features(lowered(data), bounds)
-                at = place[found]
-                here = at >= 0
-                key = np.unique(doc[here] * max(1, len(chosen)) + at[here])
+                here, at = lookup.find(found)
+                key = np.unique(doc[here] * max(1, len(chosen)) + at)
                 z = np.bincount(key // max(1, len(chosen)), weights[key % max(1, len(chosen))] if len(chosen) else None,
                                 minlength=part.num_rows) + bias
                 with np.errstate(over="ignore"):

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +298,49 @@ def test_toxicity_of_unusual_rows(spark, make_docs, odd_texts):
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels)).count() == 0
 
 
+def peak_bytes(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_dedup"])
+def test_workers_take_texts_in_small_steps(make_docs, monkeypatch, stage):
+    """Arrays of a worker take a few MB, however much text a batch brings."""
+    runs = []
+    docs = make_docs(["a"]).select("doc_id", "text")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    if stage == "toxicity":
+        toxicity.scored(docs, (np.arange(0, toxicity.BUCKETS, 2000), np.ones(2098), 0.0), "p")
+    else:
+        near_dedup.sets_of(docs, 5)
+    text = pa.array([f"{i} " + "some words of a text " * 100 for i in range(2000)])
+    ids = pa.array(range(2000), pa.int64())
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "text": text} if stage == "toxicity" else
+                                       {"doc_id": ids, "copy": ids, "text": text})
+    rows = []
+    assert peak_bytes(lambda: rows.extend(b.num_rows for b in runs[0](iter([batch])))) < 32 << 20
+    assert sum(rows) == 2000
+
+
+def test_fit_looks_features_up_in_small_steps():
+    """Present features of the sample are found a few rows at a time, with the same pairs as row by row."""
+    rng = np.random.default_rng(3)
+    chosen = np.sort(rng.choice(toxicity.BUCKETS, 2000, replace=False))
+    rows = [np.unique(rng.integers(0, toxicity.BUCKETS, 1000)).astype("<i4") for _ in range(4000)]
+    rows[7] = chosen.astype("<i4")
+    rows[600] = np.zeros(0, "<i4")
+    found = []
+    assert peak_bytes(lambda: found.append(toxicity.Presence(rows, chosen))) < 16 << 20
+    got = set(zip(found[0].row.tolist(), found[0].column.tolist()))
+    place = {c: i for i, c in enumerate(chosen.tolist())}
+    assert got == {(i, place[x]) for i, r in enumerate(rows) for x in r.tolist() if x in place}
+    assert toxicity.Presence([], chosen).times(np.ones(2000)).tolist() == []
+
+
 def planted_pair(name, n, other):
     """Two texts of n words whose last ``other`` differ: they share n - 4 - other of n - 4 + other shingles."""
     w = [f"{name}x{i}" for i in range(n)]
