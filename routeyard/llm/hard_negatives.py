@@ -7,8 +7,9 @@ length.  Every member walks that one list, a block of rows at a time, and stops
 below what it still needs: that is its certificate.
 
 Whole shards fall the same way before they are sent: cells, the directions that rows are dealt to, are few, and a cluster
-only visits shards of cells whose bound reaches the least score that any member needs.  A visit sends the cluster, at most
-``MEMBERS`` vectors, to the shard; a shard's vectors are sent once per join.
+only visits shards of cells whose bound reaches the least score that any member needs.  Shards form parts, ``PARTS`` of them or more
+where ``PART_BYTES`` ask for it; a cluster, at most ``MEMBERS`` vectors, is sent once to each part in which it visits a shard, a shard's
+vectors are sent once per join.  Both sides are sorted and merged: what the visits of a small table amount to isn't known beforehand.
 
 Three rounds: one shard per cluster gives floors, the fifth best score of the same label; all shards at or above the floors
 give the positives; the shards that reach 80 percent of a member's least positive give the negatives.
@@ -31,6 +32,7 @@ from routeyard.llm.common import register, stored, table
 POSITIVES, NEGATIVES, LOW_PERCENT = 5, 5, 80
 SHARD_ROWS, MEMBERS, BLOCK = 4096, 256, 128
 SAMPLE, MAX_CENTRES, ROUNDS = 4096, 256, 8
+PARTS, PART_BYTES = 64, 1 << 25
 EXACT = float(2 ** 53) / 100
 FOUND = "dims int, anchor_id long, twin long, vec_id long, score long, place int, high long"
 
@@ -205,7 +207,7 @@ def clamped(score: int) -> int:
 
 
 def visiting(clusters: DataFrame, cells: dict, needed: Callable, first_only: bool = False) -> DataFrame:
-    """A row per cluster and shard that it has to visit, with the cluster; ``needed`` gives a member's least score."""
+    """A row per cluster and part in which it has shards to visit, with the cluster; ``needed`` gives a member's least score."""
     schema = clusters.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,22 +218,25 @@ def visiting(clusters: DataFrame, cells: dict, needed: Callable, first_only: boo
                 directions, length = unit(members)
                 centre = unit(directions.sum(axis=0)[None, :])[0][0]
                 wide = float(angles(directions, centre).max(initial=0)) if centre.any() else np.pi
-                least = needed(row)
+                least = np.array([np.inf if x is None else x for x in needed(row)], float)
                 reach = []
-                for cell, (middle, spread, most, pieces) in cells.get(dims, {}).items():
+                for cell, (middle, spread, most, pieces, before, per) in cells.get(dims, {}).items():
                     apart = float(angles(centre[None, :], middle)[0]) if centre.any() and middle.any() else 0.0
                     near = max(np.cos(max(apart - wide - spread - 1e-7, 0.0)), 0.0) * most * (1 + 1e-9)
-                    if first_only or any(x is not None and x <= max(near * n + 1e-6, 0.0) for x, n in zip(least, length)):
-                        reach.append((near, cell, pieces))
-                reach.sort(key=lambda x: (-x[0], x[1]))
-                visits = [(cell, p) for _, cell, pieces in reach for p in range(pieces)]
-                for cell, p in visits[:1] if first_only else visits:
+                    if first_only or (least <= np.maximum(near * length + 1e-6, 0.0)).any():
+                        reach.append((-near, cell, range(before, before + pieces), per))
+                reach.sort(key=lambda x: x[:2])
+                parts: dict[int, list[int]] = {}
+                for *_, numbers, per in reach[:1] if first_only else reach:
+                    for number in numbers[:1] if first_only else numbers:
+                        parts.setdefault(number // per, []).append(number)
+                for part, numbers in parts.items():
                     yield pa.RecordBatch.from_arrays(
-                        [*row.columns, pa.array([cell], pa.int64()), pa.array([p], pa.int32())],
-                        names=[*row.schema.names, "of_cell", "piece"])
+                        [*row.columns, pa.array([part], pa.int64()), pa.array([numbers], pa.list_(pa.int64()))],
+                        names=[*row.schema.names, "part", "numbers"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    return clusters.mapInArrow(run, f"{kinds}, of_cell long, piece int")
+    return clusters.mapInArrow(run, f"{kinds}, part long, numbers array<bigint>")
 
 
 def member_rows(row: pa.RecordBatch, side: str = "") -> np.ndarray:
@@ -245,7 +250,7 @@ def longs(row: pa.RecordBatch, name: str) -> np.ndarray:
 
 def met(visits: DataFrame, shards: DataFrame, make_needs: Callable, same: bool) -> DataFrame:
     """What the members of visiting clusters find in the shards they visit."""
-    sides = shards.select("dims", F.col("cell").alias("of_cell"), "piece", *[F.col(c).alias(f"s_{c}") for c in ("ids", "labels", "vectors")])
+    sides = shards.select("dims", "part", "number", *[F.col(c).alias(f"s_{c}") for c in ("ids", "labels", "vectors")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +268,9 @@ def met(visits: DataFrame, shards: DataFrame, make_needs: Callable, same: bool)
                 yield pa.RecordBatch.from_arrays([dims, *[pa.array(c, k) for c, k in zip(columns, kinds)]],
                                                  names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return visits.join(sides, ["dims", "of_cell", "piece"]).mapInArrow(run, FOUND)
+    # Spark takes the visits to be as small as the stored clusters and would broadcast them
+    pairs = visits.join(sides.hint("merge"), ["dims", "part"]).filter(F.array_contains("numbers", F.col("number")))
+    return pairs.mapInArrow(run, FOUND)
 
 
 def best(found: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -290,18 +297,21 @@ def hard_negatives(vectors: DataFrame, anchor_every: int = 100, scale: int = 256
     cell_centres = centres_of(rows, shard_rows, total["n"])
     dealt = placed(rows, cell_centres)
     pieces = F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("pieces")
-    about = stored(dealt.groupBy("dims", "cell").agg(F.max("angle").alias("spread"), F.max("size").alias("most"), pieces), "cells")
+    about = dealt.groupBy("dims", "cell").agg(F.max("angle").alias("spread"), F.max("size").alias("most"), pieces)
+    # the shards of a vector length are numbered along its cells; ``per`` of them form a part
+    one = Window.partitionBy("dims")
+    held = F.greatest(F.lit(1), F.floor(F.lit(PART_BYTES) / (F.lit(8 * shard_rows) * F.greatest("dims", F.lit(1)))))
+    about = stored(about.withColumn("before", F.sum("pieces").over(one.orderBy("cell")) - F.col("pieces")).withColumn(
+        "per", F.least(F.ceil(F.sum("pieces").over(one) / F.lit(PARTS)), held)), "cells")
     cells: dict[int, dict] = {}
     for r in about.collect():               # MAX_CENTRES cells at most per vector length of the sample, one per other length
         c = cell_centres.get(r["dims"])
         cells.setdefault(r["dims"], {})[r["cell"]] = (
-            np.zeros(r["dims"]) if c is None else c[r["cell"]], r["spread"], r["most"], r["pieces"])
-    numbered = dealt.join(about.select("dims", "cell", "pieces"), ["dims", "cell"]).withColumn(
-        "piece", F.pmod(F.xxhash64("vec_id", "twin"), F.col("pieces")).cast("int"))
-    shards = numbered.withColumn("shard", F.xxhash64("dims", "cell", "piece")).withColumn(
-        "cell", F.col("cell") * F.lit(1 << 32) + F.col("piece"))
-    shards = stored(blobs(shards, "shard").withColumn("piece", F.pmod("cell", F.lit(1 << 32)).cast("int")).withColumn(
-        "cell", F.shiftright("cell", 32)), "shards")
+            np.zeros(r["dims"]) if c is None else c[r["cell"]], r["spread"], r["most"], r["pieces"], r["before"], r["per"])
+    numbered = dealt.join(about.select("dims", "cell", "pieces", "before", "per"), ["dims", "cell"]).withColumn(
+        "shard", F.col("before") + F.pmod(F.xxhash64("vec_id", "twin"), F.col("pieces")))
+    shards = blobs(numbered.withColumn("cell", F.floor(F.col("shard") / F.col("per"))), "shard")
+    shards = stored(shards.withColumnsRenamed({"shard": "number", "cell": "part"}), "shards")
 
     # anchors in clusters of like direction and bounded size
     anchors = rows.filter(asked).dropDuplicates(["vec_id", "twin"])
@@ -326,7 +336,7 @@ def hard_negatives(vectors: DataFrame, anchor_every: int = 100, scale: int = 256
     listed = F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score")))
     per_anchor = chosen.groupBy(F.col("anchor_id").alias("vec_id"), "twin", "dims").agg(listed.alias("p")).select(
         *key, F.transform("p", lambda p: p["score"]).alias("scores"))
-    clusters = stored(blobs(anchors.join(per_anchor, key), "cluster", ("scores",)), "clusters")
+    clusters = stored(blobs(anchors.join(per_anchor.hint("merge"), key), "cluster", ("scores",)), "clusters")
     # 80 p <= 100 n is n >= ceil(80 p / 100); a score that isn't positive leaves at most n = p = 0
     low = lambda p: -(-low_percent * p // 100)
     wanted = lambda row: [[(low(p), p) for p in ps] for ps in row.column("scores")[0].as_py()]

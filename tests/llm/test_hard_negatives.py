@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from routeyard.llm import hard_negatives as hn
 
@@ -77,3 +78,31 @@ def test_walks_end_early_on_clustered_vectors():
         s = members[i] @ rows.T
         want = sorted(((int(x), int(j)) for j, x in enumerate(s) if row_labels[j] == labels[i]), key=lambda x: (-x[0], x[1]))[:5]
         assert needs[i][0].best == want
+
+
+def test_visits_are_merged_and_sent_once_per_part(spark, frame, monkeypatch):
+    """What the visits amount to isn't known when the join is planned, so they are never broadcast; and they grow with parts, not shards."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(12)], rng.randrange(3)) for i in range(900)]
+    joins, sent, shards = [], [], []
+    met, visiting = hn.met, hn.visiting
+
+    def met_seen(visits, of, *rest):
+        joins.append(met(visits, of, *rest))
+        shards.append(of.count())
+        return joins[-1]
+
+    def visiting_seen(*args, **kwargs):
+        sent.append(visiting(*args, **kwargs))
+        return sent[-1]
+
+    monkeypatch.setattr(hn, "met", met_seen)
+    monkeypatch.setattr(hn, "visiting", visiting_seen)
+    df = frame(rows)
+    got = hn.hard_negatives(df, shard_rows=4, members=4)
+    assert sorted(map(tuple, got.collect())) == brute([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
+    plans = [d._jdf.queryExecution().toString() for d in joins]
+    assert len(plans) == 3 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    assert min(shards) > 200
+    for visits in sent:
+        assert visits.groupBy("dims", "cluster").count().agg(F.max("count")).first()[0] <= 64
