@@ -9,7 +9,7 @@ from routeyard import fixed_values as V
 from routeyard.operators import costs as C
 from routeyard.operators import registry as G
 from routeyard.plans.catalog import query, rounded
-from routeyard.runtime import persisted, scratch_path
+from routeyard.runtime import portions, scratch_path
 from routeyard.sources import cache, config, reports, results, tables
 
 _URIS = ("array_to_string(list_filter(list_transform(string_split(replace(COALESCE(image_path, ''), ',', ';'), ';'), "
@@ -61,21 +61,27 @@ _LAYOUTS = (
 )
 
 
+# six of the eight tables hold every text
+_PACKED = {"csv": {"compression": "gzip", "zlib.compress.level": "FOUR"}, "json": {"compression": "gzip"},
+           "parquet": {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}}
+
+
 def _write_results(spark, sf, root):
     """One result table per model, in four column layouts; plus files that must be ignored."""
     preds = D.predictions(spark, sf).select("sample_id", "model_id", "quality")
     texts = D.samples(spark, sf).select("sample_id", "prompt", "image_path")
     cells = preds.groupBy("sample_id").agg(F.collect_list(F.struct("model_id", "quality")).alias("cells"))
-    stored = persisted(texts.join(cells, "sample_id"), "answers")       # texts are shuffled once, not once per model
-    for models, suffix, fmt, key, correct, prompt, image in _LAYOUTS:
-        for m in models:
-            mine = F.explode(F.filter("cells", lambda c: c["model_id"] == m))
-            rows = stored.withColumn("cell", mine).withColumn("quality", F.col("cell.quality"))
-            cols = [F.col("sample_id").alias(key), F.col("quality").alias(correct)]
-            cols += [F.col("prompt").alias(prompt)] if prompt else []
-            cols += [F.col("image_path").alias(image)] if image else []
-            out = rows.select(*cols).write.option("header", True).option("escape", '"').format(fmt)
-            out.save(f"{root}/{fmt}-{key}/{m}/T20251025_G/{m}_DOCS{suffix}")
+    # texts are shuffled once, not once per model
+    for stored in portions(texts.join(cells, "sample_id"), "answers"):
+        for models, suffix, fmt, key, correct, prompt, image in _LAYOUTS:
+            for m in models:
+                mine = F.explode(F.filter("cells", lambda c: c["model_id"] == m))
+                rows = stored.withColumn("cell", mine).withColumn("quality", F.col("cell.quality"))
+                cols = [F.col("sample_id").alias(key), F.col("quality").alias(correct)]
+                cols += [F.col("prompt").alias(prompt)] if prompt else []
+                cols += [F.col("image_path").alias(image)] if image else []
+                out = rows.select(*cols).write.mode("append").options(header=True, escape='"', **_PACKED[fmt])
+                out.format(fmt).save(f"{root}/{fmt}-{key}/{m}/T20251025_G/{m}_DOCS{suffix}")
     wrong = preds.filter(F.col("model_id") == "m0").select(F.col("sample_id").alias("index"), F.lit(0).alias("hit"))
     wrong.write.option("header", True).csv(f"{root}/helper/m0/T20251025_G/m0_DOCS_acc.csv")
     found = [(f"{root}/{fmt}-{key}/*/*/*", "csv-quoted" if fmt == "csv" else fmt)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+PORTIONS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,40 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside go when their query ends, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def portions(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """Write a table once, like ``persisted``, and read it back a share of its files at a time.
+
+    A share is deleted when the next one is asked for, so a table that is
+    copied share by share never lies on disk beside its whole copies.  There
+    are ``PORTIONS`` shares at most, each of a file per core at least.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+    files = [f"{path}/{n}" for n in names if n.startswith("part-")]
+    count = max(1, min(PORTIONS, len(files) // spark.sparkContext.defaultParallelism))
+    for i in range(count):
+        share = files[i::count]
+        yield spark.read.schema(df.schema).parquet(*(share or [path]))
+        for f in share:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f), False)
+
+
 def once(value: Column) -> Column:
     """A costly expression that Spark shall evaluate once per row.
 

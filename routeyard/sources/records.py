@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLACE = ("__file", "__piece", "__record")
-
+# files that Spark reads in one piece
+UNCUT = r"\.(deflate|gz|lz4|snappy|zst)$"
 
 FOUND = "__file string, __piece long, __record long, open boolean, head boolean, blank boolean, text string"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("lineSep", "\n").text(path)
+def _lines(spark: SparkSession, path: str, uncut: bool) -> DataFrame:
+    compressed = F.col("_metadata.file_path").rlike(UNCUT)
+    text = spark.read.option("lineSep", "\n").text(path).filter(compressed if uncut else ~compressed)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return text.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__piece"),
                        quotes.alias("__quotes"), "value")
@@ -111,8 +113,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     Quotes stand around whole values and are doubled inside them.  A record
     may span any number of pieces; a quote that never closes takes the rest of
     its file.  A line break at the very end of a record is not part of it.
+    Compressed files come in one piece, whose records need no other: they are
+    scanned once.
     """
-    lines = _lines(spark, path)
+    alone = _lines(spark, path, True).select("__file", "__piece", F.lit(0).cast("bigint").alias("__before"), "__quotes", "value")
+    alone = alone.mapInArrow(_found, FOUND).filter(~F.col("blank")).select(*PLACE, "head", "text")
+
+    lines = _lines(spark, path, False)
     before = Window.partitionBy("__file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = lines.groupBy("__file", "__piece").agg(F.sum("__quotes").alias("n")).select(
         "__file", "__piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))     # a row per piece
@@ -130,7 +137,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         .select("__file", "owner.__piece", "owner.__record", "head", _joined("parts").alias("text")))
     blank = F.trim(F.regexp_replace("text", r"[\r\n]", "")) == ""
     whole = found.filter(~torn & ~F.col("blank")).select(*PLACE, "head", "text")
-    return whole.unionByName(mended.filter(~blank)).withColumn("text", F.regexp_replace("text", r"\r$", ""))
+    return whole.unionByName(mended.filter(~blank)).unionByName(alone).withColumn("text", F.regexp_replace("text", r"\r$", ""))
 
 
 def _quoted(name: str) -> str:

@@ -1,12 +1,13 @@
 """Quoted tables cut into pieces anywhere, also inside values."""
 
 import csv
+import gzip
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from routeyard.sources import results, tables
+from routeyard.sources import records, results, tables
 from routeyard.sources.records import PLACE, read_quoted
 
 WORDS = ["a", "line\nbreak", 'a "quoted" word', "", "x" * 90, "\n\n", ",;\t", "end\r\nof line", '"', "Zeile für Zeile"]
@@ -96,3 +97,39 @@ def test_results_without_ids_are_numbered(spark, tmp_path, small_pieces):
     got = results.read_results(spark, [(f"{tmp_path}/*/*", "csv-quoted")], ["m0", "m1"])
     ids = sorted((r["model_id"], int(r["sample_id"].split("/")[1]), r["quality"], r["prompt"]) for r in got.collect())
     assert ids == [(m, i, i % 2, f"say\n{i}") for m in ("m0", "m1") for i in range(50)]
+
+
+def test_compressed_files_equal_plain_ones_and_are_scanned_once(spark, tmp_path, small_pieces, monkeypatch):
+    """Files in one piece meet no other piece: neither counts nor fragments of theirs are read."""
+    for name, n in (("a", 60), ("b", 25), ("none", 0)):
+        write(tmp_path / "t" / f"{name}.csv", rows_of(n, n), end="\r\n")
+    with open(tmp_path / "t" / "a.csv", "a") as f:
+        f.write('\n  \n98,plain,\n"99","open\nrest\n')
+    (tmp_path / "z").mkdir()
+    (tmp_path / "mixed").mkdir()
+    for f in (tmp_path / "t").iterdir():
+        for folder in ("z", "mixed"):
+            if folder == "z" or f.name == "a.csv":
+                (tmp_path / folder / f"{f.name}.gz").write_bytes(gzip.compress(f.read_bytes()))
+            else:
+                (tmp_path / folder / f.name).write_bytes(f.read_bytes())
+
+    def found(folder):
+        rows = read_quoted(spark, str(tmp_path / folder)).withColumn("__file", F.regexp_extract("__file", r"(\w+)\.csv", 1))
+        return [(r["__file"], *tuple(r)[3:]) for r in sorted(rows.collect(), key=lambda r: tuple(r)[:3])]
+
+    want = found("t")
+    assert len(want) == 87 and found("z") == want and found("mixed") == want
+    seen, plain = spark.sparkContext.accumulator(0), records._found
+
+    def counted(batches):
+        def told():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return plain(told())
+
+    monkeypatch.setattr(records, "_found", counted)
+    assert found("z") == want
+    assert seen.value == sum(len(f.read_bytes().split(b"\n")[:-1]) for f in (tmp_path / "t").iterdir())

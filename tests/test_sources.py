@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeyard import fixed_values as V
+from routeyard import runtime
+from routeyard.plans.catalog import sources as sinks
 from routeyard.runtime import scratch_path, shared_dir
 from routeyard.sources import config, reports, results, tables
 from routeyard.streaming.incremental import generations, merge_batch, read_cache, upsert_stream
@@ -151,3 +153,39 @@ def test_legacy_model_folder(spark):
     m = N.model_of_path(F.col("p"), ["m1"])
     got = [tuple(r) for r in df.select(m, N.dataset_of_path(F.col("p"), m)).collect()]
     assert got == [("m1", "X"), ("solo", "Y"), (None, None)]
+
+
+def test_result_tables_take_little_disk(spark, tmp_path, monkeypatch):
+    """Texts lie compressed, once per table that holds them; the joined table they are copied from is gone share by share."""
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path / "scratch"))
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.substring(F.md5(F.concat_ws("-", "id", i % 60)), 1, 6))
+    docs = spark.range(0, 3000, 1, 24).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"), F.lit("en").alias("lang"),
+                                              F.lit("s").alias("source"))
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        layouts = sinks._write_results(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).rglob("part-*"))
+    text = 3000 * (300 * 7)
+    assert size("scratch") == 0 and 0 < size("out") < 0.5 * 6 * text
+    assert len(list((tmp_path / "out").glob("csv-index/m0/*/*/part-*"))) >= 3      # shares
+    got = results.read_results(spark, layouts, ["m0", "m1", "m2", "m3", "m4", "m5", "m6", "m7"])
+    assert got.groupBy("model_id").count().filter(F.col("count") == 3000).count() == 8
+    prompts = got.filter(~F.col("model_id").isin("m2", "m3")).select(F.regexp_extract("sample_id", r"\d+$", 0).alias("i"), "prompt").distinct()
+    assert prompts.exceptAll(docs.select(F.col("doc_id").cast("string"), "text")).count() == 0 and prompts.count() == 3000
+
+
+def test_shares_of_a_stored_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, left, seen = spark.conf.get(key), [], []
+    for share in runtime.portions(spark.range(0, 100, 1, 9), "t"):
+        seen += [r["id"] for r in share.collect()]
+        left.append(len(list(tmp_path.rglob("part-*.parquet"))))
+    assert sorted(seen) == list(range(100)) and left == [9, 4] and not list(tmp_path.rglob("part-*.parquet"))
+    assert spark.conf.get(key) == before
+    assert [s.count() for s in runtime.portions(spark.range(0), "t")] == [0]
